@@ -23,7 +23,7 @@ def step_lookup(probes: DataFrame, steps: DataFrame, by: list[str], time: str, v
     s = steps.select(*by, F.col(time).cast(probes.schema[time].dataType).alias(time),
                      F.col(value).cast("double").alias("_v"), F.lit(1 - rank_probe).alias("_r"), F.lit(False).alias("_probe"))
     u = p.unionByName(s, allowMissingColumns=True)
-    u = u.withColumn("_bucket", quantile_bucket(u, time))
+    u = quantile_bucket(u, time, "_bucket")
     w = Window.partitionBy(*by, "_bucket").orderBy(time, "_r").rowsBetween(Window.unboundedPreceding, 0)
     across = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     carry = u.groupBy(*by, "_bucket").agg(

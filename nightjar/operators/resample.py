@@ -52,8 +52,8 @@ def replicate_discrimination(preds: DataFrame, weights: DataFrame, n_boot: int,
         F.sum((y == 1).cast("int")).alias("pos"), F.sum((y == 0).cast("int")).alias("neg"))
     n = buckets or bucket_count(preds)
     cuts = rows.agg(F.percentile_approx(F.col(score), [i / n for i in range(1, n)])).scalar()
-    rows = rows.withColumn("_single", F.array_contains(cuts, F.col(score))).withColumn(
-        "bucket", quantile_bucket(rows, score, n) * 2 + F.col("_single").cast("int"))
+    rows = quantile_bucket(rows, score, "_bucket", n).withColumn("_single", F.array_contains(cuts, F.col(score))).withColumn(
+        "bucket", F.col("_bucket") * 2 + F.col("_single").cast("int")).drop("_bucket")
 
     per_subject = rows.groupBy(*by, "bucket", "_single", "subject_id").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     totals = weighted_sums(per_subject, weights, [*by, "bucket", "_single"], ["pos", "neg"])

@@ -18,27 +18,29 @@ def bucket_count(df: DataFrame) -> int:
     return max(8, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def quantile_bucket(df: DataFrame, value: str, buckets: int | None = None) -> Column:
-    """Bucket number of ``value``: how many approximate quantiles of it lie strictly below.
+def quantile_bucket(df: DataFrame, value: str, name: str, buckets: int | None = None) -> DataFrame:
+    """Add ``name``: how many approximate quantiles of ``value`` lie strictly below it.
 
-    The cut points are one row of ``buckets - 1`` doubles, used as a scalar subquery. They are
-    searched in two steps of about sqrt(buckets) comparisons.
+    The cut points are one row of ``buckets - 1`` doubles, read as a scalar subquery. They are
+    searched in two steps of about sqrt(buckets) comparisons. The subquery also counts every other
+    column, so that it needs the very rows the main query needs and Spark reuses their shuffle
+    instead of scanning the input again.
     """
     n = buckets or bucket_count(df)
     step = max(2, int(n ** 0.5))
-    probs = [i / n for i in range(1, n)]
     cuts = (
-        df.agg(F.percentile_approx(F.col(value).cast("double"), probs).alias("c"))
+        df.agg(F.percentile_approx(F.col(value).cast("double"), [i / n for i in range(1, n)]).alias("c"),
+               F.struct(*[F.count(F.col(f"`{c}`")) for c in df.columns]).alias("all_columns"))
         .select(F.struct(
-            F.col("c").alias("fine"),
+            "all_columns", F.col("c").alias("fine"),
             F.filter("c", lambda _, i: i % step == step - 1).alias("coarse"),
         ).alias("cuts"))
         .scalar()
     )
     x = F.col(value).cast("double")
-    block = F.size(F.filter(cuts["coarse"], lambda c: c < x)) * step
-    inside = F.size(F.filter(F.slice(cuts["fine"], block + 1, step), lambda c: c < x))
-    return F.coalesce(block + inside, F.lit(0))
+    block = F.size(F.filter("_cuts.coarse", lambda c: c < x)) * step
+    inside = F.size(F.filter(F.slice("_cuts.fine", block + 1, step), lambda c: c < x))
+    return df.withColumn("_cuts", cuts).withColumn(name, F.coalesce(block + inside, F.lit(0))).drop("_cuts")
 
 
 def running_totals(df: DataFrame, by: list[str], order: str, values: list[str],
@@ -48,7 +50,7 @@ def running_totals(df: DataFrame, by: list[str], order: str, values: list[str],
     ``df`` holds one row per (``by``, ``order``), so pre-aggregate first: that also folds any hot
     value into a single row.
     """
-    d = df.withColumn("_bucket", quantile_bucket(df, order, buckets))
+    d = quantile_bucket(df, order, "_bucket", buckets)
     across = Window.partitionBy(*(by or [F.lit(0)]))
     earlier = across.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
