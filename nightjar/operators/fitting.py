@@ -19,3 +19,35 @@ def calibration_line(pred: DataFrame, label: str = "apnoea_label", score: str =
     m = LogisticRegression(regParam=0.0, maxIter=100, tol=1e-10).fit(d)
     return pred.sparkSession.createDataFrame([(float(m.coefficients[0]), float(m.intercept))],
                                              "calibration_slope double, calibration_intercept double")
+
+
+def ensemble(runs: DataFrame, cv_auc: dict[str, float], scale: float = 50.0) -> DataFrame:
+    """Mean, softmax-weighted mean and mean rank share of aligned runs (columns run, keys, pred_prob).
+
+    Runs become columns by a conditional aggregate on the row key; a row missing from a run has no
+    ensemble score.
+    """
+    import math
+
+    from nightjar.operators.running import midranks
+
+    names = list(cv_auc)
+    centre = sum(cv_auc.values()) / len(names)
+    raw = {n: math.exp((a - centre) * scale) for n, a in cv_auc.items()}
+    weights = {n: w / sum(raw.values()) for n, w in raw.items()}
+    d = runs.where(F.col("run").isin(*names))
+    ranks = midranks(d, ["run"], "pred_prob", "_mid").select("run", "pred_prob", (F.col("_mid") / F.col("n_total")).alias("_rank"))
+    wide = d.join(ranks, ["run", "pred_prob"]).groupBy("subject_id", "epoch_idx").agg(
+        F.max("apnoea_label").alias("apnoea_label"), F.count("*").alias("_n"),
+        *[F.max(F.when(F.col("run") == n, F.col("pred_prob"))).alias(f"_p_{n}") for n in names],
+        *[F.max(F.when(F.col("run") == n, F.col("_rank"))).alias(f"_r_{n}") for n in names])
+
+    def total(fmt: str, w: dict[str, float]):
+        out = F.lit(0.0)
+        for n in names:
+            out = out + F.lit(w[n]) * F.col(fmt.format(n))
+        return out
+
+    even = {n: 1.0 / len(names) for n in names}
+    return wide.select("subject_id", "epoch_idx", "apnoea_label", total("_p_{}", even).alias("p_mean"),
+                       total("_p_{}", weights).alias("p_weighted"), total("_r_{}", even).alias("p_rank_mean"))
