@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from nightjar.functions.expressions import hash_draw
 from nightjar.operators.running import bucket_count, dense_index, quantile_bucket
+from nightjar.session import cut_lineage
 
 REPLICATE_BLOCK = 128
 
@@ -18,13 +19,13 @@ def boot_weights(subjects: DataFrame, n_boot: int, seed: int = 42) -> DataFrame:
     """(replicate, subject_id, w): how often each subject is drawn; n draws per replicate.
 
     Draw d of replicate r picks the subject numbered md5(seed:r:d) mod n, so every engine and every
-    retry sees the same resample.
+    retry sees the same resample. The weights are written once: all metrics of an analysis share them.
     """
-    ids = dense_index(subjects, "subject_id", "idx")
+    ids = cut_lineage(dense_index(subjects, "subject_id", "idx"))
     draws = ids.select("idx", "n_ids", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("replicate"))
     picks = draws.groupBy("replicate", F.pmod(hash_draw(F.lit(seed), "replicate", "idx"), F.col("n_ids")).alias("idx")).agg(
         F.count("*").cast("int").alias("w"))
-    return picks.join(ids.select("subject_id", "idx"), "idx").select("replicate", "subject_id", "w")
+    return cut_lineage(picks.join(ids.select("subject_id", "idx"), "idx").select("replicate", "subject_id", "w"))
 
 
 def weighted_sums(stats: DataFrame, weights: DataFrame, by: list[str], cols: list[str]) -> DataFrame:
@@ -44,19 +45,20 @@ def replicate_discrimination(preds: DataFrame, weights: DataFrame, n_boot: int,
       2. single-score buckets follow from those totals alone;
       3. every other bucket goes with its subjects' weights to one Arrow task per replicate block,
          which scores all replicates of the block at once.
-    No row is repeated per replicate.
+    No row is repeated per replicate. The (subject, score) counts and the bucket totals are written
+    once, because several steps read them.
     """
     by = by or []
     y = F.col(label).cast("int")
-    rows = preds.groupBy(*by, "subject_id", score).agg(
-        F.sum((y == 1).cast("int")).alias("pos"), F.sum((y == 0).cast("int")).alias("neg"))
+    rows = cut_lineage(preds.groupBy(*by, "subject_id", score).agg(
+        F.sum((y == 1).cast("int")).alias("pos"), F.sum((y == 0).cast("int")).alias("neg")))
     n = buckets or bucket_count(preds)
     cuts = rows.agg(F.percentile_approx(F.col(score), [i / n for i in range(1, n)])).scalar()
     rows = quantile_bucket(rows, score, "_bucket", n).withColumn("_single", F.array_contains(cuts, F.col(score))).withColumn(
         "bucket", F.col("_bucket") * 2 + F.col("_single").cast("int")).drop("_bucket")
 
     per_subject = rows.groupBy(*by, "bucket", "_single", "subject_id").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    totals = weighted_sums(per_subject, weights, [*by, "bucket", "_single"], ["pos", "neg"])
+    totals = cut_lineage(weighted_sums(per_subject, weights, [*by, "bucket", "_single"], ["pos", "neg"]))
     across = Window.partitionBy(*by, "replicate")
     below = across.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(
@@ -85,12 +87,14 @@ def replicate_discrimination(preds: DataFrame, weights: DataFrame, n_boot: int,
     schema = ", ".join([*(f"`{c}` {preds.schema[c].dataType.simpleString()}" for c in by), "replicate int", "u double", "ap double"])
 
     def score_block(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        part = _bucket_parts(a, b)
+        part = _bucket_parts(a, b.rename(columns=lambda c: c[2:]))
         for name, value in zip(by, key):
             part[name] = value
         return part[[*by, "replicate", "u", "ap"]]
 
-    parts = left.groupBy(*keys).cogroup(right.unionByName(offsets).groupBy(*keys)).applyInPandas(score_block, schema)
+    side = right.unionByName(offsets)
+    side = side.toDF(*[f"w_{c}" for c in side.columns])  # the two sides share lineage, so names must differ
+    parts = left.groupBy(*keys).cogroup(side.groupBy(*[f"w_{c}" for c in keys])).applyInPandas(score_block, schema)
     sums = parts.unionByName(single.select(*by, F.col("replicate").cast("int"), F.col("u").cast("double"), "ap")).groupBy(
         *by, "replicate").agg(F.sum("u").alias("u"), F.sum("ap").alias("ap"))
     size = totals.groupBy(*by, "replicate").agg(F.max("P").alias("P"), F.max("N").alias("N"))

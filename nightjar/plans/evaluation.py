@@ -9,6 +9,7 @@ from nightjar.functions.expressions import severity_tier, subject_number
 from nightjar.operators import metrics as M
 from nightjar.operators import resample as R
 from nightjar.operators.epochs import count_runs, sleep_event_counts
+from nightjar.session import cut_lineage
 
 
 def event_indices(pred: DataFrame, epochs: DataFrame, events: DataFrame) -> DataFrame:
@@ -36,12 +37,14 @@ def extended_metrics(pred: DataFrame, metadata: DataFrame | None, n_boot: int =
     main = M.discrimination(p, by).select("_k", F.col("auc").alias("auc_roc"), F.col("average_precision").alias("auc_pr"))
     weights = R.boot_weights(pred.select("subject_id").distinct(), n_boot, seed)
     boots = R.replicate_discrimination(p, weights, n_boot, by)
-    roc = R.percentile_ci(boots, by, "auc").select("_k", F.col("ci_low").alias("auc_roc_ci_low"), F.col("ci_high").alias("auc_roc_ci_high"))
-    pr = R.percentile_ci(boots, by, "average_precision").select("_k", F.col("ci_low").alias("auc_pr_ci_low"), F.col("ci_high").alias("auc_pr_ci_high"))
+    q = F.array(F.lit(0.025), F.lit(0.975))
+    ci = boots.groupBy("_k").agg(F.percentile("auc", q).alias("_r"), F.percentile("average_precision", q).alias("_p")).select(
+        "_k", F.col("_r")[0].alias("auc_roc_ci_low"), F.col("_r")[1].alias("auc_roc_ci_high"),
+        F.col("_p")[0].alias("auc_pr_ci_low"), F.col("_p")[1].alias("auc_pr_ci_high"))
     conf = M.confusion(p, by).drop("tn", "fp", "fn", "tp")
     cal = M.calibration_summary(M.subject_bins(p, by, M.linspace(0.0, 1.0, 11)[1:-1]), by).select("_k", "brier", "ece")
     size = p.groupBy("_k").agg(F.count("*").alias("n_test_epochs"), F.count_distinct("subject_id").alias("n_test_subjects"))
-    out = main.join(roc, by).join(pr, by).join(conf, by).join(cal, by).join(size, by)
+    out = main.join(ci, by).join(conf, by).join(cal, by).join(size, by)
     clinical = ["ahi_mae", "ahi_corr", "severity_accuracy", "severity_weighted_kappa"]
     if metadata is None:
         out = out.withColumns({c: F.lit(None).cast("double") for c in clinical}).withColumn(
@@ -75,7 +78,8 @@ def compare_runs(runs: DataFrame, pairs: list[tuple[str, str]], n_boot: int, see
     """
     spark = runs.sparkSession
     weights = R.boot_weights(runs.select("subject_id").distinct(), n_boot, seed)
-    boots = R.replicate_discrimination(runs, weights, n_boot, ["run"])
+    # runs x replicates rows, read once per side of every pair
+    boots = cut_lineage(R.replicate_discrimination(runs, weights, n_boot, ["run"]))
     point = M.discrimination(runs, ["run"]).select("run", F.col("auc").alias("point"))
     names = spark.createDataFrame(pairs, "a string, b string")
     left = names.join(boots, names.a == boots.run).select("a", "b", "replicate", "auc")
