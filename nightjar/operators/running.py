@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from nightjar.session import cut_lineage
+
 
 def bucket_count(df: DataFrame) -> int:
     return max(8, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -22,17 +24,15 @@ def quantile_bucket(df: DataFrame, value: str, name: str, buckets: int | None =
     """Add ``name``: how many approximate quantiles of ``value`` lie strictly below it.
 
     The cut points are one row of ``buckets - 1`` doubles, read as a scalar subquery. They are
-    searched in two steps of about sqrt(buckets) comparisons. The subquery also counts every other
-    column, so that it needs the very rows the main query needs and Spark reuses their shuffle
-    instead of scanning the input again.
+    searched in two steps of about sqrt(buckets) comparisons. ``df`` is read twice, so pass a table
+    that is already written or cheap to recompute.
     """
     n = buckets or bucket_count(df)
     step = max(2, int(n ** 0.5))
     cuts = (
-        df.agg(F.percentile_approx(F.col(value).cast("double"), [i / n for i in range(1, n)]).alias("c"),
-               F.struct(*[F.count(F.col(f"`{c}`")) for c in df.columns]).alias("all_columns"))
+        df.agg(F.percentile_approx(F.col(value).cast("double"), [i / n for i in range(1, n)]).alias("c"))
         .select(F.struct(
-            "all_columns", F.col("c").alias("fine"),
+            F.col("c").alias("fine"),
             F.filter("c", lambda _, i: i % step == step - 1).alias("coarse"),
         ).alias("cuts"))
         .scalar()
@@ -48,9 +48,10 @@ def running_totals(df: DataFrame, by: list[str], order: str, values: list[str],
     """Add ``<v>_before`` (sum over strictly smaller ``order``) and ``<v>_total`` per group.
 
     ``df`` holds one row per (``by``, ``order``), so pre-aggregate first: that also folds any hot
-    value into a single row.
+    value into a single row. The aggregate is written once and read for the cut points, the offsets
+    and the windows, so the input is scanned a single time.
     """
-    d = quantile_bucket(df, order, "_bucket", buckets)
+    d = quantile_bucket(cut_lineage(df), order, "_bucket", buckets)
     across = Window.partitionBy(*(by or [F.lit(0)]))
     earlier = across.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
