@@ -22,7 +22,7 @@ def with_halo(df: DataFrame, pos: str, size: int, before: int = 0, after: int =
     copies = F.array_compact(F.array(
         home,
         F.when(offset >= size - before, home + 1) if before else F.lit(None).cast("bigint"),
-        F.when(offset < after, home - 1) if after else F.lit(None).cast("bigint"),
+        F.when((offset < after) & (home > 0), home - 1) if after else F.lit(None).cast("bigint"),
     ))
     return (
         df.withColumn("_home", home)

@@ -10,12 +10,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nightjar.functions.expressions import logit
+from nightjar.session import cut_lineage
 
 
 def calibration_line(pred: DataFrame, label: str = "apnoea_label", score: str = "pred_prob") -> DataFrame:
     """Slope and intercept of an unpenalised logistic fit of the label on the logit of the score."""
     d = pred.select(F.col(label).cast("double").alias("label"), logit(score).alias("lp"))
-    d = VectorAssembler(inputCols=["lp"], outputCol="features").transform(d)
+    d = VectorAssembler(inputCols=["lp"], outputCol="features").transform(cut_lineage(d))
     m = LogisticRegression(regParam=0.0, maxIter=100, tol=1e-10).fit(d)
     return pred.sparkSession.createDataFrame([(float(m.coefficients[0]), float(m.intercept))],
                                              "calibration_slope double, calibration_intercept double")
@@ -51,3 +52,152 @@ def ensemble(runs: DataFrame, cv_auc: dict[str, float], scale: float = 50.0) ->
     even = {n: 1.0 / len(names) for n in names}
     return wide.select("subject_id", "epoch_idx", "apnoea_label", total("_p_{}", even).alias("p_mean"),
                        total("_p_{}", weights).alias("p_weighted"), total("_r_{}", even).alias("p_rank_mean"))
+
+
+# ---- estimators --------------------------------------------------------------------------------
+
+def _boosted(features: str, label: str, **kw):
+    return GBTClassifier(featuresCol=features, labelCol=label, maxDepth=kw.get("max_depth", 5), maxIter=kw.get("max_iter", 20),
+                         stepSize=kw.get("step", 0.1), subsamplingRate=0.9, seed=kw.get("seed", 42), weightCol=kw.get("weight"),
+                         validationIndicatorCol=kw.get("validation"))
+
+
+def _forest(features: str, label: str, **kw):
+    return RandomForestClassifier(featuresCol=features, labelCol=label, numTrees=kw.get("trees", 20), maxDepth=kw.get("max_depth", 5),
+                                  seed=kw.get("seed", 42), weightCol=kw.get("weight"))
+
+
+def _logistic(features: str, label: str, **kw):
+    return LogisticRegression(featuresCol=features, labelCol=label, regParam=kw.get("reg", 0.0), maxIter=kw.get("max_iter", 50), weightCol=kw.get("weight"))
+
+
+# pluggable model families: name -> builder(features column, label column, options) of a pyspark.ml estimator
+FAMILIES = {"boosted": _boosted, "forest": _forest, "logistic": _logistic}
+
+
+def register_family(name: str, builder) -> None:
+    FAMILIES[name] = builder
+
+
+def build(family: str, columns: list[str], label: str, categorical: list[str] | None = None, **options) -> Pipeline:
+    """Median imputation, assembly, scaling and the classifier as one pipeline, so all of it is fitted on training rows only."""
+    stages = []
+    ready = [f"{c}_filled" for c in columns]
+    if columns:
+        stages.append(Imputer(strategy="median", inputCols=columns, outputCols=ready))
+    for c in categorical or []:
+        stages.append(StringIndexer(inputCol=c, outputCol=f"{c}_code", handleInvalid="keep"))
+        ready.append(f"{c}_code")
+    stages.append(VectorAssembler(inputCols=ready, outputCol="raw_features"))
+    stages.append(StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True))
+    options = {k: v for k, v in options.items() if v is not None}
+    estimator = FAMILIES[family]("features", label, **options)
+    for unset in ("weightCol", "validationIndicatorCol"):
+        if estimator.hasParam(unset) and estimator.isSet(unset) and estimator.getOrDefault(unset) is None:
+            estimator.clear(estimator.getParam(unset))
+    stages.append(estimator)
+    return Pipeline(stages=stages)
+
+
+def fit_binary(train: DataFrame, columns: list[str], label: str = "apnoea_label", family: str = "boosted",
+               categorical: list[str] | None = None, validation: str | None = None, weighted: bool = True, **options):
+    """Class-weighted binary fit; ``validation`` names a boolean column of held-out subjects for early stopping."""
+    from nightjar.operators.splits import balanced_weights
+
+    d = train.withColumn(label, F.col(label).cast("double"))
+    if weighted:
+        d = balanced_weights(d, label)
+    return build(family, columns, label, categorical, weight="weight" if weighted else None, validation=validation, **options).fit(d)
+
+
+def predict(model, rows: DataFrame, keep: list[str], threshold: float = 0.5) -> DataFrame:
+    """Scores in prediction form: kept columns, pred_prob and pred_label."""
+    p = vector_to_array("probability")[1]
+    return model.transform(rows).select(*keep, p.alias("pred_prob"), (p > threshold).cast("bigint").alias("pred_label"))
+
+
+def out_of_fold(rows: DataFrame, folds: DataFrame, k: int, columns: list[str], family: str = "logistic",
+                keep: list[str] | None = None, **options) -> DataFrame:
+    """Every row scored by the model of the folds that do not hold its subject.
+
+    The joined rows are written once: each fit passes over them many times.
+    """
+    keep = keep or ["subject_id", "epoch_idx", "apnoea_label"]
+    d = cut_lineage(rows.join(folds.select("subject_id", "fold"), "subject_id"))
+    parts = []
+    for i in range(k):
+        model = fit_binary(d.where(F.col("fold") != i), columns, family=family, **options)
+        parts.append(predict(model, d.where(F.col("fold") == i), [*keep, "fold"]))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def search(rows: DataFrame, folds: DataFrame, k: int, columns: list[str], grid: list[dict], family: str = "logistic") -> DataFrame:
+    """Mean held-out-fold AUC of each option set (exact AUC), best first."""
+    from nightjar.operators.metrics import discrimination
+
+    spark = rows.sparkSession
+    rows, folds = cut_lineage(rows), cut_lineage(folds)
+    scored = []
+    for i, options in enumerate(grid):
+        scored.append(out_of_fold(rows, folds, k, columns, family, **options).withColumn("trial", F.lit(i)))
+    allp = scored[0]
+    for s in scored[1:]:
+        allp = allp.unionByName(s)
+    auc = discrimination(cut_lineage(allp), ["trial", "fold"])
+    names = spark.createDataFrame([(i, str(sorted(o.items()))) for i, o in enumerate(grid)], "trial int, options string")
+    return auc.groupBy("trial").agg(F.avg("auc").alias("mean_auc"), F.stddev_samp("auc").alias("sd_auc")).join(names, "trial").orderBy(F.desc("mean_auc"))
+
+
+def fit_multiclass(train: DataFrame, columns: list[str], label: str, **options):
+    return build("forest", columns, label, **options).fit(train.withColumn(label, F.col(label).cast("double")))
+
+
+def predict_classes(model, rows: DataFrame, keep: list[str], n_classes: int) -> DataFrame:
+    """Class probabilities as columns and the arg-max class (lowest class on ties)."""
+    p = vector_to_array("probability")
+    d = model.transform(rows).select(*keep, *[p[i].alias(f"p{i}") for i in range(n_classes)])
+    best = F.array_max(F.array(*[F.struct(F.col(f"p{i}").alias("p"), F.lit(-i).alias("i")) for i in range(n_classes)]))
+    return d.withColumn("pred", (-best["i"]).cast("int"))
+
+
+def chained_impute(train: DataFrame, rows: DataFrame, columns: list[str], binary: list[str], strata: str | None = None,
+                   rounds: int = 3, reg: float = 1e-3) -> DataFrame:
+    """Fill each column by ridge regression on the others (and stratum indicators), all fitted on ``train``.
+
+    Gaps start at the training mean; ``rounds`` passes refit every column with gaps on the current
+    fill. Binary columns are clipped to [0, 1] and rounded half to even at the end. Coefficients are
+    p numbers per column; the rows never leave the executors.
+    """
+    from pyspark.ml.regression import LinearRegression
+
+    means = train.agg(*[F.avg(c).alias(c) for c in columns]).first()
+    gaps = train.unionByName(rows, allowMissingColumns=True).agg(*[F.sum(F.col(c).isNull().cast("int")).alias(c) for c in columns]).first()
+    todo = [c for c in columns if gaps[c]]
+    levels = [r[0] for r in train.select(strata).distinct().orderBy(strata).limit(100).collect()] if strata else []
+    dummies = {f"_d{i}": (F.col(strata) == v).cast("double") for i, v in enumerate(levels[1:])}
+
+    def start(d: DataFrame) -> DataFrame:
+        return d.withColumns({f"_f_{c}": F.coalesce(F.col(c).cast("double"), F.lit(float(means[c]))) for c in columns} | dummies)
+
+    fitted, target = start(train), start(rows)
+    for _ in range(rounds):
+        for c in todo:
+            inputs = [f"_f_{o}" for o in columns if o != c] + list(dummies)
+            va = VectorAssembler(inputCols=inputs, outputCol="_x")
+            m = LinearRegression(featuresCol="_x", labelCol=c, regParam=reg, elasticNetParam=0.0).fit(va.transform(fitted.where(F.col(c).isNotNull())))
+            guess = F.lit(float(m.intercept))
+            for name, b in zip(inputs, m.coefficients):
+                guess = guess + F.lit(float(b)) * F.col(name)
+            fill = F.coalesce(F.col(c).cast("double"), guess)
+            fitted, target = fitted.withColumn(f"_f_{c}", fill), target.withColumn(f"_f_{c}", fill)
+    out = {c: F.bround(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(f"_f_{c}")))) if c in binary else F.col(f"_f_{c}") for c in columns}
+    return target.withColumns(out).drop(*[f"_f_{c}" for c in columns], *dummies)
+
+
+def standardise(train: DataFrame, rows: DataFrame, columns: list[str]) -> DataFrame:
+    """(x - training mean) / training population std, both read as one aggregate row."""
+    s = train.agg(*[F.avg(c).alias(f"m_{c}") for c in columns], *[F.stddev_pop(c).alias(f"s_{c}") for c in columns]).first()
+    return rows.withColumns({c: (F.col(c) - F.lit(s[f"m_{c}"])) / F.lit(s[f"s_{c}"] or 1.0) for c in columns})

@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from nightjar.functions import kernels
@@ -163,6 +164,12 @@ def _oxygen_power(x: np.ndarray, band: tuple[float, float]) -> tuple[float, floa
     return float(psd[inside].sum() * df), float(psd.sum() * df)
 
 
+def _own_epochs(pdf: pd.DataFrame, own: np.ndarray, y: np.ndarray) -> pd.DataFrame:
+    """The chunk's own epochs with their new samples; a chunk of halo rows only gives no row."""
+    out = pdf.loc[own, ["subject_id", "channel", "epoch_idx"]].reset_index(drop=True)
+    return out.assign(samples=pd.Series(list(y[own]), dtype=object))
+
+
 # ---- filters on chunks ------------------------------------------------------------------------
 
 def filtered_chunks(chunks: DataFrame, fs: float, lo: float, hi: float,
@@ -182,10 +189,9 @@ def filtered_chunks(chunks: DataFrame, fs: float, lo: float, hi: float,
         x = np.concatenate([np.asarray(s, dtype=float) for s in pdf["samples"]])
         y = kernels.zero_phase_bandpass(x, fs, lo, hi).reshape(len(pdf), per)
         own = pdf["_own"].to_numpy()
-        return pd.DataFrame({"subject_id": pdf["subject_id"][own], "channel": pdf["channel"][own],
-                             "epoch_idx": pdf["epoch_idx"][own], "samples": list(y[own])})
+        return _own_epochs(pdf, own, y)
 
-    schema = d.select("subject_id", "channel", "epoch_idx").schema.add("samples", "array<double>")
+    schema = d.select("subject_id", "channel", "epoch_idx").schema.add("samples", T.ArrayType(T.DoubleType()))
     return d.groupBy("subject_id", "channel", "_chunk").applyInPandas(run, schema)
 
 
@@ -256,10 +262,9 @@ def resample_chunks(chunks: DataFrame, fs: int, up: int, down: int,
         x = np.concatenate([np.asarray(s, dtype=float) for s in pdf["samples"]])
         y = kernels.resample(np.where(np.isfinite(x), x, 0.0), up, down).reshape(len(pdf), out_per)
         own = pdf["_own"].to_numpy()
-        return pd.DataFrame({"subject_id": pdf["subject_id"][own], "channel": pdf["channel"][own],
-                             "epoch_idx": pdf["epoch_idx"][own], "samples": list(y[own])})
+        return _own_epochs(pdf, own, y)
 
-    schema = d.select("subject_id", "channel", "epoch_idx").schema.add("samples", "array<double>")
+    schema = d.select("subject_id", "channel", "epoch_idx").schema.add("samples", T.ArrayType(T.DoubleType()))
     return d.groupBy("subject_id", "channel", "_chunk").applyInPandas(run, schema)
 
 
