@@ -31,13 +31,13 @@ def feature_ablation(spark, sf) -> DataFrame:
 @query()
 def boosted_predictions(spark, sf) -> DataFrame:
     d = feature_rows(spark, sf).select("subject_id", "epoch_idx", "sleep_stage", "apnoea_label", "hr_mean_lag1", "hr_mean_roll5_std", "spo2_min_lead1")
-    return rounded(P.fit_and_score(d, ["hr_mean_lag1", "hr_mean_roll5_std", "spo2_min_lead1"], "boosted", max_iter=3, max_depth=3))
+    return rounded(P.fit_and_score(P.prepare(d), ["hr_mean_lag1", "hr_mean_roll5_std", "spo2_min_lead1"], "boosted", max_iter=3, max_depth=3))
 
 
 @query()
 def stage_as_feature(spark, sf) -> DataFrame:
     d = feature_rows(spark, sf)
-    return rounded(P.fit_and_score(d, ["hr_mean_lag1"], "logistic", sleep_only=False, categorical=["sleep_stage"]))
+    return rounded(P.fit_and_score(P.prepare(d, sleep_only=False), ["hr_mean_lag1"], "logistic", categorical=["sleep_stage"]))
 
 
 @query()

@@ -14,31 +14,35 @@ from nightjar.operators.splits import group_split
 from nightjar.session import cut_lineage
 
 
-def fit_and_score(rows: DataFrame, columns: list[str], family: str, seed: int = 42, sleep_only: bool = True,
-                  categorical: list[str] | None = None, **options) -> DataFrame:
-    """Test predictions of one model: grouped split, weighted fit with the validation subjects held
-    out for early stopping and for the F1 threshold."""
+def prepare(rows: DataFrame, seed: int = 42, sleep_only: bool = True) -> DataFrame:
+    """Rows with their split part, written once for all fits of an analysis."""
     d = rows.where(is_sleep("sleep_stage")) if sleep_only else rows
-    d = cut_lineage(d.join(group_split(d, seed=seed), "subject_id"))
-    fit_rows = d.where("part <> 'test'").withColumn("is_val", F.col("part") == "val")
+    return cut_lineage(d.join(group_split(d, seed=seed), "subject_id"))
+
+
+def fit_and_score(prepared: DataFrame, columns: list[str], family: str, categorical: list[str] | None = None,
+                  **options) -> DataFrame:
+    """Test predictions of one model: weighted fit on the training subjects, validation subjects held
+    out for early stopping (boosted trees) and for the F1 threshold."""
+    fit_rows = prepared.where("part <> 'test'").withColumn("is_val", F.col("part") == "val")
     validation = "is_val" if family == "boosted" else None
     train = fit_rows if validation else fit_rows.where("NOT is_val")
     model = FT.fit_binary(train, columns, family=family, categorical=categorical, validation=validation, **options)
-    keep = ["subject_id", "epoch_idx", "apnoea_label"]
-    val = FT.predict(model, d.where("part = 'val'"), keep)
-    threshold = M.threshold_f1max(val, []).select("threshold").scalar()
-    scored = FT.predict(model, d.where("part = 'test'"), keep)
-    return scored.withColumn("pred_label", (F.col("pred_prob") > F.coalesce(threshold, F.lit(0.5))).cast("bigint"))
+    keep = ["subject_id", "epoch_idx", "apnoea_label", "part"]
+    scored = cut_lineage(FT.predict(model, prepared.where("part <> 'train'"), keep))
+    best = M.threshold_f1max(scored.where("part = 'val'"), []).select("threshold").scalar()
+    return scored.where("part = 'test'").drop("part").withColumn(
+        "pred_label", (F.col("pred_prob") > F.coalesce(best, F.lit(0.5))).cast("bigint"))
 
 
 def ablation(rows: DataFrame, modes: list[str], families: list[str], seed: int = 42, **options) -> DataFrame:
     """Same split, every feature mode by every family: one comparison row each."""
-    rows = cut_lineage(rows)
+    prepared = prepare(rows, seed)
     scored = []
     for mode in modes:
         columns = feature_subset(feature_columns(rows.columns), mode)
         for family in families:
-            run = fit_and_score(rows, columns, family, seed, **options)
+            run = fit_and_score(prepared, columns, family, **options)
             scored.append(run.withColumn("run", F.lit(f"{mode}/{family}")).withColumn("n_features", F.lit(len(columns))))
     allp = cut_lineage(union_all(scored))
     auc = M.discrimination(allp, ["run", "n_features"]).select("run", "n_features", "auc", "average_precision")
