@@ -41,12 +41,18 @@ def discover_runs(spark: SparkSession, root: str, file_name: str, pattern: str =
         "config <> ''").select("config", F.col("_s").cast("int").alias("seed"), "path")
 
 
+def strict_json(doc: str) -> Column:
+    """JSON text with the non-standard NaN and Infinity tokens turned into null."""
+    return F.regexp_replace(doc, r":\s*-?(NaN|Infinity)\b", ": null")
+
+
 def read_metrics(spark: SparkSession, root: str, file_name: str) -> DataFrame:
     """Every ``file_name`` under the root as (run_id, date, one JSON text); underscored folders are skipped."""
     d = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", file_name).option("wholetext", "true").text(root)
     base = root.rstrip("/").split(":", 1)[-1]
     run = F.regexp_extract(F.col("_metadata.file_path"), base + r"/(.*)/[^/]+$", 1)
-    return d.select(run.alias("run_id"), F.date_format("_metadata.file_modification_time", "yyyy-MM-dd").alias("date"), F.col("value").alias("doc")).where(
+    return d.select(run.alias("run_id"), F.date_format("_metadata.file_modification_time", "yyyy-MM-dd").alias("date"),
+                    strict_json("value").alias("doc")).where(
         ~F.col("run_id").rlike("(^|/)_"))
 
 
@@ -65,7 +71,7 @@ def registry(basic: DataFrame, extended: DataFrame) -> DataFrame:
     d = b.join(e, "run_id", "full_outer")
 
     def key(k: str, doc: str) -> Column:
-        return F.nullif(F.get_json_object(doc, f"$.{k}"), F.lit("NaN"))
+        return F.get_json_object(doc, f"$.{k}")
 
     def value(new: str, old: str) -> Column:
         return F.coalesce(key(new, "_e"), key(new, "_b"), key(old, "_e"), key(old, "_b"))

@@ -62,8 +62,8 @@ def _decode(path: str, content: bytes) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({
             "path": path, "channel_index": i, "label": h["label"][i], "unit": h["unit"][i], "fs": fs, "record_sec": h["record_sec"],
             "gain": (h["pmax"][i] - h["pmin"][i]) / (h["dmax"][i] - h["dmin"][i]), "dmin": h["dmin"][i], "dmax": h["dmax"][i],
-            "pmin": h["pmin"][i], "epoch_idx": np.arange(n, dtype=np.int32), "samples": list(x[:n * per].reshape(n, per) if n else []),
-            "note": h["note"], "error": None})
+            "pmin": h["pmin"][i], "epoch_idx": np.arange(n, dtype=np.int32), "samples": pd.Series(list(x[:n * per].reshape(n, per)) if n else [], dtype=object),
+            "note": h["note"], "error": pd.Series([None] * n, dtype=object)})
 
 
 def read_recordings(spark: SparkSession, path: str, subject: str = r"(\d{6})") -> DataFrame:
@@ -86,8 +86,8 @@ def read_recordings(spark: SparkSession, path: str, subject: str = r"(\d{6})") -
                     for part in _decode(path, bytes(content)):
                         yield part.assign(subject_id=sid).reindex(columns=names)
                 except Exception as exc:  # noqa: BLE001 - one bad file must not stop the cohort
-                    yield pd.DataFrame([{"path": path, "subject_id": sid, "error": f"{type(exc).__name__}: {exc}"}]).reindex(columns=names).astype(
-                        {"channel_index": "Int32", "dmin": "Int32", "dmax": "Int32", "epoch_idx": "Int32"})
+                    row = dict.fromkeys(names) | {"path": path, "subject_id": sid, "error": f"{type(exc).__name__}: {exc}"}
+                    yield pd.DataFrame([row], dtype=object)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.edf").load(path).select("path", "content")
     return files.mapInPandas(decode, CHUNK_SCHEMA)
