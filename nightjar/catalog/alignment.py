@@ -191,17 +191,25 @@ def flag_drift(spark, sf) -> DataFrame:
     return flag_drift(latest(e, ["subject_id"], ["ts", "event_id"]), "recorded", flags).select("subject_id", "event_id", "recorded", "recomputed")
 
 
-@query("""
-    select detector, count(*) as n, count(*) filter (value < 5) as n_failed, coalesce(string_agg(subject_id::varchar, ',' order by subject_id) filter (value < 2), '') as failed
-    from (select user_id as subject_id, event_type as detector, value, row_number() over (partition by user_id order by ts desc, event_id desc) as rn from events) where rn = 1 group by 1""")
-def frontend_quality(spark, sf) -> DataFrame:
+LAST = "select user_id as subject_id, event_type as detector, value, row_number() over (partition by user_id order by ts desc, event_id desc) as rn from events"
+
+
+def _last_attempts(spark, sf) -> DataFrame:
     from nightjar.operators.quality import latest
 
     e = V.table(spark, sf, "events").select(F.col("user_id").alias("subject_id"), F.col("event_type").alias("detector"), "value", "ts", "event_id")
-    last = latest(e, ["subject_id"], ["ts", "event_id"])
-    return last.groupBy("detector").agg(
-        F.count("*").alias("n"), F.count_if(F.col("value") < 5).alias("n_failed"),
-        F.array_join(F.sort_array(F.collect_list(F.when(F.col("value") < 2, F.col("subject_id")))), ",").alias("failed"))
+    return latest(e, ["subject_id"], ["ts", "event_id"])
+
+
+@query(f"select detector, count(*) as n, count(*) filter (value < 5) as n_failed from ({LAST}) where rn = 1 group by 1")
+def frontend_quality(spark, sf) -> DataFrame:
+    return _last_attempts(spark, sf).groupBy("detector").agg(F.count("*").alias("n"), F.count_if(F.col("value") < 5).alias("n_failed"))
+
+
+@query(f"select subject_id, detector, case when value < 2 then 'too_few_peaks' else 'flat_signal' end as reason from ({LAST}) where rn = 1 and value < 5")
+def frontend_failures(spark, sf) -> DataFrame:
+    reason = F.when(F.col("value") < 2, "too_few_peaks").otherwise("flat_signal")
+    return _last_attempts(spark, sf).where("value < 5").select("subject_id", "detector", reason.alias("reason"))
 
 
 # ---- column sets -------------------------------------------------------------------------------

@@ -114,6 +114,25 @@ def linear_resampled_runs(spark, sf) -> DataFrame:
     return rounded(H.interpolate_runs(H.beat_segments(beat_train(spark, sf)), 4, "linear"))
 
 
+GRID4 = """
+    select subject_id, tick, not (coalesce(sn = segment, false) or tick / 4.0::double = t) as gap
+    from (select *, unnest(generate_series(ceil(t * 4)::bigint, case when tn is null then floor(t * 4)::bigint else ceil(tn * 4)::bigint - 1 end)) as tick
+          from (select *, lead(t) over w as tn, lead(segment) over w as sn from seg window w as (partition by subject_id order by beat)))"""
+
+
+@query(with_views("""
+    select k.subject_id, n_peaks, n_gaps, rr_clip_frac, rr_gap_frac, hr_median_bpm, ok from (select subject_id, count(*) as n_peaks from knots group by 1) k
+    join (select subject_id, sum((rr > 3)::int)::bigint as n_gaps, round(avg((rr < 0.3 or rr > 2)::int) filter (rr <= 3), 6) as rr_clip_frac,
+                 round(60 / quantile_cont(greatest(0.3, least(2.0, rr)), 0.5) filter (rr <= 3), 6) as hr_median_bpm, count(*) filter (rr <= 3) >= 10 as ok
+          from (select subject_id, t - prev as rr from seg where prev is not null) group by 1) using (subject_id)
+    join (select subject_id, round(avg(gap::int), 6) as rr_gap_frac from grid4 group by 1) using (subject_id)""", "v_epochs", knots=KNOTS, seg=SEG, grid4=GRID4))
+def front_end_quality(spark, sf) -> DataFrame:
+    from nightjar.plans.extraction import front_end_quality as quality
+
+    b = H.beat_segments(beat_train(spark, sf))
+    return rounded(quality(b, H.interpolate_runs(b, 4, "linear")))
+
+
 @query()
 def smooth_resampled_runs(spark, sf) -> DataFrame:
     return rounded(H.interpolate_runs(H.beat_segments(beat_train(spark, sf)), 4, "pchip"))

@@ -78,3 +78,10 @@ def median_fill_and_scale(spark, sf) -> DataFrame:
     m = grouped_quantiles(c, ["_g"], "acctbal", {"m": 0.5}).select("m").scalar()
     filled = c.select("subject_id", F.coalesce("acctbal", m).alias("acctbal"))
     return rounded(FT.standardise(filled, filled, ["acctbal"]))
+
+
+@query()
+def important_features(spark, sf) -> DataFrame:
+    d = feature_rows(spark, sf).select("subject_id", "epoch_idx", "apnoea_label", "hr_mean_lag1", "hr_mean_roll5_mean", "hr_mean_roll5_std", "hr_mean_roll11_std")
+    cols = ["hr_mean_lag1", "hr_mean_roll5_mean", "hr_mean_roll5_std", "hr_mean_roll11_std"]
+    return rounded(FT.top_features(FT.fit_binary(d, cols, family="forest", trees=5), cols, spark, 3))

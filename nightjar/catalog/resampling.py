@@ -235,3 +235,25 @@ def delong(spark, sf) -> DataFrame:
 def extended_metric_record(spark, sf) -> DataFrame:
     meta = V.table(spark, sf, "customer").select(F.concat(F.lit("shhs1-"), F.col("c_custkey")).alias("subject_id"), (F.col("c_acctbal") / 200).alias("ahi_a0h3a"))
     return rounded(P.extended_metrics(V.predictions(spark, sf, "a"), meta, N_BOOT).drop("metric_notes"))
+
+
+@query(with_views("""
+    select run, round(auc, 6) as auc_roc, round(lo, 6) as auc_roc_ci_low, round(hi, 6) as auc_roc_ci_high, n_test_epochs, n_test_subjects from m
+    join (select run, quantile_cont(auc, 0.025) as lo, quantile_cont(auc, 0.975) as hi from boots group by 1) using (run)
+    join (select run, count(*) as n_test_epochs, count(distinct subject_id) as n_test_subjects from runs group by 1) using (run)""",
+                  "v_pred_a", "v_pred_b", runs=RUNS, idx=IDX, weights=WEIGHTS, boots=wauc("runs", "run"), m=auc_sql("runs", "run")))
+def run_evaluation(spark, sf) -> DataFrame:
+    d = P.extended_metrics(both_runs(spark, sf), None, N_BOOT, by=["run"])
+    return rounded(d.select("run", "auc_roc", "auc_roc_ci_low", "auc_roc_ci_high", "n_test_epochs", "n_test_subjects"))
+
+
+@query(with_views("""
+    select 'stage' as cut, x.k as cell, round(avg(x.auc - y.auc), 6) as delta_boot_mean, round(quantile_cont(x.auc - y.auc, 0.025), 6) as delta_ci_low,
+           round(quantile_cont(x.auc - y.auc, 0.975), 6) as delta_ci_high, round(least(1, 2 * least(avg((x.auc - y.auc <= 0)::int), avg((x.auc - y.auc >= 0)::int))), 6) as p_two_sided
+    from ba x join bb y using (k, replicate) group by x.k""", "v_epochs", "v_pred_a", "v_pred_b", idx=IDX, weights=WEIGHTS, ca="""
+    select p.*, sleep_stage as k from v_pred_a p join v_epochs e on e.subject_id = p.subject_id and e.epoch_idx = p.epoch_idx""", cb="""
+    select p.*, sleep_stage as k from v_pred_b p join v_epochs e on e.subject_id = p.subject_id and e.epoch_idx = p.epoch_idx""", ba=wauc("ca", "k"), bb=wauc("cb", "k")))
+def stage_cell_deltas(spark, sf) -> DataFrame:
+    e = V.epochs(spark, sf).select(F.col("subject_id").cast("int").alias("subject_id"), "epoch_idx", F.col("sleep_stage").alias("cell"))
+    d = both_runs(spark, sf).join(e, ["subject_id", "epoch_idx"]).withColumn("cut", F.lit("stage"))
+    return rounded(P.anatomy_deltas(d, "a", "b", N_BOOT).select("cut", "cell", "delta_boot_mean", "delta_ci_low", "delta_ci_high", "p_two_sided"))

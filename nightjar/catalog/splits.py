@@ -61,7 +61,7 @@ def balanced_class_weights(spark, sf) -> DataFrame:
 @query(with_views("""
     select part, count(*) as n, sha256(string_agg(subject_id::varchar, ',' order by subject_id)) as sha256 from split group by 1""", ids=IDS, split=SPLIT))
 def split_record(spark, sf) -> DataFrame:
-    return S.split_record(S.group_split(ids(spark, sf)))
+    return S.split_record(S.group_split(ids(spark, sf))).select("part", "n", "sha256")
 
 
 @query(with_views(f"""

@@ -204,6 +204,13 @@ def risk_quintile_calibration(spark, sf) -> DataFrame:
     return rounded(S.calibration_quintiles(_quintile_src(spark, sf), ["stratum"], H))
 
 
+@query(with_views("""
+    select stratum, n, pred, obs_km, round(o / p, 6) as oe from (select stratum, count(*) as n, round(avg(sc), 6) as pred, avg(sc) as p from (select stratum, round(1 - """ + SURV_P + """, 6) as sc from v_surv) group by 1)
+    join (select stratum, round(1 - arg_max(s, time) filter (time <= 800), 6) as obs_km, 1 - arg_max(s, time) filter (time <= 800) as o from km group by 1) using (stratum)""", "v_surv", risk=RISK, km=KM))
+def stratum_calibration(spark, sf) -> DataFrame:
+    return rounded(S.calibration_by_stratum(_quintile_src(spark, sf), ["stratum"], H))
+
+
 @query(with_views("""
     select stratum, round(s10, 6) as null_survival from (select stratum, arg_max(s, time) filter (time <= 800) as s10 from km group by 1)""", "v_surv", risk=RISK, km=KM))
 def null_model(spark, sf) -> DataFrame:

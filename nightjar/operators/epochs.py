@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from nightjar.functions.expressions import EPOCH_SECONDS, event_bit, is_sleep
 from nightjar.operators.chunks import CHUNK_EPOCHS, chunk_window, islands, own_rows, with_halo
@@ -108,23 +109,30 @@ def event_seconds(events: DataFrame, nights: DataFrame) -> DataFrame:
     )
 
 
-def night_summary(epochs: DataFrame, burden: str | None = None) -> DataFrame:
+def night_summary(epochs: DataFrame, burden: str | None = None, size: int = CHUNK_EPOCHS) -> DataFrame:
     """Per subject: time in bed, sleep time, efficiency, wake after onset, events per hour of sleep.
 
-    The first sleep epoch comes from an aggregate joined back, so no subject is ordered in one task.
+    One shuffle on (subject, chunk of epochs): each chunk counts its wake epochs in all and after its
+    own first sleep epoch. Only the chunk rows are then ordered per subject: later chunks count in
+    full, the onset chunk from its first sleep on, earlier ones not at all.
     """
     half_minute = EPOCH_SECONDS / 60.0
-    onset = epochs.where(is_sleep("sleep_stage")).groupBy("subject_id").agg(F.min("epoch_idx").alias("_onset"))
-    asleep = is_sleep("sleep_stage")
+    asleep, wake = is_sleep("sleep_stage"), F.col("sleep_stage") == "W"
+    d = epochs.withColumn("_chunk", F.floor(F.col("epoch_idx") / size))
+    first = F.min(F.when(asleep, F.col("epoch_idx"))).over(Window.partitionBy("subject_id", "_chunk"))
     aggs = [
-        F.count("*").alias("n_epochs"),
-        F.sum(asleep.cast("int")).alias("_sleep"),
-        F.sum(F.when((F.col("sleep_stage") == "W") & (F.col("epoch_idx") >= F.col("_onset")), 1).otherwise(0)).alias("_waso"),
+        F.count("*").alias("n_epochs"), F.sum(asleep.cast("int")).alias("_sleep"), F.sum(wake.cast("int")).alias("_wake"),
+        F.sum((wake & (F.col("epoch_idx") > F.col("_first"))).cast("int")).alias("_wake_after"), F.max("_first").alias("_first"),
         F.sum(F.when(asleep & (F.col("apnoea_label") == 1), 1).otherwise(0)).alias("n_apnoea_epochs"),
+        F.sum(F.col(burden) if burden else F.lit(0.0)).alias("_burden"),
     ]
-    if burden:
-        aggs.append(F.sum(burden).alias("_burden"))
-    g = epochs.join(onset, "subject_id", "left").groupBy("subject_id").agg(*aggs)
+    chunks = d.withColumn("_first", first).groupBy("subject_id", "_chunk").agg(*aggs)
+    onset = F.min(F.when(F.col("_first").isNotNull(), F.col("_chunk"))).over(Window.partitionBy("subject_id"))
+    chunks = chunks.withColumn("_onset", onset)
+    waso = F.when(F.col("_chunk") > F.col("_onset"), F.col("_wake")).when(F.col("_chunk") == F.col("_onset"), F.col("_wake_after")).otherwise(0)
+    g = chunks.groupBy("subject_id").agg(
+        F.sum("n_epochs").alias("n_epochs"), F.sum("_sleep").alias("_sleep"), F.sum(waso).alias("_waso"),
+        F.sum("n_apnoea_epochs").alias("n_apnoea_epochs"), F.sum("_burden").alias("_burden"))
     tst = F.col("_sleep") * half_minute
     hours = F.when(tst > 0, tst / 60.0)
     out = [

@@ -201,3 +201,10 @@ def standardise(train: DataFrame, rows: DataFrame, columns: list[str]) -> DataFr
     """(x - training mean) / training population std, both read as one aggregate row."""
     s = train.agg(*[F.avg(c).alias(f"m_{c}") for c in columns], *[F.stddev_pop(c).alias(f"s_{c}") for c in columns]).first()
     return rows.withColumns({c: (F.col(c) - F.lit(s[f"m_{c}"])) / F.lit(s[f"s_{c}"] or 1.0) for c in columns})
+
+
+def top_features(model, columns: list[str], spark, n: int = 40) -> DataFrame:
+    """The n most important columns of a fitted tree pipeline, ties in column order."""
+    scores = model.stages[-1].featureImportances.toArray()
+    rows = spark.createDataFrame([(i, c, float(v)) for i, (c, v) in enumerate(zip(columns, scores))], "position int, feature string, importance double")
+    return rows.orderBy(F.desc("importance"), "position").limit(n).select("feature", "importance")

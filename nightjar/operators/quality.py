@@ -72,3 +72,12 @@ def manifest_verify(files: DataFrame, expected: DataFrame) -> DataFrame:
     state = F.when(F.col("sha256").isNull(), "missing").when(F.col("want").isNull(), "unexpected").when(
         F.col("sha256") != F.col("want"), "changed")
     return d.withColumn("state", state).where("state IS NOT NULL").select("path", "state")
+
+
+def repeatability(stored: DataFrame, recompute, n: int, columns: list[str], seed: int = 42) -> DataFrame:
+    """Recompute n sampled subjects with ``recompute(ids) -> DataFrame`` and diff them with the stored rows."""
+    from nightjar.operators.align import KEY, frame_diff
+    from nightjar.operators.splits import sample_subjects
+
+    ids = sample_subjects(stored, n, seed)
+    return frame_diff(stored.join(ids, "subject_id", "left_semi"), recompute(ids), KEY, columns)

@@ -113,7 +113,7 @@ def _bucket_parts(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
     subjects = np.unique(w["subject_id"].to_numpy())
     if a.empty or not len(reps) or not len(subjects):
         return pd.DataFrame({"replicate": np.array([], dtype=np.int32), "u": [], "ap": []})
-    W = np.zeros((subjects.size, reps.size))
+    W = np.zeros((subjects.size, reps.size), dtype=np.int16)
     W[np.searchsorted(subjects, w["subject_id"]), np.searchsorted(reps, w["replicate"])] = w["w"]
     a = a[a["subject_id"].isin(subjects)].sort_values("score", ascending=False)
     if a.empty:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from nightjar.functions.expressions import hash_draw
 from nightjar.operators.running import running_totals
+from nightjar.session import cut_lineage
 
 
 def hash_rank(ids: DataFrame, by: list[str], key: str, *parts: Column | str) -> DataFrame:
@@ -15,8 +17,6 @@ def hash_rank(ids: DataFrame, by: list[str], key: str, *parts: Column | str) ->
     # equal draws are numbered inside their own tiny group, whole groups by running totals
     counts = draws.groupBy(*by, "_draw").agg(F.count("*").alias("_n"))
     first = running_totals(counts, by, "_draw", ["_n"]).select(*by, "_draw", "_n_before", "_n_total")
-    from pyspark.sql.window import Window
-
     tie = F.row_number().over(Window.partitionBy(*by, "_draw").orderBy(key)) - 1
     return draws.withColumn("_tie", tie).join(first, [*by, "_draw"]).select(
         *ids.columns, (F.col("_n_before") + F.col("_tie")).alias("_rank"), F.col("_n_total").alias("_size"))
@@ -78,10 +78,16 @@ def class_balance(rows: DataFrame, by: list[str], label: str) -> DataFrame:
 
 
 def balanced_weights(rows: DataFrame, label: str) -> DataFrame:
-    """Row weight n / (classes * class count), attached through an aggregate join."""
+    """Row weight n / (classes * class count).
+
+    The few class counts come back as one map in a scalar subquery, so the rows are not shuffled on
+    their class.
+    """
     c = rows.groupBy(label).agg(F.count("*").alias("_n"))
-    total = c.agg((F.sum("_n") / F.count("*"))).scalar()
-    return rows.join(c.select(label, (total / F.col("_n")).alias("weight")), label)
+    entries = F.collect_list(F.struct(F.col(label), F.col("_n")))
+    table = c.agg(F.struct(F.map_from_entries(entries).alias("n"), (F.sum("_n") / F.count("*")).alias("even")).alias("t")).scalar()
+    return rows.withColumn("_t", table).withColumn(
+        "weight", F.col("_t.even") / F.element_at(F.col("_t.n"), F.col(label))).drop("_t")
 
 
 def split_report(rows: DataFrame, split: DataFrame, label: str) -> DataFrame:
@@ -123,21 +129,32 @@ def ids_fingerprint(ids: DataFrame, by: list[str]) -> DataFrame:
     return d.groupBy(*by).agg(F.count("*").alias("n"), F.bit_xor("_h").alias("xor_hash"), F.sum("_h").alias("sum_hash"))
 
 
+MAX_HASHED_IDS = 1_000_000
+
+
 def ids_sha256(ids: DataFrame, by: list[str]) -> DataFrame:
     """sha256 of the sorted comma-joined ids of each part, for frozen split records.
 
-    The text of one part is gathered, so this is for cohort id lists; tables use ``ids_fingerprint``.
+    The text of a part has to be put together in one place, so it is made only for parts of at most
+    ``MAX_HASHED_IDS`` ids (a few MB); a larger part gets NULL and is compared by ``ids_fingerprint``.
     """
-    g = ids.select(*by, "subject_id").distinct().groupBy(*by).agg(F.sort_array(F.collect_list("subject_id")).alias("_l"))
-    return g.select(*by, F.size("_l").cast("bigint").alias("n"), F.sha2(F.array_join("_l", ","), 256).alias("sha256"))
+    d = cut_lineage(ids.select(*by, "subject_id").distinct())
+    sizes = d.groupBy(*by).agg(F.count("*").alias("n"))
+    small = d.join(sizes.where(F.col("n") <= MAX_HASHED_IDS).select(*by), by, "left_semi")
+    text = F.array_join(F.sort_array(F.collect_list("subject_id")), ",")
+    return sizes.join(small.groupBy(*by).agg(F.sha2(text, 256).alias("sha256")), by, "left")
 
 
 def split_record(split: DataFrame) -> DataFrame:
-    """Counts and content hash per part: the row set that is frozen and compared."""
-    return ids_sha256(split, ["part"])
+    """Counts and content hashes per part: the row set that is frozen and compared."""
+    return ids_sha256(split, ["part"]).join(ids_fingerprint(split, ["part"]).drop("n"), "part")
 
 
 def split_changes(current: DataFrame, frozen: DataFrame) -> DataFrame:
     """Parts whose count or hash differ from the frozen record; empty when the split is unchanged."""
-    f = frozen.select("part", F.col("n").alias("frozen_n"), F.col("sha256").alias("frozen_sha256"))
-    return current.join(f, "part", "full_outer").where(~F.col("sha256").eqNullSafe(F.col("frozen_sha256")))
+    marks = ["n", "sha256", "xor_hash", "sum_hash"]
+    f = frozen.select("part", *[F.col(m).alias(f"frozen_{m}") for m in marks])
+    same = F.lit(True)
+    for m in marks:
+        same = same & F.col(m).eqNullSafe(F.col(f"frozen_{m}"))
+    return current.join(f, "part", "full_outer").where(~same)

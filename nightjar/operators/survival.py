@@ -273,6 +273,13 @@ def calibration_quintiles(df: DataFrame, strata: list[str], t: float, k: int = 5
     return base.join(km, "quantile", "left").join(aj, "quantile", "left").withColumnRenamed("quantile", "quintile")
 
 
+def calibration_by_stratum(df: DataFrame, strata: list[str], t: float) -> DataFrame:
+    """Per stratum: size, mean predicted and observed (KM) risk and their ratio."""
+    base = df.groupBy(*strata).agg(F.count("*").alias("n"), F.avg("score").alias("pred"))
+    obs = km_risk(df, strata, t).select(*strata, F.col("risk").alias("obs_km"))
+    return base.join(obs, strata).withColumn("oe", F.when(F.col("pred") > 0, F.col("obs_km") / F.col("pred")))
+
+
 def metric_row(df: DataFrame, by: list[str], strata: list[str], h5: float, h10: float, surv5: str, surv10: str,
                null10: str, grid: list[float], surv_grid: list[Column], weight: str | None = None) -> DataFrame:
     """The eight test metrics of one model per ``by``."""

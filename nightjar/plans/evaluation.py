@@ -27,23 +27,25 @@ def event_indices(pred: DataFrame, epochs: DataFrame, events: DataFrame) -> Data
 
 
 def extended_metrics(pred: DataFrame, metadata: DataFrame | None, n_boot: int = 1000, seed: int = 42,
-                     min_clinical: int = 10) -> DataFrame:
-    """The full metric record of one prediction table as a single row, with notes for absent metrics.
+                     min_clinical: int = 10, by: list[str] | None = None) -> DataFrame:
+    """The full metric record, one row per prediction set, with notes for absent metrics.
 
-    ``metadata`` carries subject_id (number or prefixed text) and ahi_a0h3a.
+    ``metadata`` carries subject_id (number or prefixed text) and ahi_a0h3a; ``by`` names the sets
+    (for example the run), which share the same subject resamples.
     """
-    p = pred.withColumn("_k", F.lit(1))
-    by = ["_k"]
-    main = M.discrimination(p, by).select("_k", F.col("auc").alias("auc_roc"), F.col("average_precision").alias("auc_pr"))
+    p = pred if by else pred.withColumn("_k", F.lit(1))
+    by = by or ["_k"]
+    main = M.discrimination(p, by).select(*by, F.col("auc").alias("auc_roc"), F.col("average_precision").alias("auc_pr"))
     weights = R.boot_weights(pred.select("subject_id").distinct(), n_boot, seed)
     boots = R.replicate_discrimination(p, weights, n_boot, by)
     q = F.array(F.lit(0.025), F.lit(0.975))
-    ci = boots.groupBy("_k").agg(F.percentile("auc", q).alias("_r"), F.percentile("average_precision", q).alias("_p")).select(
-        "_k", F.col("_r")[0].alias("auc_roc_ci_low"), F.col("_r")[1].alias("auc_roc_ci_high"),
+    ci = boots.groupBy(*by).agg(F.percentile("auc", q).alias("_r"), F.percentile("average_precision", q).alias("_p")).select(
+        *by, F.col("_r")[0].alias("auc_roc_ci_low"), F.col("_r")[1].alias("auc_roc_ci_high"),
         F.col("_p")[0].alias("auc_pr_ci_low"), F.col("_p")[1].alias("auc_pr_ci_high"))
     conf = M.confusion(p, by).drop("tn", "fp", "fn", "tp")
-    cal = M.calibration_summary(M.subject_bins(p, by, M.linspace(0.0, 1.0, 11)[1:-1]), by).select("_k", "brier", "ece")
-    size = p.groupBy("_k").agg(F.count("*").alias("n_test_epochs"), F.count_distinct("subject_id").alias("n_test_subjects"))
+    cal = M.calibration_summary(M.subject_bins(p, by, M.linspace(0.0, 1.0, 11)[1:-1]), by).select(*by, "brier", "ece")
+    rates = cut_lineage(M.event_rates(p, by))  # one row per set and subject
+    size = rates.groupBy(*by).agg(F.sum("n_epochs").alias("n_test_epochs"), F.count("*").alias("n_test_subjects"))
     out = main.join(ci, by).join(conf, by).join(cal, by).join(size, by)
     clinical = ["ahi_mae", "ahi_corr", "severity_accuracy", "severity_weighted_kappa"]
     if metadata is None:
@@ -51,25 +53,40 @@ def extended_metrics(pred: DataFrame, metadata: DataFrame | None, n_boot: int =
             "n_subjects_with_nsrr_ahi", F.lit(None).cast("bigint"))
     else:
         meta = metadata.select(subject_number("subject_id").alias("subject_id"), F.col("ahi_a0h3a").cast("double").alias("ref")).where("ref IS NOT NULL")
-        s = M.event_rates(p, by).join(meta, "subject_id")
+        s = rates.join(meta, "subject_id")
         tp, tr = severity_tier("ahi_proxy_pred"), severity_tier("ref")
-        kappa = M.quadratic_kappa(s.groupBy("_k", tr.alias("a"), tp.alias("b")).agg(F.count("*").alias("n")), by, "a", "b")
-        c = s.groupBy("_k").agg(
+        kappa = M.quadratic_kappa(s.groupBy(*by, tr.alias("a"), tp.alias("b")).agg(F.count("*").alias("n")), by, "a", "b")
+        c = s.groupBy(*by).agg(
             F.count("*").alias("n_subjects_with_nsrr_ahi"), F.avg(F.abs(F.col("ahi_proxy_pred") - F.col("ref"))).alias("ahi_mae"),
             F.corr("ahi_proxy_pred", "ref").alias("ahi_corr"), F.avg((tp == tr).cast("double")).alias("severity_accuracy")).join(
             kappa.withColumnRenamed("kappa", "severity_weighted_kappa"), by)
         out = out.join(c, by, "left").fillna(0, ["n_subjects_with_nsrr_ahi"])
         enough = F.col("n_subjects_with_nsrr_ahi") >= min_clinical
         out = out.withColumns({k: F.when(enough, F.col(k)) for k in clinical})
+    empty = F.create_map().cast("map<string,string>")
     notes = F.map_concat(
         F.create_map(F.lit("calibration"), F.lit("Brier and ECE on raw model output")),
         F.when(F.col("ahi_mae").isNull(), F.create_map(F.lit("clinical"), F.lit("too few subjects with a reference index")))
         .otherwise(F.create_map(F.lit("ahi_mae"), F.lit("epoch-overlap proxy, counts every epoch of a long event"))),
-        F.when(F.col("balanced_accuracy").isNull(), F.create_map(F.lit("balanced_accuracy"), F.lit("a class is absent")))
-        .otherwise(F.create_map().cast("map<string,string>")))
+        F.when(F.col("balanced_accuracy").isNull(), F.create_map(F.lit("balanced_accuracy"), F.lit("a class is absent"))).otherwise(empty))
     return out.withColumn("metric_notes", notes).drop("_k")
 
 
+def anatomy_deltas(cells: DataFrame, a: str, b: str, n_boot: int, seed: int = 42) -> DataFrame:
+    """Paired AUC difference of two runs inside every (cut, cell) on shared subject resamples.
+
+    ``cells`` is in long form: (cut, cell, run) plus the prediction columns. Resamples that leave a
+    cell with a single class are dropped, cells without 20 rows of each class are not tested.
+    """
+    by = ["cut", "cell"]
+    d = cut_lineage(cells.where(F.col("run").isin(a, b)))
+    size = d.where(F.col("run") == a).groupBy(*by).agg(F.count("*").alias("n"), F.sum(F.col("apnoea_label").cast("bigint")).alias("n_pos"))
+    tested = d.join(size.where((F.col("n_pos") >= 20) & (F.col("n_pos") <= F.col("n") - 20)).select(*by), by, "left_semi")
+    weights = R.boot_weights(cells.select("subject_id").distinct(), n_boot, seed)
+    boots = cut_lineage(R.replicate_discrimination(tested, weights, n_boot, [*by, "run"]))
+    return R.paired_delta(boots.where(F.col("run") == a), boots.where(F.col("run") == b), by, convention="capped")
+
+
 def compare_runs(runs: DataFrame, pairs: list[tuple[str, str]], n_boot: int, seed: int = 42,
                  convention: str = "uncapped") -> DataFrame:
     """Paired bootstrap of the AUC for each (a, b) pair of run names on shared resamples.

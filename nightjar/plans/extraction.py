@@ -122,3 +122,27 @@ def derive_channels(channels: DataFrame, rates: dict[str, int]) -> DataFrame:
         parts.append(s.select("subject_id", F.lit("SPO2").alias("channel"), F.col("tick").cast("bigint").alias("tick"), F.col("spo2_4hz").alias("value")))
     d = union_all([p.withColumn("tick", F.col("tick").cast("bigint")) for p in parts])
     return d.withColumn("value", F.coalesce(F.nanvl("value", F.lit(0.0)), F.lit(0.0)))
+
+
+def front_end_quality(beats: DataFrame, grid: DataFrame, corrected: DataFrame | None = None) -> DataFrame:
+    """Per subject: beats, gaps, clipped intervals, gap share of the 4 Hz grid, median rate, corrected values.
+
+    ``beats`` carries (subject_id, beat, t) with contiguous numbers, ``grid`` (subject_id, tick, gap),
+    ``corrected`` (subject_id, was_corrected).
+    """
+    from nightjar.operators.running import grouped_quantiles
+
+    rr = H.rr_intervals(beats).select("subject_id", (F.col("rr") / 1000).alias("rr"))
+    is_gap = F.col("rr") > H.GAP_SECONDS
+    clean = F.when(~is_gap, F.greatest(F.lit(0.3), F.least(F.lit(2.0), F.col("rr"))))
+    clipped = F.when(~is_gap, ((F.col("rr") < 0.3) | (F.col("rr") > 2.0)).cast("double"))
+    n = beats.groupBy("subject_id").agg(F.count("*").alias("n_peaks"))
+    a = rr.groupBy("subject_id").agg(F.sum(is_gap.cast("int")).alias("n_gaps"), F.avg(clipped).alias("rr_clip_frac"))
+    med = grouped_quantiles(rr.withColumn("c", clean), ["subject_id"], "c", {"m": 0.5})
+    g = grid.groupBy("subject_id").agg(F.avg(F.col("gap").cast("double")).alias("rr_gap_frac"))
+    out = n.join(a, "subject_id", "left").join(med, "subject_id", "left").join(g, "subject_id", "left").select(
+        "subject_id", "n_peaks", "n_gaps", "rr_clip_frac", "rr_gap_frac", (F.lit(60.0) / F.col("m")).alias("hr_median_bpm"),
+        (F.coalesce("n_values", F.lit(0)) >= 10).alias("ok"))
+    if corrected is None:
+        return out
+    return out.join(corrected.groupBy("subject_id").agg(F.avg(F.col("was_corrected").cast("double")).alias("edr_corrected_frac")), "subject_id", "left")

@@ -38,6 +38,19 @@ def read_epochs(spark: SparkSession, path: str, version: str | None = None, colu
         F.col(c).cast(narrow.get(c, "float" if types[c] == "double" else types[c])).alias(c) for c in keep])
 
 
+def load_rows(spark: SparkSession, path: str, version: str, columns: list[str], subjects: DataFrame | None = None,
+              margin: int | None = 60) -> DataFrame:
+    """Chosen rows and columns in one plan: version and columns are pruned in the scan, the in-bed
+    window (``margin`` epochs around sleep, None for all) and the subject list filter the rows."""
+    from nightjar.operators.epochs import trim_window
+
+    keep = list(dict.fromkeys(["subject_id", "epoch_idx", "sleep_stage", *columns]))
+    d = read_epochs(spark, path, version, keep)
+    if subjects is not None:
+        d = d.join(subjects.select("subject_id").distinct(), "subject_id", "left_semi")
+    return d if margin is None else trim_window(d, margin)
+
+
 def write_predictions(df: DataFrame, path: str, run_id: str) -> None:
     """One run's predictions in the fixed schema under its run partition."""
     from nightjar.operators.align import PREDICTION_SCHEMA
