@@ -66,7 +66,14 @@ def heart_rate_variability(spark, sf) -> DataFrame:
     return rounded(H.hrv_time(_validity(spark, sf)).drop("rr_list"))
 
 
-@query()
+@query(_recursive("""
+    select subject_id, epoch_idx, round(case when a > 0 and b > 0 then -ln(a::double / b) end, 6) as hrv_sampen from (
+        select x.subject_id, x.epoch_idx,
+               coalesce(sum((x.v1 is not null and y.v1 is not null and abs(x.v - y.v) <= x.r and abs(x.v1 - y.v1) <= x.r)::int), 0) as b,
+               coalesce(sum((x.v2 is not null and y.v2 is not null and abs(x.v - y.v) <= x.r and abs(x.v1 - y.v1) <= x.r and abs(x.v2 - y.v2) <= x.r)::int), 0) as a
+        from tpl x join tpl y on x.subject_id = y.subject_id and x.epoch_idx = y.epoch_idx and x.pos < y.pos group by 1, 2)""", valid=VALID, tpl="""
+    select subject_id, epoch_idx, pos, rr as v, lead(rr) over w as v1, lead(rr, 2) over w as v2, 0.2 * stddev_pop(rr) over (partition by subject_id, epoch_idx) as r, count(*) over (partition by subject_id, epoch_idx) as n
+    from (select *, floor(t / 30)::int as epoch_idx from valid where valid) window w as (partition by subject_id, epoch_idx order by pos) qualify n >= 4"""))
 def interval_entropy(spark, sf) -> DataFrame:
     d = H.hrv_time(_validity(spark, sf)).where("n_rr >= 4")
     return rounded(d.select("subject_id", "epoch_idx", S.sample_entropy("rr_list").alias("hrv_sampen")))
@@ -133,7 +140,23 @@ def front_end_quality(spark, sf) -> DataFrame:
     return rounded(quality(b, H.interpolate_runs(b, 4, "linear")))
 
 
-@query()
+def _end(h0: str, h1: str, d0: str, d1: str) -> str:
+    g = f"((2 * {h0} + {h1}) * {d0} - {h0} * {d1}) / ({h0} + {h1})"
+    return f"case when sign({g}) <> sign({d0}) then 0 when sign({d0}) <> sign({d1}) and abs({g}) > 3 * abs({d0}) then 3 * {d0} else {g} end"
+
+
+@query(with_views("""
+    select subject_id, tick, round(case when tn is null then v when smooth then (1 + 2 * u) * (1 - u) * (1 - u) * v + u * (1 - u) * (1 - u) * h * slope + u * u * (3 - 2 * u) * vn + u * u * (u - 1) * h * slope_next
+                                        else v + u * (vn - v) end, 6) as value, not (smooth_seg or tick / 4.0::double = t) as gap
+    from (select *, (tick / 4.0::double - t) / (tn - t) as u, tn - t as h, coalesce(sn = segment, false) as smooth_seg, coalesce(sn = segment, false) and m >= 4 as smooth
+          from (select *, unnest(generate_series(ceil(t * 4)::bigint, case when tn is null then floor(t * 4)::bigint else ceil(tn * 4)::bigint - 1 end)) as tick
+                from (select *, lead(t) over w as tn, lead(v) over w as vn, lead(segment) over w as sn, lead(slope) over w as slope_next from slopes window w as (partition by subject_id order by beat))))""",
+                  "v_epochs", knots=KNOTS, seg=SEG, near="""
+    select subject_id, beat, t, v, segment, count(*) over (partition by subject_id, segment) as m, t - lag(t) over w as hl, lead(t) over w - t as hr, (v - lag(v) over w) / (t - lag(t) over w) as dl, (lead(v) over w - v) / (lead(t) over w - t) as dr,
+           lead(t, 2) over w - lead(t) over w as hr2, (lead(v, 2) over w - lead(v) over w) / (lead(t, 2) over w - lead(t) over w) as dr2, lag(t) over w - lag(t, 2) over w as hl2, (lag(v) over w - lag(v, 2) over w) / (lag(t) over w - lag(t, 2) over w) as dl2
+    from seg window w as (partition by subject_id, segment order by beat)""", slopes=f"""
+    select *, case when hl is not null and hr is not null then case when dl * dr > 0 then (3 * hr + 3 * hl) / ((2 * hr + hl) / dl + (hr + 2 * hl) / dr) else 0 end
+                   when hr is not null then {_end('hr', 'hr2', 'dr', 'dr2')} when hl is not null then {_end('hl', 'hl2', 'dl', 'dl2')} end as slope from near"""))
 def smooth_resampled_runs(spark, sf) -> DataFrame:
     return rounded(H.interpolate_runs(H.beat_segments(beat_train(spark, sf)), 4, "pchip"))
 
