@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nightjar.operators.running import running_totals
+from nightjar.operators.running import quantile_bucket, running_totals
 from nightjar.session import cut_lineage
 
 
@@ -55,8 +55,8 @@ def _sums(df: DataFrame, strata: list[str], terms: list[str], beta: np.ndarray)
     aggs += [F.sum(F.when(died, c).otherwise(0.0)).alias(f"d_{n}") for n, c in parts.items()]
     aggs += [F.sum(died.cast("int")).alias("deaths"), F.sum(F.when(died, F.log("_e")).otherwise(0.0)).alias("sum_eta")]
     aggs += [F.sum(F.when(died, F.col(t)).otherwise(0.0)).alias(f"x_{i}") for i, t in enumerate(terms)]
-    g = d.groupBy(*strata, "time").agg(*aggs)
-    r = running_totals(g, strata, "time", list(parts))
+    g = d.groupBy(*strata, "_slice", "time").agg(*aggs)
+    r = running_totals(g, strata, "time", list(parts), bucket="_slice")
     # at risk at t: everybody with time >= t
     return r.withColumns({f"r_{n}": F.col(f"{n}_total") - F.col(f"{n}_before") for n in parts}).where("deaths > 0")
 
@@ -83,15 +83,16 @@ def cox_fit(df: DataFrame, terms: list[str], strata: list[str] | None = None, pe
             max_steps: int = 20, tol: float = 1e-7) -> CoxFit:
     """Fit on (time, event, terms, strata); the ridge acts on standardised terms, scaled by n.
 
-    The standardised input is written to the checkpoint folder once, so every step reads the same
-    short plan and survives lost executors.
+    The standardised input is written to the checkpoint folder once, with its time slice, so every
+    step is two column-pruned scans of the same table and survives lost executors.
     """
     strata = strata or []
     stat = df.agg(F.count("*").alias("n"), *[F.avg(t).alias(f"m_{t}") for t in terms], *[F.stddev_samp(t).alias(f"s_{t}") for t in terms]).first()
     sd = np.array([stat[f"s_{t}"] or 1.0 for t in terms])
     z = [f"z{i}" for i in range(len(terms))]
-    scaled = cut_lineage(df.select(*strata, "time", "event", *[
-        ((F.col(t) - F.lit(stat[f"m_{t}"])) / F.lit(float(s))).alias(n) for t, s, n in zip(terms, sd, z)]))
+    standard = df.select(*strata, "time", "event", *[
+        ((F.col(t) - F.lit(stat[f"m_{t}"])) / F.lit(float(s))).alias(n) for t, s, n in zip(terms, sd, z)])
+    scaled = cut_lineage(quantile_bucket(standard, "time", "_slice"))
     ridge = penalizer * stat["n"]
     beta = np.zeros(len(terms))
     ll, grad, info = _derivatives(scaled, strata, z, beta)

@@ -54,6 +54,9 @@ def ensemble(runs: DataFrame, cv_auc: dict[str, float], scale: float = 50.0) ->
                        total("_p_{}", weights).alias("p_weighted"), total("_r_{}", even).alias("p_rank_mean"))
 
 
+MAX_LEVELS = 100
+
+
 # ---- estimators --------------------------------------------------------------------------------
 
 def _boosted(features: str, label: str, **kw):
@@ -176,7 +179,9 @@ def chained_impute(train: DataFrame, rows: DataFrame, columns: list[str], binary
     means = train.agg(*[F.avg(c).alias(c) for c in columns]).first()
     gaps = train.unionByName(rows, allowMissingColumns=True).agg(*[F.sum(F.col(c).isNull().cast("int")).alias(c) for c in columns]).first()
     todo = [c for c in columns if gaps[c]]
-    levels = [r[0] for r in train.select(strata).distinct().orderBy(strata).limit(100).collect()] if strata else []
+    levels = [r[0] for r in train.select(strata).distinct().orderBy(strata).limit(MAX_LEVELS + 1).collect()] if strata else []
+    if len(levels) > MAX_LEVELS:
+        raise ValueError(f"more than {MAX_LEVELS} strata levels")
     dummies = {f"_d{i}": (F.col(strata) == v).cast("double") for i, v in enumerate(levels[1:])}
 
     def start(d: DataFrame) -> DataFrame:

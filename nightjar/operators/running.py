@@ -44,14 +44,18 @@ def quantile_bucket(df: DataFrame, value: str, name: str, buckets: int | None =
 
 
 def running_totals(df: DataFrame, by: list[str], order: str, values: list[str],
-                   buckets: int | None = None) -> DataFrame:
+                   buckets: int | None = None, bucket: str | None = None) -> DataFrame:
     """Add ``<v>_before`` (sum over strictly smaller ``order``) and ``<v>_total`` per group.
 
     ``df`` holds one row per (``by``, ``order``), so pre-aggregate first: that also folds any hot
     value into a single row. The aggregate is written once and read for the cut points, the offsets
-    and the windows, so the input is scanned a single time.
+    and the windows, so the input is scanned a single time. An iterative caller that keeps the same
+    order passes ``bucket``, a column numbered by ``quantile_bucket`` beforehand; nothing is written then.
     """
-    d = quantile_bucket(cut_lineage(df), order, "_bucket", buckets)
+    if bucket:
+        d = df.withColumnRenamed(bucket, "_bucket")
+    else:
+        d = quantile_bucket(cut_lineage(df), order, "_bucket", buckets)
     across = Window.partitionBy(*(by or [F.lit(0)]))
     earlier = across.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (

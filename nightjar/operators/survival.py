@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from nightjar.operators.asof import step_lookup
 from nightjar.operators.metrics import discrimination
 from nightjar.operators.running import running_totals
+from nightjar.session import cut_lineage
 
 MAX_STRATA = 100
 
@@ -68,9 +69,8 @@ def g_at(km: DataFrame, by: list[str], t: float) -> DataFrame:
         F.when(F.col("time") <= t, F.col("g")), F.when(F.col("time") <= t, F.col("time"))), F.lit(1.0)).alias("g_t"))
 
 
-def with_censoring(df: DataFrame, by: list[str], strata: list[str], weight: str | None = None) -> DataFrame:
+def with_censoring(df: DataFrame, by: list[str], strata: list[str], km: DataFrame) -> DataFrame:
     """Attach each subject's own G(time-)."""
-    km = censoring_km(df, [*by, *strata], weight)
     return df.join(km.select(*by, *strata, "time", "g_left"), [*by, *strata, "time"])
 
 
@@ -138,14 +138,16 @@ def harrell_c(df: DataFrame, by: list[str], within: list[str] | None = None, wei
     return d.groupBy(*by).agg(F.try_divide(F.sum("num"), F.sum("den")).alias("c_index"), F.sum("den").alias("n_pairs"))
 
 
-def uno_c(df: DataFrame, by: list[str], strata: list[str], tau: float, weight: str | None = None) -> DataFrame:
+def uno_c(df: DataFrame, by: list[str], strata: list[str], tau: float, weight: str | None = None,
+          km: DataFrame | None = None) -> DataFrame:
     """IPCW concordance truncated at tau; a pair is weighted by both members' own G at the earlier time.
 
     With strata, a case is entered once per stratum (there are few) and compared with the controls
     of that stratum only, so its pair weight depends on the case alone.
     """
     w = _w(weight)
-    d = _ordered(with_censoring(df, by, strata, weight), by)
+    km = censoring_km(df, [*by, *strata], weight) if km is None else km
+    d = _ordered(with_censoring(df, by, strata, km), by)
     ctrl = d.select(*by, *[F.col(s).alias(f"z_{s}") for s in strata], "_o", "_times", "score",
                     F.lit(0.0).alias("case"), w.alias("ctrl"))
     cases = d.where((F.col("event") == 1) & (F.col("time") < tau)).withColumn("_case", w * _inverse(F.col("g_left")))
@@ -155,8 +157,7 @@ def uno_c(df: DataFrame, by: list[str], strata: list[str], tau: float, weight: s
             raise ValueError(f"more than {MAX_STRATA} censoring strata")
         each = F.explode(F.array(*[F.struct(*[F.lit(l[s]).alias(s) for s in strata]) for l in levels]))
         cases = cases.withColumn("_z", each).withColumns({f"z_{s}": F.col(f"_z.{s}") for s in strata}).drop("_z")
-        km = censoring_km(df, [*by, *strata], weight).where("c > 0")
-        steps = km.select(*by, *[F.col(s).alias(f"z_{s}") for s in strata], "time", F.col("g").alias("_gz"))
+        steps = km.where("c > 0").select(*by, *[F.col(s).alias(f"z_{s}") for s in strata], "time", F.col("g").alias("_gz"))
         probes = cases.select(*by, *[f"z_{s}" for s in strata], "time").distinct()
         at = step_lookup(probes, steps, [*by, *[f"z_{s}" for s in strata]], "time", "_gz", left_limit=True)
         cases = cases.join(at, [*by, *[f"z_{s}" for s in strata], "time"])
@@ -172,10 +173,10 @@ def uno_c(df: DataFrame, by: list[str], strata: list[str], tau: float, weight: s
 
 # ---- inverse-probability-of-censoring metrics -------------------------------------------------
 
-def _ipcw(df: DataFrame, by: list[str], strata: list[str], t: float, weight: str | None) -> DataFrame:
-    """Add ``_died`` and ``_alive`` weights at horizon t."""
+def _ipcw(df: DataFrame, by: list[str], strata: list[str], t: float, weight: str | None, km: DataFrame | None) -> DataFrame:
+    """Add ``_died`` and ``_alive`` weights at horizon t; ``km`` is a censoring model already at hand."""
     groups = [*by, *strata]
-    km = censoring_km(df, groups, weight)
+    km = censoring_km(df, groups, weight) if km is None else km
     own = df.join(km.select(*groups, "time", "g_left"), [*groups, "time"])
     fixed = g_at(km, groups, t)
     d = own.join(fixed, groups) if groups else own.withColumn("g_t", fixed.scalar())
@@ -185,36 +186,39 @@ def _ipcw(df: DataFrame, by: list[str], strata: list[str], t: float, weight: str
         "_alive": F.when(F.col("time") > t, w * _inverse(F.col("g_t"))).otherwise(F.lit(0.0))})
 
 
-def cumulative_dynamic_auc(df: DataFrame, by: list[str], strata: list[str], t: float, weight: str | None = None) -> DataFrame:
+def cumulative_dynamic_auc(df: DataFrame, by: list[str], strata: list[str], t: float, weight: str | None = None,
+                           km: DataFrame | None = None) -> DataFrame:
     """IPCW AUC at t: events by t against subjects still at risk after t, ties one half."""
-    d = _ipcw(df, by, strata, t, weight)
+    d = _ipcw(df, by, strata, t, weight, km)
     cases = d.where((F.col("event") == 1) & (F.col("time") <= t)).select(*by, "score", F.lit(1).alias("_y"), F.col("_died").alias("_v"))
     ctrls = d.where(F.col("time") > t).select(*by, "score", F.lit(0).alias("_y"), F.col("_alive").alias("_v"))
     return discrimination(cases.unionByName(ctrls), by, "_y", "score", F.col("_v")).select(*by, "auc")
 
 
-def brier(df: DataFrame, by: list[str], strata: list[str], t: float, surv: str, weight: str | None = None) -> DataFrame:
+def brier(df: DataFrame, by: list[str], strata: list[str], t: float, surv: str, weight: str | None = None,
+          km: DataFrame | None = None) -> DataFrame:
     """Graf's IPCW Brier score of the predicted survival ``surv`` at t."""
-    d, s = _ipcw(df, by, strata, t, weight), F.col(surv)
+    d, s = _ipcw(df, by, strata, t, weight, km), F.col(surv)
     return d.groupBy(*by).agg(
         (F.sum(F.col("_died") * s * s + F.col("_alive") * (1 - s) * (1 - s)) / F.sum(_w(weight))).alias("brier"))
 
 
-def ipcw_risk(df: DataFrame, by: list[str], strata: list[str], t: float, weight: str | None = None) -> DataFrame:
+def ipcw_risk(df: DataFrame, by: list[str], strata: list[str], t: float, weight: str | None = None,
+              km: DataFrame | None = None) -> DataFrame:
     """Observed cumulative risk by t: mean of 1[event by t] / G(time-)."""
-    d = _ipcw(df, by, strata, t, weight)
+    d = _ipcw(df, by, strata, t, weight, km)
     return d.groupBy(*by).agg((F.sum("_died") / F.sum(_w(weight))).alias("risk"))
 
 
 def brier_curve(df: DataFrame, by: list[str], strata: list[str], grid: list[float], surv: list[Column],
-                weight: str | None = None) -> DataFrame:
+                weight: str | None = None, km: DataFrame | None = None) -> DataFrame:
     """Brier score at every grid time; one scan, the grid is exploded per subject.
 
     ``surv`` gives the predicted survival at each grid time. G at the grid times comes from one
     aggregate with a column per grid point.
     """
     groups = [*by, *strata]
-    km = censoring_km(df, groups, weight)
+    km = censoring_km(df, groups, weight) if km is None else km
     g_grid = km.groupBy(*groups).agg(F.array(*[F.coalesce(F.max_by(
         F.when(F.col("time") <= t, F.col("g")), F.when(F.col("time") <= t, F.col("time"))), F.lit(1.0)) for t in grid]).alias("_gg"))
     own = df.join(km.select(*groups, "time", "g_left"), [*groups, "time"])
@@ -263,7 +267,7 @@ def calibration_quintiles(df: DataFrame, strata: list[str], t: float, k: int = 5
 
     IPCW weights come from the whole sample; ``cause`` is 1 for the event, 2 for a competing death.
     """
-    d = quantile_groups(_ipcw(df, [], strata, t, None), [], "score", k)
+    d = quantile_groups(_ipcw(df, [], strata, t, None, None), [], "score", k)
     base = d.groupBy("quantile").agg(
         F.count("*").alias("n"), F.sum(F.col("event").cast("bigint")).alias("events"), F.avg("score").alias("pred"),
         F.avg("_died").alias("obs_ipcw"))
@@ -282,16 +286,17 @@ def calibration_by_stratum(df: DataFrame, strata: list[str], t: float) -> DataFr
 
 def metric_row(df: DataFrame, by: list[str], strata: list[str], h5: float, h10: float, surv5: str, surv10: str,
                null10: str, grid: list[float], surv_grid: list[Column], weight: str | None = None) -> DataFrame:
-    """The eight test metrics of one model per ``by``."""
+    """The eight test metrics of one model per ``by``; the censoring model is fitted once for all of them."""
+    km = cut_lineage(censoring_km(df, [*by, *strata], weight))
     parts = [
         harrell_c(df, by, None, weight).select(*by, F.col("c_index").alias("harrell_c")),
         harrell_c(df, by, strata, weight).select(*by, F.col("c_index").alias("within_cohort_c")),
-        uno_c(df, by, strata, h10, weight).withColumnRenamed("uno_c", "uno_c_10y"),
-        cumulative_dynamic_auc(df, by, strata, h5, weight).withColumnRenamed("auc", "auc_5y"),
-        cumulative_dynamic_auc(df, by, strata, h10, weight).withColumnRenamed("auc", "auc_10y"),
-        brier(df, by, strata, h10, surv10, weight).withColumnRenamed("brier", "brier_10y"),
-        brier(df, by, strata, h10, null10, weight).withColumnRenamed("brier", "_null"),
-        integrated_brier(brier_curve(df, by, strata, grid, surv_grid, weight), by).withColumnRenamed("ibs", "ibs_1_10y"),
+        uno_c(df, by, strata, h10, weight, km).withColumnRenamed("uno_c", "uno_c_10y"),
+        cumulative_dynamic_auc(df, by, strata, h5, weight, km).withColumnRenamed("auc", "auc_5y"),
+        cumulative_dynamic_auc(df, by, strata, h10, weight, km).withColumnRenamed("auc", "auc_10y"),
+        brier(df, by, strata, h10, surv10, weight, km).withColumnRenamed("brier", "brier_10y"),
+        brier(df, by, strata, h10, null10, weight, km).withColumnRenamed("brier", "_null"),
+        integrated_brier(brier_curve(df, by, strata, grid, surv_grid, weight, km), by).withColumnRenamed("ibs", "ibs_1_10y"),
     ]
     out = parts[0]
     for p in parts[1:]:
