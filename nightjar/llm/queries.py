@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from nightjar.llm.common import read, tokenizer_path
+from nightjar.llm.lines import dedup_lines
 from nightjar.llm.packing import pack
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,6 +20,22 @@ def query(fn):
     return fn
 
 
+LINE_SQL = """
+    with lines as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as pos from {docs}),
+    keyed as (select *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from lines),
+    frequent as (select key as often from keyed where length(key) >= 1 group by key having count(distinct doc_id) >= 10)"""
+
+ORACLES["op1_line_dedup"] = LINE_SQL.format(docs="documents") + """
+    select doc_id, count(*) as n_lines, count(often) as n_dropped, sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where often is null), '')) as kept_sha256
+    from keyed left join frequent on key = often group by doc_id"""
+
+
+@query
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return dedup_lines(docs, min_docs=10).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 @query
 def op5_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=2).drop("ids")
