@@ -6,9 +6,16 @@ import itertools
 
 import numpy as np
 
-from nightjar.llm.text import Rolling, mix
-
-UNIT = 8 << 20  # bytes of text encoded at once
+from nightjar.llm.text import LOWER, Rolling, mix
+
+UNIT = 3 << 20  # bytes of text encoded at once
+_LETTER, _MARK = 1, 2
+_KIND = np.zeros(256, np.uint8)
+_KIND[:128] = _MARK
+_KIND[[*range(48, 58), 39]] = 0
+_KIND[[*range(65, 91), *range(97, 123)]] = _LETTER
+_VISIBLE = np.zeros(256, bool)
+_VISIBLE[33:127] = True
 _ASCII_WHITE = np.zeros(256, bool)
 _ASCII_WHITE[[*range(9, 14), *range(28, 33)]] = True
 
@@ -23,17 +30,18 @@ def _after_white(data: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 class PieceEncoder:
-    """Encode whole texts, giving the tokenizer every distinct space-led piece only once.
-
-    The tokenizer's pre-tokenizer never lets a match run from a non-space character into a space. So a
-    text may be cut before each space that follows a character other than white space, and the ids of
-    the pieces, each with its leading space, put together. A text with a space after white space breaks
-    that rule and is encoded in one go. ``spaces`` is False for tokenizers that drop white space, where
-    every cut is safe. Pieces are known by a 64-bit hash with their length in it; at most ``limit`` are
-    remembered.
+    """Encode whole texts, giving the tokenizer every distinct piece of text only once.
+
+    A text is cut where the pre-tokenizers of the public byte and word vocabularies always end a match: before a
+    space that follows a character other than white space; between an ASCII letter and an ASCII character that is
+    neither a letter, a digit nor an apostrophe; and between a single line end and an ASCII letter. The
+    ids of the pieces put together are the ids of the text. A text with a space after white space, or
+    with the opening of a special token, is encoded in one go. ``spaces`` is False for tokenizers that
+    drop white space and letter case. Pieces are known by a 64-bit hash with their length in it; at most
+    ``limit`` are remembered.
     """
 
-    def __init__(self, path: str, spaces: bool, limit: int = 1_000_000):
+    def __init__(self, path: str, spaces: bool, limit: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -56,17 +64,21 @@ class PieceEncoder:
         self.flat[self.used:self.used + total] = np.fromiter(itertools.chain.from_iterable(ids), np.int32, total)
         at = self.used + np.cumsum(length, dtype=np.int64) - length
         self.used += total
-        known = np.concatenate([self.known, hashes])
-        order = np.argsort(known, kind="stable")
-        self.known, self.at, self.length = known[order], np.concatenate([self.at, at])[order], np.concatenate([self.length, length])[order]
+        spot = np.searchsorted(self.known, hashes)
+        self.known, self.at, self.length = (np.insert(x, spot, y) for x, y in ((self.known, hashes), (self.at, at), (self.length, length)))
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a block of texts in one array, and the number of ids of each text."""
         if len(self.known) > self.limit:
             self._forget()
         n_texts, n = len(offsets) - 1, len(data)
+        if not self.spaces:
+            data = LOWER[data]
         lead = np.zeros(n + 1, bool)
         lead[:n] = data == 32
+        kind = _KIND[data]
+        lead[1:n] |= (kind[:-1] == _LETTER) & (kind[1:] == _MARK)
+        lead[2:n] |= (data[1:-1] == 10) & (kind[2:] == _LETTER) & _VISIBLE[data[:-2]]
         lead[offsets] = True
         start = np.flatnonzero(lead[:n])
         end = np.append(start[1:], n) if len(start) else start
@@ -84,12 +96,12 @@ class PieceEncoder:
         stops = np.cumsum(length)
         ids = self.flat[np.repeat(self.at[k] - stops + length, length) + np.arange(int(stops[-1]) if len(stops) else 0)]
         counts = np.bincount(text, weights=length, minlength=n_texts).astype(np.int64)
-        if self.spaces:
-            inner = start[~np.isin(start, offsets)]
-            odd = np.unique(np.searchsorted(offsets, inner[_after_white(data, inner)], "right") - 1)
-            if len(odd):
-                each = np.split(ids, np.cumsum(counts)[:-1])
-                for i, own in zip(odd, self._ids([data[offsets[i]:offsets[i + 1]].tobytes().decode() for i in odd])):
-                    each[i], counts[i] = np.array(own, np.int32), len(own)
-                ids = np.concatenate(each)
+        inner = start[(data[start] == 32) & ~np.isin(start, offsets)] if self.spaces else start[:0]
+        opening = np.flatnonzero((data[:-1] == 60) & (data[1:] == 124))
+        odd = np.unique(np.searchsorted(offsets, np.concatenate([inner[_after_white(data, inner)], opening]), "right") - 1)
+        if len(odd):
+            each = np.split(ids, np.cumsum(counts)[:-1])
+            for i, own in zip(odd, self._ids([data[offsets[i]:offsets[i + 1]].tobytes().decode() for i in odd])):
+                each[i], counts[i] = np.array(own, np.int32), len(own)
+            ids = np.concatenate(each)
         return ids, counts
