@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from nightjar.llm.common import read, tokenizer_path
 from nightjar.llm.lines import dedup_lines
+from nightjar.llm.minhash import near_duplicates
 from nightjar.llm.packing import pack
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,3 +40,8 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=2).drop("ids")
+
+
+@query
+def op9_superminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read(spark, sf_dir, "documents"), k=3, percent=85)
