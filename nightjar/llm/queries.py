@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nightjar.llm.common import read, tokenizer_path
+from nightjar.llm.decontaminate import contamination
 from nightjar.llm.lines import dedup_lines
 from nightjar.llm.minhash import near_duplicates
 from nightjar.llm.packing import pack
@@ -45,3 +46,8 @@ def op5_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_superminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"), k=3, percent=85)
+
+
+@query
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), similarity=0.8)
