@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from nightjar.llm.common import read, tokenizer_path
 from nightjar.llm.decontaminate import contamination
+from nightjar.llm.idfiles import round_trip
 from nightjar.llm.lines import dedup_lines
 from nightjar.llm.minhash import near_duplicates
 from nightjar.llm.packing import pack
@@ -64,3 +65,8 @@ def op6_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(read(spark, sf_dir, "documents"), length=100)
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op4_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=0)
