@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from nightjar.llm.common import read, tokenizer_path
 from nightjar.llm.decontaminate import contamination
 from nightjar.llm.idfiles import round_trip
+from nightjar.llm.licenses import scan
 from nightjar.llm.lines import dedup_lines
 from nightjar.llm.minhash import near_duplicates
 from nightjar.llm.packing import pack
@@ -70,3 +71,8 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=0)
+
+
+@query
+def op7_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(read(spark, sf_dir, "documents")).drop("spans")
