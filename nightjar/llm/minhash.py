@@ -148,42 +148,84 @@ def _sketch_filter(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFram
     return arrow_map(pairs.join(one, "a").join(two, "b").select("a", "b", "ka", "kb"), run, "a bigint, b bigint")
 
 
-def _left_over_pairs(members: DataFrame, percent: int, least: float, block: int = 1000) -> DataFrame:
-    """Pairs across components inside the buckets (bucket, node, n_shingles, comp, sketch) that the pivots left unsettled.
+def _settle(own: dict, rows: np.ndarray, percent: int, least: float) -> list[tuple]:
+    """Links across components within one family: every left row against the rows it has not met, on full sets.
 
-    In each bucket the members outside its largest component meet all members. Both sides are dealt into
-    blocks of about ``block`` rows, so a bucket of any size is compared block by block in many tasks;
-    sketches decide inside the task and only likely pairs come out.
+    Links that join nothing new are left out, so what comes out is a forest.
     """
-    sizes = members.groupBy("bucket", "comp").agg(F.count("*").alias("n")).groupBy("bucket").agg(
-        F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("top"), F.count("*").alias("k")).where("k > 1").select(
-        "bucket", F.ceil(F.col("n") / block).cast("int").alias("mb"), F.ceil((F.col("n") - F.col("top.n")) / block).cast("int").alias("rb"), F.col("top.comp").alias("main"))
-    rows = members.join(sizes, "bucket")
-    spot = lambda n: F.pmod(F.xxhash64("node", "bucket"), F.col(n)).cast("int")
+    node, size, comp, left, sketch = (own[c] for c in ("node", "n_shingles", "comp", "left", "sketch"))
+    others = rows[~left[rows]]
+    tokens = [np.frombuffer(own["shingles"][j], "<u8") for j in others]
+    vocabulary, flat = np.unique(np.concatenate(tokens), return_inverse=True)
+    ends = np.cumsum([len(t) for t in tokens])
+    starts = ends - size[others]
+    mark = np.zeros(len(vocabulary), np.int32)
+    root = {c: c for c in comp[rows].tolist()}
+
+    def find(c):
+        while root[c] != c:
+            root[c] = c = root[root[c]]
+        return c
+
+    main, out = own["main"], []
+    for i in rows[left[rows]]:
+        fits = (comp[others] != comp[i]) & (100 * np.minimum(size[i], size[others]) >= percent * np.maximum(size[i], size[others]))
+        fits &= (comp[others] == main[others]) | (node[others] > node[i])  # two left rows meet once
+        js = np.flatnonzero(fits)
+        js = js[_alike(sketch[i], sketch[others[js]], least)]
+        js = js[[find(comp[others[j]]) != find(comp[i]) for j in js]] if len(js) else js
+        if not len(js):
+            continue
+        held = np.searchsorted(vocabulary, mine := np.frombuffer(own["shingles"][i], "<u8"))
+        held = held[(held < len(vocabulary))]
+        held = held[np.isin(vocabulary[held], mine)]
+        mark[held] = 1
+        lengths = size[others[js]]
+        at = np.repeat(starts[js] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+        inter = np.add.reduceat(mark[flat[at]], np.cumsum(lengths) - lengths)
+        mark[held] = 0
+        for j in js[similar_enough(inter, size[i], lengths, percent)]:
+            x, y = find(comp[i]), find(comp[others[j]])
+            if x != y:
+                root[x] = y
+                out.append((node[i], node[others[j]]))
+    return out
+
+
+def _left_over_links(members: DataFrame, sets: DataFrame, percent: int, least: float, block: int = 16 << 20) -> DataFrame:
+    """Links across components inside the families (family, node, n_shingles, comp, sketch) that the pivots left unsettled.
+
+    In each family the members outside its largest component meet all members. Both sides are dealt into
+    blocks of about ``block`` bytes of sets, so a family of any size is compared block by block in many
+    tasks; pairs are made, looked at and dropped inside a task, and only a forest of links comes out.
+    """
+    bytes_ = F.sum(8 * F.col("n_shingles"))
+    sizes = cut_lineage(members.groupBy("family", "comp").agg(bytes_.alias("b")).groupBy("family").agg(
+        F.sum("b").alias("b"), F.max(F.struct("b", "comp")).alias("top"), F.count("*").alias("k")).where("k > 1").select(
+        "family", "b", F.ceil(F.col("b") / block).cast("int").alias("mb"), F.ceil((F.col("b") - F.col("top.b")) / block).cast("int").alias("rb"), F.col("top.comp").alias("main")))
+    small = max(64, int(2 * (sizes.where("mb = 1").agg(F.sum("b")).first()[0] or 0) // block))
+    unit = F.when(F.col("mb") == 1, F.pmod(F.xxhash64("family"), F.lit(small))).otherwise(F.col("family"))
+    rows = members.join(sizes, "family").withColumn("unit", unit).join(sets, "node")
+    spot = lambda n: F.pmod(F.xxhash64("node", "family"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    own = ["bucket", "node", "n_shingles", "comp", "sketch"]
+    own = ["unit", "family", "node", "n_shingles", "comp", "main", "sketch", "shingles"]
     left = rows.where("comp <> main").select(*own, spot("rb").alias("r"), F.lit(True).alias("left"), every("mb").alias("m"))
     full = rows.select(*own, spot("mb").alias("m"), F.lit(False).alias("left"), every("rb").alias("r"))
-    unit = F.when((F.col("mb") == 1), F.pmod(F.col("bucket"), F.lit(4096))).otherwise(F.col("bucket"))
-    units = left.unionByName(full).join(sizes.select("bucket", "mb"), "bucket").withColumn("unit", unit).drop("mb")
 
     def compare(group: pa.Table) -> pa.Table:
-        bucket, node, n, comp = (group.column(c).to_numpy() for c in ("bucket", "node", "n_shingles", "comp"))
-        is_left = group.column("left").to_numpy(zero_copy_only=False)
-        sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(len(node), -1)
-        order = np.argsort(bucket, kind="stable")
-        out: list[np.ndarray] = []
-        for own in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
-            others = own[~is_left[own]]
-            for i in own[is_left[own]]:
-                small, large = np.minimum(n[i], n[others]), np.maximum(n[i], n[others])
-                js = others[(comp[others] != comp[i]) & (100 * small >= percent * large)]
-                js = js[_alike(sketch[i], sketch[js], least)]
-                out.append(np.stack([np.minimum(node[i], node[js]), np.maximum(node[i], node[js])], axis=1))
-        pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
-        return pa.table([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], names=["a", "b"])
-
-    return units.groupBy("unit", "r", "m").applyInArrow(compare, "a bigint, b bigint").distinct()
+        own = {c: group.column(c).to_numpy() for c in ("family", "node", "n_shingles", "comp", "main")}
+        own["left"] = group.column("left").to_numpy(zero_copy_only=False)
+        own["shingles"] = group.column("shingles").to_pylist()
+        own["sketch"] = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(group.num_rows, -1)
+        order = np.argsort(own["family"], kind="stable")
+        links: list[tuple] = []
+        for rows in np.split(order, np.flatnonzero(np.diff(own["family"][order])) + 1):
+            if own["left"][rows].any() and not own["left"][rows].all():
+                links += _settle(own, rows, percent, least)
+        a, b = zip(*links) if links else ((), ())
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return left.unionByName(full).groupBy("unit", "r", "m").applyInArrow(compare, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, rows: int = 5, bands: int = 25) -> DataFrame:
@@ -192,8 +234,8 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, rows: int =
     Documents are linked if ``100 * intersection >= percent * union`` of their full ``k``-word shingle
     sets; groups are the connected components and ``component_id`` the smallest doc_id in one. Rows with
     equal sets are one node, so copies are never compared. Nodes that share a band bucket are candidates:
-    all of a bucket against its pivot first; then, across the components found so far, whatever is left.
-    Sketches (one byte a slot) throw out pairs over four standard errors below the limit, the rest is
+    all of a bucket against its pivot first; then, in each family of nodes that buckets hold together,
+    whatever lies in different components so far. Sketches (one byte a slot) throw out pairs over four standard errors below the limit, the rest is
     decided on full sets. A pair just at the limit of 0.85 shares none of 25 bands of 5 rows with
     probability 4e-7. Rows without words (null, empty, white space) have size 0, are linked with nothing
     and form a component of their own; equal doc_ids with different texts are separate nodes; a null
@@ -213,17 +255,14 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, rows: int =
     stars = shared.where((F.col("node") != F.col("pivot")) & fits).select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     sketches = nodes.select("node", "sketch")
     likely = cut_lineage(_sketch_filter(stars, sketches, least))
-    ends = lambda p: p.select(F.col("a").alias("node")).union(p.select(F.col("b").alias("node"))).distinct()
-    sets = cut_lineage(shingle_sets(docs, nodes.select("node", "doc_id").join(ends(likely), "node"), k).dropDuplicates(["node"]))
-    first = cut_lineage(verified(likely, sets, percent))
-    groups = connected_components(first)
-    members = shared.select("bucket", "node", "n_shingles").join(groups, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
+    sets = cut_lineage(shingle_sets(docs, nodes.select("node", "doc_id").join(shared.select("node").distinct(), "node"), k).dropDuplicates(["node"]))
+    groups = connected_components(verified(likely, sets, percent))
+    members = shared.join(groups, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
     mixed = members.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
-    unsettled = cut_lineage(members.join(mixed, "bucket").join(sketches, "node"))
-    more = cut_lineage(_left_over_pairs(unsettled, percent, least).join(likely, ["a", "b"], "left_anti"))
-    fresh = nodes.select("node", "doc_id").join(ends(more), "node")
-    more_sets = cut_lineage(shingle_sets(docs, fresh, k).dropDuplicates(["node"])) if more.take(1) else sets
-    second = verified(more, more_sets, percent)
+    unsettled = cut_lineage(members.join(mixed, "bucket").select("node", "pivot", "n_shingles", "comp"))
+    families = connected_components(unsettled.select(F.col("pivot").alias("a"), F.col("node").alias("b"))).withColumnRenamed("root", "family")
+    left_over = cut_lineage(unsettled.select("node", "n_shingles", "comp").distinct().join(families, "node").join(sketches, "node"))
+    second = _left_over_links(left_over, sets, percent, least)
     roots = connected_components(groups.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).union(second))
     rooted = signed.join(roots, "node", "left").withColumn("root", F.when(F.col("n_shingles") > 0, F.coalesce("root", "node")))
     rooted = rooted.select("doc_id", "n_shingles", "root")
