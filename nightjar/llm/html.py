@@ -15,6 +15,7 @@ from nightjar.llm.common import arrow_map, typed
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr b bdi bdo cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
 SILENT = frozenset("script style noscript template svg math iframe object canvas head title select option textarea button datalist audio video map".split())
+INLINE |= (SILENT - {"head", "title"}) | {"img", "input", "label", "picture", "source", "embed"}
 SIDE = frozenset("nav footer aside form menu dialog header".split())
 MAIN = frozenset(["article", "main"])
 #: Words of a class, id or role that name what is no part of the article.
@@ -103,8 +104,8 @@ def path_scores(nodes: list[Node], reach: int = 2) -> dict[tuple, float]:
     """Fused, smoothed ratio per path.
 
     The text ratio of a path is its characters over its nodes, the punctuation ratio its punctuation over
-    its nodes; text inside links counts against it. Both are averaged over ``reach`` nodes before and
-    after in page order, since the paths of an article lie together, and multiplied.
+    its nodes. Both are averaged over ``reach`` nodes before and after in page order, since the paths of
+    an article lie together, and multiplied with each other and with the path's share of text outside links.
     """
     chars, marks, links, count = (defaultdict(float) for _ in range(4))
     seen = [n for n in nodes if n.text.strip()]
@@ -114,14 +115,14 @@ def path_scores(nodes: list[Node], reach: int = 2) -> dict[tuple, float]:
         links[n.path] += size * n.link
         marks[n.path] += len(PUNCTUATION.findall(n.text))
         count[n.path] += 1
-    text = [(chars[n.path] - links[n.path]) / count[n.path] for n in seen]
+    text = [chars[n.path] / count[n.path] for n in seen]
     mark = [marks[n.path] / count[n.path] for n in seen]
     fused: dict[tuple, list] = defaultdict(list)
     for i, n in enumerate(seen):
         a, b = max(0, i - reach), i + reach + 1
         own = text[a:b], mark[a:b]
         fused[n.path].append((sum(own[0]) / len(own[0])) * (1 + sum(own[1]) / len(own[1])))
-    return {p: sum(x) / len(x) for p, x in fused.items()}
+    return {p: sum(x) / len(x) * (1 - links[p] / chars[p]) for p, x in fused.items()}
 
 
 def main_text(html: str | None, share: float = 0.25) -> str:

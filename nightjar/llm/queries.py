@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from nightjar.llm.common import read, tokenizer_path
 from nightjar.llm.decontaminate import contamination
+from nightjar.llm.html import extract
 from nightjar.llm.idfiles import round_trip
 from nightjar.llm.licenses import scan
 from nightjar.llm.lines import dedup_lines
@@ -76,3 +77,8 @@ def op4_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(read(spark, sf_dir, "documents")).drop("spans")
+
+
+@query
+def op8_tag_path_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(read(spark, sf_dir, "pages"))
