@@ -17,6 +17,7 @@ from nightjar.llm.minhash import near_duplicates
 from nightjar.llm.packing import pack
 from nightjar.llm.quality import resample
 from nightjar.llm.suffixes import remove_repeats
+from nightjar.llm.topk import top_k
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -82,3 +83,17 @@ def op7_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_tag_path_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(read(spark, sf_dir, "pages"))
+
+
+ORACLES["op10_kdtree_top5"] = """
+    with points as (select vec_id, list_transform(embedding, x -> floor(256 * x::double)::bigint) as point from embeddings
+        where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
+    scored as (select q.vec_id as query_id, c.vec_id, list_inner_product(q.point::double[], c.point::double[])::bigint as score
+        from points q join points c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0),
+    ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id)::integer as rank from scored)
+    select query_id, rank, vec_id, score from ranked where rank <= 5"""
+
+
+@query
+def op10_kdtree_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(read(spark, sf_dir, "embeddings"), k=5, every=50)
