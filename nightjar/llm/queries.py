@@ -86,8 +86,8 @@ def op8_tag_path_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op10_kdtree_top5"] = """
-    with points as (select vec_id, list_transform(embedding, x -> floor(256 * x::double)::bigint) as point from embeddings
-        where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
+    with points as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as point from embeddings
+        where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
     scored as (select q.vec_id as query_id, c.vec_id, list_inner_product(q.point::double[], c.point::double[])::bigint as score
         from points q join points c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0),
     ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id)::integer as rank from scored)

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import itertools
+import os
 
 import numpy as np
 
 from nightjar.llm.text import LOWER, Rolling, mix
 
-UNIT = 3 << 20  # bytes of text encoded at once
+UNIT = 1 << 19  # bytes of text encoded at once
 _LETTER, _MARK = 1, 2
 _KIND = np.zeros(256, np.uint8)
 _KIND[:128] = _MARK
@@ -41,7 +42,8 @@ class PieceEncoder:
     ``limit`` are remembered.
     """
 
-    def __init__(self, path: str, spaces: bool, limit: int = 600_000):
+    def __init__(self, path: str, spaces: bool, limit: int = 500_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core, and threads keep memory of their own
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -55,8 +57,8 @@ class PieceEncoder:
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, hashes: np.ndarray, texts: list[str]) -> None:
-        ids = self._ids(texts)
+    def _learn(self, hashes: np.ndarray, texts: list[str], lot: int = 20_000) -> None:
+        ids = [x for a in range(0, len(texts), lot) for x in self._ids(texts[a:a + lot])]
         length = np.fromiter(map(len, ids), np.int32, len(ids))
         total = int(length.sum())
         while len(self.flat) < self.used + total:
