@@ -19,6 +19,8 @@ from nightjar.session import ensure_checkpoint_dir
 STEP = 512  # ids between two checkpoints
 BLOCK_IDS = 1 << 16
 IDS_PER_BUCKET = 1 << 22
+LOT = 500  # documents encoded together
+BLOCKS = 16  # blocks decoded together
 BLOCK = ("bucket int, block int, first bigint, doc_ids array<bigint>, counts array<bigint>, payload binary, checkpoints array<bigint>")
 
 
@@ -66,15 +68,31 @@ class Code:
 
     lengths: np.ndarray
 
-    def encode(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
-        """The bits of ``ids`` from a byte border, most significant first, and the bit offset of every STEP-th id."""
+    def encode(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """The bits of texts of ``counts`` ids each, every text from a byte border and most significant bit first.
+
+        Returns all bytes, the number of bytes of each text and the bit offset of every STEP-th id in its text.
+        """
         if not hasattr(self, "codes"):
             self.codes = canonical_codes(self.lengths)
         size = self.lengths[ids].astype(np.int64)
-        ends = np.cumsum(size)
-        bit = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - size, size)
-        bits = (np.repeat(self.codes[ids], size) >> (np.repeat(size, size) - 1 - bit).astype(np.uint64)) & np.uint64(1)
-        return np.packbits(bits.astype(np.uint8)).tobytes(), (ends - size)[::STEP]
+        after = np.concatenate([[0], np.cumsum(size)])
+        stops = np.cumsum(counts)
+        bits = after[stops] - after[stops - counts]
+        width = (bits + 7) >> 3
+        base = (np.cumsum(width) - width) * 8
+        at = after[:-1] + np.repeat(base - after[stops - counts], counts)
+        # a code of at most 25 bits from bit ``at`` lies in four bytes; codes do not overlap, so sums put them together
+        word = self.codes[ids] << (32 - size - (at & 7)).astype(np.uint64)
+        place = at >> 3
+        first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])) if len(place) else place
+        out = np.zeros(int(width.sum()) + 4, np.uint8)
+        if len(place):
+            word = np.add.reduceat(word, first)
+            for k in range(4):
+                out[place[first] + k] += (word >> np.uint64(24 - 8 * k)).astype(np.uint8)
+        marks = [after[e - n:e:STEP] - after[e - n] for e, n in zip(stops.tolist(), counts.tolist())]
+        return out[:len(out) - 4], width, marks
 
     def decode(self, payload: bytes, at: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Decode from every checkpoint side by side: ``counts`` ids, STEP at most, from bit ``at`` each."""
@@ -126,8 +144,9 @@ def id_counts(tokens: DataFrame) -> dict[int, int]:
     def run(batches):
         total = np.zeros(1, np.int64)
         for batch in batches:
-            for raw, width in zip(batch.column("ids").to_pylist(), batch.column("width").to_pylist()):
-                own = np.bincount(_ids(raw, width))
+            raw, width = batch.column("ids").to_pylist(), batch.column("width").to_pylist()
+            for a in range(0, len(raw), LOT):
+                own = np.bincount(_ids(b"".join(raw[a:a + LOT]), width[a]))
                 if len(own) > len(total):
                     total = np.concatenate([total, np.zeros(len(own) - len(total), np.int64)])
                 total[:len(own)] += own
@@ -169,11 +188,15 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int, spaces: b
 
     def encode(batches):
         for batch in batches:
-            key = batch.column("order").to_numpy()
-            made = [code.encode(_ids(raw, width)) for raw, width in zip(batch.column("ids").to_pylist(), batch.column("width").to_pylist())]
-            yield pa.table([pa.array(np.searchsorted(edges, key, "right"), pa.int32()), batch.column("doc_id"), batch.column("share"), batch.column("n"),
-                            pa.array([m[0] for m in made], pa.binary()), pa.array([m[1] for m in made], pa.list_(pa.int64()))],
-                           names=["bucket", "doc_id", "share", "n", "bits", "marks"])
+            for a in range(0, batch.num_rows, LOT):
+                part = batch.slice(a, LOT)
+                n = part.column("n").to_numpy()
+                ids = _ids(b"".join(part.column("ids").to_pylist()), part.column("width")[0].as_py())
+                payload, width, marks = code.encode(ids, n)
+                ends = np.cumsum(width)
+                bits = [payload[e - w:e].tobytes() for e, w in zip(ends.tolist(), width.tolist())]
+                yield pa.table([pa.array(np.searchsorted(edges, part.column("order").to_numpy(), "right"), pa.int32()), part.column("doc_id"), part.column("share"),
+                                part.column("n"), pa.array(bits, pa.binary()), pa.array(marks, pa.list_(pa.int64()))], names=["bucket", "doc_id", "share", "n", "bits", "marks"])
 
     def join(batches):
         bucket, block, first, held, size = None, 0, 0, [], 0
@@ -217,15 +240,20 @@ def decoded_blocks(spark: SparkSession, path: str, per_document) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for bucket, first, ids, counts, payload, marks in zip(*[batch.column(c).to_pylist() for c in ("bucket", "first", "doc_ids", "counts", "payload", "checkpoints")]):
-                n = np.array(counts, np.int64)
+            rows = list(zip(*[batch.column(c).to_pylist() for c in ("bucket", "first", "doc_ids", "counts", "payload", "checkpoints")]))
+            for a in range(0, len(rows), BLOCKS):  # blocks stand alone; some are decoded side by side for speed
+                lot = rows[a:a + BLOCKS]
+                n = np.concatenate([np.array(r[3], np.int64) for r in lot])
                 lots = -(-n // STEP)
                 each = np.full(int(lots.sum()), STEP)
                 each[np.cumsum(lots) - 1] = n - (lots - 1) * STEP
-                out = np.split(code.decode(payload, np.array(marks), each), np.cumsum(n)[:-1])
-                before = first + np.cumsum(n) - n
-                yield pa.table([pa.array(ids, pa.int64()), pa.array([bucket] * len(n), pa.int32()), pa.array(before), pa.array(n), pa.array([fn(x) for x in out], arrow)],
-                               names=["doc_id", "bucket", "first", "n_tokens", "value"])
+                base = np.cumsum([0] + [len(r[4]) for r in lot[:-1]]) * 8
+                at = np.concatenate([np.array(r[5], np.int64) + b for r, b in zip(lot, base)])
+                out = np.split(code.decode(b"".join(r[4] for r in lot), at, each), np.cumsum(n)[:-1])
+                before = np.concatenate([r[1] + np.cumsum(r[3]) - r[3] for r in lot])
+                bucket = np.repeat([r[0] for r in lot], [len(r[3]) for r in lot])
+                yield pa.table([pa.array([i for r in lot for i in r[2]], pa.int64()), pa.array(bucket, pa.int32()), pa.array(before, pa.int64()), pa.array(n),
+                                pa.array([fn(x) for x in out], arrow)], names=["doc_id", "bucket", "first", "n_tokens", "value"])
 
     return arrow_map(spark.read.parquet(f"{path}/blocks"), run, f"doc_id bigint, bucket int, first bigint, n_tokens bigint, value {kind}")
 

@@ -60,7 +60,9 @@ def test_code_round_trip():
     r = np.random.default_rng(2)
     ids = np.minimum(r.zipf(1.3, 5000), 3000)
     code = I.Code(I.code_lengths(np.bincount(ids), 14))
-    payload, marks = code.encode(ids)
+    payload, width, marks = code.encode(np.concatenate([ids, ids[:7]]), np.array([len(ids), 7]))
+    assert (code.decode(payload[width[0]:].tobytes(), marks[1], np.array([7])) == ids[:7]).all()
+    payload, marks = payload[:width[0]].tobytes(), marks[0]
     each = np.full(len(marks), I.STEP)
     each[-1] = len(ids) - (len(marks) - 1) * I.STEP
     assert (code.decode(payload, marks, each) == ids).all()
