@@ -227,7 +227,7 @@ def feature_taxonomy(spark, sf) -> DataFrame:
     suffix = F.array(F.lit(""), F.lit("_lag1"), F.lit("_lead1"), F.lit("_roll5_std"))
     p = V.table(spark, sf, "part").select("p_partkey", F.concat(
         F.element_at(bases, (F.col("p_partkey") % 6 + 1).cast("int")), F.element_at(suffix, F.col("p_size") % 4 + 1)).alias("name"))
-    return p.select("p_partkey", "name", C.base_feature_column(F.col("name")).alias("base"), C.classify_column(F.col("name")).alias("class"))
+    return p.select("p_partkey", "name", C.base_column(F.col("name")).alias("base"), C.kind_column(F.col("name")).alias("class"))
 
 
 @query(with_views("select subject_id, epoch_idx, x as hr_mean, lag(x) over (partition by subject_id order by epoch_idx) as hr_mean_lag1 from v_epochs", "v_epochs"))
@@ -235,13 +235,13 @@ def causal_column_selection(spark, sf) -> DataFrame:
     from nightjar.operators.epochs import contextual
 
     d = contextual(V.epochs(spark, sf).select("subject_id", "epoch_idx", F.col("x").alias("hr_mean")), ["hr_mean"])
-    return d.select(*C.causal_columns(d.columns))
+    return d.select("subject_id", "epoch_idx", *C.select_features(d.columns, C.causal))
 
 
 @query(with_views("select subject_id, epoch_idx, x as hr_mean, x / 2 as resp_thor_rms from v_epochs", "v_epochs"))
 def physiological_subset(spark, sf) -> DataFrame:
     d = V.epochs(spark, sf).select("subject_id", "epoch_idx", (F.col("x") * 3).alias("spo2_min"), F.col("x").alias("hr_mean"), (F.col("x") / 2).alias("resp_thor_rms"))
-    return d.select("subject_id", "epoch_idx", *C.feature_subset(C.feature_columns(d.columns), "physio_only"))
+    return d.select("subject_id", "epoch_idx", *C.select_features(d.columns, C.of_kind("physio", "unknown")))
 
 
 @query(with_views("""

@@ -107,7 +107,7 @@ def epoch_rms_std_corr(spark, sf) -> DataFrame:
                   samples=SAMPLES))
 def breath_rate(spark, sf) -> DataFrame:
     # 64 samples at 12.8 Hz: 5 s per array, bins every 0.2 Hz, of which 0.2 and 0.4 lie in the band
-    return V.embed_signal(spark, sf).select("vec_id", r(S.breath_rate("samples", 12.8)).alias("breaths_per_min"))
+    return V.embed_signal(spark, sf).select("vec_id", r(S.breath_rate("samples", 12.8, seconds=5)).alias("breaths_per_min"))
 
 
 @query(with_views("""

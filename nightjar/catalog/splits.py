@@ -14,7 +14,7 @@ from nightjar.plans.views import with_views
 
 def draw(*parts: str) -> str:
     text = " || ':' || ".join(parts)
-    return f"cast('0x' || substr(md5({text}), 1, 8) as bigint)"
+    return f"cast('0x' || substr(md5({text}), 1, 15) as bigint)"
 
 
 IDS = "select distinct user_id as subject_id from events"
@@ -58,14 +58,19 @@ def balanced_class_weights(spark, sf) -> DataFrame:
     return rounded(d.select("subject_id", "epoch_idx", "sleep_stage", "weight"))
 
 
-@query(with_views("""
-    select part, count(*) as n, sha256(string_agg(subject_id::varchar, ',' order by subject_id)) as sha256 from split group by 1""", ids=IDS, split=SPLIT))
+TREE = "".join(f"""
+    , level{k} as (select part, block >> 16 as block, sha256(string_agg(block || ':' || mark, ',' order by block)) as mark from level{k - 1} group by 1, 2)""" for k in (2, 3, 4))
+
+
+@query("with ids as (" + IDS + "), split as (" + SPLIT + """),
+    level1 as (select part, subject_id >> 16 as block, sha256(string_agg(subject_id::varchar, ',' order by subject_id)) as mark from split group by 1, 2)""" + TREE + """
+    select part, n, sha256(string_agg(block || ':' || mark, ',' order by block)) as sha256 from level4 join (select part, count(*) as n from split group by 1) using (part) group by 1, 2""")
 def split_record(spark, sf) -> DataFrame:
     return S.split_record(S.group_split(ids(spark, sf))).select("part", "n", "sha256")
 
 
 @query(with_views(f"""
-    select part, count(*) as n, bit_xor({draw("subject_id::varchar")}) as xor_hash, sum({draw("subject_id::varchar")})::bigint as sum_hash from split group by 1""",
+    select part, count(*) as n, bit_xor({draw("subject_id::varchar")}) as xor_hash, sum({draw("subject_id::varchar")} & 4294967295)::bigint as sum_hash from split group by 1""",
                   ids=IDS, split=SPLIT))
 def split_fingerprint(spark, sf) -> DataFrame:
     return S.ids_fingerprint(S.group_split(ids(spark, sf)), ["part"])
@@ -81,9 +86,9 @@ def split_guard(spark, sf) -> DataFrame:
 
 
 @query("""
-    select user_id as subject_id, count(distinct event_type) as n_parts from events where value > 150 group by 1 having count(distinct event_type) > 1""")
+    select user_id as subject_id, count(distinct event_type) as n_parts from events group by 1 having count(distinct event_type) > 1""")
 def part_overlaps(spark, sf) -> DataFrame:
-    e = V.table(spark, sf, "events").where("value > 150").select(F.col("user_id").alias("subject_id"), F.col("event_type").alias("part"))
+    e = V.table(spark, sf, "events").select(F.col("user_id").alias("subject_id"), F.col("event_type").alias("part"))
     return S.part_overlaps(e)
 
 

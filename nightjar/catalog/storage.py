@@ -61,21 +61,29 @@ def attempt_ledger(spark, sf) -> DataFrame:
     return I.latest_attempts(ledger).where(F.col("status").isin("error", "click")).select("subject_id", "attempt", "status")
 
 
-@query("""
-    select subject_id, key, value from (select user_id as subject_id, sum(value) as s, count(*) as n from events group by 1)
-    unpivot (value for key in (s, n)) where false union all
-    select user_id::bigint, 'auc.point', round(avg(value), 6)::double from events group by 1 union all
-    select user_id::bigint, 'auc.ci.low', round(min(value), 6)::double from events group by 1 union all
-    select user_id::bigint, 'n', count(*)::double from events group by 1""".replace("""select subject_id, key, value from (select user_id as subject_id, sum(value) as s, count(*) as n from events group by 1)
-    unpivot (value for key in (s, n)) where false union all
-    select user_id::bigint, 'auc.point', round(avg(value), 6)::double""", """select user_id::bigint as subject_id, 'auc.point' as key, round(avg(value), 6)::double as value"""))
-def flattened_metrics(spark, sf) -> DataFrame:
+def _metric_docs(spark, sf) -> DataFrame:
+    """Six levels of nested objects per user, written as JSON lines and read back as text."""
     path = folder(spark, "metrics")
     g = V.table(spark, sf, "events").groupBy(F.col("user_id").alias("subject_id")).agg(
-        F.round(F.avg("value"), 6).alias("p"), F.round(F.min("value"), 6).alias("l"), F.count("*").alias("n"))
-    doc = F.to_json(F.struct(F.struct(F.col("p").alias("point"), F.struct(F.col("l").alias("low")).alias("ci")).alias("auc"), "n", F.lit("text").alias("note")))
+        F.round(F.avg("value"), 6).alias("p"), F.round(F.min("value"), 6).alias("l"), F.round(F.max("value"), 6).alias("h"), F.count("*").alias("n"))
+    deep = F.struct(F.struct(F.struct(F.struct(F.col("h").alias("high")).alias("d")).alias("c")).alias("b"), F.lit("x").alias("low"))
+    doc = F.to_json(F.struct(F.struct(F.col("p").alias("point"), F.struct(F.col("l").alias("low"), deep.alias("a")).alias("ci")).alias("auc"), "n", F.lit("text").alias("note")))
     ST.write_metrics(g.select("subject_id", doc.alias("doc")), path)
-    return ST.flatten_json(spark.read.schema("subject_id bigint, doc string").json(path), "doc", ["subject_id"])
+    return spark.read.schema("subject_id bigint, doc string").json(path)
+
+
+@query("""
+    select user_id::bigint as subject_id, 'auc.point' as key, round(avg(value), 6)::double as value from events group by 1 union all
+    select user_id::bigint, 'auc.ci.low', round(min(value), 6)::double from events group by 1 union all
+    select user_id::bigint, 'auc.ci.a.b.c.d.high', round(max(value), 6)::double from events group by 1 union all
+    select user_id::bigint, 'n', count(*)::double from events group by 1""")
+def flattened_metrics(spark, sf) -> DataFrame:
+    return ST.flatten_json(_metric_docs(spark, sf), "doc", ["subject_id"])
+
+
+@query("select user_id::bigint as subject_id, 'auc.ci.a.b.c.d.high' as key, round(max(value), 6)::double as value from events group by 1")
+def json_key_search(spark, sf) -> DataFrame:
+    return ST.find_key(_metric_docs(spark, sf), "doc", ["subject_id"], ["upper", "high", "low", "point"])
 
 
 @query("""

@@ -85,9 +85,9 @@ def subject_number(identifier: Column | str) -> Column:
 
 
 def hash_draw(*parts: Column | str) -> Column:
-    """A 32-bit draw from the md5 of the parts joined by ':'; the same in every engine."""
+    """A 60-bit draw from the md5 of the parts joined by ':'; the same in every engine."""
     text = F.concat_ws(":", *[col(p).cast("string") for p in parts])
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
 
 
 def prior_correct(p: Column | str, weight: Column | float) -> Column:

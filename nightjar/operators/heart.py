@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.window import Window
 
@@ -14,35 +15,68 @@ from nightjar.functions.expressions import EPOCH_SECONDS
 from nightjar.operators.chunks import chunk_window, own_rows, with_halo
 from nightjar.operators.running import row_positions
 from nightjar.operators.signals import CHUNK_OF_EPOCHS, MARGIN_EPOCHS
+from nightjar.session import cut_lineage
 
 BEAT_CHUNK = 20_000
 RUN_HALO = 64
 GAP_SECONDS = 3.0
 
 
+def _per_subject_fill(chunks: DataFrame) -> DataFrame:
+    """One value for missing samples per subject: the median over its epochs of the epoch's own median."""
+    seen = F.sort_array(F.filter("samples", lambda x: x.isNotNull() & ~F.isnan(x)))
+    return chunks.select("subject_id", F.when(F.size(seen) > 0, F.element_at(seen, F.floor(F.size(seen) / 2).cast("int") + 1)).alias("_m")).groupBy(
+        "subject_id").agg(F.coalesce(F.percentile("_m", 0.5), F.lit(0.0)).alias("fill"))
+
+
+def _high_level(energy: DataFrame, share: float = 0.9, per_octave: int = 64) -> DataFrame:
+    """Per subject the energy that ``share`` of its samples do not exceed, by a histogram of 1/``per_octave`` octaves.
+
+    Counts per (subject, bin) fold map-side and are exact, so the level does not depend on how a night
+    was cut into chunks.
+    """
+    step = F.when(F.col("e") > 0, F.floor(F.log2("e") * per_octave)).otherwise(F.lit(-(1 << 30)))
+    bins = energy.select("subject_id", F.explode("energy").alias("e")).groupBy("subject_id", step.alias("bin")).agg(F.count("*").alias("n"))
+    w = Window.partitionBy("subject_id").orderBy("bin")
+    cum = bins.withColumns({"below": F.sum("n").over(w), "all": F.sum("n").over(Window.partitionBy("subject_id"))})
+    reached = cum.where(F.col("below") >= F.lit(share) * F.col("all")).groupBy("subject_id").agg(F.min("bin").alias("bin"))
+    return reached.select("subject_id", F.when(F.col("bin") > -(1 << 30), F.pow(F.lit(2.0), (F.col("bin") + 1) / per_octave)).otherwise(0.0).alias("level"))
+
+
 def detect_beats(chunks: DataFrame, fs: float, size: int = CHUNK_OF_EPOCHS, margin: int = MARGIN_EPOCHS) -> DataFrame:
-    """Envelope beat detector on chunks of epochs: (subject_id, t, amp).
+    """Beats (subject_id, t, amp): peaks of the slope energy of the 5-15 Hz band, at least 0.2 s apart.
 
-    The threshold is 0.3 x the chunk's own 90th percentile of the envelope; beats are at least
-    0.2 s apart. Margins are dropped, so every second is scored by exactly one chunk.
+    A peak must reach 0.3 of the subject's own 90th percentile of that energy. The percentile and the value
+    that stands in for missing samples come from the whole night, by aggregates; the trace itself is
+    only ever held as one chunk of epochs with its margins, so chunks of another size give the same beats.
     """
     per = round(EPOCH_SECONDS * fs)
-    d = with_halo(chunks.select("subject_id", "epoch_idx", "samples"), "epoch_idx", size, margin, margin)
+    d = chunks.select("subject_id", "epoch_idx", "samples")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def traced(pdf: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
         pdf = pdf.sort_values("epoch_idx")
         x = np.concatenate([np.asarray(s, dtype=float) for s in pdf["samples"]])
-        good = np.isfinite(x)
-        x = np.where(good, x, np.median(x[good]) if good.any() else 0.0)
-        env = kernels.qrs_envelope(x, fs)
-        peaks = kernels.separated_peaks(env, np.percentile(env, 90) * 0.3, max(1, int(0.2 * fs)))
-        start = int(pdf["epoch_idx"].iloc[0]) * per
-        own = pdf["_own"].to_numpy()[peaks // per]
-        peaks = peaks[own]
-        return pd.DataFrame({"subject_id": pdf["subject_id"].iloc[0], "t": (peaks + start) / fs, "amp": x[peaks]})
-
-    schema = d.select("subject_id").schema.add("t", "double").add("amp", "double")
-    return d.groupBy("subject_id", "_chunk").applyInPandas(run, schema)
+        fill = float(pdf["fill"].iloc[0])
+        return pdf, np.where(np.isfinite(x), x, fill), kernels.slope_energy(kernels.zero_phase_bandpass(x, fs, 5.0, 15.0, fill), fs)
+
+    def energies(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, _, energy = traced(pdf)
+        own = pdf["_own"].to_numpy()
+        return pd.DataFrame({"subject_id": pdf["subject_id"].to_numpy()[own], "energy": pd.Series(list(energy.reshape(-1, per)[own]), dtype=object)})
+
+    def peaks(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, x, energy = traced(pdf)
+        level = float(pdf["level"].iloc[0])
+        # in millionths of the level: what the filter's margins leave of a difference between chunks is less
+        at = kernels.separated_peaks(np.round(energy / level, 6) if level > 0 else energy, 0.3, max(1, int(0.2 * fs)))
+        at = at[pdf["_own"].to_numpy()[at // per]]
+        return pd.DataFrame({"subject_id": pdf["subject_id"].iloc[0], "t": (at + int(pdf["epoch_idx"].iloc[0]) * per) / fs, "amp": x[at]})
+
+    key = d.select("subject_id").schema
+    halo = cut_lineage(with_halo(d.join(_per_subject_fill(d), "subject_id"), "epoch_idx", size, margin, margin))
+    energy = halo.groupBy("subject_id", "_chunk").applyInPandas(energies, T.StructType(list(key.fields)).add("energy", T.ArrayType(T.DoubleType())))
+    levels = _high_level(energy)
+    return halo.join(levels, "subject_id").groupBy("subject_id", "_chunk").applyInPandas(peaks, T.StructType(list(key.fields)).add("t", "double").add("amp", "double"))
 
 
 def number_beats(beats: DataFrame, time: str = "t") -> DataFrame:

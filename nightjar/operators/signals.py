@@ -7,6 +7,7 @@ epochs with a margin on both sides.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,22 +48,22 @@ def to_physical(samples: Column | str, gain: Column | str, dmin: Column | str, p
 
 # ---- spectra ----------------------------------------------------------------------------------
 
-def welch_density(samples: Column | str, fs: float, nperseg: int) -> Column:
-    """Welch density of a sample array; bin k sits at k * fs / nperseg. NULL for a flat or empty array."""
+def welch_density(samples: Column | str, fs: float, nperseg: int, detrend: str = "constant") -> Column:
+    """Welch density of a sample array; bin k sits at k * fs / min(nperseg, size). NULL for a flat or empty array."""
 
     @pandas_udf("array<double>")
     def density(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
-            yield pd.Series([_density(a, fs, nperseg) for a in s])
+            yield pd.Series([_density(a, fs, nperseg, detrend) for a in s])
 
     return density(col(samples))
 
 
-def _density(a, fs: float, nperseg: int):
+def _density(a, fs: float, nperseg: int, detrend: str):
     x = None if a is None else np.asarray(a, dtype=float)
     if x is None or not np.isfinite(x).any() or np.nanstd(x) == 0:
         return None
-    return kernels.welch(x, fs, nperseg)[1]
+    return kernels.welch(x, fs, nperseg, detrend)[1]
 
 
 def _trapezoid(psd: Column, lo: float, hi: float, closed: bool, df: float, n_bins: int) -> Column:
@@ -144,26 +145,16 @@ def oxygen_spectrum(signal: DataFrame, epochs: DataFrame, window: int = 120,
         .agg(F.transform(F.sort_array(F.collect_list(F.struct("sec", "value"))), lambda s: s["value"]).alias("x"))
     )
 
-    @pandas_udf("struct<band double, total double>")
-    def power(s: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([_oxygen_power(np.asarray(a, dtype=float), band) for a in s], columns=["band", "total"])
-
-    p = windows.where(F.size("x") >= 30).withColumn("p", power("x"))
-    b, t = F.nanvl("p.band", F.lit(None).cast("double")), F.nanvl("p.total", F.lit(None).cast("double"))
-    feats = p.select("subject_id", "epoch_idx", b.alias("spo2_psd_apnea_band"), t.alias("spo2_psd_total"),
-                     F.when(t > 0, b / t).alias("spo2_psd_apnea_ratio"))
+    step = F.lit(1.0) / F.least(F.size("x"), F.lit(64))
+    density = windows.where(F.size("x") >= 30).select("subject_id", "epoch_idx", step.alias("step"), welch_density("x", 1.0, 64, "linear").alias("psd"))
+    inside = F.filter("psd", lambda _, k: (k * F.col("step") >= band[0]) & (k * F.col("step") <= band[1]))
+    added = lambda c: F.aggregate(c, F.lit(0.0), lambda acc, v: acc + v) * F.col("step")
+    feats = density.select("subject_id", "epoch_idx", added(inside).alias("b"), added(F.col("psd")).alias("t")).select(
+        "subject_id", "epoch_idx", F.col("b").alias("spo2_psd_apnea_band"), F.col("t").alias("spo2_psd_total"),
+        F.when(F.col("t") > 0, F.col("b") / F.col("t")).alias("spo2_psd_apnea_ratio"))
     return epochs.join(feats, ["subject_id", "epoch_idx"], "left")
 
 
-def _oxygen_power(x: np.ndarray, band: tuple[float, float]) -> tuple[float, float]:
-    if x.std() == 0:
-        return np.nan, np.nan
-    f, psd = kernels.welch(x, 1.0, min(64, x.size), "linear")
-    df = f[1] - f[0]
-    inside = (f >= band[0]) & (f <= band[1])
-    return float(psd[inside].sum() * df), float(psd.sum() * df)
-
-
 def _own_epochs(pdf: pd.DataFrame, own: np.ndarray, y: np.ndarray) -> pd.DataFrame:
     """The chunk's own epochs with their new samples; a chunk of halo rows only gives no row."""
     out = pdf.loc[own, ["subject_id", "channel", "epoch_idx"]].reset_index(drop=True)
@@ -221,12 +212,24 @@ def array_corr(a: Column | str, b: Column | str) -> Column:
     return F.when((sa > 1e-12) & (sb > 1e-12), cov / (sa * sb))
 
 
-def breath_rate(samples: Column | str, fs: float) -> Column:
-    @pandas_udf("double")
-    def rate(s: pd.Series) -> pd.Series:
-        return pd.Series([None if a is None else kernels.breath_rate(np.asarray(a, dtype=float), fs) for a in s], dtype=float)
+def breath_rate(samples: Column | str, fs: float, seconds: float = EPOCH_SECONDS, lo: float = 0.1, hi: float = 0.5) -> Column:
+    """Breaths per minute: the strongest harmonic of the epoch between ``lo`` and ``hi`` Hz, NULL for a flat epoch.
 
-    return F.nanvl(rate(col(samples)), F.lit(None).cast("double"))
+    The few harmonics k / seconds of the band are correlated with the centred samples one by one.
+    """
+    x = col(samples)
+    mean = array_mean(x)
+    centred = F.transform(x, lambda v: v - mean)
+    n = round(seconds * fs)
+
+    def part(k: int, wave) -> Column:
+        turned = F.transform(centred, lambda v, i: v * wave(i * F.lit(2 * math.pi * k / n)))
+        return F.aggregate(turned, F.lit(0.0), lambda acc, v: acc + v)
+
+    ks = range(math.ceil(lo * seconds - 1e-9), math.floor(hi * seconds + 1e-9) + 1)
+    powers = [F.struct((part(k, F.cos) * part(k, F.cos) + part(k, F.sin) * part(k, F.sin)).alias("power"), F.lit(-k).alias("k")) for k in ks]
+    flat = F.array_max(F.transform(centred, F.abs)) <= 1e-8
+    return F.when(~flat, -F.array_max(F.array(*powers))["k"] * F.lit(60.0 / seconds))
 
 
 def respiratory_features(chunks: DataFrame, fs: float, lo: float = 0.05, hi: float = 3.0) -> DataFrame:

@@ -121,28 +121,29 @@ def set_difference(a: DataFrame, b: DataFrame, examples: int = 5) -> DataFrame:
 
 
 def ids_fingerprint(ids: DataFrame, by: list[str]) -> DataFrame:
-    """Order-free fingerprint of an id set: count, xor and sum of the ids' md5 draws.
+    """Order-free fingerprint of an id set: count, xor and sum (of the low 32 bits) of the ids' md5 draws.
 
     It folds map-side, so the id list is never gathered the way a hash of the joined list would be.
     """
     d = ids.select(*by, "subject_id").distinct().withColumn("_h", hash_draw("subject_id"))
-    return d.groupBy(*by).agg(F.count("*").alias("n"), F.bit_xor("_h").alias("xor_hash"), F.sum("_h").alias("sum_hash"))
-
-
-MAX_HASHED_IDS = 1_000_000
+    return d.groupBy(*by).agg(F.count("*").alias("n"), F.bit_xor("_h").alias("xor_hash"), F.sum(F.col("_h").bitwiseAND(F.lit(0xFFFFFFFF))).alias("sum_hash"))
 
 
 def ids_sha256(ids: DataFrame, by: list[str]) -> DataFrame:
-    """sha256 of the sorted comma-joined ids of each part, for frozen split records.
+    """(by, n, sha256): a content hash of each part's sorted whole-number ids, by the same rule at any size.
 
-    The text of a part has to be put together in one place, so it is made only for parts of at most
-    ``MAX_HASHED_IDS`` ids (a few MB); a larger part gets NULL and is compared by ``ids_fingerprint``.
+    Ids are hashed in blocks of 2^16 neighbouring numbers, the block hashes in blocks of 2^16 blocks
+    and so on up to 64 bits: a tree whose shape depends on the ids alone. No task joins more than 2^16
+    ids or hashes, and a part may hold any number of them.
     """
-    d = cut_lineage(ids.select(*by, "subject_id").distinct())
-    sizes = d.groupBy(*by).agg(F.count("*").alias("n"))
-    small = d.join(sizes.where(F.col("n") <= MAX_HASHED_IDS).select(*by), by, "left_semi")
-    text = F.array_join(F.sort_array(F.collect_list("subject_id")), ",")
-    return sizes.join(small.groupBy(*by).agg(F.sha2(text, 256).alias("sha256")), by, "left")
+    d = cut_lineage(ids.select(*by, F.col("subject_id").cast("bigint").alias("id")).distinct())
+    high = F.shiftright("block", 16).alias("block")
+    joined = lambda c: F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(c)), lambda x: x["text"]), ","), 256).alias("mark")
+    marks = d.groupBy(*by, F.shiftright("id", 16).alias("block")).agg(joined(F.struct("id", F.col("id").cast("string").alias("text"))))
+    item = F.struct("block", F.concat_ws(":", F.col("block").cast("string"), "mark").alias("text"))
+    for _ in range(3):
+        marks = marks.groupBy(*by, high).agg(joined(item))
+    return d.groupBy(*by).agg(F.count("*").alias("n")).join(marks.groupBy(*by).agg(joined(item)).withColumnRenamed("mark", "sha256"), by)
 
 
 def split_record(split: DataFrame) -> DataFrame:

@@ -15,8 +15,6 @@ from nightjar.operators.metrics import discrimination
 from nightjar.operators.running import running_totals
 from nightjar.session import cut_lineage
 
-MAX_STRATA = 100
-
 
 def _w(weight: str | None) -> Column:
     return F.col(weight) if weight else F.lit(1)
@@ -142,30 +140,27 @@ def uno_c(df: DataFrame, by: list[str], strata: list[str], tau: float, weight: s
           km: DataFrame | None = None) -> DataFrame:
     """IPCW concordance truncated at tau; a pair is weighted by both members' own G at the earlier time.
 
-    With strata, a case is entered once per stratum (there are few) and compared with the controls
-    of that stratum only, so its pair weight depends on the case alone.
+    With strata, cases are folded to (time, score) first, whatever their own stratum, then entered once
+    per stratum and compared with the controls of that stratum only, so a pair's weight depends on the case alone.
     """
     w = _w(weight)
     km = censoring_km(df, [*by, *strata], weight) if km is None else km
     d = _ordered(with_censoring(df, by, strata, km), by)
-    ctrl = d.select(*by, *[F.col(s).alias(f"z_{s}") for s in strata], "_o", "_times", "score",
+    zs = [f"z_{s}" for s in strata]
+    ctrl = d.select(*by, *[F.col(s).alias(z) for s, z in zip(strata, zs)], "_o", "_times", "score",
                     F.lit(0.0).alias("case"), w.alias("ctrl"))
-    cases = d.where((F.col("event") == 1) & (F.col("time") < tau)).withColumn("_case", w * _inverse(F.col("g_left")))
+    own = d.where((F.col("event") == 1) & (F.col("time") < tau))
     if strata:
-        levels = [r.asDict() for r in df.select(*strata).distinct().limit(MAX_STRATA + 1).collect()]
-        if len(levels) > MAX_STRATA:
-            raise ValueError(f"more than {MAX_STRATA} censoring strata")
-        each = F.explode(F.array(*[F.struct(*[F.lit(l[s]).alias(s) for s in strata]) for l in levels]))
-        cases = cases.withColumn("_z", each).withColumns({f"z_{s}": F.col(f"_z.{s}") for s in strata}).drop("_z")
-        steps = km.where("c > 0").select(*by, *[F.col(s).alias(f"z_{s}") for s in strata], "time", F.col("g").alias("_gz"))
-        probes = cases.select(*by, *[f"z_{s}" for s in strata], "time").distinct()
-        at = step_lookup(probes, steps, [*by, *[f"z_{s}" for s in strata]], "time", "_gz", left_limit=True)
-        cases = cases.join(at, [*by, *[f"z_{s}" for s in strata], "time"])
+        folded = own.groupBy(*by, "time", "_o", "_times", "score").agg(F.sum(w * _inverse(F.col("g_left"))).alias("_case"))
+        levels = df.select(F.struct(*[F.col(s).alias(z) for s, z in zip(strata, zs)]).alias("z")).distinct().agg(F.collect_list("z").alias("z")).scalar()
+        steps = km.where("c > 0").select(*by, *[F.col(s).alias(z) for s, z in zip(strata, zs)], "time", F.col("g").alias("_gz"))
+        probes = folded.select(*by, "time").distinct().withColumn("_z", F.explode(levels)).select(*by, "time", "_z.*")
+        at = step_lookup(probes, steps, [*by, *zs], "time", "_gz", left_limit=True)
+        cases = folded.join(at, [*by, "time"]) if by else folded.join(at, "time")
         value = F.col("_case") * _inverse(F.col("_gz"))
     else:
-        value = F.col("_case") * _inverse(F.col("g_left"))
-    zs = [f"z_{s}" for s in strata]
-    case = cases.select(*by, *zs, "_o", "_times", "score", value.alias("case"), (w * 0).alias("ctrl"))
+        cases, value = own, w * _inverse(F.col("g_left")) * _inverse(F.col("g_left"))
+    case = cases.select(*by, *zs, "_o", "_times", "score", value.alias("case"), F.lit(0).alias("ctrl"))
     cells = ctrl.unionByName(case).groupBy(*by, *zs, "_o", "_times", "score").agg(
         F.sum("case").alias("case"), F.sum("ctrl").alias("ctrl"))
     return _dominance(cells, [*by, *zs]).groupBy(*by).agg(F.try_divide(F.sum("num"), F.sum("den")).alias("uno_c"))

@@ -8,12 +8,15 @@ from pyspark.sql import functions as F
 from nightjar.functions.expressions import is_sleep
 from nightjar.operators import fitting as FT
 from nightjar.operators import metrics as M
-from nightjar.operators.columns import feature_columns, feature_subset
+from nightjar.operators.columns import of_kind, select_features
 from nightjar.operators.running import union_all
 from nightjar.operators.splits import group_split
 from nightjar.session import cut_lineage
 
 
+MODES = {"full": of_kind("aasm", "physio", "unknown"), "physio_only": of_kind("physio", "unknown"), "aasm_only": of_kind("aasm")}
+
+
 def prepare(rows: DataFrame, seed: int = 42, sleep_only: bool = True) -> DataFrame:
     """Rows with their split part, written once for all fits of an analysis."""
     d = rows.where(is_sleep("sleep_stage")) if sleep_only else rows
@@ -40,7 +43,7 @@ def ablation(rows: DataFrame, modes: list[str], families: list[str], seed: int =
     prepared = prepare(rows, seed)
     scored = []
     for mode in modes:
-        columns = feature_subset(feature_columns(rows.columns), mode)
+        columns = select_features(rows.columns, MODES[mode])
         for family in families:
             run = fit_and_score(prepared, columns, family, **options)
             scored.append(run.withColumn("run", F.lit(f"{mode}/{family}")).withColumn("n_features", F.lit(len(columns))))

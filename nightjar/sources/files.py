@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,10 +23,6 @@ REGISTRY = {
     "n_test_epochs": ("n_test_epochs", "n_test"), "n_test_subjects": ("n_test_subjects", "n_test_subjects"),
     "threshold": ("best_threshold", "best_threshold"), "n_optuna_trials": ("n_trials_completed", "n_trials_completed"),
 }
-# Run-name patterns of the row filter used before it was recorded.
-FILTER_PATTERNS = (("all-stages", "phase1_exp5_sleep_stage"), ("sleep-only", "aim2_cv_v[4-7]"),
-                   (None, "v85_taxonomy|lit_2019|phase1_batch|phase1_exp6_tabnet|v6_past_only|v6_future_inclusive"),
-                   ("all-stages-bug", "v8_(xgboost|catboost|logreg|rf|ensemble)$"))
 
 
 def discover_subject_ids(spark: SparkSession, path: str, pattern: str = SUBJECT_PATTERN) -> DataFrame:
@@ -56,16 +54,16 @@ def read_metrics(spark: SparkSession, root: str, file_name: str) -> DataFrame:
         ~F.col("run_id").rlike("(^|/)_"))
 
 
-def infer_filter(name: Column) -> Column:
-    """Row filter of an old run from its name; NULL when the name does not decide it."""
-    out = F.lit(None).cast("string")
-    for value, pattern in reversed(FILTER_PATTERNS):
-        out = F.when(F.lower(name).rlike(pattern), F.lit(value)).otherwise(out)
-    return out
+def infer_filter(name: Column, patterns: Sequence[tuple[str, str]]) -> Column:
+    """Row filter of an old run: the tag of the first (pattern, tag) found in its name, else NULL."""
+    return F.coalesce(F.lit(None).cast("string"), *[F.when(F.lower(name).rlike(pattern), F.lit(tag)) for pattern, tag in patterns])
+
 
+def registry(basic: DataFrame, extended: DataFrame, filter_patterns: Sequence[tuple[str, str]] = ()) -> DataFrame:
+    """One row per run from (run_id, date, doc) texts; extended keys win over basic ones, sorted by run.
 
-def registry(basic: DataFrame, extended: DataFrame) -> DataFrame:
-    """One row per run from (run_id, date, doc) texts; extended keys win over basic ones, sorted by run."""
+    ``filter_patterns`` names the row filter of runs whose record does not: their owner knows the names.
+    """
     b = basic.select("run_id", F.col("date").alias("_bd"), F.col("doc").alias("_b"))
     e = extended.select("run_id", F.col("date").alias("_ed"), F.col("doc").alias("_e"))
     d = b.join(e, "run_id", "full_outer")
@@ -81,7 +79,7 @@ def registry(basic: DataFrame, extended: DataFrame) -> DataFrame:
     for out, (new, old) in REGISTRY.items():
         v = value(new, old)
         if out == "filter_used":
-            v = F.coalesce(v, infer_filter(F.col("run_id")))
+            v = F.coalesce(v, infer_filter(F.col("run_id"), filter_patterns))
         cols.append((v if out in text else v.try_cast("double")).alias(out))
     features = F.from_json(F.get_json_object("_b", "$.feature_cols"), "array<string>")
     return d.select(

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from nightjar.session import cut_lineage
+
 SUBJECT_FILES = "shhs1-*.parquet"
 
 
+
 def write_epochs(df: DataFrame, path: str) -> None:
     """Epoch table partitioned by version; re-running a version replaces only that partition.
 
@@ -103,20 +109,27 @@ def flatten_struct(df: DataFrame, sep: str = ".") -> DataFrame:
 
 
 def flatten_json(df: DataFrame, column: str, keys: list[str]) -> DataFrame:
-    """(keys..., key, value) rows: every numeric leaf of a JSON text column under its dotted path.
+    """(keys..., key, value) rows: every numeric leaf of a JSON text column under its dotted path, at any depth.
 
-    The document is opened one level per pass; a pass explodes the objects found by the previous one.
+    A pass opens the objects that the one before found, until it finds none; each level is written once.
     """
     level = df.select(*keys, F.lit("").alias("key"), F.col(column).alias("_v"))
-    leaves = None
-    for _ in range(MAX_DEPTH):
-        obj = F.from_json("_v", "map<string,string>")
-        opened = level.select(*keys, F.col("key").alias("_p"), F.explode(obj).alias("_k", "_v")).select(
-            *keys, F.when(F.col("_p") == "", F.col("_k")).otherwise(F.concat("_p", F.lit("."), "_k")).alias("key"), "_v")
-        number = opened.select(*keys, "key", F.expr("try_cast(_v as double)").alias("value")).where("value IS NOT NULL AND NOT isnan(value)")
-        leaves = number if leaves is None else leaves.unionByName(number)
+    leaves = []
+    while True:
+        opened = cut_lineage(level.select(*keys, F.col("key").alias("_p"), F.explode(F.from_json("_v", "map<string,string>")).alias("_k", "_v")).select(
+            *keys, F.when(F.col("_p") == "", F.col("_k")).otherwise(F.concat("_p", F.lit("."), "_k")).alias("key"), "_v"))
+        leaves.append(opened.select(*keys, "key", F.expr("try_cast(_v as double)").alias("value")).where("value IS NOT NULL AND NOT isnan(value)"))
         level = opened.where(F.col("_v").startswith("{"))
-    return leaves
+        if not level.take(1):
+            return reduce(DataFrame.unionByName, leaves)
 
 
-MAX_DEPTH = 3
+def find_key(df: DataFrame, column: str, keys: list[str], names: Sequence[str]) -> DataFrame:
+    """(keys..., key, value): the numeric leaf of a JSON text column whose last name is the first of ``names`` that occurs.
+
+    Names are tried in order; among leaves of one name the least deep wins, then the first path.
+    """
+    order = F.array_position(F.lit(list(names)), F.element_at(F.split("key", "[.]"), -1))
+    ranked = flatten_json(df, column, keys).withColumn("_o", order).where("_o > 0")
+    best = F.min_by(F.struct("key", "value"), F.struct("_o", F.size(F.split("key", "[.]")), "key"))
+    return ranked.groupBy(*keys).agg(best.alias("_b")).select(*keys, "_b.key", "_b.value")

@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from nightjar.operators import survival as S
 from nightjar.operators.asof import step_lookup
@@ -158,3 +159,55 @@ def test_aalen_johansen_without_competitors_is_one_minus_km(spark):
     p["cause"] = p["event"]
     d = spark.createDataFrame(p)
     assert abs(S.aalen_johansen(d, [], 0.8).first().cif - S.km_risk(d, [], 0.8).first().risk) < 1e-9
+
+
+def test_uno_with_hundreds_of_strata(spark):
+    r = np.random.default_rng(8)
+    p = pd.DataFrame({"time": np.ceil(r.exponential(1, 900) * 10) / 10 + 0.1, "event": r.integers(0, 2, 900), "score": r.normal(size=900).round(2), "stratum": [f"s{i % 300}" for i in range(900)]})
+    got = S.uno_c(spark.createDataFrame(p), [], ["stratum"], 1.5).first().uno_c
+    g = {}
+    for z, own in p.groupby("stratum"):
+        t = np.sort(own.time.unique())
+        left, out = 1.0, []
+        for x in t:
+            at_risk, d, c = (own.time >= x).sum(), ((own.time == x) & (own.event == 1)).sum(), ((own.time == x) & (own.event == 0)).sum()
+            out.append((x, left))
+            left *= 1 - c / (at_risk - d) if c else 1.0
+        g[z] = (out, left)
+
+    def g_left(z, x):
+        steps, last = g[z]
+        return next((v for t, v in steps if t >= x), last)
+
+    num = den = 0.0
+    for i in p[(p.event == 1) & (p.time < 1.5)].itertuples():
+        for j in p[(p.time > i.time) | ((p.time == i.time) & (p.event == 0))].itertuples():
+            if j.Index != i.Index:
+                a, b = g_left(i.stratum, i.time), g_left(j.stratum, i.time)
+                w = 1 / (a * b) if a > 0 and b > 0 else 0.0
+                num, den = num + w * ((i.score > j.score) + 0.5 * (i.score == j.score)), den + w
+    assert abs(got - num / den) < 1e-9
+
+
+def test_cox_with_a_million_deaths_at_one_time(spark):
+    from nightjar.operators import cox
+
+    d = spark.range(1_200_000).select(F.when(F.col("id") < 1_000_000, 1.0).otherwise(2.0).alias("time"), (F.col("id") % 1_100_000 < 1_000_000).cast("int").alias("event"),
+                                      (F.pmod(F.xxhash64("id"), F.lit(2))).cast("double").alias("x"))
+    fit = cox.cox_fit(d, ["x"])
+    assert abs(fit.beta[0]) < 0.02 and 0 < fit.se[0] < 0.01
+
+
+def test_efron_sums_in_closed_form(spark):
+    from nightjar.operators import cox
+
+    rows = [(5.0, 2.0, 3), (100.0, 7.5, 1), (40.0, 40.0, 9), (1e6, 30.0, 12), (9.0, 8.0, 500)]
+    df = spark.createDataFrame(rows, "r_s0 double, d_s0 double, deaths int").withColumns(cox._efron_sums())
+    for x in df.collect():
+        f = np.arange(x.deaths) / x.deaths
+        phi = x.r_s0 - f * x.d_s0
+        want = {"_log": np.log(phi).sum(), "_p": (1 / phi).sum(), "_fp": (f / phi).sum(), "_pp": (1 / phi**2).sum(), "_fpp": (f / phi**2).sum(), "_ffpp": (f * f / phi**2).sum()}
+        ratio = x.r_s0 / x.d_s0  # f multiplies death sums, which are so much smaller than risk sums
+        scale = {"_log": want["_log"], "_p": want["_p"], "_fp": want["_p"] * ratio, "_pp": want["_pp"], "_fpp": want["_pp"] * ratio, "_ffpp": want["_pp"] * ratio**2}
+        for k, v in want.items():
+            assert abs(x[k] - v) <= 1e-9 * abs(scale[k]), (k, x)

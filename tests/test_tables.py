@@ -80,32 +80,44 @@ def test_outcome_build_and_audit(spark):
 ALL = [b + s for b in CO.BASE_FEATURES for s in ("", *CO.CONTEXT_SUFFIXES)]
 
 
+PHYSIO = CO.select_features(ALL, CO.known_at(0), CO.of_kind("physio", "unknown"))
+
+
 def test_feature_counts():
     assert len(CO.BASE_FEATURES) == 57 and len(ALL) == 399
-    assert CO.classify("spo2_min_roll5_std") == "aasm" and CO.classify("resp_thor_rms") == "unknown" and CO.classify("eeg_beta_rel") == "physio"
-    physio = CO.feature_subset(ALL, "physio_only")
-    assert physio[-1].startswith("resp_") and not set(physio) & set(CO.feature_subset(ALL, "aasm_only"))
+    f = CO.describe("spo2_min_roll5_std")
+    assert (f.base, f.context, f.kind, f.batch, f.looks_ahead) == ("spo2_min", "_roll5_std", "aasm", None, True)
+    assert CO.describe("resp_thor_rms").kind == "unknown" and CO.describe("eeg_beta_rel").kind == "physio"
+    assert CO.describe("spo2_sampen_lag1").batch == 0 and not CO.describe("hr_mean_lag1").looks_ahead
+    kinds = [CO.select_features(ALL, CO.of_kind(k)) for k in ("aasm", "physio", "unknown")]
+    assert sum(map(len, kinds)) == len(ALL) and CO.select_features(["subject_id", "hr_mean"]) == ["hr_mean"]
 
 
 def test_matched_cells():
-    physio = CO.feature_subset(CO.columns_at_step(ALL, 0), "physio_only")
-    assert len(physio) == 217
-    assert len(CO.cell_columns("ecg_only", physio)) == 56 and len(CO.cell_columns("ecg_belt", physio)) == 77
-    with pytest.raises(AssertionError):
-        CO.cell_columns("ecg_only", physio[:-1])
+    assert len(PHYSIO) == 217
+    assert [len(CO.matched_cell(c, PHYSIO)) for c in ("physio_only_repro", "ecg_only", "ecg_belt")] == [217, 56, 77]
+    with pytest.raises(CO.CellError):
+        CO.matched_cell("ecg_only", PHYSIO[:-1])
+    with pytest.raises(CO.CellError, match="variants"):
+        CO.matched_cell("ecg_only", [*PHYSIO[:-1], "hr_extra"])
 
 
 def test_causal_and_first_schema():
-    keep = CO.causal_columns(ALL)
-    assert not any(CO.looks_ahead(c) for c in keep) and "hr_mean_lag1" in keep
-    assert len(CO.causal_columns(ALL, match_first_schema=True, future=True)) == 203
-    assert not any(c.startswith(CO.STAGE_LEAK_PREFIXES) for c in CO.staging_columns(ALL, "multimodal"))
+    keep = CO.select_features(ALL, CO.causal)
+    assert not any(CO.describe(c).looks_ahead for c in keep) and "hr_mean_lag1" in keep
+    assert len(CO.select_features(ALL, CO.known_at(0), CO.not_in_sprint)) == 203
+    for config in CO.STAGING_RULES:
+        assert not any(c.startswith(CO.STAGE_LEAK_PREFIXES) for c in CO.staging_features(ALL, config))
 
 
 def test_column_expressions_follow_the_names(spark):
-    d = spark.createDataFrame([(n,) for n in ALL], "n string").select("n", CO.base_feature_column(F.col("n")).alias("b"), CO.classify_column(F.col("n")).alias("c"))
+    d = spark.createDataFrame([(n,) for n in ALL], "n string").select("n", CO.base_column(F.col("n")).alias("b"), CO.kind_column(F.col("n")).alias("c"))
     for r in d.collect():
-        assert r.b == CO.base_feature(r.n) and r.c == CO.classify(r.n)
+        assert (r.b, r.c) == (CO.describe(r.n).base, CO.describe(r.n).kind)
+    wide = spark.createDataFrame([(1, 1.0, 2.0, 3.0)], "subject_id int, hr_mean double, odi3_count_lead1 double, spo2_sampen double")
+    rows = {r.name: r for r in CO.column_catalog(wide).collect()}
+    assert rows["odi3_count_lead1"].looks_ahead and rows["odi3_count_lead1"].leaks_stage and rows["spo2_sampen"].batch == 0
+    assert [r.name for r in CO.literature_table(wide).where("present").collect()] == ["hr_mean"]
 
 
 # ---- contracts --------------------------------------------------------------------------------
@@ -261,17 +273,17 @@ def test_extraction_end_to_end(spark, night_files):
 
 
 def test_registry_from_run_folders(spark, tmp_path):
-    for run, ext in (("a_seed42", True), ("aim2_cv_v6", False), ("_old/x", True)):
+    for run, ext in (("a_seed42", True), ("old_sleep_run", False), ("_old/x", True)):
         p = tmp_path / run
         p.mkdir(parents=True)
         (p / "metrics.json").write_text(json.dumps({"model": "m", "test_auc_roc": 0.7, "feature_cols": ["a", "b"], "f1": None}))
         if ext:
             (p / "metrics_extended.json").write_text(json.dumps({"auc_roc": 0.8, "brier": float("nan")}))
     root = str(tmp_path)
-    got = {r.run_id: r for r in FI.registry(FI.read_metrics(spark, root, "metrics.json"), FI.read_metrics(spark, root, "metrics_extended.json")).collect()}
-    assert set(got) == {"a_seed42", "aim2_cv_v6"}
+    got = {r.run_id: r for r in FI.registry(FI.read_metrics(spark, root, "metrics.json"), FI.read_metrics(spark, root, "metrics_extended.json"), [("a_seed", "all"), ("sleep_run$", "sleep-only"), ("old", "none")]).collect()}
+    assert set(got) == {"a_seed42", "old_sleep_run"} and got["a_seed42"].filter_used == "all"
     assert got["a_seed42"].test_auc == 0.8 and got["a_seed42"].ci_basis == "subject" and got["a_seed42"].brier is None and got["a_seed42"].n_features == 2
-    assert got["aim2_cv_v6"].test_auc == 0.7 and got["aim2_cv_v6"].filter_used == "sleep-only"
+    assert got["old_sleep_run"].test_auc == 0.7 and got["old_sleep_run"].filter_used == "sleep-only"
     runs = FI.discover_runs(spark, root, "metrics.json").collect()
     assert [(r.config, r.seed) for r in runs] == [("a", 42)]
 
