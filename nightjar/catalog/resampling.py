@@ -16,7 +16,7 @@ from nightjar.plans import views as V
 from nightjar.plans.views import with_views
 from nightjar.session import cut_lineage
 
-N_BOOT = 20
+N_BOOT = 1000
 
 IDX = "select subject_id, row_number() over (order by subject_id) - 1 as idx, count(*) over () as n from (select distinct user_id as subject_id from events)"
 WEIGHTS = f"""

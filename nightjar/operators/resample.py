@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,7 +14,8 @@ from nightjar.functions.expressions import hash_draw
 from nightjar.operators.running import bucket_count, dense_index, quantile_bucket
 from nightjar.session import cut_lineage
 
-REPLICATE_BLOCK = 128
+ROWS_PER_BUCKET = 20_000
+SLAB = 500  # rows whose replicate weights are held as a matrix at once
 
 
 def boot_weights(subjects: DataFrame, n_boot: int, seed: int = 42) -> DataFrame:
@@ -28,10 +31,59 @@ def boot_weights(subjects: DataFrame, n_boot: int, seed: int = 42) -> DataFrame:
     return cut_lineage(picks.join(ids.select("subject_id", "idx"), "idx").select("replicate", "subject_id", "w"))
 
 
+def weight_lists(weights: DataFrame) -> DataFrame:
+    """(subject_id, r, w): each subject's replicates and counts as two lists, one row per subject."""
+    d = weights.groupBy("subject_id").agg(F.collect_list(F.struct("replicate", "w")).alias("_d"))
+    return d.select("subject_id", F.transform("_d", lambda x: x["replicate"]).alias("r"), F.transform("_d", lambda x: x["w"].cast("int")).alias("w"))
+
+
+def _matrix(rows: pa.RecordBatch | pa.Table, n_boot: int) -> np.ndarray:
+    """(row, replicate) weights of some rows that carry the two lists."""
+    r, w = (rows.column(c).combine_chunks() if isinstance(rows, pa.Table) else rows.column(c) for c in ("r", "w"))
+    out = np.zeros((len(rows), n_boot))
+    out[np.repeat(np.arange(len(rows)), pc.list_value_length(r).to_numpy()), pc.list_flatten(r).to_numpy()] = pc.list_flatten(w).to_numpy()
+    return out
+
+
+def _replicate_sums(listed: DataFrame, keys: list[str], cols: list[str], n_boot: int) -> DataFrame:
+    """(keys, replicate, cols): sums of weight x column over rows that carry their subject's lists.
+
+    A task multiplies SLAB rows at a time with their weights and folds them by key, so what leaves it is one
+    row per key and replicate it met, not one per row and replicate.
+    """
+    schema = ", ".join([*(f"`{k}` {listed.schema[k].dataType.simpleString()}" for k in keys), "replicate int", *(f"`{c}` double" for c in cols)])
+
+    def run(batches):
+        for batch in batches:
+            held: dict = {}
+            for a in range(0, batch.num_rows, SLAB):
+                part = batch.slice(a, SLAB)
+                weight = _matrix(part, n_boot)
+                key = list(zip(*[part.column(k).to_pylist() for k in keys])) if keys else [()] * part.num_rows
+                values = np.stack([part.column(c).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in cols])
+                for k in set(key):
+                    own = np.array([x == k for x in key])
+                    held[k] = held.get(k, 0.0) + values[:, own] @ weight[own]
+            for k, sums in held.items():
+                names = [*keys, "replicate", *cols]
+                fixed = [pa.array([v] * n_boot, listed_types[c]) for c, v in zip(keys, k)]
+                yield pa.RecordBatch.from_arrays([*fixed, pa.array(np.arange(n_boot), pa.int32()), *[pa.array(x) for x in sums]], names=names)
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    listed_types = {k: to_arrow_type(listed.schema[k].dataType) for k in keys}
+    d = listed.select(*keys, *cols, "r", "w").mapInArrow(run, schema)
+    return d.groupBy(*keys, "replicate").agg(*[F.sum(c).alias(c) for c in cols])
+
+
 def weighted_sums(stats: DataFrame, weights: DataFrame, by: list[str], cols: list[str]) -> DataFrame:
-    """Replicate totals of per-subject sufficient statistics: sum of w * statistic."""
-    return stats.join(weights, "subject_id").groupBy("replicate", *by).agg(
-        *[F.sum(F.col(c) * F.col("w")).alias(c) for c in cols])
+    """Replicate totals of per-subject sufficient statistics: sum of w * statistic, as blocks of a matrix product.
+
+    A (by, replicate) without any drawn subject has no row.
+    """
+    n_boot = weights.agg(F.max("replicate") + 1).first()[0] or 0
+    listed = stats.withColumn("_one", F.lit(1.0)).join(weight_lists(weights), "subject_id")
+    return _replicate_sums(listed, by, [*cols, "_one"], n_boot).where("_one > 0").drop("_one")
 
 
 def replicate_discrimination(preds: DataFrame, weights: DataFrame, n_boot: int, by: list[str] | None = None,
@@ -39,109 +91,98 @@ def replicate_discrimination(preds: DataFrame, weights: DataFrame, n_boot: int,
                              buckets: int | None = None) -> DataFrame:
     """AUC and average precision of every replicate: (by, replicate, auc, average_precision).
 
-    Rows shrink to (subject, score) counts and are cut into score buckets; a score that is itself a
-    cut point (any score with a large share of the rows) gets a bucket of its own.
-      1. bucket totals per replicate are sums of per-subject counts times weights;
+    Rows shrink to (subject, score) counts and are cut into score buckets of about ROWS_PER_BUCKET rows;
+    a score that is itself a cut point (any score with a large share of the rows) gets a bucket of its own.
+    A subject's weights are joined once to its cells of a bucket, as two lists.
+      1. bucket totals per replicate are matrix products of counts and weights;
       2. single-score buckets follow from those totals alone;
-      3. every other bucket goes with its subjects' weights to one Arrow task per replicate block,
-         which scores all replicates of the block at once.
-    No row is repeated per replicate. The (subject, score) counts and the bucket totals are written
-    once, because several steps read them.
+      3. every other bucket goes to one Arrow task, which scores all replicates, SLAB rows at a time.
+    No row is repeated per replicate; what has a replicate column has one row per bucket and replicate.
     """
-    by = by or []
+    keys = by or ["_all"]
     y = F.col(label).cast("int")
-    rows = cut_lineage(preds.groupBy(*by, "subject_id", score).agg(
-        F.sum((y == 1).cast("int")).alias("pos"), F.sum((y == 0).cast("int")).alias("neg")))
-    n = buckets or bucket_count(preds)
+    rows = (preds if by else preds.withColumn("_all", F.lit(0))).groupBy(*keys, "subject_id", score).agg(
+        F.sum((y == 1).cast("int")).alias("pos"), F.sum((y == 0).cast("int")).alias("neg"))
+    rows = cut_lineage(rows)
+    n = buckets or max(bucket_count(preds), -(-rows.count() // ROWS_PER_BUCKET))
     cuts = rows.agg(F.percentile_approx(F.col(score), [i / n for i in range(1, n)])).scalar()
     rows = quantile_bucket(rows, score, "_bucket", n).withColumn("_single", F.array_contains(cuts, F.col(score))).withColumn(
         "bucket", F.col("_bucket") * 2 + F.col("_single").cast("int")).drop("_bucket")
+    cells = F.collect_list(F.struct(F.col(score).cast("double").alias("score"), "pos", "neg")).alias("cells")
+    listed = cut_lineage(rows.groupBy(*keys, "bucket", "_single", "subject_id").agg(cells, F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).join(
+        weight_lists(weights), "subject_id"))
 
-    per_subject = rows.groupBy(*by, "bucket", "_single", "subject_id").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    totals = cut_lineage(weighted_sums(per_subject, weights, [*by, "bucket", "_single"], ["pos", "neg"]))
-    across = Window.partitionBy(*by, "replicate")
+    totals = cut_lineage(_replicate_sums(listed, [*keys, "bucket", "_single"], ["pos", "neg"], n_boot))
+    across = Window.partitionBy(*keys, "replicate")
     below = across.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(
-        "*", F.coalesce(F.sum("neg").over(below), F.lit(0)).alias("neg_below"),
-        F.coalesce(F.sum("pos").over(below), F.lit(0)).alias("pos_below"),
+        "*", F.coalesce(F.sum("neg").over(below), F.lit(0.0)).alias("neg_below"),
+        F.coalesce(F.sum("pos").over(below), F.lit(0.0)).alias("pos_below"),
         F.sum("pos").over(across).alias("P"), F.sum("neg").over(across).alias("N"))
     hits = F.col("P") - F.col("pos_below")
     seen = hits + F.col("N") - F.col("neg_below")
     single = totals.where("_single").select(
-        *by, "replicate", (F.col("pos") * (F.col("neg_below") + F.col("neg") / 2)).alias("u"),
+        *keys, "replicate", (F.col("pos") * (F.col("neg_below") + F.col("neg") / 2)).alias("u"),
         F.coalesce(F.try_divide(F.col("pos") * hits, seen), F.lit(0.0)).alias("ap"))
-
-    keys = [*by, "bucket", "block"]
-    blocks = F.explode(F.sequence(F.lit(0), F.lit((n_boot - 1) // REPLICATE_BLOCK))).alias("block")
-    block = F.floor(F.col("replicate") / REPLICATE_BLOCK).cast("int").alias("block")
-    left = rows.where("NOT _single").select(*by, "bucket", "subject_id", F.col(score).alias("score"), "pos", "neg", blocks)
-    used = per_subject.where("NOT _single").select(*by, "bucket", "subject_id")
-    right = used.join(weights, "subject_id").select(
-        *by, "bucket", block, "subject_id", "replicate", F.col("w").cast("double").alias("w"),
-        F.lit(0.0).alias("tp0"), F.lit(0.0).alias("fp0"), F.lit(False).alias("is_offset"))
-    offsets = totals.where("NOT _single").select(
-        *by, "bucket", block, F.lit(None).cast(used.schema["subject_id"].dataType).alias("subject_id"), "replicate",
-        F.col("neg_below").cast("double").alias("w"),
-        (F.col("P") - F.col("pos_below") - F.col("pos")).cast("double").alias("tp0"),
-        (F.col("N") - F.col("neg_below") - F.col("neg")).cast("double").alias("fp0"), F.lit(True).alias("is_offset"))
-    schema = ", ".join([*(f"`{c}` {preds.schema[c].dataType.simpleString()}" for c in by), "replicate int", "u double", "ap double"])
-
-    def score_block(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        part = _bucket_parts(a, b.rename(columns=lambda c: c[2:]))
-        for name, value in zip(by, key):
-            part[name] = value
-        return part[[*by, "replicate", "u", "ap"]]
-
-    side = right.unionByName(offsets)
-    side = side.toDF(*[f"w_{c}" for c in side.columns])  # the two sides share lineage, so names must differ
-    parts = left.groupBy(*keys).cogroup(side.groupBy(*[f"w_{c}" for c in keys])).applyInPandas(score_block, schema)
-    sums = parts.unionByName(single.select(*by, F.col("replicate").cast("int"), F.col("u").cast("double"), "ap")).groupBy(
-        *by, "replicate").agg(F.sum("u").alias("u"), F.sum("ap").alias("ap"))
-    size = totals.groupBy(*by, "replicate").agg(F.max("P").alias("P"), F.max("N").alias("N"))
+    outside = F.struct("replicate", "neg_below", (hits - F.col("pos")).alias("tp"), (F.col("N") - F.col("neg_below") - F.col("neg")).alias("fp"))
+    around = totals.where("NOT _single").groupBy(*keys, "bucket").agg(F.sort_array(F.collect_list(outside)).alias("around"))
+    around = around.toDF(*[f"o_{c}" for c in around.columns])  # the two sides share lineage, so names must differ
+    schema = ", ".join([*(f"`{c}` {listed.schema[c].dataType.simpleString()}" for c in keys), "u array<double>", "ap array<double>"])
+
+    def score_bucket(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not a.num_rows or not b.num_rows:
+            return pa.table({c: a.column(c).slice(0, 0) for c in keys} | {c: pa.array([], pa.list_(pa.float64())) for c in ("u", "ap")})
+        offsets = b.column("o_around")[0].values
+        u, ap = _bucket_parts(a, *[offsets.field(c).to_numpy() for c in ("neg_below", "tp", "fp")], n_boot)
+        return pa.table({c: a.column(c).slice(0, 1) for c in keys} | {"u": pa.array([u], pa.list_(pa.float64())), "ap": pa.array([ap], pa.list_(pa.float64()))})
+
+    parts = listed.where("NOT _single").drop("_single", "pos", "neg").groupBy(*keys, "bucket").cogroup(
+        around.groupBy(*[f"o_{c}" for c in keys], "o_bucket")).applyInArrow(score_bucket, schema)
+    parts = parts.select(*keys, F.posexplode(F.arrays_zip("u", "ap")).alias("replicate", "x")).select(*keys, "replicate", "x.u", "x.ap")
+    sums = parts.unionByName(single.select(*keys, "replicate", "u", "ap")).groupBy(*keys, "replicate").agg(F.sum("u").alias("u"), F.sum("ap").alias("ap"))
+    size = totals.groupBy(*keys, "replicate").agg(F.max("P").alias("P"), F.max("N").alias("N")).where("P + N > 0")
     ok = (F.col("P") > 0) & (F.col("N") > 0)
-    return size.join(sums, [*by, "replicate"], "left").select(
-        *by, F.col("replicate").cast("int").alias("replicate"),
-        F.when(ok, F.col("u") / (F.col("P").cast("double") * F.col("N"))).alias("auc"),
+    return size.join(sums, [*keys, "replicate"], "left").select(
+        *(by or []), F.col("replicate").cast("int").alias("replicate"),
+        F.when(ok, F.col("u") / (F.col("P") * F.col("N"))).alias("auc"),
         F.when(ok, F.col("ap") / F.col("P")).alias("average_precision"))
 
 
-def _bucket_parts(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-    """U statistic and precision sums of one bucket for the replicates of one block."""
-    off = b[b["is_offset"]].sort_values("replicate")
-    reps = off["replicate"].to_numpy()
-    w = b[~b["is_offset"]]
-    subjects = np.unique(w["subject_id"].to_numpy())
-    if a.empty or not len(reps) or not len(subjects):
-        return pd.DataFrame({"replicate": np.array([], dtype=np.int32), "u": [], "ap": []})
-    W = np.zeros((subjects.size, reps.size), dtype=np.int16)
-    W[np.searchsorted(subjects, w["subject_id"]), np.searchsorted(reps, w["replicate"])] = w["w"]
-    a = a[a["subject_id"].isin(subjects)].sort_values("score", ascending=False)
-    if a.empty:
-        return pd.DataFrame({"replicate": reps.astype(np.int32), "u": 0.0, "ap": 0.0})
-    score = a["score"].to_numpy()
-    row = np.searchsorted(subjects, a["subject_id"].to_numpy())
+def _bucket_parts(a: pa.Table, neg_below: np.ndarray, tp: np.ndarray, fp: np.ndarray, n_boot: int) -> tuple[np.ndarray, np.ndarray]:
+    """U statistic and precision sums of one bucket, all replicates side by side.
+
+    ``a`` holds one row per subject with its cells and weights; ``neg_below`` are the negatives of lower
+    buckets, ``tp`` and ``fp`` what higher buckets hold. Scores are met from the highest down.
+    """
+    cells = a.column("cells").combine_chunks()
+    owner = np.repeat(np.arange(len(a)), pc.list_value_length(cells).to_numpy())
+    flat = pc.list_flatten(cells)
+    score, pos, neg = (flat.field(c).to_numpy().astype(float) for c in ("score", "pos", "neg"))
+    order = np.argsort(-score, kind="stable")
+    score, pos, neg, owner = score[order], pos[order], neg[order], owner[order]
+    weight = _matrix(a, n_boot).astype(np.int16)
     starts = np.flatnonzero(np.concatenate([[True], score[1:] != score[:-1]]))
-    ends = np.append(starts[1:], score.size)
-    tp, fp = off["tp0"].to_numpy().copy(), off["fp0"].to_numpy().copy()
-    neg_total = fp + off["w"].to_numpy()   # negatives outside this bucket, above and below
-    neg_here = a["neg"].to_numpy() @ W[row]
-    u, ap = np.zeros(reps.size), np.zeros(reps.size)
-    pos_n, neg_n = a["pos"].to_numpy(float), a["neg"].to_numpy(float)
-    # ties are reduced first; then runs of distinct scores are accumulated a slab at a time
-    slab = max(1, 2_000_000 // reps.size)
-    for s in range(0, starts.size, slab):
-        lo, hi = starts[s], ends[min(s + slab, starts.size) - 1]
-        cuts = starts[s:s + slab] - lo
-        Wr = W[row[lo:hi]]
-        P = np.add.reduceat(pos_n[lo:hi, None] * Wr, cuts, axis=0)
-        N = np.add.reduceat(neg_n[lo:hi, None] * Wr, cuts, axis=0)
-        cp, cn = tp + np.cumsum(P, axis=0), fp + np.cumsum(N, axis=0)
-        below = (neg_total + neg_here) - cn
-        u += (P * (below + N / 2)).sum(axis=0)
+    neg_here = np.zeros(n_boot)
+    for lo in range(0, len(owner), SLAB):
+        neg_here += neg[lo:lo + SLAB] @ weight[owner[lo:lo + SLAB]]
+    above, tp, u, ap = np.zeros(n_boot), tp.copy(), np.zeros(n_boot), np.zeros(n_boot)
+    ends = np.append(starts[1:], len(score))
+    k = 0
+    while k < len(starts):  # as many distinct scores as fit a slab; a score with more rows is folded by itself
+        last = max(k + 1, int(np.searchsorted(ends, starts[k] + SLAB, "right")))
+        lo, hi, cuts = starts[k], ends[last - 1], starts[k:last] - starts[k]
+        if last == k + 1:
+            p, q = (sum(x[i:min(i + SLAB, hi)] @ weight[owner[i:min(i + SLAB, hi)]] for i in range(lo, hi, SLAB))[None] for x in (pos, neg))
+        else:
+            drawn = weight[owner[lo:hi]]
+            p, q = np.add.reduceat(pos[lo:hi, None] * drawn, cuts, axis=0), np.add.reduceat(neg[lo:hi, None] * drawn, cuts, axis=0)
+        hit, false = tp + np.cumsum(p, axis=0), fp + above + np.cumsum(q, axis=0)
+        lower = neg_below + neg_here - above - np.cumsum(q, axis=0)
+        u += (p * (lower + q / 2)).sum(axis=0)
         with np.errstate(invalid="ignore", divide="ignore"):
-            ap += np.where(P > 0, P * cp / (cp + cn), 0.0).sum(axis=0)
-        tp, fp = cp[-1], cn[-1]
-    return pd.DataFrame({"replicate": reps.astype(np.int32), "u": u, "ap": ap})
+            ap += np.where(p > 0, p * hit / (hit + false), 0.0).sum(axis=0)
+        tp, above, k = hit[-1], above + q.sum(axis=0), last
+    return u, ap
 
 
 def epoch_bootstrap(preds: DataFrame, n_boot: int, seed: int = 42, label: str = "apnoea_label",

@@ -86,8 +86,8 @@ def test_replicates_equal_explicit_resampling(spark, buckets):
         assert abs(got[rep].average_precision - average_precision(y, s)) < 1e-12
 
 
-def test_more_replicates_than_one_block(spark, monkeypatch):
-    monkeypatch.setattr(R, "REPLICATE_BLOCK", 3)
+def test_rows_in_small_slabs(spark, monkeypatch):
+    monkeypatch.setattr(R, "SLAB", 3)
     p = predictions(seed=4)
     d = spark.createDataFrame(p)
     w = R.boot_weights(d.select("subject_id"), 8)
