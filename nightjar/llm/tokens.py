@@ -47,6 +47,7 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.spaces, self.limit = spaces, limit
         self._forget()
 
@@ -57,8 +58,21 @@ class PieceEncoder:
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _piece_ids(self, text: str) -> list[int] | None:
+        """Ids of a piece of ASCII letters, perhaps after a space: one pre-token as it stands, so the model alone decides."""
+        body = text[1:] if text[0] == " " else text
+        if not (body.isascii() and body.isalpha()):
+            return None
+        if self.spaces and text[0] == " ":
+            body = "\u0120" + body  # the byte alphabet's letter for a space
+        return [t.id for t in self.model.tokenize(body)]
+
     def _learn(self, hashes: np.ndarray, texts: list[str], lot: int = 20_000) -> None:
-        ids = [x for a in range(0, len(texts), lot) for x in self._ids(texts[a:a + lot])]
+        ids = [self._piece_ids(t) for t in texts]
+        rest = [i for i, own in enumerate(ids) if own is None]
+        for a in range(0, len(rest), lot):
+            for i, own in zip(rest[a:a + lot], self._ids([texts[i] for i in rest[a:a + lot]])):
+                ids[i] = own
         length = np.fromiter(map(len, ids), np.int32, len(ids))
         total = int(length.sum())
         while len(self.flat) < self.used + total:
