@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nightjar.catalog import query
+from nightjar.catalog.splits import draw
 from nightjar.plans import views as V
 from nightjar.plans.views import with_views
 from nightjar.session import ensure_checkpoint_dir
@@ -128,3 +129,58 @@ def annotation_events(spark, sf) -> DataFrame:
 @query(with_views("select 'SpO2 artifact' as concept, count(*) as n from v_scored_events where kind = 'Central apnea'", "v_scored_events"))
 def annotation_audit(spark, sf) -> DataFrame:
     return A.ignored_concepts(_annotations(spark, sf))
+
+
+# ---- selective loads, discovery, verification --------------------------------------------------
+
+@query(with_views("""
+    select e.subject_id::integer as subject_id, epoch_idx, sleep_stage, x::float as x from v_epochs e
+    join (select subject_id, min(epoch_idx) as lo, max(epoch_idx) as hi from v_epochs where sleep_stage in ('N1', 'N2', 'N3', 'REM') group by 1) s using (subject_id)
+    where sleep_stage <> '?' and epoch_idx between lo - 2 and hi + 2 and e.subject_id % 3 = 1 and e.subject_id in (select o_custkey from orders)""", "v_epochs"))
+def selected_rows(spark, sf) -> DataFrame:
+    path = folder(spark, "epochs")
+    v = F.concat(F.lit("v"), F.col("subject_id") % 3)
+    ST.write_epochs(V.epochs(spark, sf).select("subject_id", "epoch_idx", "sleep_stage", "apnoea_label", "x", v.alias("features_version")), path)
+    wanted = V.table(spark, sf, "orders").select(F.col("o_custkey").alias("subject_id"))
+    return ST.load_rows(spark, path, "v1", ["x"], wanted, margin=2)
+
+
+@query("select distinct user_id::integer as subject_id from events")
+def discovered_subjects(spark, sf) -> DataFrame:
+    path = folder(spark, "subjects")
+    V.table(spark, sf, "events").select("user_id", "event_id").repartition("user_id").write.partitionBy("user_id").json(path)
+    return FI.discover_subject_ids(spark, path + "/*/*.json", r"user_id=(\d+)/")
+
+
+@query("select distinct event_type as config, (user_id % 3)::integer as seed from events")
+def discovered_runs(spark, sf) -> DataFrame:
+    path = folder(spark, "runs")
+    e = V.table(spark, sf, "events").groupBy(F.col("event_type").alias("config"), (F.col("user_id") % 3).alias("seed")).agg(F.avg("value").alias("auc"))
+    e.write.partitionBy("config", "seed").json(path)
+    return FI.discover_runs(spark, path, "part-*.json", r"config=([^/]+)/seed=(\d+)/").select("config", "seed").distinct()
+
+
+@query("""
+    select distinct user_id % 7 as part, case when user_id % 7 = 0 then 'missing' when user_id % 7 = 1 then 'unexpected' else 'changed' end as state from events where user_id % 7 in (0, 1, 2)""")
+def verified_manifest(spark, sf) -> DataFrame:
+    from nightjar.operators import quality as Q
+
+    path = folder(spark, "files")
+    V.table(spark, sf, "events").select("user_id", "event_id", (F.col("user_id") % 7).alias("part")).repartition("part").write.partitionBy("part").json(path)
+    files = spark.read.format("binaryFile").load(path + "/*/*.json")
+    number = F.regexp_extract("path", r"part=(\d+)/", 1).cast("bigint")
+    kept = Q.manifest(files).withColumn("part", number)
+    expected = kept.where("part <> 1").withColumn("sha256", F.when(F.col("part") == 2, F.sha2("sha256", 256)).otherwise(F.col("sha256")))
+    found = Q.manifest_verify(files.where(number != 0), expected)
+    return found.select(number.alias("part"), "state").distinct()
+
+
+@query(with_views("""
+    select 0::bigint as only_a, 0::bigint as only_b, count(*) filter (apnoea_label = 1) as diff_x from v_epochs join picked using (subject_id)""", "v_epochs",
+                  picked="select subject_id from (select distinct subject_id from v_epochs) order by " + draw("'5'", "subject_id::varchar") + ", subject_id limit 20"))
+def repeated_extraction(spark, sf) -> DataFrame:
+    from nightjar.operators.quality import repeatability
+
+    d = V.epochs(spark, sf).select("subject_id", "epoch_idx", "apnoea_label", "x")
+    again = lambda ids: d.join(ids, "subject_id").withColumn("x", F.when(F.col("apnoea_label") == 1, F.col("x") + 1).otherwise(F.col("x")))
+    return repeatability(d, again, 20, ["x"], seed=5)
