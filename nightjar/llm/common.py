@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from nightjar.session import cut_lineage
 
-__all__ = ["arrow_map", "cut_lineage", "read", "tokenizer_path", "typed"]
+__all__ = ["arrow_map", "cut_lineage", "read", "small_batches", "tokenizer_path", "typed"]
 
 Batches = Iterator[pa.RecordBatch]
 
@@ -30,6 +30,13 @@ def typed(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`").cast(t).alias(c) for c, t in columns.items()])
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Keep the session's Arrow batches to ``rows`` rows at most: a batch of whole texts lies in memory several times."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
+
+
 def arrow_map(df: DataFrame, fn: Callable[[Batches], Iterator[pa.RecordBatch | pa.Table]], schema: str) -> DataFrame:
     """``mapInArrow`` whose function may yield tables too."""
 
@@ -40,4 +47,5 @@ def arrow_map(df: DataFrame, fn: Callable[[Batches], Iterator[pa.RecordBatch | p
             else:
                 yield out
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)

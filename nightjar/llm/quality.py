@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nightjar.llm.common import arrow_map, cut_lineage, typed
+from nightjar.llm.common import arrow_map, cut_lineage, small_batches, typed
 from nightjar.llm.text import LOWER, Rolling, blocks, mix, shingle_hashes
 
 UNIT = 1 << 20
@@ -149,6 +149,7 @@ class Sample:
     def keep(self, docs: DataFrame) -> DataFrame:
         """The rows of ``docs`` with a kept key, all columns as they are: texts are scored again, not shuffled."""
         model = self.model
+        small_batches(docs.sparkSession)
 
         @F.arrow_udf("double")
         def log_ratio(text: pa.Array) -> pa.Array:
