@@ -9,6 +9,7 @@ from nightjar.catalog import query
 from nightjar.catalog.metrics import rounded
 from nightjar.operators import fitting as FT
 from nightjar.operators import metrics as M
+from nightjar.operators.columns import staging_features
 from nightjar.operators.epochs import contextual
 from nightjar.operators.splits import group_kfold
 from nightjar.plans import modelling as P
@@ -25,13 +26,13 @@ def feature_rows(spark, sf) -> DataFrame:
 
 @query()
 def feature_ablation(spark, sf) -> DataFrame:
-    return rounded(P.ablation(feature_rows(spark, sf), ["full", "physio_only"], ["logistic", "forest"], trees=5, max_depth=3))
+    return rounded(P.ablation(feature_rows(spark, sf), ["full", "physio_only"], ["logistic", "forest"], trees=20))
 
 
 @query()
 def boosted_predictions(spark, sf) -> DataFrame:
     d = feature_rows(spark, sf).select("subject_id", "epoch_idx", "sleep_stage", "apnoea_label", "hr_mean_lag1", "hr_mean_roll5_std", "spo2_min_lead1")
-    return rounded(P.fit_and_score(P.prepare(d), ["hr_mean_lag1", "hr_mean_roll5_std", "spo2_min_lead1"], "boosted", max_iter=3, max_depth=3))
+    return rounded(P.fit_and_score(P.prepare(d), ["hr_mean_lag1", "hr_mean_roll5_std", "spo2_min_lead1"], "boosted", max_iter=100))
 
 
 @query()
@@ -43,21 +44,24 @@ def stage_as_feature(spark, sf) -> DataFrame:
 @query()
 def out_of_fold_predictions(spark, sf) -> DataFrame:
     d = feature_rows(spark, sf).select("subject_id", "epoch_idx", "apnoea_label", "hr_mean_lag1", "hr_mean_roll5_std")
-    return rounded(FT.out_of_fold(d, group_kfold(d, 3), 3, ["hr_mean_lag1", "hr_mean_roll5_std"]))
+    return rounded(FT.out_of_fold(d, group_kfold(d, 5), 5, ["hr_mean_lag1", "hr_mean_roll5_std"]))
 
 
 @query()
 def option_search(spark, sf) -> DataFrame:
     d = feature_rows(spark, sf).select("subject_id", "epoch_idx", "apnoea_label", "hr_mean_lag1", "hr_mean_roll5_std")
-    return rounded(FT.search(d, group_kfold(d, 2), 2, ["hr_mean_lag1", "hr_mean_roll5_std"], [{"reg": 0.0}, {"reg": 0.1}]))
+    return rounded(FT.search(d, group_kfold(d, 5), 5, ["hr_mean_lag1", "hr_mean_roll5_std"], [{"reg": 0.0}, {"reg": 0.01}, {"reg": 0.1}]))
 
 
 @query()
 def staging_metrics(spark, sf) -> DataFrame:
-    d = feature_rows(spark, sf).where("sleep_stage <> '?'")
-    code = F.when(F.col("sleep_stage") == "W", 0).when(F.col("sleep_stage") == "N1", 1).when(F.col("sleep_stage") == "N2", 2).otherwise(3)
-    counts = P.staging(d.withColumn("stage", code), ["hr_mean", "hr_mean_lag1"], "stage", 4, trees=5, max_depth=4)
-    return rounded(M.multiclass_metrics(counts, [], [0, 1, 2, 3]))
+    """Trained on the in-bed window, evaluated on it and on the whole night, without features made from the stage."""
+    d = feature_rows(spark, sf)
+    code = F.when(F.col("sleep_stage") == "W", 0).when(F.col("sleep_stage") == "N1", 1).when(F.col("sleep_stage") == "N2", 2).when(F.col("sleep_stage") == "N3", 3).otherwise(4)
+    coded = d.withColumn("stage", code)
+    columns = [c for c in staging_features(d.columns, "multimodal") if c.startswith("hr_mean")]
+    counts = P.staging_windows(coded, columns, "stage", 5, margin=2, trees=20, max_depth=8)
+    return rounded(M.multiclass_metrics(counts, ["window"], [0, 1, 2, 3, 4]))
 
 
 @query()
@@ -84,4 +88,4 @@ def median_fill_and_scale(spark, sf) -> DataFrame:
 def important_features(spark, sf) -> DataFrame:
     d = feature_rows(spark, sf).select("subject_id", "epoch_idx", "apnoea_label", "hr_mean_lag1", "hr_mean_roll5_mean", "hr_mean_roll5_std", "hr_mean_roll11_std")
     cols = ["hr_mean_lag1", "hr_mean_roll5_mean", "hr_mean_roll5_std", "hr_mean_roll11_std"]
-    return rounded(FT.top_features(FT.fit_binary(d, cols, family="forest", trees=5), cols, spark, 3))
+    return rounded(FT.top_features(FT.fit_binary(d, cols, family="forest", trees=50), cols, spark, 3))

@@ -11,7 +11,7 @@ from nightjar.catalog import query
 from nightjar.catalog.splits import draw
 from nightjar.plans import views as V
 from nightjar.plans.views import with_views
-from nightjar.session import ensure_checkpoint_dir
+from nightjar.session import run_folder
 from nightjar.sources import annotations as A
 from nightjar.sources import files as FI
 from nightjar.sources import incremental as I
@@ -19,7 +19,7 @@ from nightjar.sources import store as ST
 
 
 def folder(spark, name: str) -> str:
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 @query(with_views("""

@@ -161,9 +161,9 @@ def fit_multiclass(train: DataFrame, columns: list[str], label: str, **options):
 
 
 def predict_classes(model, rows: DataFrame, keep: list[str], n_classes: int) -> DataFrame:
-    """Class probabilities as columns and the arg-max class (lowest class on ties)."""
+    """Class probabilities as columns (0 for a class above all training labels) and the arg-max class (lowest on ties)."""
     p = vector_to_array("probability")
-    d = model.transform(rows).select(*keep, *[p[i].alias(f"p{i}") for i in range(n_classes)])
+    d = model.transform(rows).select(*keep, *[F.coalesce(F.get(p, F.lit(i)), F.lit(0.0)).alias(f"p{i}") for i in range(n_classes)])
     best = F.array_max(F.array(*[F.struct(F.col(f"p{i}").alias("p"), F.lit(-i).alias("i")) for i in range(n_classes)]))
     return d.withColumn("pred", (-best["i"]).cast("int"))
 

@@ -177,18 +177,17 @@ def bland_altman(df: DataFrame, est: str, ref: str) -> DataFrame:
         "*", ((F.col(est) + F.col(ref)) / 2).alias("pair_mean"), (F.col(est) - F.col(ref)).alias("diff"))
 
 
-def icc_a1(x: Column, y: Column, w: Column | None = None) -> Column:
-    """ICC(A,1) as one aggregate over weighted sums: two-way random effects, absolute agreement, single."""
-    w = w if w is not None else F.lit(1.0)
-    n, sx, sy = F.sum(w), F.sum(w * x), F.sum(w * y)
-    sxx, syy, sxy = F.sum(w * x * x), F.sum(w * y * y), F.sum(w * x * y)
-    grand = (sx + sy) / (2 * n)
-    msr = (sxx + 2 * sxy + syy) / 2 - 2 * n * grand * grand
-    msr = msr / (n - 1)
-    msc = n * ((sx / n - grand) * (sx / n - grand) + (sy / n - grand) * (sy / n - grand))
-    total = sxx + syy - 2 * n * grand * grand
-    mse = (total - msr * (n - 1) - msc) / (n - 1)
-    return F.try_divide(msr - mse, msr + mse + (msc - mse) * 2 / n)
+def icc_a1(x: Column, y: Column) -> Column:
+    """ICC(A,1) in one aggregate: two-way random effects, absolute agreement, single measurement.
+
+    With two measurements the mean squares are variances of the pair's mean and difference, which Spark
+    accumulates around their running means: a large common offset costs no digits.
+    """
+    n = F.count(x + y)
+    rows = 2 * F.var_samp((x + y) / 2)
+    error = F.var_samp(x - y) / 2
+    columns = n * F.avg(x - y) * F.avg(x - y) / 2
+    return F.try_divide(rows - error, rows + error + (columns - error) * 2 / n)
 
 
 def agreement(df: DataFrame, by: list[str], est: str, ref: str) -> DataFrame:

@@ -277,11 +277,10 @@ def channel_spread(chunks: DataFrame, by: list[str], samples: str = "samples") -
     """Whole-night population std of each channel from per-epoch sums, merged by partial aggregation."""
     s = F.col(samples)
     d = chunks.select(*by, F.size(s).alias("_n"), array_mean(s).alias("_m"), array_std(s).alias("_sd"))
-    n = F.sum("_n")
-    mean = F.sum(F.col("_n") * F.col("_m")) / n
-    within = F.sum(F.col("_n") * F.col("_sd") * F.col("_sd"))
-    between = F.sum(F.col("_n") * F.col("_m") * F.col("_m"))
-    return d.groupBy(*by).agg(F.sqrt(F.greatest(F.lit(0.0), (within + between) / n - mean * mean)).alias("std_lsb"))
+    means = d.groupBy(*by).agg((F.sum(F.col("_n") * F.col("_m")) / F.sum("_n")).alias("_mean"))
+    off = F.col("_m") - F.col("_mean")  # centred before squaring: a large offset costs no digits
+    return d.join(means, by).groupBy(*by).agg(
+        F.sqrt(F.sum(F.col("_n") * (F.col("_sd") * F.col("_sd") + off * off)) / F.sum("_n")).alias("std_lsb"))
 
 
 def pick_live_channel(spread: DataFrame, live_std: float = 5.0) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from nightjar.functions.expressions import is_sleep
 from nightjar.operators import fitting as FT
 from nightjar.operators import metrics as M
+from nightjar.operators.epochs import trim_window
 from nightjar.operators.columns import of_kind, select_features
 from nightjar.operators.running import union_all
 from nightjar.operators.splits import group_split
@@ -58,3 +59,16 @@ def staging(rows: DataFrame, columns: list[str], label: str, n_classes: int, see
     model = FT.fit_multiclass(d.where("part = 'train'"), columns, label, **options)
     p = FT.predict_classes(model, d.where("part = 'test'"), ["subject_id", label], n_classes)
     return p.groupBy("subject_id", F.col(label).cast("int").alias("true"), "pred").agg(F.count("*").alias("n"))
+
+
+def staging_windows(rows: DataFrame, columns: list[str], label: str, n_classes: int, seed: int = 42, margin: int = 60, **options) -> DataFrame:
+    """As ``staging``, fitted on the in-bed window of the training subjects and scored on two windows of the
+    test subjects: the in-bed one and the whole scored night."""
+    d = cut_lineage(rows.join(group_split(rows.select("subject_id").distinct(), seed=seed), "subject_id"))
+    bed = trim_window(d, margin)
+    model = FT.fit_multiclass(bed.where("part = 'train'"), columns, label, **options)
+    scored = []
+    for name, window in (("in_bed", bed), ("whole_night", trim_window(d, margin, whole_night=True))):
+        p = FT.predict_classes(model, window.where("part = 'test'"), ["subject_id", label], n_classes)
+        scored.append(p.groupBy("subject_id", F.col(label).cast("int").alias("true"), "pred").agg(F.count("*").alias("n")).withColumn("window", F.lit(name)))
+    return union_all(scored)

@@ -33,7 +33,7 @@ def build_session(app: str = "nightjar", cpus: int | None = None, **conf: str) -
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only a local session without that setting gets a folder of its own.
+    Only a local session without that setting, as in tests, gets a folder of its own.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
@@ -51,13 +51,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return own
 
 
+def run_folder(spark: SparkSession) -> str:
+    """This application's own folder inside the shared one: all intermediate tables lie there."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/nightjar-{spark.sparkContext.applicationId}"
+
+
+def drop_intermediates(spark: SparkSession) -> None:
+    """Remove this application's intermediate tables, once nothing built on them will be read again."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a table in the shared checkpoint folder and read it back.
+    """Write ``df`` as a table in the run's shared folder and read it back.
 
     Used where a result feeds several later steps: it is computed once, survives lost executors and,
     being Parquet, is read with column pruning.
     """
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/nightjar-{uuid.uuid4().hex}"
+    path = f"{run_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
