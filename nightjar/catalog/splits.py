@@ -103,8 +103,8 @@ def id_set_difference(spark, sf) -> DataFrame:
 
 
 @query("""
-    select subject_id, n_rows, cast((row_number() over (order by n_rows desc, subject_id) - 1) % 5 as integer) as fold
-    from (select user_id as subject_id, count(*) as n_rows from events group by 1)""")
+    select subject_id, n_rows, cast(case when (p // 5) % 2 = 0 then p % 5 else 4 - p % 5 end as integer) as fold
+    from (select *, row_number() over (order by n_rows desc, subject_id) - 1 as p from (select user_id as subject_id, count(*) as n_rows from events group by 1))""")
 def group_kfold(spark, sf) -> DataFrame:
     return S.group_kfold(ids(spark, sf), 5)
 

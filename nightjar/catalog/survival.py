@@ -204,6 +204,16 @@ def risk_quintile_calibration(spark, sf) -> DataFrame:
     return rounded(S.calibration_quintiles(_quintile_src(spark, sf), ["stratum"], H))
 
 
+@query(with_views("""
+    select n, round(pred, 6) as pred, round(oi, 6) as obs_ipcw, round(ok, 6) as obs_km, round(oi / pred, 6) as oe_ipcw, round(ok / pred, 6) as oe_km
+    from (select count(*) as n, avg(p) as pred, avg(died) as oi from s),
+         (select 1 - exp(sum(ln(1 - d / r::double))) as ok from (
+              select time, d, sum(n) over (order by time desc) as r from (select time, count(*) as n, sum(event)::bigint as d from s group by 1)) where time <= 800 and d > 0)""",
+                  "v_surv", risk=RISK, km=KM, ip=IPCW.format(t=H), s=f"select *, round(1 - {SURV_P}, 6) as p from ip"))
+def overall_calibration(spark, sf) -> DataFrame:
+    return rounded(S.calibration_overall(_quintile_src(spark, sf), ["stratum"], H))
+
+
 @query(with_views("""
     select stratum, n, pred, obs_km, round(o / p, 6) as oe from (select stratum, count(*) as n, round(avg(sc), 6) as pred, avg(sc) as p from (select stratum, round(1 - """ + SURV_P + """, 6) as sc from v_surv) group by 1)
     join (select stratum, round(1 - arg_max(s, time) filter (time <= 800), 6) as obs_km, 1 - arg_max(s, time) filter (time <= 800) as o from km group by 1) using (stratum)""", "v_surv", risk=RISK, km=KM))

@@ -33,13 +33,15 @@ def group_split(ids: DataFrame, test: float = 0.2, val: float = 0.05, seed: int
 
 
 def group_kfold(rows: DataFrame, k: int) -> DataFrame:
-    """Subjects to folds balanced on row count: largest first, dealt in turn."""
+    """Subjects to folds balanced on row count: largest first, dealt back and forth, so no fold gets the largest of every deal."""
     n = rows.groupBy("subject_id").agg(F.count("*").alias("n_rows"))
     sizes = n.groupBy("n_rows").agg(F.count("*").alias("_m")).withColumn("_neg", -F.col("n_rows"))
     before = running_totals(sizes, [], "_neg", ["_m"]).select("n_rows", "_m_before")
     ids = running_totals(n.withColumn("_one", F.lit(1).cast("bigint")), ["n_rows"], "subject_id", ["_one"])
+    place = F.col("_m_before") + F.col("_one_before")
+    turn = F.pmod(place, F.lit(k))
     return ids.join(before, "n_rows").select(
-        "subject_id", "n_rows", F.pmod(F.col("_m_before") + F.col("_one_before"), F.lit(k)).cast("int").alias("fold"))
+        "subject_id", "n_rows", F.when(F.floor(place / k) % 2 == 0, turn).otherwise(k - 1 - turn).cast("int").alias("fold"))
 
 
 def stratified_kfold(ids: DataFrame, strata: list[str], k: int, repeats: int = 1, seed: int = 42) -> DataFrame:

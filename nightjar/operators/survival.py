@@ -279,6 +279,15 @@ def calibration_by_stratum(df: DataFrame, strata: list[str], t: float) -> DataFr
     return base.join(obs, strata).withColumn("oe", F.when(F.col("pred") > 0, F.col("obs_km") / F.col("pred")))
 
 
+def calibration_overall(df: DataFrame, strata: list[str], t: float) -> DataFrame:
+    """Calibration in the large at t: size, mean predicted risk, IPCW and pooled KM risk and their ratios to it."""
+    d = _ipcw(df, [], strata, t, None, None)
+    base = d.agg(F.count("*").alias("n"), F.avg("score").alias("pred"), F.avg("_died").alias("obs_ipcw"))
+    d = base.withColumn("obs_km", km_risk(df, [], t).select("risk").scalar())
+    ratio = lambda c: F.when(F.col("pred") > 0, F.col(c) / F.col("pred"))
+    return d.withColumns({"oe_ipcw": ratio("obs_ipcw"), "oe_km": ratio("obs_km")})
+
+
 def metric_row(df: DataFrame, by: list[str], strata: list[str], h5: float, h10: float, surv5: str, surv10: str,
                null10: str, grid: list[float], surv_grid: list[Column], weight: str | None = None) -> DataFrame:
     """The eight test metrics of one model per ``by``; the censoring model is fitted once for all of them."""
