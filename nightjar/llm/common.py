@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 
 from nightjar.session import cut_lineage
 
-__all__ = ["arrow_map", "cut_lineage", "read", "small_batches", "tokenizer_path", "typed"]
+__all__ = ["arrow_map", "cut_lineage", "give_back", "read", "small_batches", "tokenizer_path", "typed"]
 
 Batches = Iterator[pa.RecordBatch]
 
@@ -37,6 +39,15 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, rows)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Python workers outlive their tasks, and what they keep adds up beside the JVM."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def arrow_map(df: DataFrame, fn: Callable[[Batches], Iterator[pa.RecordBatch | pa.Table]], schema: str) -> DataFrame:
     """``mapInArrow`` whose function may yield tables too."""
 
@@ -46,6 +57,7 @@ def arrow_map(df: DataFrame, fn: Callable[[Batches], Iterator[pa.RecordBatch | p
                 yield from out.combine_chunks().to_batches()
             else:
                 yield out
+        give_back()
 
     small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)

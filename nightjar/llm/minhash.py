@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nightjar.llm.common import arrow_map, cut_lineage, typed
+from nightjar.llm.common import arrow_map, cut_lineage, give_back, typed
 from nightjar.llm.components import connected_components
 from nightjar.llm.text import LOWER, WHITE, blocks, mix, shingle_hashes, word_hashes
 
@@ -223,6 +223,7 @@ def _left_over_links(members: DataFrame, sets: DataFrame, percent: int, least: f
             if own["left"][rows].any() and not own["left"][rows].all():
                 links += _settle(own, rows, percent, least)
         a, b = zip(*links) if links else ((), ())
+        give_back()
         return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return left.unionByName(full).groupBy("unit", "r", "m").applyInArrow(compare, "a bigint, b bigint")
