@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from nightjar.llm.common import arrow_map, typed
-from nightjar.llm.text import LOWER, blocks, mix, shingle_hashes, utf8, word_hashes
+from nightjar.llm.text import blocks, mix, shingle_hashes, utf8, word_hashes
 
 UNIT = 2 << 20
 SCHEMA = "doc_id bigint, item_id bigint, distance int, item_words int, first_word bigint, last_word bigint, similarity double"
@@ -20,6 +20,11 @@ WORD = np.zeros(256, bool)
 WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
 
 
+def folded(texts: pa.Array) -> pa.Array:
+    """Texts without case, by Unicode's case folding."""
+    return pa.array([t if t is None else t.casefold() for t in texts.to_pylist()], pa.string())
+
+
 def edit_budget(words: int, similarity: float) -> int:
     """Most word edits that leave an item of so many words at ``similarity``."""
     return int(np.floor((1 - similarity) * words + 1e-9))
@@ -153,8 +158,8 @@ class Items:
         return np.unique(np.stack([found[row, 2], self.key_item[which], start[row]], axis=1), axis=0)
 
     def matches(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple]:
-        """(text, item, distance, first word, last word) of the best run of each text for each item within budget."""
-        _, _, text, words = word_hashes(LOWER[data], offsets, WORD)
+        """(text, item, distance, first word, last word) of the best run of each text, without case, for each item within budget."""
+        _, _, text, words = word_hashes(data, offsets, WORD)
         bounds = np.searchsorted(text, np.arange(len(offsets)))
         best: dict[tuple, tuple] = {}
         for t, i, s in self.near(words, bounds, self.windows(words, text)).tolist():
@@ -172,8 +177,8 @@ class Items:
 def _item_blocks(items: DataFrame, similarity: float, min_words: int, words_per_block: int, **lsh) -> Iterator[Items]:
     ids, words, n = [], [], 0
     for row in typed(items, item_id="bigint", text="string").toLocalIterator():
-        data, offsets = utf8(pa.array([row.text], pa.string()))
-        own = word_hashes(LOWER[data], offsets, WORD)[3]
+        data, offsets = utf8(folded(pa.array([row.text], pa.string())))
+        own = word_hashes(data, offsets, WORD)[3]
         if len(own) < min_words:
             continue
         ids.append(row.item_id)
@@ -190,7 +195,8 @@ def contamination(docs: DataFrame, items: DataFrame, similarity: float = 0.8, mi
                   bits: int = 3, words_per_block: int = 1_000_000) -> DataFrame:
     """Which documents (doc_id, text) hold a benchmark item (item_id, text), allowing for edits.
 
-    Texts are compared by words (ASCII letters and digits, lower-cased, and all characters beyond ASCII).
+    Texts are compared by words (ASCII letters and digits and all characters beyond ASCII), without regard to
+    case in any script.
     An item of m words is held if some run of the document's words is within floor((1 - similarity) * m)
     word insertions, deletions and substitutions. One row per document row and item: the distance, the
     run's first and last word and 1 - distance / m.
@@ -212,7 +218,8 @@ def contamination(docs: DataFrame, items: DataFrame, similarity: float = 0.8, mi
 
         def run(batches):
             own = sent.value
-            for part, data, offsets in blocks(batches, "text", UNIT):
+            lowered = (pa.record_batch([b.column("doc_id"), folded(b.column("text"))], names=["doc_id", "text"]) for b in batches)
+            for part, data, offsets in blocks(lowered, "text", UNIT):
                 rows = own.matches(data, offsets)
                 doc = part.column("doc_id").to_pylist()
                 cells = [(doc[t], own.ids[i], d, int(own.length[i]), a, b, 1 - d / int(own.length[i])) for t, i, d, a, b in rows]

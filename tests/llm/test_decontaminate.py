@@ -83,3 +83,11 @@ def test_empty_tables(spark):
     assert D.contamination(docs, bench.where("item_id < 0")).count() == 0
     assert D.contamination(docs.where("doc_id < 0"), bench).count() == 0
     assert D.contamination(docs.union(docs), bench).count() == 2
+
+
+def test_case_is_folded_beyond_ascii(spark):
+    item = "ación número señal über straße größe élan forêt où años σοφός λόγος"
+    docs = spark.createDataFrame([(1, f"before {item.upper()} after"), (2, item), (3, item.title())], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(1, item), (2, item.upper())], "item_id bigint, text string")
+    got = {(x.doc_id, x.item_id): (x.distance, x.first_word, x.last_word) for x in D.contamination(docs, bench).collect()}
+    assert got == {(d, i): (0, int(d == 1), 11 + int(d == 1)) for d in (1, 2, 3) for i in (1, 2)}
