@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from nightjar.llm.common import cut_lineage, read, tokenizer_path
 from nightjar.llm.decontaminate import contamination
-from nightjar.llm.lines import dedup_lines
+from nightjar.llm.lines import dedup_lines_sparing_copies
 from nightjar.llm.minhash import near_duplicates
 from nightjar.llm.packing import pack
 from nightjar.llm.quality import fit
@@ -25,9 +25,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop lines found in ten or more documents; a document left without text goes."""
-    out = dedup_lines(docs, min_docs=10)
-    kept = out.where((F.col("n_dropped") == 0) | (F.length(F.trim("text")) > 0))
+    """Drop lines found in ten or more documents; a document left without text goes.
+
+    Copies of one another keep the lines that stand in them alone: near-dedup chooses one of them.
+    """
+    out = dedup_lines_sparing_copies(docs, min_docs=10)
+    kept = out.where((F.col("n_dropped") == 0) | F.col("text").rlike(r"[^ \t\n\x0b\f\r]"))
     return kept.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars"))).select(docs.columns)
 
 

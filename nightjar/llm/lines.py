@@ -179,13 +179,14 @@ class LineStore:
         return self.filters.groupBy("shard").cogroup(keyed).applyInArrow(change, "shard int, room bigint, filter binary")
 
 
-def drop_frequent_lines(docs: DataFrame, store: LineStore, text: str = "text", broadcast_limit: int = 64 << 20) -> DataFrame:
+def drop_frequent_lines(docs: DataFrame, store: LineStore, text: str = "text", broadcast_limit: int = 64 << 20, spare: bool = False) -> DataFrame:
     """``docs`` without the lines whose key the store counts in ``min_docs`` documents or more.
 
     Returns the columns of ``docs``, with ``text`` replaced by the lines that stay, joined by newline,
     and two more, ``n_lines`` and ``n_dropped`` (they replace input columns of those names). A null or
     empty text is one empty line, which always stays; blank lines have no key and always stay. Equal
-    rows are separate documents; an empty table gives an empty one.
+    rows are separate documents; an empty table gives an empty one. With ``spare`` a text of which nothing but
+    white space would stay is returned whole, with all its lines counted as dropped.
 
     The filters answer for nearly every line. What a filter wrongly takes for frequent is found exactly by
     asking it about every rare key of the count table. If the filters and those keys are smaller than
@@ -199,8 +200,8 @@ def drop_frequent_lines(docs: DataFrame, store: LineStore, text: str = "text", b
         wrong = _wrongly_hit(store, filters)
         n = wrong.count()
         if n * 16 <= broadcast_limit:
-            return _drop_in_tasks(docs, store, text, filters, {bytes(r.key) for r in wrong.collect()})
-    return _drop_by_join(docs, store, text)
+            return _drop_in_tasks(docs, store, text, filters, {bytes(r.key) for r in wrong.collect()}, spare)
+    return _drop_by_join(docs, store, text, spare)
 
 
 def _shards_of(keys: list[bytes], shards: int) -> np.ndarray:
@@ -237,9 +238,11 @@ def _wrongly_hit(store: LineStore, filters: dict) -> DataFrame:
     return cut_lineage(arrow_map(store.counts.where(F.col("n_docs") < store.min_docs).select("key"), run, "key binary"))
 
 
-def _kept(value: bytes | None, dropped) -> tuple[bytes, int, int]:
+def _kept(value: bytes | None, dropped, spare: bool) -> tuple[bytes, int, int]:
     lines = (value or b"").split(b"\n")
     left = [x for x, out in zip(lines, dropped(lines)) if not out]
+    if spare and len(left) < len(lines) and not any(x.strip(WHITE_BYTES) for x in left):
+        return value, len(lines), len(lines)
     return b"\n".join(left), len(lines), len(lines) - len(left)
 
 
@@ -257,7 +260,7 @@ def _schema(docs: DataFrame, text: str) -> tuple[list[str], str]:
     return names, ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", n_lines bigint, n_dropped bigint"
 
 
-def _drop_in_tasks(docs: DataFrame, store: LineStore, text: str, filters: dict, wrong: set) -> DataFrame:
+def _drop_in_tasks(docs: DataFrame, store: LineStore, text: str, filters: dict, wrong: set, spare: bool) -> DataFrame:
     names, schema = _schema(docs, text)
     shards, sent = store.shards, docs.sparkSession.sparkContext.broadcast((filters, wrong))
 
@@ -267,13 +270,13 @@ def _drop_in_tasks(docs: DataFrame, store: LineStore, text: str, filters: dict,
             values = batch.column(text).cast(pa.large_binary()).to_pylist()
             keys = list({k for v in values for k in map(line_key, (v or b"").split(b"\n")) if k})
             frequent = {k for k, hit in zip(keys, _hits(keys, filters, shards)) if hit and k not in wrong}
-            rows = [_kept(v, lambda lines: [line_key(x) in frequent for x in lines]) for v in values]
+            rows = [_kept(v, lambda lines: [line_key(x) in frequent for x in lines], spare) for v in values]
             yield _result(batch, names, text, rows)
 
     return arrow_map(docs.select(*[F.col(f"`{c}`") for c in names]), run, schema)
 
 
-def _drop_by_join(docs: DataFrame, store: LineStore, text: str, rows_per_group: int = 200_000) -> DataFrame:
+def _drop_by_join(docs: DataFrame, store: LineStore, text: str, spare: bool, rows_per_group: int = 200_000) -> DataFrame:
     names, schema = _schema(docs, text)
     rows = cut_lineage(docs.select(*[F.col(f"`{c}`") for c in names]).withColumn("_row", F.expr("uuid()")))
 
@@ -305,7 +308,7 @@ def _drop_by_join(docs: DataFrame, store: LineStore, text: str, rows_per_group:
             out = []
             for v, keys in zip(batch.column(text).cast(pa.large_binary()).to_pylist(), batch.column("_keys").to_pylist()):
                 frequent = set(keys or ())
-                out.append(_kept(v, lambda lines: [line_key(x) in frequent for x in lines]))
+                out.append(_kept(v, lambda lines: [line_key(x) in frequent for x in lines], spare))
             yield _result(batch, names, text, out)
 
     return arrow_map(rows.join(lists, "_row", "left").select(*[F.col(f"`{c}`") for c in names], "_keys"), run, schema)
@@ -315,3 +318,19 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, text: str = "text", broadca
     """Count every line of ``docs`` in a new store and drop those found in ``min_docs`` documents or more."""
     store = LineStore.empty(docs.sparkSession, min_docs).insert(docs, text)
     return drop_frequent_lines(docs, store, text, broadcast_limit)
+
+
+def dedup_lines_sparing_copies(docs: DataFrame, min_docs: int = 10, text: str = "text", broadcast_limit: int = 64 << 20) -> DataFrame:
+    """``dedup_lines``, but a line that stands only in documents that would be left without text stays.
+
+    Such documents are copies of one another: dropping their lines would lose the text in all of them. A
+    document whose lines all stand in documents with other text too is left empty.
+    """
+    store = LineStore.empty(docs.sparkSession, min_docs).insert(docs, text)
+    out = cut_lineage(drop_frequent_lines(docs, store, text, broadcast_limit, spare=True))
+    bare = out.where("n_dropped = n_lines")
+    held = line_counts(bare, text).withColumnRenamed("n_docs", "here").join(store.counts, "key")
+    shared = LineStore.empty(docs.sparkSession, min_docs)
+    shared.counts = cut_lineage(held.select("key", F.when(F.col("here") < F.col("n_docs"), F.col("n_docs")).otherwise(F.lit(1)).cast("bigint").alias("n_docs")))
+    shared._build()
+    return out.where("n_dropped < n_lines").unionByName(drop_frequent_lines(bare, shared, text, broadcast_limit))

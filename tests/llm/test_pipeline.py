@@ -89,3 +89,19 @@ def test_empty_table(spark, tables):
     none = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 0")
     for _, stage in P.STAGES:
         assert stage(spark, none, sf).count() == 0
+
+
+@pytest.mark.parametrize("limit", [64 << 20, 0])
+def test_line_dedup_leaves_groups_of_copies_to_near_dedup(spark, limit, monkeypatch):
+    from functools import partial
+
+    monkeypatch.setattr(P, "dedup_lines_sparing_copies", partial(P.dedup_lines_sparing_copies, broadcast_limit=limit))
+    body = "\n\n".join(" ".join(f"copy{i}x{j}" for j in range(12)) for i in range(4))
+    rows = [(d, f"Home page\n{body}\n\t") for d in range(25)] + [(30 + d, f"Home page\nown text number {d}") for d in range(12)] + [(50, "Home page"), (51, "home page\n \t\n"), (52, "\t"), (53, None)]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    out = P.cut_lineage(P.lines(spark, docs, ""))
+    copy = f"{body}\n\t"
+    want = [(d, copy) for d in range(25)] + [(30 + d, f"own text number {d}") for d in range(12)] + [(52, "\t"), (53, "")]
+    assert out.columns == docs.columns and sorted((r.doc_id, r.text or "") for r in out.collect()) == want
+    assert all(r.n_chars == len(r.text or "") for r in out.collect())
+    assert [r.doc_id for r in P.near_copies(spark, out, "").where("doc_id < 25").collect()] == [0]
