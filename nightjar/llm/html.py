@@ -131,7 +131,8 @@ def main_text(html: str | None, share: float = 0.25) -> str:
     Paths that score ``share`` of the best path's score or more, by ratios over all text outside
     side areas, are content. The article is the article or main element with the most content text if the
     page has one, else the smallest common element of the content paths; all of its text outside side areas
-    is kept, so headings and short paragraphs between the content nodes stay.
+    is kept, so headings and short paragraphs between the content nodes stay; in the latter case blocks of
+    nothing but links on low paths go.
     """
     nodes = [n for n in text_nodes(html or "") if not n.side]
     marked = [n for n in nodes if n.main and n.text.strip()]
@@ -156,7 +157,8 @@ def main_text(html: str | None, share: float = 0.25) -> str:
             del shared[k:]
         low = set(scores) - {n.path for n in content}
         root = tuple(shared)
-        kept = [n for n in nodes if n.path[:len(root)] == root and not (n.link and n.path in low)]
+        told = {n.block for n in nodes if not n.link and any(c.isalnum() for c in n.text)}
+        kept = [n for n in nodes if n.path[:len(root)] == root and not (n.link and n.path in low and n.block not in told)]
     blocks: list[str] = []
     last = None
     for n in kept:

@@ -52,3 +52,11 @@ def test_extra_columns_and_empty_table(spark):
     df = spark.createDataFrame([(1, "u", "<p>a b</p>", "x"), (1, "u", "<p>a b</p>", "x"), (None, None, None, "x")], "page_id bigint, url string, html string, text string")
     assert sorted((x.page_id or 0, x.url, x.text, x.n_chars) for x in extract(df).collect()) == [(0, None, "", 0), (1, "u", "a b", 3), (1, "u", "a b", 3)]
     assert extract(df.where("page_id = 9")).collect() == []
+
+
+def test_links_inside_paragraphs_stay_without_article_element():
+    body = "".join(f"<p>{SENTENCE}See <a href=x>the report {i}</a> today.</p>" for i in range(4))
+    menu = "<ul><li><a>One</a> | <a>Two</a></li><li><a>Three</a></li></ul>"
+    want = " ".join(f"{SENTENCE}See the report {i} today." for i in range(4))
+    assert main_text(f"<body><div class=story>{body}{menu}</div></body>") == want
+    assert main_text(f"<body>{menu}{body}</body>") == want
