@@ -18,6 +18,8 @@ SILENT = frozenset("script style noscript template svg math iframe object canvas
 INLINE |= (SILENT - {"head", "title"}) | {"img", "input", "label", "picture", "source", "embed"}
 SIDE = frozenset("nav footer aside form menu dialog header".split())
 MAIN = frozenset(["article", "main"])
+#: Share of the text that a side area may hold at most, if only its name or a form makes it one.
+MOST = 0.75
 #: Words of a class, id or role that name what is no part of the article.
 SIDE_NAMES = frozenset((
     "ad ads advert advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright dialog disqus footer gdpr login menu modal nav "
@@ -38,7 +40,7 @@ class Node:
     path: tuple
     text: str
     main: int  # which article or main element it lies in, 0 for none
-    side: bool
+    side: tuple  # numbers of the side areas it lies in, from the root down
     link: bool
 
 
@@ -50,6 +52,8 @@ class _Reader(HTMLParser):
         self.open: list[tuple] = []  # tag, label, main, side, link, silent
         self.nodes: list[Node] = []
         self.block = self.mains = 0
+        self.sure: list[bool] = []  # per side area, whether its element says so and not a name or form alone
+        self.holds: set[int] = set()  # side areas with an article or main element inside
 
     def _close(self, targets: frozenset | set, stop: frozenset | set) -> None:
         for i in range(len(self.open) - 1, -1, -1):
@@ -70,12 +74,19 @@ class _Reader(HTMLParser):
             return
         given = dict(attrs)
         names = [n.lower() for a in ("class", "id", "role") if given.get(a) for n in NAME.findall(given[a])]
-        _, _, main, side, link, silent = self.open[-1] if self.open else ("", "", 0, False, False, False)
-        if tag in MAIN or "main" in (given.get("role") or "").split():
+        _, _, main, side, link, silent = self.open[-1] if self.open else ("", "", 0, (), False, False)
+        own = tag in MAIN or "main" in (given.get("role") or "").split()
+        if own:
+            self.holds.update(side)
             if not main:
                 self.mains += 1
                 main = self.mains
-        side = side or (tag in SIDE and not (tag == "header" and main)) or any(n in SIDE_NAMES for n in names) or "hidden" in given
+        if tag not in ("html", "body"):
+            sure = "hidden" in given or (tag in SIDE and tag != "form" and not (tag == "header" and main))
+            named = tag == "form" or any(n in SIDE_NAMES for n in names)
+            if sure or named and not (own and all(x[0] != "article" for x in self.open)):
+                side += (len(self.sure),)
+                self.sure.append(sure)
         label = tag + "".join(f".{n}" for n in names[:3])
         self.open.append((tag, label, main, side, link or tag == "a", silent or tag in SILENT))
 
@@ -88,7 +99,7 @@ class _Reader(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
-        _, _, main, side, link, silent = self.open[-1] if self.open else ("", "", 0, False, False, False)
+        _, _, main, side, link, silent = self.open[-1] if self.open else ("", "", 0, (), False, False)
         if not silent:
             self.nodes.append(Node(self.block, tuple(x[1] for x in self.open), data, main, side, link))
 
@@ -97,9 +108,37 @@ def text_nodes(html: str) -> list[Node]:
     reader = _Reader()
     reader.feed(html)
     reader.close()
+    _settle_sides(reader)
     return reader.nodes
 
 
+def _settle_sides(reader: _Reader) -> None:
+    """Lift side areas that a name or a form alone makes, from the root down, where they hold the article.
+
+    That is where no article or main element has text outside side areas and the area holds one, or holds
+    ``MOST`` of the text outside links and other areas; an area with an article or main element that holds
+    ``MOST`` of the text is lifted in any case.
+    """
+    while True:
+        size: dict = defaultdict(int)
+        free = False
+        for n in reader.nodes:
+            if n.text.strip():
+                size[n.side[0] if n.side else None] += 0 if n.link else len(n.text.strip())
+                free = free or bool(n.main and not n.side)
+        loose = [s for s in size if s is not None and not reader.sure[s]]
+        lifted = set() if free else {s for s in loose if s in reader.holds}
+        if not lifted and loose:
+            s = max(loose, key=lambda s: (size[s], -s))
+            if 0 < size[s] >= MOST * (size[s] + size.get(None, 0)) and (not free or s in reader.holds):
+                lifted = {s}
+        if not lifted:
+            return
+        for n in reader.nodes:
+            if n.side and n.side[0] in lifted:
+                n.side = n.side[1:]
+
+
 def path_scores(nodes: list[Node], reach: int = 2) -> dict[tuple, float]:
     """Fused, smoothed ratio per path.
 
@@ -131,7 +170,7 @@ def main_text(html: str | None, share: float = 0.25) -> str:
     Paths that score ``share`` of the best path's score or more, by ratios over all text outside
     side areas, are content. The article is the article or main element with the most content text if the
     page has one, else the smallest common element of the content paths; all of its text outside side areas
-    is kept, so headings and short paragraphs between the content nodes stay; in the latter case blocks of
+    is kept (``_settle_sides`` says which names make none), so headings and short paragraphs between the content nodes stay; in the latter case blocks of
     nothing but links on low paths go.
     """
     nodes = [n for n in text_nodes(html or "") if not n.side]

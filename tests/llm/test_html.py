@@ -60,3 +60,15 @@ def test_links_inside_paragraphs_stay_without_article_element():
     want = " ".join(f"{SENTENCE}See the report {i} today." for i in range(4))
     assert main_text(f"<body><div class=story>{body}{menu}</div></body>") == want
     assert main_text(f"<body>{menu}{body}</body>") == want
+
+
+def test_names_on_what_holds_the_article_make_no_side_area():
+    story = f"<h1>Head</h1><p>{SENTENCE}</p><p>{SENTENCE}</p>"
+    want = f"Head {SENTENCE}{SENTENCE}".strip()
+    side = "<nav><a>Home</a></nav><div class=sidebar>Also read this.</div><footer>me</footer>"
+    for page in (f"<body class=no-sidebar><article>{story}</article>{side}</body>", f"<html class=search><body class='has-comments search-results'><main>{story}</main>{side}",
+                 f"<body><article class='post promoted'>{story}</article>{side}", f"<div id=main-with-sidebar><article>{story}</article>{side}</div>",
+                 f"<body><form id=f><div class=widget><div>{story}</div></div>{side}</form>", f"<form>{side}<main class=share><article class=promoted>{story}</article></main></form>"):
+        assert main_text(page) == want, page
+    assert main_text(f"<article>{story}<section class=comments><article class=comment><p>{SENTENCE}</p></article></section></article>") == want
+    assert main_text(f"<nav class=x>{SENTENCE}</nav><div hidden>{SENTENCE}</div>") == ""
