@@ -16,6 +16,7 @@ from nightjar.llm.lines import dedup_lines
 from nightjar.llm.minhash import near_duplicates
 from nightjar.llm.packing import pack
 from nightjar.llm.quality import resample
+from nightjar.llm.simhash import near_duplicates as linked_fingerprints
 from nightjar.llm.suffixes import remove_repeats
 from nightjar.llm.topk import top_k
 
@@ -97,3 +98,8 @@ ORACLES["op10_kdtree_top5"] = """
 @query
 def op10_kdtree_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(read(spark, sf_dir, "embeddings"), k=5, every=50)
+
+
+@query
+def op13_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linked_fingerprints(read(spark, sf_dir, "documents"), k=4, radius=4).select("doc_id", "fingerprint", "component_id")
