@@ -15,6 +15,7 @@ from nightjar.llm.licenses import scan
 from nightjar.llm.lines import dedup_lines
 from nightjar.llm.minhash import near_duplicates
 from nightjar.llm.packing import pack
+from nightjar.llm.phrases import collocations
 from nightjar.llm.quality import resample
 from nightjar.llm.simhash import near_duplicates as linked_fingerprints
 from nightjar.llm.suffixes import remove_repeats
@@ -103,3 +104,26 @@ def op10_kdtree_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op13_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked_fingerprints(read(spark, sf_dir, "documents"), k=4, radius=4).select("doc_id", "fingerprint", "component_id")
+
+
+ORACLES["op12_tiled_collocations"] = """
+    with pieces as (select coalesce(lang, 'und') as lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\n\\x0B\\x0C\\r]')) as piece from documents),
+    spoken as (select lang, list_filter(string_split_regex(piece, '[ \\t]'), lambda w: w <> '') as words from pieces),
+    grams as (select lang, m, unnest(list_transform(range(1, len(words) - m + 2), lambda i: words[i:i + m - 1])) as gram from spoken, range(1, 6) as lengths(m)),
+    counted as (select lang, m, gram, count(*) as f from grams group by all),
+    spoken_words as (select lang, sum(f)::bigint as n from counted where m = 1 group by lang),
+    found as (select * from counted where m > 1 and f >= 100),
+    covers as (select lang, gram[:m - 1] as gram, f from found union all select lang, gram[2:], f from found),
+    kept as (select * from found x where not exists (select 1 from covers y where y.lang = x.lang and y.gram = x.gram and 100 * y.f >= 100 * x.f)),
+    cuts as (select x.*, n, k, one.f as l, two.f as r, (1000::hugeint * x.f * n) // (one.f::hugeint * two.f) as score
+        from kept x join spoken_words using (lang) join range(1, 5) as places(k) on k < m
+        join counted one on one.lang = x.lang and one.gram = x.gram[:k] join counted two on two.lang = x.lang and two.gram = x.gram[k + 1:]),
+    lowest as (select * from cuts qualify row_number() over (partition by lang, gram order by score, k) = 1),
+    ranked as (select lang, array_to_string(gram, ' ') as phrase, f as a, l, r, n, score::bigint as score from lowest)
+    select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score from ranked
+    qualify row_number() over (partition by lang order by score desc, a desc, phrase) <= 2000"""
+
+
+@query
+def op12_tiled_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(read(spark, sf_dir, "documents"), longest=5, least=100, covered_percent=100, top=2000)

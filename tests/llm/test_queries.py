@@ -11,6 +11,7 @@ import public_tokenizers
 import pytest
 from test_licenses import brute as brute_licenses
 from test_minhash import brute as brute_groups
+from test_simhash import brute as brute_prints
 from test_suffixes import brute as brute_spans
 from test_topk import brute as brute_top
 from tokenizers import Tokenizer
@@ -32,8 +33,8 @@ def ids_of(name, text, end):
     return [*Tokenizer.from_file(public_tokenizers.path(name)).encode(text or "", add_special_tokens=False).ids, end]
 
 
-def test_all_ten_are_there():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+def test_all_are_there():
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, len(QUERIES) + 1))
     assert set(ORACLES) <= set(QUERIES)
 
 
@@ -129,3 +130,7 @@ def test_near_duplicates(spark, sf, docs):
 def test_top_five(spark, sf):
     vectors = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
     assert {tuple(r) for r in rows(spark, sf, "op10_kdtree_top5")} == brute_top(vectors, 5, 50)
+
+
+def test_linked_fingerprints(spark, sf, docs):
+    assert {r.doc_id: (r.fingerprint, r.component_id) for r in rows(spark, sf, "op13_covering_simhash")} == brute_prints(docs)
