@@ -14,6 +14,7 @@ from nightjar.llm.idfiles import round_trip
 from nightjar.llm.licenses import scan
 from nightjar.llm.lines import dedup_lines
 from nightjar.llm.minhash import near_duplicates
+from nightjar.llm.negatives import hard_negatives
 from nightjar.llm.packing import pack
 from nightjar.llm.phrases import collocations
 from nightjar.llm.quality import resample
@@ -127,3 +128,21 @@ ORACLES["op12_tiled_collocations"] = """
 @query
 def op12_tiled_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(read(spark, sf_dir, "documents"), longest=5, least=100, covered_percent=100, top=2000)
+
+
+ORACLES["op11_rtree_hard_negatives"] = """
+    with points as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as point from embeddings
+        where vec_id is not null and label is not null and embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+    scored as (select a.vec_id as anchor_id, a.label as own, c.vec_id, c.label, list_inner_product(a.point, c.point)::bigint as score
+        from points a join points c on a.vec_id <> c.vec_id and len(a.point) = len(c.point) where a.vec_id % 100 = 0),
+    near as (select anchor_id, vec_id as positive_id, score as positive_score from scored where label = own
+        qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5),
+    far as (select s.anchor_id, positive_id, row_number() over (partition by s.anchor_id, positive_id order by score desc, vec_id)::integer as rank, vec_id as negative_id, positive_score, score as negative_score
+        from scored s join near n on n.anchor_id = s.anchor_id where label <> own and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score)
+    select * from far where rank <= 10"""
+
+
+@query
+def op11_rtree_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    relabelled = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(read(spark, sf_dir, "embeddings").withColumn("label", relabelled), every=100, positives=5, negatives=10, low=30, high=90)
