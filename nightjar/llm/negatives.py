@@ -16,7 +16,7 @@ from nightjar.llm.common import arrow_map, cut_lineage
 ROWS_PER_SHARD = 4096
 ANCHORS_PER_BLOCK = 256
 SHARDS_PER_PAGE = 512
-LEAF = 64
+LEAF = 256
 FAN = 8
 LEAST, MOST = -(1 << 62), 1 << 62
 
@@ -77,9 +77,9 @@ class RTree:
 
         def leaf(node: int):
             if node not in scores:
-                a = node * LEAF
-                fits = np.flatnonzero(((self.labels[a:a + LEAF] == label) == same) & (self.ids[a:a + LEAF] != own_id)) + a
-                scores[node] = (self.points[fits] @ query).astype(np.int64), self.ids[fits]
+                own = slice(node * LEAF, node * LEAF + LEAF)
+                fits = ((self.labels[own] == label) == same) & (self.ids[own] != own_id)
+                scores[node] = (self.points[own] @ query)[fits].astype(np.int64), self.ids[own][fits]
             return scores[node]
 
         other = (self.label_low > label) | (self.label_high < label)
@@ -100,7 +100,7 @@ class RTree:
                             heapq.heappush(queue, (-int(bound[c]), c))
                     continue
                 s, i = leaf(node)
-                inside = (s >= lo) & (s <= hi)
+                inside = (s >= (best[-1] if len(best) == k else lo)) & (s <= hi)
                 if inside.any():
                     best, names = np.concatenate([best, s[inside]]), np.concatenate([names, i[inside]])
                     order = np.lexsort((names, -best))[:k]

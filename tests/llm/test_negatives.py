@@ -63,7 +63,8 @@ def test_few_rows_repeated_rows_and_none(spark):
     assert N.hard_negatives(df.where("label = 2")).collect() == []
 
 
-def test_boxes_shut_out_most_leaves_of_clustered_rows():
+def test_boxes_shut_out_most_leaves_of_clustered_rows(monkeypatch):
+    monkeypatch.setattr(N, "LEAF", 64)
     r = np.random.default_rng(3)
     points = np.concatenate([r.integers(-20, 20, (800, 4)) + c for c in ([300, 0, 0, 0], [-300, 0, 0, 0], [0, 300, 0, 0], [0, -300, 0, 0])]).astype(float)
     labels = np.repeat(np.arange(4), 800)
@@ -77,7 +78,7 @@ def test_boxes_shut_out_most_leaves_of_clustered_rows():
         own = exact[leaf * N.LEAF:(leaf + 1) * N.LEAF]
         assert lower[0, leaf] <= own.min() and own.max() <= upper[0, leaf]
     opened = []
-    tree.points = type("Counted", (), {"__getitem__": lambda self, at: opened.append(len(at)) or points[order][at]})()
+    tree.points = type("Counted", (), {"__getitem__": lambda self, at: opened.append(at.stop - at.start) or points[order][at]})()
     found = list(tree.search(query, -1, 0, False, [(2000, 10000)], 10, lower[0], upper[0]))
     fits = np.flatnonzero((labels[order] != 0) & (exact >= 2000) & (exact <= 10000))
     assert sorted(found[0][1].tolist(), reverse=True) == sorted(exact[fits].astype(int).tolist(), reverse=True)[:10]
