@@ -16,7 +16,7 @@ from nightjar.llm.text import mix
 BLOCK = 2 << 20     # bytes of text in a block
 TILE = 256          # ids on each side of a tile
 DENSE = 4           # a tile with a DENSE-th of its cells' number in pairs is counted by direct address
-LOT = 400_000       # positions whose codes are counted together, about
+LOT = 2_000_000     # positions whose codes are counted together, about
 
 #: Byte table: A-Z to lower case, separators of pieces to \n, the tab to a space.
 _FOLD = bytes(10 if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -67,13 +67,18 @@ def count_pairs(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.nda
     return left[one], right[one], np.concatenate([*counts, n]), number
 
 
-def _dealt(block: int, lang: str, seq: np.ndarray, lot: np.ndarray, count: np.ndarray, left, right=None) -> list[dict]:
-    """Rows of a block: its codes by lot, and its sequence with the codes numbered lot by lot (0 where there is none)."""
+def numbered(seq: np.ndarray, lot: np.ndarray) -> np.ndarray:
+    """The sequence with its codes numbered lot by lot from 1, and 0 where there is none."""
+    number = np.zeros(len(lot) + 1, np.int64)
+    number[np.argsort(lot, kind="stable")] = np.arange(1, len(lot) + 1)
+    return number[seq]
+
+
+def _dealt(block: int, lang: str, seq: np.ndarray, lot: np.ndarray, count: np.ndarray, left, right=None, keep: bool = True) -> list[dict]:
+    """Rows of a block: its codes by lot, and its sequence with the codes' numbers (unless it is to be derived again)."""
     order = np.argsort(lot, kind="stable")
-    number = np.empty(len(order) + 1, np.int64)
-    number[order], number[-1] = np.arange(1, len(order) + 1), 0
     cuts = [0, *(np.flatnonzero(np.diff(lot[order])) + 1).tolist(), len(order)]
-    out = [{"block": block, "lang": lang, "n": int((seq >= 0).sum()), "seq": pack(number[seq])}]
+    out = [{"block": block, "lang": lang, "n": int((seq >= 0).sum()), "seq": pack(numbered(seq, lot)) if keep else None}]
     for a, b in zip(cuts[:-1], cuts[1:]):
         own = order[a:b]
         codes = {"left": b"\n".join(left[i] for i in own)} if right is None else {"left": pack(left[own]), "right": pack(right[own])}
@@ -94,7 +99,7 @@ def word_blocks(docs: DataFrame, lots: int) -> DataFrame:
     is spread over blocks; only a single piece is always held whole.
     """
 
-    def numbered(body: bytes, block: int, lang: str) -> pa.Table:
+    def counted(body: bytes, block: int, lang: str) -> pa.Table:
         import xxhash
 
         coded = pa.array(body.replace(b"\n", b" \n ").split(b" "), pa.binary()).dictionary_encode()
@@ -123,7 +128,7 @@ def word_blocks(docs: DataFrame, lots: int) -> DataFrame:
                         held[lang], size[lang] = [body[a:]], b - a
                         return
                 if body[a:b].strip(b" \n"):
-                    yield numbered(body[a:b], block, lang)
+                    yield counted(body[a:b], block, lang)
                     block += 1
                 a = b + 1
 
@@ -185,29 +190,49 @@ def _count_lots(blocks: DataFrame, lots: int, least: int) -> DataFrame:
     return blocks.where("lot is not null").drop("seq").groupBy("lang", "lot").applyInArrow(count, LEVEL)
 
 
-def _longer(blocks: DataFrame, level: DataFrame, lots: int) -> DataFrame:
-    """Blocks one word longer: neighbouring positions whose codes are both frequent, paired and counted by tiles."""
+def _pairs(seq: np.ndarray, places: np.ndarray, ids: np.ndarray, lots: int):
+    """One word longer: the sequence of pairs of neighbouring codes that are both frequent, the pairs, their counts and lots."""
+    known = np.full(max(int(seq.max(initial=0)), int(places.max(initial=0))) + 1, -1, np.int64)
+    known[places] = ids
+    seq = known[seq]
+    both = (seq[:-1] >= 0) & (seq[1:] >= 0)
+    left, right, count, number = count_pairs(seq[:-1][both], seq[1:][both])
+    longer = np.full(len(both), -1, np.int64)
+    longer[both] = number
+    longer = longer[both | np.append(True, both[:-1])]  # of a run without codes one place keeps its neighbours apart
+    lot = mix(mix(left.astype(np.uint64)) + right.astype(np.uint64)) % np.uint64(lots)
+    return longer, lot.astype(np.int64), count, left, right
+
+
+def _longer(blocks: DataFrame, levels: list[tuple[DataFrame, int]], keep: bool) -> DataFrame:
+    """Blocks longer by one word per level: a level holds the frequent codes of its length and says how many lots the next has.
+
+    Pairs of words are by far the most codes, and most stand once in their block: their sequences take more room than the
+    words'. So they are not kept (``keep``) but derived a second time from the words when triples are counted.
+    """
+    lots = [n for _, n in levels]
 
     def pair(block: pa.Table, found: pa.Table) -> pa.Table:
-        if not block.num_rows or not found.num_rows:
+        if not block.num_rows:
             return _table([], BLOCKS)
         seq = unpack(block.column("seq")[0].as_py())
-        places, ids = (np.concatenate([unpack(x) for x in found.column(c).to_pylist()]) for c in ("places", "ids"))
-        known = np.full(max(int(seq.max()), int(places.max())) + 1, -1, np.int64)
-        known[places] = ids
-        seq = known[seq]
-        both = (seq[:-1] >= 0) & (seq[1:] >= 0)
-        if not both.any():
-            return _table([], BLOCKS)
-        left, right, count, number = count_pairs(seq[:-1][both], seq[1:][both])
-        longer = np.full(len(both), -1, np.int64)
-        longer[both] = number
-        longer = longer[both | np.append(True, both[:-1])]  # of a run without codes one place keeps its neighbours apart
-        lot = mix(mix(left.astype(np.uint64)) + right.astype(np.uint64)) % np.uint64(lots)
-        return _table(_dealt(block.column("block")[0].as_py(), block.column("lang")[0].as_py(), longer, lot.astype(np.int64), count, left, right), BLOCKS)
+        step = found.column("step").to_numpy()
+        for i, n in enumerate(lots):
+            own = np.flatnonzero(step == i)
+            if not len(own):
+                return _table([], BLOCKS)
+            places, ids = (np.concatenate([unpack(found.column(c)[j].as_py()) for j in own.tolist()]) for c in ("places", "ids"))
+            longer, lot, count, left, right = _pairs(seq, places, ids, n)
+            if not len(count):
+                return _table([], BLOCKS)
+            seq = numbered(longer, lot)
+        return _table(_dealt(block.column("block")[0].as_py(), block.column("lang")[0].as_py(), longer, lot, count, left, right, keep), BLOCKS)
 
     state = blocks.where("lot is null").select("block", "lang", "seq")
-    found = level.where("block is not null").select("block", "places", "ids")
+    found = None
+    for i, (level, _) in enumerate(levels):
+        own = level.where("block is not null").select("block", "places", "ids", F.lit(i).alias("step"))
+        found = own if found is None else found.union(own)
     return state.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(pair, BLOCKS)
 
 
@@ -223,7 +248,8 @@ def frequent_phrases(docs: DataFrame, longest: int = 5, least: int = 100) -> tup
     """
     size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
     lots = max(1, math.ceil(size / 40 / LOT))  # a word has some six bytes and recurs in its block
-    blocks = cut_lineage(word_blocks(docs, lots))
+    blocks = held = cut_lineage(word_blocks(docs, lots))
+    pending: list[tuple[DataFrame, int]] = []
     words = blocks.where("lot is null").groupBy("lang").agg(F.sum("n").alias("n"))
     levels: list[DataFrame] = []
     for length in range(1, longest + 1):
@@ -240,7 +266,10 @@ def frequent_phrases(docs: DataFrame, longest: int = 5, least: int = 100) -> tup
         if length < longest:
             places = blocks.where("lot is null").agg(F.sum("n")).first()[0] or 0
             lots = max(1, math.ceil(places / LOT))
-            blocks = cut_lineage(_longer(blocks, level, lots))
+            pending.append((level, lots))
+            blocks = cut_lineage(_longer(held, pending, keep=length > 1))
+            if length > 1:
+                held, pending = blocks, []
     return levels, words
 
 
