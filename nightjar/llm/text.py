@@ -1,7 +1,9 @@
-"""Words and rolling hashes of whole texts as numpy arrays, for Arrow functions.
+"""Words and hashes of whole texts as numpy arrays, for Arrow functions.
 
-A block is one byte buffer of several texts put end to end with the offset of each text. All hashes
-are polynomials over bytes modulo 2^64, so the hash of any slice comes from two prefix sums.
+A block is one byte buffer of several texts put end to end with the offset of each text. Words and pieces
+are hashed by a chain of mixed eight-byte steps. ``Rolling`` is a polynomial over bytes modulo 2^64 whose slices
+all follow from prefix sums; such sums clash on strings built by repeated complement from 1,024 bytes
+on, so it serves short windows only.
 """
 
 from __future__ import annotations
@@ -85,6 +87,33 @@ class Rolling:
         return (self.sums[q:] - self.sums[:n]) * self.inverse[:n] if n > 0 else np.zeros(0, np.uint64)
 
 
+_LAST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)  # masks of the first k bytes
+
+
+def slice_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, short: int = 64) -> np.ndarray:
+    """A 64-bit hash of every slice ``data[start:end]``: by its bytes and length alone.
+
+    Slices of up to ``short`` bytes are worked through eight bytes at a time, all side by side; longer ones,
+    which are few, are hashed one by one.
+    """
+    import xxhash
+
+    size = end - start
+    h = mix(size.astype(np.uint64) + np.uint64(_BASE))
+    room = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) + 1, "<u8", room, strides=(1,))
+    at = np.flatnonzero(size <= short)
+    for done in range(0, short, 8):
+        at = at[size[at] > done]
+        if not len(at):
+            break
+        step = eight[start[at] + done] & _LAST[np.minimum(size[at] - done, 8)]
+        h[at] = mix((h[at] ^ mix(step + np.uint64(done + 1))) * np.uint64(0x9FB21C651E98DF25))
+    for i in np.flatnonzero(size > short).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(data[start[i]:end[i]].tobytes())
+    return h
+
+
 def word_spans(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and text number of every maximal run of word bytes."""
     n = len(data)
@@ -99,7 +128,7 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tu
 def word_hashes(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Start, end, text number and hash of every word; ``data`` should be lower-cased already."""
     start, end, text = word_spans(data, offsets, is_word)
-    return start, end, text, mix(Rolling(data).slices(start, end) + (end - start).astype(np.uint64))
+    return start, end, text, slice_hashes(data, start, end)
 
 
 def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:

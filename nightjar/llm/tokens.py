@@ -7,7 +7,7 @@ import os
 
 import numpy as np
 
-from nightjar.llm.text import LOWER, Rolling, mix
+from nightjar.llm.text import LOWER, slice_hashes
 
 UNIT = 1 << 19  # bytes of text encoded at once
 _LETTER, _MARK = 1, 2
@@ -99,7 +99,7 @@ class PieceEncoder:
         start = np.flatnonzero(lead[:n])
         end = np.append(start[1:], n) if len(start) else start
         text = np.searchsorted(offsets, start, "right") - 1
-        hashes = mix(Rolling(data).slices(start, end) + (end - start).astype(np.uint64))
+        hashes = slice_hashes(data, start, end)
         distinct, first, back = np.unique(hashes, return_index=True, return_inverse=True)
         spot = np.searchsorted(self.known, distinct)
         fresh = np.flatnonzero(self.known[np.minimum(spot, len(self.known) - 1)] != distinct) if len(self.known) else np.arange(len(distinct))
