@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 
 from nightjar.catalog import query
 from nightjar.catalog.splits import draw
+from nightjar.operators import signals as S
 from nightjar.plans import views as V
 from nightjar.plans.views import with_views
 from nightjar.session import run_folder
 from nightjar.sources import annotations as A
 from nightjar.sources import files as FI
 from nightjar.sources import incremental as I
+from nightjar.sources import recordings as RE
 from nightjar.sources import store as ST
 
 
@@ -184,3 +186,54 @@ def repeated_extraction(spark, sf) -> DataFrame:
     d = V.epochs(spark, sf).select("subject_id", "epoch_idx", "apnoea_label", "x")
     again = lambda ids: d.join(ids, "subject_id").withColumn("x", F.when(F.col("apnoea_label") == 1, F.col("x") + 1).otherwise(F.col("x")))
     return repeatability(d, again, 20, ["x"], seed=5)
+
+
+DIGITAL = """
+    select subject_id, epoch_idx, 'SaO2' as label, k, (event_id * (k + 1)) % 4001 - 2000 as d, -2000 as dmin, 2000 as dmax, 0.025::double as gain from v_epochs, range(30) t(k)
+    union all select subject_id, epoch_idx, 'PULSE', k, floor(x)::bigint % 200 + k, 0, 250, 1.0::double from v_epochs, range(3) t(k)"""
+
+
+def recordings(spark, sf, path: str) -> DataFrame:
+    """One EDF file per user, an oxygen and a pulse channel, written from the event table by Spark and read by ranges of epochs."""
+    k30, k3 = (F.sequence(F.lit(0), F.lit(n - 1)) for n in (30, 3))
+    oxygen = F.transform(k30, lambda k: (F.pmod(F.col("event_id") * (k + 1), F.lit(4001)) - 2000).cast("smallint"))
+    pulse = F.transform(k3, lambda k: (F.floor("x") % 200 + k).cast("smallint"))
+    channel = lambda i, label, fs, gain, dmin, dmax, x: F.struct(
+        F.lit(i).alias("channel_index"), F.lit(label).alias("label"), F.lit("u").alias("unit"), F.lit(fs).alias("fs"), F.lit(gain).alias("gain"),
+        F.lit(dmin).alias("dmin"), F.lit(dmax).alias("dmax"), F.lit(0.0).alias("pmin"), x.alias("samples"))
+    both = F.array(channel(0, "SaO2", 1.0, 0.025, -2000, 2000, oxygen), channel(1, "PULSE", 0.1, 1.0, 0, 250, pulse))
+    chunks = V.epochs(spark, sf).select(F.col("subject_id").cast("int").alias("subject_id"), "epoch_idx", F.explode(both).alias("c")).select("subject_id", "epoch_idx", "c.*")
+    RE.export_recordings(chunks, path).write.format("noop").mode("overwrite").save()
+    return RE.read_recordings(spark, path, subject=r"(\d+)", range_bytes=4096)
+
+
+@query(with_views("""
+    select subject_id::integer as subject_id, label, count(distinct epoch_idx) as n_epochs, count(*) as n_samples, sum(d)::bigint as total, round(avg((d - dmin) * gain), 6) as mean_physical,
+           count(*) filter (d <= dmin or d >= dmax) as at_rail, round(sqrt(avg(spread * spread)), 6) as spread_lsb
+    from (select *, stddev_pop(d) over (partition by subject_id, label, epoch_idx) as spread from digital) group by all""", "v_epochs", digital=DIGITAL))
+def recording_table(spark, sf) -> DataFrame:
+    """Recording files -> the partitioned chunk table with its quality, summed per channel."""
+    path = folder(spark, "recording-table")
+    RE.write_recordings(recordings(spark, sf, folder(spark, "recordings")), path)
+    n = F.size("samples")
+    summed = lambda c: F.aggregate(c, F.lit(0.0), lambda acc, x: acc + x)
+    physical = summed(S.to_physical("samples", "gain", "dmin", "pmin"))
+    return spark.read.parquet(path).groupBy("subject_id", "label").agg(
+        F.countDistinct("epoch_idx").alias("n_epochs"), F.sum(n).alias("n_samples"),
+        F.sum(F.aggregate("samples", F.lit(0).cast("bigint"), lambda acc, x: acc + x)).alias("total"),
+        F.round(F.sum(physical) / F.sum(n), 6).alias("mean_physical"), F.sum(F.round(F.col("rail_frac") * n)).cast("bigint").alias("at_rail"),
+        F.round(F.sqrt(F.sum(F.col("spread_lsb") * F.col("spread_lsb") * n) / F.sum(n)), 6).alias("spread_lsb"))
+
+
+@query(with_views("""
+    select subject_id::integer as subject_id, case label when 'SaO2' then 'SPO2' else 'HR' end as channel, epoch_idx, count(*)::integer as n, round(sum((d - dmin) * gain), 4) as total,
+           round(max((d - dmin) * gain) - min((d - dmin) * gain), 4) as span
+    from digital where subject_id % 2 = 0 and label = 'SaO2' or subject_id % 2 = 1 group by all""", "v_epochs", digital=DIGITAL))
+def recording_channels(spark, sf) -> DataFrame:
+    """Recording files -> physical samples of the chosen channels, all channels or one per file."""
+    path = folder(spark, "recordings")
+    every = RE.canonical_channels(recordings(spark, sf, path)).where("subject_id % 2 = 1")
+    oxygen = RE.canonical_channels(RE.read_recordings(spark, path, subject=r"(\d+)", labels=["SaO2"])).where("subject_id % 2 = 0")
+    total = F.aggregate("samples", F.lit(0.0), lambda acc, x: acc + x)
+    return every.unionByName(oxygen).select("subject_id", "channel", "epoch_idx", F.size("samples").alias("n"), F.round(total, 4).alias("total"),
+                                            F.round(F.array_max("samples") - F.array_min("samples"), 4).alias("span"))
