@@ -64,13 +64,60 @@ def test_filter_passes_the_band_and_keeps_phase():
     assert np.abs(y[500:-500] - mid[500:-500]).max() < 0.02
 
 
-def test_chunked_filter_equals_whole_night(spark):
-    x = np.random.default_rng(1).normal(size=60 * 30 * 10)
-    d = chunk_frame(spark, x, 10)
-    got = S.filtered_chunks(d, 10, 0.5, 3.0, size=9, margin=2).orderBy("epoch_idx").toPandas()
-    whole = K.zero_phase_bandpass(x, 10, 0.5, 3.0).reshape(60, 300)
-    err = np.abs(np.stack(got["samples"]) - whole)[1:-1].max()
-    assert len(got) == 60 and err < 1e-3
+def serial_filter(x, fs, lo, hi):
+    """Sample by sample, section by section, forward and backward, after 27 samples of odd reflection at both ends."""
+    sections = K.bandpass_sections(fs, lo, hi)
+    y = np.concatenate([2 * x[0] - x[27:0:-1], x, 2 * x[-1] - x[-2:-29:-1]])
+    for _ in range(2):
+        for g, a1, a2 in sections:
+            held = y[0] * g * (1 - 1) / (1 + a1 + a2)  # the section's output for the constant input before the first sample
+            before, past, out = [y[0], y[0]], [held, held], []
+            for v in y.tolist():
+                o = g * (v - before[1]) - a1 * past[0] - a2 * past[1]
+                before, past = [v, before[0]], [o, past[0]]
+                out.append(o)
+            y = np.array(out)
+        y = y[::-1]
+    return y[27:-27]
+
+
+def test_sections_have_the_gain_of_the_filter():
+    """Squared gain 1 / (1 + q^8) with q from the bilinear map; half power at both band edges."""
+    for fs, lo, hi in ((100, 5, 15), (125, 0.3, 35), (10, 0.05, 1.5)):
+        f = np.array([lo, hi, (lo * hi) ** 0.5, lo / 3, (hi + fs / 2) / 2])
+        z = np.exp(-2j * np.pi * f / fs)
+        h = np.prod([g * (1 - z * z) / (1 + a1 * z + a2 * z * z) for g, a1, a2 in K.bandpass_sections(fs, lo, hi)], axis=0)
+        w, wl, wh = (np.tan(np.pi * v / fs) for v in (f, lo, hi))
+        np.testing.assert_allclose(np.abs(h) ** 2, 1 / (1 + ((w * w - wl * wh) / ((wh - wl) * w)) ** 8), rtol=1e-9)
+        np.testing.assert_allclose(np.abs(h[:2]) ** 2, 0.5, rtol=1e-9)
+
+
+@pytest.mark.parametrize("fs,lo,hi", [(10, 0.5, 3.0), (125, 0.3, 35.0), (10, 0.05, 1.5)])
+def test_blocks_equal_the_serial_recursion(fs, lo, hi):
+    x = np.random.default_rng(5).normal(size=3001) + 40
+    np.testing.assert_allclose(K.zero_phase_bandpass(x, fs, lo, hi), serial_filter(x, fs, lo, hi), atol=1e-9)
+
+
+@pytest.mark.parametrize("size", [1, 7, 60, 1000])
+def test_chunked_filter_equals_the_serial_recursion(spark, size):
+    """At any chunk size, first and last epochs included, also where epochs are absent."""
+    x = np.random.default_rng(1).normal(size=60 * 30 * 10) + 5
+    got = S.filtered_chunks(chunk_frame(spark, x, 10), 10, 0.05, 1.5, size=size).orderBy("epoch_idx").toPandas()
+    assert got["epoch_idx"].tolist() == list(range(60))
+    np.testing.assert_allclose(np.concatenate(got["samples"]), serial_filter(x, 10, 0.05, 1.5), atol=1e-9)
+    if size == 7:
+        some = S.filtered_chunks(chunk_frame(spark, x, 10).where("epoch_idx NOT BETWEEN 5 AND 22"), 10, 0.5, 3.0, size=size).orderBy("epoch_idx").toPandas()
+        np.testing.assert_allclose(np.concatenate(some["samples"]), serial_filter(np.concatenate([x[:1500], x[6900:]]), 10, 0.5, 3.0), atol=1e-9)
+
+
+def test_filter_fills_with_the_median_of_the_night(spark):
+    x = np.random.default_rng(2).normal(size=8 * 300)
+    holed = x.copy()
+    holed[[3, 700, 701, 2399]] = np.nan
+    got = S.filtered_chunks(chunk_frame(spark, holed, 10), 10, 0.5, 3.0, size=3).orderBy("epoch_idx").toPandas()
+    whole = np.where(np.isnan(holed), np.nanmedian(holed), holed)
+    np.testing.assert_allclose(np.concatenate(got["samples"]), serial_filter(whole, 10, 0.5, 3.0), atol=1e-9)
+    assert S.filtered_chunks(chunk_frame(spark, x, 10), 10, 3.0, 5.0).count() == 8 and S.filtered_chunks(chunk_frame(spark, x, 10).where("false"), 10, 0.5, 3.0).count() == 0
 
 
 def test_chunked_resampling_equals_whole_night(spark):
