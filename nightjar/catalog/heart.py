@@ -145,22 +145,43 @@ def _end(h0: str, h1: str, d0: str, d1: str) -> str:
     return f"case when sign({g}) <> sign({d0}) then 0 when sign({d0}) <> sign({d1}) and abs({g}) > 3 * abs({d0}) then 3 * {d0} else {g} end"
 
 
-@query(with_views("""
+CUBIC_GRID = """
     select subject_id, tick, round(case when tn is null then v when smooth then (1 + 2 * u) * (1 - u) * (1 - u) * v + u * (1 - u) * (1 - u) * h * slope + u * u * (3 - 2 * u) * vn + u * u * (u - 1) * h * slope_next
                                         else v + u * (vn - v) end, 6) as value, not (smooth_seg or tick / 4.0::double = t) as gap
     from (select *, (tick / 4.0::double - t) / (tn - t) as u, tn - t as h, coalesce(sn = segment, false) as smooth_seg, coalesce(sn = segment, false) and m >= 4 as smooth
           from (select *, unnest(generate_series(ceil(t * 4)::bigint, case when tn is null then floor(t * 4)::bigint else ceil(tn * 4)::bigint - 1 end)) as tick
-                from (select *, lead(t) over w as tn, lead(v) over w as vn, lead(segment) over w as sn, lead(slope) over w as slope_next from slopes window w as (partition by subject_id order by beat))))""",
-                  "v_epochs", knots=KNOTS, seg=SEG, near="""
+                from (select *, lead(t) over w as tn, lead(v) over w as vn, lead(segment) over w as sn, lead(slope) over w as slope_next from slopes window w as (partition by subject_id order by beat))))"""
+NEAR = """
     select subject_id, beat, t, v, segment, count(*) over (partition by subject_id, segment) as m, t - lag(t) over w as hl, lead(t) over w - t as hr, (v - lag(v) over w) / (t - lag(t) over w) as dl, (lead(v) over w - v) / (lead(t) over w - t) as dr,
            lead(t, 2) over w - lead(t) over w as hr2, (lead(v, 2) over w - lead(v) over w) / (lead(t, 2) over w - lead(t) over w) as dr2, lag(t) over w - lag(t, 2) over w as hl2, (lag(v) over w - lag(v, 2) over w) / (lag(t) over w - lag(t, 2) over w) as dl2
-    from seg window w as (partition by subject_id, segment order by beat)""", slopes=f"""
+    from seg window w as (partition by subject_id, segment order by beat)"""
+
+
+@query(with_views(CUBIC_GRID,
+                  "v_epochs", knots=KNOTS, seg=SEG, near=NEAR, slopes=f"""
     select *, case when hl is not null and hr is not null then case when dl * dr > 0 then (3 * hr + 3 * hl) / ((2 * hr + hl) / dl + (hr + 2 * hl) / dr) else 0 end
                    when hr is not null then {_end('hr', 'hr2', 'dr', 'dr2')} when hl is not null then {_end('hl', 'hl2', 'dl', 'dl2')} end as slope from near"""))
 def smooth_resampled_runs(spark, sf) -> DataFrame:
     return rounded(H.interpolate_runs(H.beat_segments(beat_train(spark, sf)), 4, "pchip"))
 
 
+# the spline's slopes by one sweep down and one up each run, all runs side by side
+@query(with_views(CUBIC_GRID, "v_epochs", knots=KNOTS, seg=SEG, near=NEAR, system="""
+    select *, row_number() over (partition by subject_id, segment order by beat) as i,
+           case when hl is null then 0 when hr is null then hl + hl2 else hr end as a, case when hl is null then hr2 when hr is null then hl2 else 2 * (hl + hr) end as b,
+           case when hl is null then hr + hr2 when hr is null then 0 else hl end as c,
+           case when hl is null then ((3 * hr + 2 * hr2) * hr2 * dr + hr * hr * dr2) / (hr + hr2) when hr is null then (hl * hl * dl2 + (3 * hl + 2 * hl2) * hl2 * dl) / (hl + hl2)
+                else 3 * (hr * dl + hl * dr) end as y from near where m >= 4""", down="""
+    select subject_id, segment, i, m, c / b as up, y / b as known from system where i = 1
+    union all select s.subject_id, s.segment, s.i, s.m, s.c / (s.b - s.a * d.up), (s.y - s.a * d.known) / (s.b - s.a * d.up)
+    from down d join system s on s.subject_id = d.subject_id and s.segment = d.segment and s.i = d.i + 1""", climb="""
+    select subject_id, segment, i, known as slope from down where i = m
+    union all select d.subject_id, d.segment, d.i, d.known - d.up * c.slope from climb c join down d on d.subject_id = c.subject_id and d.segment = c.segment and d.i = c.i - 1""", slopes="""
+    select n.*, slope from near n left join system s using (subject_id, beat) left join climb c on c.subject_id = s.subject_id and c.segment = s.segment and c.i = s.i""").replace("with ", "with recursive ", 1))
+def spline_resampled_runs(spark, sf) -> DataFrame:
+    return rounded(H.interpolate_runs(H.beat_segments(beat_train(spark, sf)), 4, "cubic"))
+
+
 @query(with_views("""
     select subject_id, beat, round(0.5 * abs(sum(x0 * y1 - x1 * y0)), 6) as edr from (
         select subject_id, beat, k, x as x0, y as y0, coalesce(lead(x) over w, first_value(x) over w) as x1, coalesce(lead(y) over w, first_value(y) over w) as y1

@@ -15,6 +15,7 @@ from nightjar.functions.expressions import EPOCH_SECONDS
 from nightjar.operators.chunks import chunk_window, own_rows, with_halo
 from nightjar.operators.running import row_positions
 from nightjar.operators.signals import CHUNK_OF_EPOCHS, MARGIN_EPOCHS
+from nightjar.operators.splines import spline_slopes
 from nightjar.session import cut_lineage
 
 BEAT_CHUNK = 20_000
@@ -287,17 +288,19 @@ def edr_area(chunks: DataFrame, beats: DataFrame, fs: float, half_s: float = 0.0
     return g.select("subject_id", "beat", "t", area.alias("edr"))
 
 
-def interpolate_runs(knots: DataFrame, fs_out: int, method: str = "pchip", min_points: int = 4) -> DataFrame:
+def interpolate_runs(knots: DataFrame, fs_out: int, method: str = "pchip", min_points: int = 4, size: int = BEAT_CHUNK) -> DataFrame:
     """Irregular knots -> the 1/fs_out grid between the first and last knot, with a gap flag.
 
     ``knots``: (subject_id, beat, t, v, segment), contiguous ``beat``. Inside a segment with at least
-    ``min_points`` knots the shape-preserving cubic is used, elsewhere linear; grid points strictly
-    between two segments are gap points. Each knot owns the grid points up to its successor, and its
-    cubic needs only the two neighbours on each side, so chunks with a two-knot halo suffice.
+    ``min_points`` knots ``method`` is used (``pchip``, the shape-preserving cubic, or ``cubic``, the spline with
+    continuous curvature), elsewhere linear; grid points strictly between two segments are gap points. Each knot
+    owns the grid points up to its successor. A shape-preserving slope needs two neighbours on each side, so chunks
+    with a two-knot halo suffice; the spline's slopes come from a solve over the whole run (``spline_slopes``).
     """
-    size = BEAT_CHUNK
+    if method not in ("pchip", "cubic", "linear"):
+        raise ValueError(f"unknown interpolation method {method!r}")
     seg = knots.groupBy("subject_id", "segment").agg(F.count("*").alias("_m"))
-    d = with_halo(knots, "beat", size, before=2, after=3)
+    d = with_halo(spline_slopes(knots, min_points, size) if method == "cubic" else knots, "beat", size, before=2, after=3)
     w = chunk_window(["subject_id"], "beat")
     shift = {"_tp": (-1, "t"), "_vp": (-1, "v"), "_sp": (-1, "segment"), "_tn": (1, "t"), "_vn": (1, "v"),
              "_sn": (1, "segment"), "_tq": (2, "t"), "_vq": (2, "v"), "_sq": (2, "segment"),
@@ -310,8 +313,8 @@ def interpolate_runs(knots: DataFrame, fs_out: int, method: str = "pchip", min_p
     tb, vb, tp, vp = known("_tb", "_sb"), known("_vb", "_sb"), known("_tp", "_sp"), known("_vp", "_sp")
     tn, vn, tq, vq = known("_tn", "_sn"), known("_vn", "_sn"), known("_tq", "_sq"), known("_vq", "_sq")
     t, v = F.col("t"), F.col("v")
-    slope = _pchip_slope(tb, vb, tp, vp, t, v, tn, vn, tq, vq)
-    d = d.withColumn("_slope", slope)
+    if method != "cubic":
+        d = d.withColumn("_slope", _pchip_slope(tb, vb, tp, vp, t, v, tn, vn, tq, vq))
     d = d.withColumn("_slope_next", F.lead("_slope").over(w))
     d = own_rows(d).join(seg, ["subject_id", "segment"])
     step = F.lit(1.0 / fs_out)
@@ -325,7 +328,7 @@ def interpolate_runs(knots: DataFrame, fs_out: int, method: str = "pchip", min_p
     linear = F.col("v") + u * (F.col("_vn") - F.col("v"))
     cubic = ((1 + 2 * u) * (1 - u) * (1 - u) * F.col("v") + u * (1 - u) * (1 - u) * h * F.col("_slope")
              + u * u * (3 - 2 * u) * F.col("_vn") + u * u * (u - 1) * h * F.col("_slope_next"))
-    smooth = F.lit(method == "pchip") & (F.col("_m") >= min_points) & same
+    smooth = F.lit(method != "linear") & (F.col("_m") >= (max(4, min_points) if method == "cubic" else min_points)) & same
     return g.select("subject_id", "tick", F.when(F.col("_tn").isNull(), F.col("v")).when(smooth, cubic).otherwise(linear).alias("value"),
                     (~(same | (x == F.col("t")))).alias("gap"))
 

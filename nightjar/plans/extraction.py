@@ -101,7 +101,7 @@ def derive_channels(channels: DataFrame, rates: dict[str, int]) -> DataFrame:
         rr = H.rr_intervals(beats).join(beats.select("subject_id", (F.col("beat") - 1).alias("beat"), "segment"), ["subject_id", "beat"])
         rr = rr.where(F.col("rr") <= H.GAP_SECONDS * 1000).withColumn("v", F.greatest(F.lit(0.3), F.least(F.lit(2.0), F.col("rr") / 1000)))
         knots = H.number_beats(rr.select("subject_id", "t", "v", "segment"))
-        rr4 = cut_lineage(H.interpolate_runs(knots, 4).withColumn("value", F.greatest(F.lit(0.3), F.least(F.lit(2.0), F.col("value")))))
+        rr4 = cut_lineage(H.interpolate_runs(knots, 4, "cubic").withColumn("value", F.greatest(F.lit(0.3), F.least(F.lit(2.0), F.col("value")))))
         med = grouped_quantiles(rr4, ["subject_id"], "value", {"m": 0.5})
         parts.append(rr4.join(med, "subject_id").select("subject_id", F.lit("RR").alias("channel"), "tick", (1000 * (F.col("value") - F.col("m"))).alias("value")))
         edr = H.edr_area(ecg, beats, rates["ECG"]).join(beats.select("subject_id", "beat", "segment"), ["subject_id", "beat"])

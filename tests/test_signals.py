@@ -9,6 +9,7 @@ from nightjar.functions import kernels as K
 from nightjar.operators import heart as H
 from nightjar.operators import oxygen as O
 from nightjar.operators import signals as S
+from nightjar.operators import splines as SP
 
 
 def pchip_slopes(t: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -209,6 +210,69 @@ def test_pchip_matches_the_kernel_and_does_not_overshoot(spark):
     assert got["value"].max() <= v.max() + 1e-9 and not got["gap"].any()
 
 
+def spline_system(t, v):
+    """Dense matrix and right side of the slopes: second derivatives agree at inner knots, third ones at the two outer inner knots."""
+    h, d = np.diff(t), np.diff(v) / np.diff(t)
+    n = len(t)
+    a, y = np.zeros((n, n)), np.zeros(n)
+    for i in range(1, n - 1):
+        a[i, i - 1:i + 2] = h[i], 2 * (h[i - 1] + h[i]), h[i - 1]
+        y[i] = 3 * (h[i] * d[i - 1] + h[i - 1] * d[i])
+    for row, i in ((0, 1), (n - 1, n - 2)):  # (s[i-1] + s[i] - 2 d[i-1]) / h[i-1]^2 = (s[i] + s[i+1] - 2 d[i]) / h[i]^2
+        l, r = h[i - 1] ** -2, h[i] ** -2
+        a[row, i - 1:i + 2] = l, l - r, -r
+        y[row] = 2 * (l * d[i - 1] - r * d[i])
+    return a, y
+
+
+@pytest.mark.parametrize("size", [2, 7, 100, 20_000])
+def test_spline_slopes_equal_a_dense_solve(spark, size):
+    rng = np.random.default_rng(7)
+    rows, want, beat = [], {}, 0
+    for seg, n in enumerate([4, 3, 5, 150, 1, 41]):
+        t = 1000 * seg + np.cumsum(rng.uniform(0.3, 1.4, n))
+        v = rng.normal(size=n)
+        if n >= 4:
+            want |= {beat + i: s for i, s in enumerate(np.linalg.solve(*spline_system(t, v)))}
+        rows += [(1, beat + i, float(x), float(y), seg) for i, (x, y) in enumerate(zip(t, v))]
+        beat += n
+    d = spark.createDataFrame(rows, "subject_id int, beat int, t double, v double, segment int")
+    got = {r.beat: r._slope for r in SP.spline_slopes(d, 4, size).collect()}
+    assert len(got) == len(rows) and {k for k, v in got.items() if v is not None} == set(want)
+    np.testing.assert_allclose([got[k] for k in want], list(want.values()), atol=1e-9)
+
+
+def test_spline_of_a_hundred_thousand_knots(spark):
+    """Chunks of 4,096 knots satisfy all equations of the one system, and a cubic comes back exactly."""
+    n = 100_000
+    rng = np.random.default_rng(8)
+    t = np.cumsum(rng.uniform(0.3, 1.4, n))
+    v = rng.normal(size=n)
+    d = spark.createDataFrame(pd.DataFrame({"subject_id": 1, "beat": np.arange(n), "t": t, "v": v, "segment": 0}))
+    s = SP.spline_slopes(d, 4, 4096).orderBy("beat").toPandas()["_slope"].to_numpy()
+    h, k = np.diff(t), np.diff(v) / np.diff(t)
+    inner = h[1:] * s[:-2] + 2 * (h[:-1] + h[1:]) * s[1:-1] + h[:-1] * s[2:] - 3 * (h[1:] * k[:-1] + h[:-1] * k[1:])
+    assert np.abs(inner).max() < 1e-9
+    for i in (1, n - 2):
+        assert abs((s[i - 1] + s[i] - 2 * k[i - 1]) / h[i - 1] ** 2 - (s[i] + s[i + 1] - 2 * k[i]) / h[i] ** 2) < 1e-8
+    whole = SP.eliminate(*serial_diagonals(t, v))[:, 0]
+    np.testing.assert_allclose(s, whole, atol=1e-9)
+    few = spark.createDataFrame([(1, i, float(x), float(x ** 3 - 2 * x), 0) for i, x in enumerate(np.cumsum(rng.uniform(0.2, 0.5, 30)))], "subject_id int, beat int, t double, v double, segment int")
+    got = H.interpolate_runs(few, 4, "cubic", size=8).toPandas()
+    x = got["tick"].to_numpy() / 4
+    np.testing.assert_allclose(got["value"], x ** 3 - 2 * x, atol=1e-8)
+
+
+def serial_diagonals(t, v):
+    h, d = np.diff(t), np.diff(v) / np.diff(t)
+    a = np.concatenate([[0], h[1:], [h[-1] + h[-2]]])
+    b = np.concatenate([[h[1]], 2 * (h[:-1] + h[1:]), [h[-2]]])
+    c = np.concatenate([[h[0] + h[1]], h[:-1], [0]])
+    y = np.concatenate([[((3 * h[0] + 2 * h[1]) * h[1] * d[0] + h[0] ** 2 * d[1]) / (h[0] + h[1])], 3 * (h[1:] * d[:-1] + h[:-1] * d[1:]),
+                        [(h[-1] ** 2 * d[-2] + (3 * h[-1] + 2 * h[-2]) * h[-2] * d[-1]) / (h[-1] + h[-2])]])
+    return a, b, c, y
+
+
 def test_trailing_max_restarts_after_a_gap(spark):
     x = [96.0, 97.0, None, 90.0, 91.0, 89.0]
     d = spark.createDataFrame([(1, i, v) for i, v in enumerate(x)], "subject_id int, sec int, value double")
