@@ -149,11 +149,34 @@ def reliability_curve(spark, sf) -> DataFrame:
     return rounded(M.reliability_curve(both_runs(spark, sf), ["run"]))
 
 
-@query()
+def line_sql(keys: str, src: str, iterations: int = 15) -> dict[str, str]:
+    """CTEs of the same Newton steps; the last is named ``line``."""
+    out = {"cells": f"""
+        select {keys}, ln(q / (1 - q)) as x, count(*)::double as n, sum(apnoea_label)::double as y from (select *, greatest(least(pred_prob, 1 - 1e-6), 1e-6) as q from {src}) group by all""",
+           "fit0": f"select {keys}, 0.0::double as a, 1.0::double as b from cells group by all having sum(y) > 0 and sum(y) < sum(n)"}
+    for i in range(iterations):
+        name = "line" if i == iterations - 1 else f"fit{i + 1}"
+        out[name] = f"""
+        select {keys}, a + (wxx * g - wx * gx) / (w * wxx - wx * wx) as a, b + (w * gx - wx * g) / (w * wxx - wx * wx) as b from (
+            select {keys}, a, b, sum(y - n * p) as g, sum((y - n * p) * x) as gx, sum(n * p * (1 - p)) as w, sum(n * p * (1 - p) * x) as wx, sum(n * p * (1 - p) * x * x) as wxx
+            from (select *, 1 / (1 + exp(-greatest(-30, least(30, a + b * x)))) as p from cells join fit{i} using ({keys})) group by all)"""
+    return out
+
+
+@query(with_views("select run, round(b, 6) as calibration_slope, round(a, 6) as calibration_intercept, count(*) as n_rows from runs join line using (run) group by all",
+                  "v_pred_a", "v_pred_b", runs=RUNS, **line_sql("run", "runs")))
 def calibration_slope(spark, sf) -> DataFrame:
-    from nightjar.operators.fitting import calibration_line
+    from nightjar.operators.fitting import calibration_lines
 
-    return union_all([calibration_line(V.predictions(spark, sf, k)).select(F.lit(k).alias("run"), "*") for k in ("a", "b")])
+    return rounded(calibration_lines(both_runs(spark, sf), ["run"]))
+
+
+@query(with_views("select run, stratum, round(b, 6) as calibration_slope, round(a, 6) as calibration_intercept, count(*) as n_rows from grouped join line using (run, stratum) group by all",
+                  "v_pred_a", "v_pred_b", runs=RUNS, grouped="select *, subject_id % 7 as stratum from runs", **line_sql("run, stratum", "grouped")))
+def calibration_slope_by_stratum(spark, sf) -> DataFrame:
+    from nightjar.operators.fitting import calibration_lines
+
+    return rounded(calibration_lines(both_runs(spark, sf).withColumn("stratum", F.col("subject_id") % 7), ["run", "stratum"]))
 
 
 # ---- subject-level rates ----------------------------------------------------------------------

@@ -17,13 +17,36 @@ from nightjar.functions.expressions import logit
 from nightjar.session import cut_lineage
 
 
+def calibration_lines(pred: DataFrame, by: list[str], label: str = "apnoea_label", score: str = "pred_prob", iterations: int = 15) -> DataFrame:
+    """Per group the unpenalised logistic fit of the label on the logit of the score: (by, calibration_slope, calibration_intercept, n_rows).
+
+    Rows fold to (group, score) cells once. Newton's method runs for all groups side by side, from slope 1 and
+    intercept 0, a fixed number of times: an iteration is one aggregate of five sums over the cells. A group of one class,
+    of one score, or whose last step still moves gets no line.
+    """
+    d = pred.where(F.col(label).isNotNull() & F.col(score).isNotNull())
+    cells = cut_lineage(d.groupBy(*by, logit(score).alias("_x")).agg(F.count("*").cast("double").alias("_n"), F.sum(F.col(label).cast("double")).alias("_y")))
+    fit = cut_lineage(cells.groupBy(*by).agg(F.lit(0.0).alias("_a"), F.lit(1.0).alias("_b"), F.lit(0.0).alias("_step"),
+                                             F.sum("_n").alias("_all"), F.sum("_y").alias("_ones")).where("_ones > 0 AND _ones < _all"))
+    x, n = F.col("_x"), F.col("_n")
+    p = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.col("_a") + F.col("_b") * x))))
+    kept = [*by, "_a", "_b", "_all", "_ones"]
+    for _ in range(iterations):
+        sums = cells.join(fit, by).withColumn("_p", p).withColumn("_w", n * F.col("_p") * (1 - F.col("_p"))).withColumn("_r", F.col("_y") - n * F.col("_p"))
+        sums = sums.groupBy(*kept).agg(F.sum("_r").alias("_g"), F.sum(F.col("_r") * x).alias("_gx"), F.sum("_w").alias("_w"),
+                                       F.sum(F.col("_w") * x).alias("_wx"), F.sum(F.col("_w") * x * x).alias("_wxx"))
+        det = F.col("_w") * F.col("_wxx") - F.col("_wx") * F.col("_wx")
+        steps = sums.withColumns({"_da": F.try_divide(F.col("_wxx") * F.col("_g") - F.col("_wx") * F.col("_gx"), det),
+                                  "_db": F.try_divide(F.col("_w") * F.col("_gx") - F.col("_wx") * F.col("_g"), det)})
+        fit = cut_lineage(steps.select(*by, (F.col("_a") + F.col("_da")).alias("_a"), (F.col("_b") + F.col("_db")).alias("_b"),
+                                       (F.abs("_da") + F.abs("_db")).alias("_step"), "_all", "_ones"))
+    found = fit.where("_step < 1e-6 AND NOT isnan(_step)").select(*by, F.col("_b").alias("calibration_slope"), F.col("_a").alias("calibration_intercept"))
+    return cells.groupBy(*by).agg(F.sum("_n").cast("bigint").alias("n_rows")).join(found, by, "left").select(*by, "calibration_slope", "calibration_intercept", "n_rows")
+
+
 def calibration_line(pred: DataFrame, label: str = "apnoea_label", score: str = "pred_prob") -> DataFrame:
-    """Slope and intercept of an unpenalised logistic fit of the label on the logit of the score."""
-    d = pred.select(F.col(label).cast("double").alias("label"), logit(score).alias("lp"))
-    d = VectorAssembler(inputCols=["lp"], outputCol="features").transform(cut_lineage(d))
-    m = LogisticRegression(regParam=0.0, maxIter=100, tol=1e-10).fit(d)
-    return pred.sparkSession.createDataFrame([(float(m.coefficients[0]), float(m.intercept))],
-                                             "calibration_slope double, calibration_intercept double")
+    """The one line of all rows."""
+    return calibration_lines(pred.withColumn("_k", F.lit(1)), ["_k"], label, score).select("calibration_slope", "calibration_intercept")
 
 
 def ensemble(runs: DataFrame, cv_auc: dict[str, float], scale: float = 50.0) -> DataFrame:

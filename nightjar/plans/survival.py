@@ -77,6 +77,11 @@ def cross_validate(df: DataFrame, ladder: dict[str, list[str]], strata: list[str
     return c.groupBy("model").agg(F.avg("c_index").alias("mean_c"), F.stddev_samp("c_index").alias("sd_c"), F.count("*").alias("n_splits"))
 
 
+def within_stratum_slope(pred: DataFrame, strata: list[str], lp: str = "lp") -> float:
+    """Calibration slope of a linear predictor: the coefficient of its own unpenalised Cox fit with a baseline per stratum."""
+    return float(cox_fit(pred, [lp], strata, penalizer=0.0).beta[0])
+
+
 def subgroup_concordance(pred: DataFrame, subgroups: dict[str, Column]) -> DataFrame:
     """Harrell's C of each model inside each named subgroup."""
     return union_all([S.harrell_c(pred.where(c), ["model"]).withColumn("subgroup", F.lit(n)) for n, c in subgroups.items()])

@@ -151,3 +151,29 @@ def test_repeatability_report(spark):
     assert tuple(same) == (0, 0, 0)
     off = repeatability(d, lambda ids: d.join(ids, "subject_id").withColumn("x", F.col("x") + 1), 4, ["x"]).first()
     assert off.diff_x == 12
+
+
+def test_calibration_lines_of_all_groups_at_once(spark):
+    """Every group's line has a zero gradient; groups without a line are listed without one."""
+    from nightjar.operators import fitting as FT
+
+    rng = np.random.default_rng(4)
+    frames = []
+    for g, (a, b) in {"x": (0.3, 0.7), "y": (-1.0, 1.4), "z": (0.0, 1.0)}.items():
+        lp = rng.normal(size=2000)
+        y = (rng.random(2000) < 1 / (1 + np.exp(-(a + b * lp)))).astype(int)
+        frames.append(pd.DataFrame({"g": g, "apnoea_label": y, "pred_prob": 1 / (1 + np.exp(-lp))}))
+    frames += [pd.DataFrame({"g": "one class", "apnoea_label": [1] * 20, "pred_prob": np.linspace(0.1, 0.9, 20)}),
+               pd.DataFrame({"g": "one score", "apnoea_label": [0, 1] * 10, "pred_prob": [0.4] * 20}),
+               pd.DataFrame({"g": "parted", "apnoea_label": [0] * 10 + [1] * 10, "pred_prob": np.linspace(0.1, 0.9, 20)})]
+    pdf = pd.concat(frames)
+    got = {r.g: r for r in FT.calibration_lines(spark.createDataFrame(pdf), ["g"]).collect()}
+    for g, own in pdf.groupby("g"):
+        r = got[g]
+        assert r.n_rows == len(own)
+        if g in ("x", "y", "z"):
+            x = np.log(own.pred_prob / (1 - own.pred_prob))
+            miss = own.apnoea_label - 1 / (1 + np.exp(-(r.calibration_intercept + r.calibration_slope * x)))
+            assert abs(miss.sum()) < 1e-6 and abs((miss * x).sum()) < 1e-6
+        else:
+            assert r.calibration_slope is None and r.calibration_intercept is None

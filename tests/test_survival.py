@@ -211,3 +211,18 @@ def test_efron_sums_in_closed_form(spark):
         scale = {"_log": want["_log"], "_p": want["_p"], "_fp": want["_p"] * ratio, "_pp": want["_pp"], "_fpp": want["_pp"] * ratio, "_ffpp": want["_pp"] * ratio**2}
         for k, v in want.items():
             assert abs(x[k] - v) <= 1e-9 * abs(scale[k]), (k, x)
+
+
+def test_slope_of_a_fit_on_its_own_rows_is_one(spark):
+    from nightjar.plans.survival import within_stratum_slope
+
+    rng = np.random.default_rng(9)
+    n = 400
+    p = pd.DataFrame({"x": rng.normal(size=n), "z": rng.normal(size=n), "stratum": rng.integers(0, 3, n).astype(str)})
+    p["time"] = np.ceil(rng.exponential(30 * np.exp(-0.8 * p.x), n)) + 1.0
+    p["event"] = (rng.random(n) < 0.7).astype(int)
+    d = spark.createDataFrame(p)
+    fit = cox_fit(d, ["x", "z"], ["stratum"])
+    scored = d.withColumn("lp", fit.linear_predictor())
+    assert abs(within_stratum_slope(scored, ["stratum"]) - 1) < 1e-6
+    assert abs(within_stratum_slope(scored.withColumn("half", scored.lp / 2), ["stratum"], "half") - 2) < 1e-6
