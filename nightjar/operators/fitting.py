@@ -35,7 +35,8 @@ def calibration_lines(pred: DataFrame, by: list[str], label: str = "apnoea_label
         sums = cells.join(fit, by).withColumn("_p", p).withColumn("_w", n * F.col("_p") * (1 - F.col("_p"))).withColumn("_r", F.col("_y") - n * F.col("_p"))
         sums = sums.groupBy(*kept).agg(F.sum("_r").alias("_g"), F.sum(F.col("_r") * x).alias("_gx"), F.sum("_w").alias("_w"),
                                        F.sum(F.col("_w") * x).alias("_wx"), F.sum(F.col("_w") * x * x).alias("_wxx"))
-        det = F.col("_w") * F.col("_wxx") - F.col("_wx") * F.col("_wx")
+        spread = F.col("_w") * F.col("_wxx") - F.col("_wx") * F.col("_wx")
+        det = F.when(spread > 1e-12 * F.col("_w") * F.col("_wxx"), spread)  # of a single score only rounding is left
         steps = sums.withColumns({"_da": F.try_divide(F.col("_wxx") * F.col("_g") - F.col("_wx") * F.col("_gx"), det),
                                   "_db": F.try_divide(F.col("_w") * F.col("_gx") - F.col("_wx") * F.col("_g"), det)})
         fit = cut_lineage(steps.select(*by, (F.col("_a") + F.col("_da")).alias("_a"), (F.col("_b") + F.col("_db")).alias("_b"),
