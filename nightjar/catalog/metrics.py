@@ -252,13 +252,16 @@ def bland_altman_pairs(spark, sf) -> DataFrame:
     return rounded(M.bland_altman(_scaled(spark, sf), "pr", "gt").select("run", "subject_id", "pair_mean", "diff"))
 
 
-@query(with_views(_agreement_sql("xy", "pair"), "v_epochs", "v_pred_a", "v_scored_events", runs="select 'a' as run, * from v_pred_a", per="""
+PER_SUBJECT = """
     select e.subject_id, e.epoch_pred, r1.n / (e.n * 30 / 3600.0::double) as run_pred, e.epoch_true, r2.n / (e.n * 30 / 3600.0::double) as run_true, ev.n / (e.n * 30 / 3600.0::double) as xml_ahi
     from (select subject_id, count(*) as n, sum(pred_label) / (count(*) * 30 / 3600.0::double) as epoch_pred, sum(apnoea_label) / (count(*) * 30 / 3600.0::double) as epoch_true from runs group by 1) e
     left join (select subject_id, count(*) as n from (select subject_id, epoch_idx - lag(epoch_idx) over (partition by subject_id order by epoch_idx) as g from runs where pred_label = 1) where g is null or g > 1 group by 1) r1 using (subject_id)
     left join (select subject_id, count(*) as n from (select subject_id, epoch_idx - lag(epoch_idx) over (partition by subject_id order by epoch_idx) as g from runs where apnoea_label = 1) where g is null or g > 1 group by 1) r2 using (subject_id)
     left join (select v.subject_id, count(s.subject_id) as n from v_scored_events v left join (select subject_id, epoch_idx from v_epochs where sleep_stage in ('N1','N2','N3','REM')) s
-          on s.subject_id = v.subject_id and s.epoch_idx = floor((v.start_sec + v.duration_sec / 2) / 30) group by 1) ev using (subject_id)""", xy="""
+          on s.subject_id = v.subject_id and s.epoch_idx = floor((v.start_sec + v.duration_sec / 2) / 30) group by 1) ev using (subject_id)"""
+
+
+@query(with_views(_agreement_sql("xy", "pair"), "v_epochs", "v_pred_a", "v_scored_events", runs="select 'a' as run, * from v_pred_a", per=PER_SUBJECT, xy="""
     select * from (select 'run_pred' as pair, run_pred as x, xml_ahi as y from per union all select 'epoch_pred', epoch_pred, xml_ahi from per
     union all select 'run_true', run_true, xml_ahi from per union all select 'epoch_true', epoch_true, xml_ahi from per) where x is not null and y is not null"""))
 def event_index_agreement(spark, sf) -> DataFrame:
@@ -269,6 +272,49 @@ def event_index_agreement(spark, sf) -> DataFrame:
     return rounded(M.agreement(long, ["pair"], "x", "xml_ahi"))
 
 
+REFERENCES = """
+    select user_id::integer as subject_id, case when user_id % 5 <> 0 then avg(value) / 4 end as rdi0p, case when user_id % 7 <> 1 then avg(value) / 6 end as ahi_a0h3a,
+           (count(*) filter (value > 70)) * 40.0::double / count(*) as ahi_a0h4 from events group by 1, user_id"""
+WITH_REFERENCES = "select p.*, r.rdi0p, r.ahi_a0h3a, r.ahi_a0h4 from per p left join refs r using (subject_id)"
+
+
+def _pair_sql(pairs) -> str:
+    return " union all ".join(f"select '{e} vs {f}' as pair, {e} as x, {f} as y from known where {e} is not null and {f} is not null" for e, f in pairs)
+
+
+INDEX_VIEWS = {"runs": "select 'a' as run, * from v_pred_a", "per": PER_SUBJECT, "refs": REFERENCES, "known": WITH_REFERENCES}
+GAPS = (("xml_ahi", "rdi0p"), ("xml_ahi", "ahi_a0h3a"), ("run_true", "xml_ahi"))
+
+
+def _indices_with_references(spark, sf) -> DataFrame:
+    from nightjar.plans.evaluation import event_indices
+
+    u, v, m = F.col("subject_id"), F.col("value"), F.col("m")
+    refs = V.table(spark, sf, "events").groupBy(F.col("user_id").cast("int").alias("subject_id")).agg(F.avg(v).alias("m"), (F.count(F.when(v > 70, 1)) * 40.0 / F.count("*")).alias("ahi_a0h4")).select(
+        "subject_id", F.when(u % 5 != 0, m / 4).alias("rdi0p"), F.when(u % 7 != 1, m / 6).alias("ahi_a0h3a"), "ahi_a0h4")
+    return event_indices(V.predictions(spark, sf, "a"), V.epochs(spark, sf), V.scored_events(spark, sf)).join(refs, "subject_id", "left")
+
+
+@query(with_views(f"select split_part(pair, ' vs ', 1) as estimator, split_part(pair, ' vs ', 2) as reference, * exclude (pair) from ({_agreement_sql('xy', 'pair')})",
+                  "v_epochs", "v_pred_a", "v_scored_events", **INDEX_VIEWS,
+                  xy=_pair_sql((e, f) for e in ("run_pred", "epoch_pred", "run_true", "epoch_true") for f in ("xml_ahi", "rdi0p", "ahi_a0h3a", "ahi_a0h4"))))
+def event_index_table(spark, sf) -> DataFrame:
+    from nightjar.plans.evaluation import event_index_table as table
+
+    return rounded(table(_indices_with_references(spark, sf), []))
+
+
+@query(with_views(f"""
+    select 'gap' as kind, split_part(pair, ' vs ', 1) as estimator, split_part(pair, ' vs ', 2) as reference, null::double as median, * exclude (pair) from ({_agreement_sql('xy', 'pair')})
+    union all by name select 'median' as kind, reference, round(median, 6) as median from (
+        {" union all ".join(f"select '{f}' as reference, quantile_cont({f}, 0.5) as median from known" for f in ("xml_ahi", "rdi0p", "ahi_a0h3a", "ahi_a0h4"))})""",
+                  "v_epochs", "v_pred_a", "v_scored_events", **INDEX_VIEWS, xy=_pair_sql(GAPS)))
+def reference_gaps(spark, sf) -> DataFrame:
+    from nightjar.plans.evaluation import reference_gaps as gaps
+
+    return rounded(gaps(_indices_with_references(spark, sf)))
+
+
 # ---- five classes -----------------------------------------------------------------------------
 
 CM = 'select "true", pred, count(*) as n from v_class5 group by 1, 2'
@@ -364,3 +410,35 @@ def error_anatomy(spark, sf) -> DataFrame:
         F.when(F.col("event_id") % 5 == 0, "supine").when(F.col("event_id") % 5 != 1, "non-supine").alias("position"))
     d = both_runs(spark, sf).join(e, ["subject_id", "epoch_idx"])
     return rounded(M.error_anatomy(d, ["sleep_stage", "event_duration", "position"], ["a", "b"]))
+
+
+SIX_CUTS = ("sleep_stage", "severity_tier", "event_duration", "event_type", "desat_depth", "position")
+SIX_SRC = """
+    select r.run, r.subject_id, r.apnoea_label, r.pred_prob, r.pred_label, e.sleep_stage,
+           case when f.ahi_a0h3a < 5 then 'none' when f.ahi_a0h3a < 15 then 'mild' when f.ahi_a0h3a < 30 then 'moderate' when f.ahi_a0h3a is not null then 'severe' end as severity_tier,
+           case when event_id % 3 = 0 then null when e.x < 20 then 'short <20 s' when e.x < 40 then 'medium 20-40 s' else 'long >=40 s' end as event_duration,
+           case event_id % 3 when 1 then 'Hypopnea' when 2 then 'Obstructive apnea' end as event_type,
+           case when event_id % 4 = 0 then 'no desat' when e.x / 5 < 6 then '<6 %' when e.x / 5 < 9 then '6-9 %' else '>=9 %' end as desat_depth,
+           case event_id % 5 when 0 then 'supine' when 1 then 'unknown' else 'non-supine' end as position
+    from runs r join v_epochs e on e.subject_id = r.subject_id and e.epoch_idx = r.epoch_idx left join refs f on f.subject_id = r.subject_id"""
+SIX_LONG = " union all ".join(f"select run, subject_id, apnoea_label, pred_prob, pred_label, '{c}' as cut, {c} as cell from src where {c} is not null" for c in SIX_CUTS)
+
+
+@query(with_views("""
+    select cut, cell, run, n_epochs, n_pos, n_subjects, sens, spec, case when n_pos >= 20 and n_pos <= n_epochs - 20 then round(auc, 6) end as auc from (
+        select cut, cell, run, count(*) as n_epochs, sum(apnoea_label)::bigint as n_pos, count(distinct subject_id) as n_subjects,
+               round(avg(pred_label) filter (apnoea_label = 1), 6) as sens, round(1 - avg(pred_label) filter (apnoea_label = 0), 6) as spec from long group by 1, 2, 3)
+    left join (select k, auc from m) on k = cut || '|' || cell || '|' || run""", "v_epochs", "v_pred_a", "v_pred_b", runs=RUNS,
+                  refs="select user_id as subject_id, case when user_id % 7 <> 1 then avg(value) / 3 end as ahi_a0h3a from events group by user_id", src=SIX_SRC, long=SIX_LONG,
+                  keyed="select *, cut || '|' || cell || '|' || run as k from long", m=auc_sql("keyed", "k")))
+def error_anatomy_six_cuts(spark, sf) -> DataFrame:
+    x, e = F.col("x"), F.col("event_id")
+    names = lambda n, *v: F.element_at(F.array(*map(F.lit, v)), (e % n + 1).cast("int"))
+    context = V.epochs(spark, sf).select(
+        F.col("subject_id").cast("int").alias("subject_id"), "epoch_idx", "sleep_stage", F.when(e % 3 != 0, x).alias("event_duration_s"),
+        names(3, "", "Hypopnea", "Obstructive apnea").alias("event_kind"), F.when(e % 4 != 0, x / 5).alias("desat_depth"),
+        names(5, "supine", "unknown", "left", "right", "prone").alias("position"))
+    refs = V.table(spark, sf, "events").groupBy(F.col("user_id").cast("int").alias("subject_id")).agg(F.avg("value").alias("m")).select(
+        "subject_id", F.when(F.col("subject_id") % 7 != 1, F.col("m") / 3).alias("ahi_a0h3a"))
+    d = both_runs(spark, sf).join(M.anatomy_cells(context, refs), ["subject_id", "epoch_idx"])
+    return rounded(M.error_anatomy(d, list(M.ANATOMY_CUTS), ["a", "b"]))

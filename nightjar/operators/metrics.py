@@ -240,6 +240,33 @@ def unpivot(df: DataFrame, ids: list[str], cols: list[str], name: str, value: st
     return df.unpivot(ids, cols, name, value)
 
 
+#: Names of the severity tiers.
+TIER_NAMES = ("none", "mild", "moderate", "severe")
+#: The six cuts of an error anatomy.
+ANATOMY_CUTS = ("sleep_stage", "severity_tier", "event_duration", "event_type", "desat_depth", "position")
+
+
+def anatomy_cells(context: DataFrame, subjects: DataFrame) -> DataFrame:
+    """Per epoch the cell of each of the six cuts: (subject_id, epoch_idx, ANATOMY_CUTS).
+
+    ``context`` has sleep_stage, event_duration_s, event_kind, desat_depth and position per epoch, ``subjects`` the reference
+    index ahi_a0h3a per subject. Durations are cut at 20 and 40 s and depths at 6 and 9 %, closed on the left. Epochs outside an
+    event have no duration and no kind; those without a desaturation are a cell of their own. A subject without a
+    reference has no tier.
+    """
+    d, depth = F.col("event_duration_s"), F.col("desat_depth")
+    tier = F.element_at(F.array(*map(F.lit, TIER_NAMES)), severity_tier("ahi_a0h3a").cast("int") + 1)
+    kind = F.when(F.col("event_kind") != "", F.col("event_kind"))
+    posture = F.when(F.col("position").isin("supine", "unknown"), F.col("position")).otherwise(F.lit("non-supine"))
+    tiers = subjects.where("ahi_a0h3a IS NOT NULL").select("subject_id", tier.alias("severity_tier"))
+    return context.join(tiers, "subject_id", "left").select(
+        "subject_id", "epoch_idx", "sleep_stage", "severity_tier",
+        F.when(d >= 40, "long >=40 s").when(d >= 20, "medium 20-40 s").when(d >= 0, "short <20 s").alias("event_duration"),
+        kind.alias("event_type"),
+        F.when(depth >= 9, ">=9 %").when(depth >= 6, "6-9 %").when(depth.isNotNull(), "<6 %").otherwise("no desat").alias("desat_depth"),
+        posture.alias("position"))
+
+
 def error_anatomy(df: DataFrame, cuts: list[str], runs: list[str]) -> DataFrame:
     """Per (cut, cell, run): sizes, sensitivity, specificity and AUC where both classes have 20 rows.
 

@@ -26,6 +26,39 @@ def event_indices(pred: DataFrame, epochs: DataFrame, events: DataFrame) -> Data
                     (F.coalesce("_rt", zero) / F.col("tst_h")).alias("run_true"), (F.col("n_sleep_events") / F.col("tst_h")).alias("xml_ahi"))
 
 
+#: Estimators of an event index and the references they are held against.
+ESTIMATORS = ("run_pred", "epoch_pred", "run_true", "epoch_true")
+REFERENCES = ("xml_ahi", "rdi0p", "ahi_a0h3a", "ahi_a0h4")
+#: Pairs whose agreement says how far the reference definitions lie apart, whatever the model.
+GAPS = (("xml_ahi", "rdi0p"), ("xml_ahi", "ahi_a0h3a"), ("run_true", "xml_ahi"))
+
+
+def event_index_table(per: DataFrame, by: list[str], estimators: tuple = ESTIMATORS, references: tuple = REFERENCES) -> DataFrame:
+    """Agreement of every estimator with every reference, one row per (by, estimator, reference).
+
+    ``per`` has one row per (by, subject) with a column for each; a subject without one of the two is left out of that
+    pair. Subjects are stacked once, all pairs are one aggregate.
+    """
+    keep = [*by, "subject_id"]
+    one = per.unpivot([*keep, *references], list(estimators), "estimator", "x")
+    long = one.unpivot([*keep, "estimator", "x"], list(references), "reference", "y")
+    return M.agreement(long, [*by, "estimator", "reference"], "x", "y")
+
+
+def reference_gaps(per: DataFrame, references: tuple = REFERENCES, gaps: tuple = GAPS) -> DataFrame:
+    """(kind, estimator, reference, median, and the agreement columns): the median of each reference, then the agreement of the ``gaps``.
+
+    ``per`` has one row per subject; a model plays no part.
+    """
+    from nightjar.operators.running import grouped_quantiles, union_all
+
+    long = per.unpivot(["subject_id"], list(references), "reference", "y").where("y IS NOT NULL")
+    medians = grouped_quantiles(long, ["reference"], "y", {"median": 0.5}).select(F.lit("median").alias("kind"), "reference", "median")
+    pairs = F.explode(F.array(*[F.struct(F.lit(a).alias("estimator"), F.lit(b).alias("reference"), F.col(a).alias("x"), F.col(b).alias("y")) for a, b in gaps]))
+    apart = M.agreement(per.select(pairs.alias("g")).select("g.*"), ["estimator", "reference"], "x", "y").withColumn("kind", F.lit("gap"))
+    return union_all([medians, apart])
+
+
 def extended_metrics(pred: DataFrame, metadata: DataFrame | None, n_boot: int = 1000, seed: int = 42,
                      min_clinical: int = 10, by: list[str] | None = None) -> DataFrame:
     """The full metric record, one row per prediction set, with notes for absent metrics.
