@@ -261,6 +261,70 @@ def survival_model_metrics(spark, sf) -> DataFrame:
     return rounded(evaluate_ladder(d, test, {"M0": ["qty"], "M1": ["qty", "l_tax"]}, ["stratum"], 400.0, H, GRID))
 
 
+# one Newton step of every single-term fit: Efron's sums listed death by death, the ridge on the standardised term
+_STEP = """
+    select fit, b + (g - pen * b) / (h + pen) as b, 1 / sqrt(h + pen) as se from (
+        select fit, any_value(b) as b, any_value(pen) as pen, sum(dx / d) - sum((r1 - l / d * d1) / (r0 - l / d * d0)) as g,
+               sum((r2 - l / d * d2) / (r0 - l / d * d0) - power((r1 - l / d * d1) / (r0 - l / d * d0), 2)) as h
+        from (select *, unnest(range(d::bigint)) as l from (
+            select fit, b, pen, d, dx, d0, d1, d2, sum(s0) over w as r0, sum(s1) over w as r1, sum(s2) over w as r2 from (
+                select fit, stratum, time, b, pen, sum(d)::double as d, sum(d * x) as dx, sum(n * exp(b * x)) as s0, sum(n * x * exp(b * x)) as s1, sum(n * x * x * exp(b * x)) as s2,
+                       sum(d * exp(b * x)) as d0, sum(d * x * exp(b * x)) as d1, sum(d * x * x * exp(b * x)) as d2
+                from cells join {0} using (fit) join pens using (fit) group by all)
+            window w as (partition by fit, stratum order by time desc)) where d > 0)
+        group by fit)"""
+_ENDPOINTS = """
+    select 'first' as outcome, stratum, time, event, score, l_discount, l_tax from v_surv
+    union all select 'late', stratum, time, (event = 1 and time > 30)::int, score, l_discount, l_tax from v_surv"""
+_SINGLES = " union all ".join(f"select outcome || '/' || definition || '/{t}' as fit, stratum, time, event, {t}::double as x from defined" for t in ("l_discount", "l_tax"))
+
+
+def _analyses(spark, sf, ladder):
+    from nightjar.plans.survival import analyse
+
+    d = _cox_input(spark, sf)
+    event, test = F.col("event") == 1, F.pmod(F.xxhash64("time", "qty", "l_discount", "l_tax"), F.lit(5)) == 0
+    return analyse(
+        d.withColumnsRenamed({"time": "days"}), {"first": (F.col("days"), event), "late": (F.col("days"), event & (F.col("days") > 30))},
+        {"all": F.lit(True), "low": F.col("qty") < 3}, ladder, test, ["stratum"], 400.0, H, GRID, carry=["qty"])
+
+
+@query(with_views("""
+    select split_part(fit, '/', 1) as outcome, split_part(fit, '/', 2) as definition, split_part(fit, '/', 3) as term, round(b7.b, 6) as coef, round(b7.se, 6) as se from b7""",
+                  "v_surv", endpoints=_ENDPOINTS, defined="""
+    select *, 'all' as definition from endpoints union all select *, 'low' from endpoints where score < 30""", single=_SINGLES, cells="""
+    select fit, stratum, time, x, count(*) as n, sum(event) as d from single group by all""", pens="""
+    select fit, 0.01 * count(*) * var_samp(x) as pen from single group by 1""", b0="select fit, 0.0::double as b from pens",
+                  **{f"b{i + 1}": _STEP.format(f"b{i}") for i in range(7)}))
+def cox_single_terms(spark, sf) -> DataFrame:
+    """Two outcomes x two definitions x two terms, all eight fits side by side."""
+    from nightjar.operators.cox import cox_fits
+
+    d = V.survival(spark, sf)
+    outcome = F.explode(F.array(*[F.struct(F.lit(i).alias("o"), e.cast("int").alias("event")) for i, e in enumerate([F.col("event") == 1, (F.col("event") == 1) & (F.col("time") > 30)])]))
+    inside = F.explode(F.filter(F.array(F.lit(0), F.when(F.col("score") < 30, 1)), lambda x: x.isNotNull()))
+    d = d.select("stratum", "time", "l_discount", "l_tax", "score", outcome.alias("e")).select("*", inside.alias("definition"))
+    d = d.select("stratum", "time", "e.event", "l_discount", "l_tax", (F.col("e.o") * 2 + F.col("definition")).cast("int").alias("analysis"))
+    fits = cox_fits(d, "analysis", [(a, [t]) for a in range(4) for t in ("l_discount", "l_tax")], ["stratum"], penalizer=0.01)
+    name = lambda names, i: F.element_at(F.array(*[F.lit(x) for x in names]), (i % len(names)).cast("int") + 1)
+    return fits.hazard_ratios(spark).select(
+        name(["first", "late"], F.floor(F.col("fit") / 4)).alias("outcome"), name(["all", "low"], F.floor(F.col("fit") / 2)).alias("definition"),
+        "term", r("coef").alias("coef"), r("se").alias("se"))
+
+
+LADDER = {"M0": ["qty"], "M1": ["qty", "l_tax"], "M2": ["qty", "l_tax", "l_discount"]}
+
+
+@query()
+def survival_analyses(spark, sf) -> DataFrame:
+    return rounded(_analyses(spark, sf, LADDER).metrics())
+
+
+@query()
+def survival_subgroups(spark, sf) -> DataFrame:
+    return rounded(_analyses(spark, sf, LADDER).subgroup_concordance({"small": F.col("qty") < 2, "large": F.col("qty") >= 2, "taxed": F.col("l_tax") > 0}))
+
+
 # ---- cohort tables --------------------------------------------------------------------------------
 
 @query(with_views("""

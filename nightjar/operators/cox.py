@@ -10,6 +10,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,17 +36,11 @@ class CoxFit:
         return spark.createDataFrame(rows, "term string, coef double, hr double, hr_low double, hr_high double, p double")
 
     def linear_predictor(self) -> Column:
-        lp = F.lit(0.0)
-        for t, b in zip(self.terms, self.beta):
-            lp = lp + F.lit(float(b)) * F.col(t)
-        return lp
+        return _linear(self.terms, self.beta)
 
 
-def _sums(df: DataFrame, strata: list[str], terms: list[str], beta: np.ndarray) -> DataFrame:
-    """Per (strata, time): risk-set sums and death sums of 1, x and x x' weighted by exp(x beta)."""
-    eta = F.lit(0.0)
-    for t, b in zip(terms, beta):
-        eta = eta + F.lit(float(b)) * F.col(t)
+def _sums(df: DataFrame, strata: list[str], terms: list[str], eta: Column) -> DataFrame:
+    """Per (strata, time): risk-set sums and death sums of 1, x and x x' weighted by exp(eta)."""
     d = df.withColumn("_e", F.exp(eta))
     pairs = [(i, j) for i in range(len(terms)) for j in range(i, len(terms))]
     parts = {"s0": F.col("_e")}
@@ -62,65 +57,79 @@ def _sums(df: DataFrame, strata: list[str], terms: list[str], beta: np.ndarray)
     return r.withColumns({f"r_{n}": F.col(f"{n}_total") - F.col(f"{n}_before") for n in parts}).where("deaths > 0")
 
 
-def _shifted(x: Column, term, shift: int = 8) -> Column:
+def _shifted(x: np.ndarray, term, shift: int = 8) -> np.ndarray:
     """Sum of ``term`` over x, x + 1, ..., x + shift - 1."""
-    return reduce(lambda acc, k: acc + term(x + k), range(1, shift), term(x))
+    return sum(term(x + k) for k in range(shift))
 
 
-def log_gamma(x: Column) -> Column:
+def log_gamma(x: np.ndarray) -> np.ndarray:
     """ln of the gamma function for x > 0: Stirling's series eight steps up."""
     y = x + 8
-    return (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - 1 / (1680 * y**7) - _shifted(x, F.log)
+    return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - 1 / (1680 * y**7) - _shifted(x, np.log)
 
 
-def digamma(x: Column) -> Column:
+def digamma(x: np.ndarray) -> np.ndarray:
     y = x + 8
-    return F.log(y) - 1 / (2 * y) - 1 / (12 * y**2) + 1 / (120 * y**4) - 1 / (252 * y**6) + 1 / (240 * y**8) - _shifted(x, lambda v: 1 / v)
+    return np.log(y) - 1 / (2 * y) - 1 / (12 * y**2) + 1 / (120 * y**4) - 1 / (252 * y**6) + 1 / (240 * y**8) - _shifted(x, lambda v: 1 / v)
 
 
-def trigamma(x: Column) -> Column:
+def trigamma(x: np.ndarray) -> np.ndarray:
     y = x + 8
     return 1 / y + 1 / (2 * y**2) + 1 / (6 * y**3) - 1 / (30 * y**5) + 1 / (42 * y**7) - 1 / (30 * y**9) + _shifted(x, lambda v: 1 / (v * v))
 
 
-def _efron_sums() -> dict[str, Column]:
-    """Efron's sums over the d tied deaths of a time, l = 0 ... d - 1, in closed form.
+def _efron_sums(d: np.ndarray, r: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Efron's sums over the d tied deaths of each time, l = 0 ... d - 1, in closed form: ln phi, 1 / phi, f / phi, 1 / phi^2, f / phi^2, f^2 / phi^2.
 
-    The risk sum of death l is r - (l / d) e = (e / d)(a - l) with a = r d / e, so the sums of ln(a - l),
-    1 / (a - l) and 1 / (a - l)^2 are differences of log gamma, digamma and trigamma: one row per
+    The risk sum of death l is phi = r - f e with f = l / d, that is (e / d)(a - l) with a = r d / e, so the sums of ln(a - l),
+    1 / (a - l) and 1 / (a - l)^2 are differences of log gamma, digamma and trigamma: one step per
     time however many deaths it ties. A single death needs no sum.
     """
-    d, r, e = F.col("deaths").cast("double"), F.col("r_s0"), F.col("d_s0")
     a = r * d / e
-    one = F.col("deaths") == 1
+    one = d == 1
     s1, s2 = digamma(a + 1) - digamma(a - d + 1), trigamma(a - d + 1) - trigamma(a + 1)
-    return {
-        "_log": F.when(one, F.log(r)).otherwise(d * F.log(e / d) + log_gamma(a + 1) - log_gamma(a - d + 1)),
-        "_p": F.when(one, 1 / r).otherwise(d / e * s1),  # sum of 1 / phi
-        "_fp": F.when(one, 0.0).otherwise((a * s1 - d) / e),  # sum of f / phi with f = l / d
-        "_pp": F.when(one, 1 / (r * r)).otherwise(d * d / (e * e) * s2),
-        "_fpp": F.when(one, 0.0).otherwise(d / (e * e) * (a * s2 - s1)),
-        "_ffpp": F.when(one, 0.0).otherwise((a * a * s2 - 2 * a * s1 + d) / (e * e)),
-    }
+    return (
+        np.where(one, np.log(r), d * np.log(e / d) + log_gamma(a + 1) - log_gamma(a - d + 1)),
+        np.where(one, 1 / r, d / e * s1),
+        np.where(one, 0.0, (a * s1 - d) / e),
+        np.where(one, 1 / (r * r), d * d / (e * e) * s2),
+        np.where(one, 0.0, d / (e * e) * (a * s2 - s1)),
+        np.where(one, 0.0, (a * a * s2 - 2 * a * s1 + d) / (e * e)))
+
+
+def _linear(terms: list[str], beta: np.ndarray) -> Column:
+    return reduce(lambda eta, x: eta + F.lit(float(x[1])) * F.col(x[0]), zip(terms, beta), F.lit(0.0))
+
 
+def _derivatives(df: DataFrame, by: str, strata: list[str], terms: list[str], eta: Column) -> dict:
+    """Efron log likelihood, score and information per value of the integer ``by``, from one row per (by, strata, time).
 
-def _derivatives(df: DataFrame, strata: list[str], terms: list[str], beta: np.ndarray):
-    """Efron log likelihood, score and information from one row per (strata, time)."""
+    A task folds the rows it holds to one row of sums per value of ``by``. In numpy, since the closed sums as column
+    expressions pass what Java compiles into one method.
+    """
     k = len(terms)
-    s = _sums(df, strata, terms, beta).withColumns(_efron_sums())
-    p, fp, pp, fpp, ffpp = (F.col(c) for c in ("_p", "_fp", "_pp", "_fpp", "_ffpp"))
-    r, e = (lambda n: F.col(f"r_{n}")), (lambda n: F.col(f"d_{n}"))
-    aggs = [(F.sum("sum_eta") - F.sum("_log")).alias("ll")]
-    aggs += [(F.sum(f"x_{i}") - F.sum(r(f"s1_{i}") * p - e(f"s1_{i}") * fp)).alias(f"g{i}") for i in range(k)]
-    for i in range(k):
-        for j in range(i, k):
-            ri, rj, ei, ej = r(f"s1_{i}"), r(f"s1_{j}"), e(f"s1_{i}"), e(f"s1_{j}")
-            second = r(f"s2_{i}_{j}") * p - e(f"s2_{i}_{j}") * fp
-            aggs.append(F.sum(second - (ri * rj * pp - (ri * ej + ei * rj) * fpp + ei * ej * ffpp)).alias(f"h{i}_{j}"))
-    row = s.agg(*aggs).first()
-    grad = np.array([row[f"g{i}"] for i in range(k)])
-    info = np.array([[row[f"h{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
-    return row["ll"], grad, info
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    names = ["ll", *[f"g{i}" for i in range(k)], *[f"h{i}_{j}" for i, j in pairs]]
+
+    def fold(batches):
+        for batch in batches:
+            x = {c: batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in batch.schema.names if c != by}
+            log, p, fp, pp, fpp, ffpp = _efron_sums(x["deaths"], x["r_s0"], x["d_s0"])
+            r1, e1 = [x[f"r_s1_{i}"] for i in range(k)], [x[f"d_s1_{i}"] for i in range(k)]
+            parts = [x["sum_eta"] - log, *[x[f"x_{i}"] - (r1[i] * p - e1[i] * fp) for i in range(k)]]
+            parts += [x[f"r_s2_{i}_{j}"] * p - x[f"d_s2_{i}_{j}"] * fp
+                      - (r1[i] * r1[j] * pp - (r1[i] * e1[j] + e1[i] * r1[j]) * fpp + e1[i] * e1[j] * ffpp) for i, j in pairs]
+            values, at = np.unique(batch.column(by).to_numpy(), return_inverse=True)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(values, pa.int32()), *[pa.array(np.bincount(at, v, len(values))) for v in parts]], names=[by, *names])
+
+    wide = _sums(df, [by, *strata], terms, eta)
+    used = [by, "deaths", "sum_eta", *[f"x_{i}" for i in range(k)], *[c for c in wide.columns if c.startswith(("r_s", "d_s"))]]
+    sums = wide.select(F.col(by).cast("int").alias(by), *used[1:]).mapInArrow(fold, f"{by} int, " + ", ".join(f"{n} double" for n in names))
+    return {
+        row[by]: (row["ll"], np.array([row[f"g{i}"] for i in range(k)]),
+                  np.array([[row[f"h{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)]))
+        for row in sums.groupBy(by).agg(*[F.sum(n).alias(n) for n in names]).collect()}
 
 
 def cox_fit(df: DataFrame, terms: list[str], strata: list[str] | None = None, penalizer: float = 0.0,
@@ -136,10 +145,10 @@ def cox_fit(df: DataFrame, terms: list[str], strata: list[str] | None = None, pe
     z = [f"z{i}" for i in range(len(terms))]
     standard = df.select(*strata, "time", "event", *[
         ((F.col(t) - F.lit(stat[f"m_{t}"])) / F.lit(float(s))).alias(n) for t, s, n in zip(terms, sd, z)])
-    scaled = cut_lineage(quantile_bucket(standard, "time", "_slice"))
+    scaled = cut_lineage(quantile_bucket(standard, "time", "_slice")).withColumn("fit", F.lit(0))
     ridge = penalizer * stat["n"]
     beta = np.zeros(len(terms))
-    ll, grad, info = _derivatives(scaled, strata, z, beta)
+    ll, grad, info = _derivatives(scaled, "fit", strata, z, _linear(z, beta))[0]
     ll -= 0.5 * ridge * beta @ beta
     steps = 0
     for steps in range(1, max_steps + 1):
@@ -148,7 +157,7 @@ def cox_fit(df: DataFrame, terms: list[str], strata: list[str] | None = None, pe
         size = 1.0
         while True:  # halve a step that lowers the likelihood
             trial = beta + size * move
-            new_ll, new_grad, new_info = _derivatives(scaled, strata, z, trial)
+            new_ll, new_grad, new_info = _derivatives(scaled, "fit", strata, z, _linear(z, trial))[0]
             new_ll -= 0.5 * ridge * trial @ trial
             if new_ll >= ll - 1e-9 or size < 1e-3:
                 break
@@ -160,7 +169,112 @@ def cox_fit(df: DataFrame, terms: list[str], strata: list[str] | None = None, pe
     return CoxFit(list(terms), strata, beta / sd, np.sqrt(np.diag(cov)) / sd, steps, float(np.abs(grad - ridge * beta).max()))
 
 
-def baseline_hazard(df: DataFrame, fit: CoxFit) -> DataFrame:
+# ---- many fits side by side ---------------------------------------------------------------------
+
+def _pick(values, index: str) -> Column:
+    """Entry ``index`` of a short list of numbers."""
+    return F.element_at(F.array(*[F.lit(float(v)) for v in values]), F.col(index) + 1)
+
+
+@dataclass
+class CoxFits:
+    """Fits numbered 0, 1, ...: fit f uses the rows of group ``groups[f]``; beta and se are (fit, term), 0 where a term is not in the fit.
+
+    A fit whose rows hold no event has NaN throughout.
+    """
+
+    group: str
+    groups: list[int]
+    terms: list[str]
+    used: np.ndarray
+    strata: list[str]  # "fit" first, so that baseline_hazard and survival_at keep fits apart
+    beta: np.ndarray
+    se: np.ndarray
+    passes: int
+
+    def expand(self, df: DataFrame, only: list[int] | None = None) -> DataFrame:
+        """Each row once per fit of its group, with the number in ``fit``."""
+        keep = set(range(len(self.groups)) if only is None else only)
+        own = [[f for f, g in enumerate(self.groups) if g == k and f in keep] for k in range(max(self.groups) + 1)]
+        lists = F.array(*[F.array(*[F.lit(f) for f in fs]).cast("array<int>") for fs in own])
+        return df.withColumn("fit", F.explode(F.element_at(lists, F.col(self.group) + 1)))
+
+    def linear_predictor(self) -> Column:
+        return reduce(lambda eta, i: eta + _pick(self.beta[:, i], "fit") * F.col(self.terms[i]), range(len(self.terms)), F.lit(0.0))
+
+    def hazard_ratios(self, spark) -> DataFrame:
+        """coef, standard error, hazard ratio with 95 % interval and two-sided Wald p per fit and term; null for a fit without events."""
+        rows = []
+        for f, i in zip(*np.nonzero(self.used)):
+            b, s = float(self.beta[f, i]), float(self.se[f, i])
+            known = (b, s, math.exp(b), math.exp(b - 1.96 * s), math.exp(b + 1.96 * s), math.erfc(abs(b / s) / math.sqrt(2)) if s > 0 else 1.0)
+            rows.append((int(f), self.terms[i], *(known if math.isfinite(b) else [None] * 6)))
+        return spark.createDataFrame(rows, "fit int, term string, coef double, se double, hr double, hr_low double, hr_high double, p double")
+
+
+def cox_fits(df: DataFrame, group: str, fits: list[tuple[int, list[str]]], strata: list[str] | None = None, penalizer: float = 0.0,
+             max_steps: int = 20, tol: float = 1e-7) -> CoxFits:
+    """Many fits in the data passes of the slowest one; fit f is (group number, terms), as ``cox_fit`` would fit it on that group.
+
+    ``df`` holds (group, time, event, strata, all terms), terms not null. A pass gives the likelihoods, scores and informations of
+    all fits still moving, one row a fit; every fit keeps its own step and halves it on its own. The driver holds numbers per
+    (fit, term) only. Rows are repeated per fit inside the map side and leave it as sums per (fit, strata, time).
+    """
+    strata = strata or []
+    terms = list(dict.fromkeys(t for _, own in fits for t in own))
+    groups, k = [g for g, _ in fits], len(terms)
+    used = np.array([[t in own for t in terms] for _, own in fits])
+    stats = {r[group]: r for r in df.groupBy(group).agg(
+        F.count("*").alias("n"), *[F.avg(t).alias(f"m{i}") for i, t in enumerate(terms)], *[F.stddev_samp(t).alias(f"s{i}") for i, t in enumerate(terms)]).collect()}
+    of = lambda g, name, default: (stats[g][name] if g in stats else None) or default
+    mean = np.array([[of(g, f"m{i}", 0.0) for i in range(k)] for g in range(max(groups) + 1)])
+    sd = np.array([[of(g, f"s{i}", 1.0) for i in range(k)] for g in range(max(groups) + 1)])
+    size = np.array([of(g, "n", 0) for g in groups])
+    z = [f"z{i}" for i in range(k)]
+    standard = df.select(group, *strata, "time", "event", *[
+        ((F.col(t) - _pick(mean[:, i], group)) / _pick(sd[:, i], group)).alias(z[i]) for i, t in enumerate(terms)])
+    scaled = cut_lineage(quantile_bucket(standard, "time", "_slice"))
+    out = CoxFits(group, groups, z, used, ["fit", *strata], np.zeros(used.shape), np.full(used.shape, np.nan), 0)
+    ridge = penalizer * size
+    beta, move, length = np.zeros(used.shape), np.zeros(used.shape), np.ones(len(fits))
+    held: dict = {}  # fit -> log likelihood, score and information at beta, all with the ridge
+    moving, halvings = list(range(len(fits))), 12
+    steps = np.zeros(len(fits), int)
+    while moving:
+        out.beta = beta + length[:, None] * move
+        found = _derivatives(out.expand(scaled, moving), "fit", strata, z, out.linear_predictor())
+        out.passes += 1
+        still = []
+        for f in moving:
+            if f not in found:
+                beta[f] = np.nan
+                continue
+            at, on = out.beta[f], used[f]
+            ll, grad, info = found[f]
+            ll, grad = ll - 0.5 * ridge[f] * at @ at, (grad - ridge[f] * at)[on]
+            info = info[np.ix_(on, on)] + ridge[f] * np.eye(on.sum())
+            if f in held and ll < held[f][0] - 1e-9 and length[f] > 0.5 ** halvings:
+                length[f] /= 2
+                still.append(f)
+                continue
+            moved = length[f] * np.abs(move[f]).max()
+            beta[f], held[f] = at, (ll, grad, info)
+            steps[f] += 1
+            if steps[f] > max_steps or np.abs(grad).max() < tol * max(1, size[f]) ** 0.5 or (steps[f] > 1 and moved < tol):
+                move[f] = 0.0
+                continue
+            move[f], length[f] = 0.0, 1.0
+            move[f, on] = np.linalg.lstsq(info, grad, rcond=None)[0]
+            still.append(f)
+        moving = still
+    for f in held:
+        on = used[f]
+        out.se[f, on] = np.sqrt(np.diag(np.linalg.pinv(held[f][2]))) / sd[groups[f]][on]
+    out.beta, out.terms = np.where(used, beta / sd[groups], np.where(np.isnan(beta), np.nan, 0.0)), terms
+    return out
+
+
+def baseline_hazard(df: DataFrame, fit: CoxFit | CoxFits) -> DataFrame:
     """Breslow cumulative hazard per stratum at each event time: running sum of deaths / risk sum."""
     d = df.withColumn("_e", F.exp(fit.linear_predictor()))
     g = d.groupBy(*fit.strata, "time").agg(F.sum("_e").alias("s0"), F.sum((F.col("event") == 1).cast("int")).alias("deaths"))
@@ -170,7 +284,7 @@ def baseline_hazard(df: DataFrame, fit: CoxFit) -> DataFrame:
     return h.select(*fit.strata, "time", (F.col("step_before") + F.col("step")).alias("hazard"))
 
 
-def survival_at(df: DataFrame, fit: CoxFit, hazard: DataFrame, times: list[float]) -> DataFrame:
+def survival_at(df: DataFrame, fit: CoxFit | CoxFits, hazard: DataFrame, times: list[float]) -> DataFrame:
     """S(t | x) = exp(-H0(t) exp(lp)) per subject and horizon, from each stratum's own step function.
 
     The baseline at the few horizons is one aggregate row per stratum, joined to the subjects.

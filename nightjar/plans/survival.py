@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nightjar.operators import resample as R
 from nightjar.operators import survival as S
-from nightjar.operators.cox import baseline_hazard, cox_fit, survival_at
+from nightjar.operators.cox import CoxFits, baseline_hazard, cox_fit, cox_fits, survival_at
 from nightjar.operators.running import union_all
 from nightjar.operators.splits import stratified_kfold
 from nightjar.session import cut_lineage
@@ -39,6 +41,81 @@ def evaluate_ladder(df: DataFrame, is_test: Column, ladder: dict[str, list[str]]
                         [F.col(f"s_{i + 2}") for i in range(len(grid))])
 
 
+@dataclass
+class Analyses:
+    """Every outcome x definition x model fitted on the training rows and scored on the test rows.
+
+    ``rows`` holds (analysis, strata, time, event, terms, is_test) once per analysis a subject belongs to, ``pred`` the test rows
+    once per fit with lp, score and survival columns. ``fit`` numbers outcome, definition and model in the order given.
+    """
+
+    outcomes: list[str]
+    definitions: list[str]
+    models: list[str]
+    strata: list[str]
+    rows: DataFrame
+    fits: CoxFits
+    pred: DataFrame
+    horizons: tuple[float, float]
+    grid: list[float]
+
+    def _named(self, df: DataFrame, number: str, models: bool) -> DataFrame:
+        """``number`` spelled out as outcome, definition and, for a fit, model."""
+        pick = lambda names, i: F.element_at(F.array(*[F.lit(x) for x in names]), i.cast("int") + 1)
+        per = len(self.models) if models else 1
+        a = F.floor(F.col(number) / per)
+        names = [pick(self.outcomes, F.floor(a / len(self.definitions))).alias("outcome"), pick(self.definitions, a % len(self.definitions)).alias("definition")]
+        names += [pick(self.models, F.col(number) % per).alias("model")] if models else []
+        return df.select(*names, *[c for c in df.columns if c != number])
+
+    def sizes(self) -> DataFrame:
+        """Subjects and events per outcome, definition, part and stratum."""
+        g = self.rows.groupBy("analysis", "is_test", *self.strata).agg(F.count("*").alias("n"), F.sum(F.col("event").cast("bigint")).alias("events"))
+        return self._named(g, "analysis", False)
+
+    def hazard_ratios(self) -> DataFrame:
+        return self._named(self.fits.hazard_ratios(self.rows.sparkSession), "fit", True)
+
+    def metrics(self) -> DataFrame:
+        """The eight test metrics per outcome, definition and model."""
+        m = S.metric_row(self.pred, ["fit"], self.strata, *self.horizons, "s_0", "s_1", "null_survival", self.grid,
+                         [F.col(f"s_{i + 2}") for i in range(len(self.grid))])
+        return self._named(m, "fit", True)
+
+    def subgroup_concordance(self, subgroups: dict[str, Column]) -> DataFrame:
+        """Harrell's C inside each named subgroup, per outcome, definition and model; a row counts in every subgroup it meets."""
+        own = F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in subgroups.items()]), lambda x: x.isNotNull())
+        return self._named(S.harrell_c(self.pred.withColumn("subgroup", F.explode(own)), ["fit", "subgroup"]), "fit", True)
+
+
+def analyse(df: DataFrame, outcomes: dict[str, tuple[Column, Column]], definitions: dict[str, Column], ladder: dict[str, list[str]],
+            is_test: Column, strata: list[str], h5: float, h10: float, grid: list[float], penalizer: float = 0.01,
+            carry: list[str] | None = None) -> Analyses:
+    """The model ladder for every outcome (time, event) under every cohort definition, as grouped jobs.
+
+    A subject enters the analyses whose definition holds and whose time is positive and event known; rows with a null term, stratum
+    or part take no part. The fits share their data passes, so the number of jobs follows the slowest fit, not their number. Test
+    rows of a stratum without training events keep the null survival of 1. ``carry`` names columns kept for subgroups.
+    """
+    terms = list(dict.fromkeys(t for own in ladder.values() for t in own))
+    entries = []
+    for a, ((time, event), inside) in enumerate((o, d) for o in outcomes.values() for d in definitions.values()):
+        ok = inside & (time > 0) & event.isNotNull()
+        entries.append(F.when(ok, F.struct(F.lit(a).alias("analysis"), time.cast("double").alias("time"), event.cast("int").alias("event"))))
+    kept = list(dict.fromkeys([*strata, *terms, *(carry or [])]))
+    rows = df.select(*kept, is_test.alias("is_test"), F.explode(F.filter(F.array(*entries), lambda x: x.isNotNull())).alias("_a"))
+    rows = cut_lineage(rows.dropna(subset=[*strata, *terms, "is_test"]).select("_a.*", "is_test", *kept))
+    train, test = rows.where("NOT is_test"), rows.where("is_test")
+    models = [(a, own) for a in range(len(entries)) for own in ladder.values()]
+    fits = cox_fits(train, "analysis", models, strata, penalizer)
+    null = S.km_risk(train, ["analysis", *strata], h10).select("analysis", *strata, (1 - F.col("risk")).alias("null_survival"))
+    hazard = cut_lineage(baseline_hazard(fits.expand(train), fits))
+    known = fits.expand(test).join(null, ["analysis", *strata], "left").fillna(1.0, ["null_survival"])
+    levels = hazard.unionByName(known.select("fit", *strata).distinct().withColumns({"time": F.lit(0.0), "hazard": F.lit(0.0)}))
+    pred = survival_at(known, fits, levels, [h5, h10, *grid]).withColumn("score", 1 - F.col("s_1"))
+    return Analyses(list(outcomes), list(definitions), list(ladder), strata, rows, fits, cut_lineage(pred), (h5, h10), grid)
+
+
 def bootstrap_metrics(pred: DataFrame, strata: list[str], h5: float, h10: float, grid: list[float], n_boot: int,
                       seed: int = 42) -> DataFrame:
     """The metrics per (model, replicate) on resamples shared by all models.

@@ -104,6 +104,33 @@ def test_ladder_bootstrap_and_pairs(spark, cohort):
     assert len(sub) == 4
 
 
+def test_analyses_equal_their_single_runs(spark, cohort):
+    from nightjar.operators import survival as S
+    from nightjar.plans import survival as P
+
+    d = cohort.withColumn("hard", F.when(F.col("subject_id") % 4 == 0, 0).otherwise(F.col("event"))).withColumnsRenamed({"time": "t", "event": "e"})
+    d = d.withColumn("x", F.when(F.col("subject_id") == 7, None).otherwise(F.col("x")))
+    test = F.col("subject_id") % 3 == 0
+    ladder = {"M0": ["z"], "M1": ["x", "z"]}
+    got = P.analyse(d, {"any": (F.col("t"), F.col("e")), "hard": (F.col("t"), F.col("hard"))}, {"all": F.lit(True), "some": F.col("z") > -1},
+                    ladder, test, ["stratum"], 0.5, 1.0, GRID)
+    rows = {(r.outcome, r.definition, r.model): r for r in got.metrics().collect()}
+    assert len(rows) == 8
+    whole = d.dropna(subset=["x"])
+    for outcome, definition, event, inside in (("hard", "some", "hard", F.col("z") > -1),):
+        one = whole.where(inside).select("subject_id", "stratum", "x", "z", F.col("t").alias("time"), F.col(event).alias("event"))
+        for r in P.evaluate_ladder(one, test, ladder, ["stratum"], 0.5, 1.0, GRID).collect():
+            mine = rows[outcome, definition, r.model].asDict()
+            assert all(abs(mine[c] - v) < 1e-6 for c, v in r.asDict().items() if c != "model")
+        n = got.sizes().where(f"outcome = '{outcome}' AND definition = '{definition}'").agg(F.sum("n"), F.sum("events")).first()
+        assert tuple(n) == (one.count(), one.agg(F.sum("event")).first()[0])
+    sub = got.subgroup_concordance({"low": F.col("z") < 0, "wide": F.col("z") < 9}).collect()
+    assert len(sub) == 16
+    wide = {(r.outcome, r.definition, r.model): r.c_index for r in sub if r.subgroup == "wide"}
+    assert all(abs(wide[k] - r.harrell_c) < 1e-12 for k, r in rows.items())
+    assert got.hazard_ratios().count() == 12
+
+
 def test_repeated_folds(cohort):
     from nightjar.plans import survival as P
 

@@ -202,8 +202,9 @@ def test_efron_sums_in_closed_form(spark):
     from nightjar.operators import cox
 
     rows = [(5.0, 2.0, 3), (100.0, 7.5, 1), (40.0, 40.0, 9), (1e6, 30.0, 12), (9.0, 8.0, 500)]
-    df = spark.createDataFrame(rows, "r_s0 double, d_s0 double, deaths int").withColumns(cox._efron_sums())
-    for x in df.collect():
+    r, e, d = (np.array(c, float) for c in zip(*rows))
+    table = pd.DataFrame(dict(zip(["_log", "_p", "_fp", "_pp", "_fpp", "_ffpp"], cox._efron_sums(d, r, e)))).assign(r_s0=r, d_s0=e, deaths=d.astype(int))
+    for _, x in table.iterrows():
         f = np.arange(x.deaths) / x.deaths
         phi = x.r_s0 - f * x.d_s0
         want = {"_log": np.log(phi).sum(), "_p": (1 / phi).sum(), "_fp": (f / phi).sum(), "_pp": (1 / phi**2).sum(), "_fpp": (f / phi**2).sum(), "_ffpp": (f * f / phi**2).sum()}
@@ -226,3 +227,52 @@ def test_slope_of_a_fit_on_its_own_rows_is_one(spark):
     scored = d.withColumn("lp", fit.linear_predictor())
     assert abs(within_stratum_slope(scored, ["stratum"]) - 1) < 1e-6
     assert abs(within_stratum_slope(scored.withColumn("half", scored.lp / 2), ["stratum"], "half") - 2) < 1e-6
+
+
+def many(spark, seed=5, n=400):
+    p = sample(n, seed)
+    rng = np.random.default_rng(seed)
+    p["z"], p["u"] = rng.normal(size=n), rng.choice([0.0, 1.0], n)
+    return p, spark.createDataFrame(p)
+
+
+def test_fits_side_by_side_equal_single_fits(spark):
+    from nightjar.operators import cox as X
+
+    p, d = many(spark)
+    groups = {0: F.lit(True), 1: F.col("u") == 1, 2: F.col("time") < 1.5}
+    d = d.withColumn("g", F.explode(F.filter(F.array(*[F.when(c, F.lit(g)) for g, c in groups.items()]), lambda x: x.isNotNull())))
+    specs = [(0, ["score"]), (2, ["z"]), (1, ["z", "score"])]
+    for penalizer in (0.0, 0.01):
+        got = X.cox_fits(d, "g", specs, ["stratum"], penalizer)
+        for f, (g, own) in enumerate(specs):
+            one = X.cox_fit(d.where(F.col("g") == g), own, ["stratum"], penalizer)
+            at = [got.terms.index(t) for t in own]
+            assert np.allclose(got.beta[f, at], one.beta, atol=1e-6) and np.allclose(got.se[f, at], one.se, atol=1e-6)
+            assert not got.beta[f, [i for i in range(2) if i not in at]].any()
+    h = X.baseline_hazard(got.expand(d), got)
+    mine = X.survival_at(got.expand(d), got, h, [0.7]).where("fit = 2").groupBy().agg(F.avg("s_0")).first()[0]
+    one = X.cox_fit(d.where("g = 1"), ["z", "score"], ["stratum"], 0.01)
+    want = X.survival_at(d.where("g = 1"), one, X.baseline_hazard(d.where("g = 1"), one), [0.7]).agg(F.avg("s_0")).first()[0]
+    assert abs(mine - want) < 1e-6
+
+
+def test_data_passes_do_not_grow_with_the_number_of_fits(spark):
+    from nightjar.operators import cox as X
+
+    _, d = many(spark)
+    d = d.withColumn("g", F.lit(0))
+    one = X.cox_fits(d, "g", [(0, ["score", "z"])], ["stratum"], 0.01).passes
+    assert X.cox_fits(d, "g", [(0, ["score", "z"])] * 6 + [(0, ["z"])] * 6, ["stratum"], 0.01).passes <= one + 1
+
+
+def test_fits_without_events_constant_terms_and_empty_tables(spark):
+    from nightjar.operators import cox as X
+
+    p, d = many(spark, n=80)
+    d = d.withColumn("g", F.col("u").cast("int")).withColumn("event", F.when(F.col("u") == 1, 0).otherwise(F.col("event"))).withColumn("c", F.lit(3.0))
+    got = X.cox_fits(d, "g", [(0, ["score", "c"]), (1, ["score"]), (2, ["z"])], ["stratum"], 0.01)
+    rows = {(r.fit, r.term): r for r in got.hazard_ratios(spark).collect()}
+    assert abs(rows[0, "c"].coef) < 1e-9 and abs(rows[0, "score"].coef) > 0.1 and rows[1, "score"].coef is None and rows[2, "z"].hr is None
+    none = X.cox_fits(d.limit(0), "g", [(0, ["score"])], ["stratum"])
+    assert none.hazard_ratios(spark).first().coef is None
