@@ -67,6 +67,21 @@ def _grams(docs: DataFrame, k: int) -> DataFrame:
     return arrow_map(typed(docs, doc_id="bigint", text="string"), run, "row bigint, place bigint, key bigint, doc_id bigint")
 
 
+def closest(spans: DataFrame, longest: int) -> DataFrame:
+    """Spans (row, first_word, last_word, closeness, ...) that no closer span of the same row overlaps.
+
+    Spans have at most ``longest`` words, so two that overlap meet in a cell of that many words: the join is on (row, cell) and
+    a cell holds the spans of two notices' length only.
+    """
+    cells = spans.withColumn("cell", F.explode(F.sequence(F.floor(F.col("first_word") / longest), F.floor(F.col("last_word") / longest))))
+    best = cells.groupBy("row", "cell", "first_word", "last_word").agg(F.max("closeness").alias("closer"))
+    best = best.select("row", "cell", F.col("first_word").alias("o_first"), F.col("last_word").alias("o_last"), "closer")
+    beaten = cells.join(best, ["row", "cell"]).where(
+        (F.col("o_first") <= F.col("last_word")) & (F.col("o_last") >= F.col("first_word")) & (F.col("closer") > F.col("closeness")))
+    keys = ["row", "label", "first_word", "last_word"]
+    return spans.join(beaten.select(*keys).distinct(), keys, "left_anti")
+
+
 def scan(docs: DataFrame, phrases: list[tuple[str, str]] = PHRASES, notices: list[tuple[str, str]] = NOTICES, k: int = 3, slack: int = 4,
          least: float = 0.75, broadcast_limit: int = 200_000) -> DataFrame:
     """License evidence per row of ``docs`` (doc_id, text): doc_id, n_words, n_base, first_word, last_word, base_labels,
@@ -77,7 +92,9 @@ def scan(docs: DataFrame, phrases: list[tuple[str, str]] = PHRASES, notices: lis
     have been edited, which shifts the rest of it by a few words: votes on diagonals up to ``slack`` apart
     are merged (two overlapping grids of cells of 2 x slack diagonals hold any such set), and the merged
     span counts if it holds ``least`` of the notice's k-grams and is at most half as long again as the
-    notice. ``score`` is the largest share of a template's k-grams found together, 0 without any.
+    notice. Notices differ from each other by a word or two, so spans that overlap are held against each other:
+    ``closeness`` is the share of shared k-grams in the longer of notice and span, and only the closest of overlapping
+    spans stays (all of them, if equally close). ``score`` is the largest share of a template's k-grams found together, 0 without any.
 
     The templates are broadcast if they have at most ``broadcast_limit`` k-grams in all. Null, empty and
     blank texts have no words, no labels ('') and score 0. Rows are kept apart by place, so equal rows and
@@ -112,10 +129,12 @@ def scan(docs: DataFrame, phrases: list[tuple[str, str]] = PHRASES, notices: lis
              F.min(F.col("diagonal") + F.array_min("positions")).alias("first_word"), F.max(F.col("diagonal") + F.array_max("positions") + (k - 1)).alias("last_word"))
         .withColumn("share", F.col("found") / F.col("grams"))
     )
-    good = ~F.col("base") & (F.col("share") >= least) & (F.col("last_word") - F.col("first_word") + 1 <= 1.5 * F.col("words"))
-    method = merged.groupBy("row").agg(
-        F.max("share").alias("score"), F.collect_set(F.when(good, F.col("label"))).alias("more"),
-        F.collect_set(F.when(good, F.struct("label", "first_word", "last_word", "share"))).alias("spans"))
+    length = F.col("last_word") - F.col("first_word") + 1
+    good = ~F.col("base") & (F.col("share") >= least) & (length <= 1.5 * F.col("words"))
+    merged = merged.withColumn("closeness", F.col("found") / F.greatest(F.col("grams"), length - (k - 1)))
+    kept = closest(merged.where(good).select("row", "label", "first_word", "last_word", "share", "closeness").distinct(), int(1.5 * max(x[4] for x in sizes)) + 1)
+    found = kept.groupBy("row").agg(F.collect_set("label").alias("more"), F.collect_set(F.struct("label", "first_word", "last_word", "share")).alias("spans"))
+    method = merged.groupBy("row").agg(F.max("share").alias("score")).join(found, "row", "left")
     summary = hits.where("template < 0").select("row", "doc_id", F.col("place").alias("n_words"))
     none = F.array().cast("array<string>")
     named = lambda c: F.array_join(F.array_sort(c), ",")

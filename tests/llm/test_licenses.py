@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from nightjar.llm import licenses as L
@@ -58,3 +59,40 @@ def test_edited_notices_are_found_on_merged_diagonals(spark, limit):
 
 def test_empty_table(spark):
     assert L.scan(spark.createDataFrame([], "doc_id bigint, text string")).collect() == []
+
+
+def test_each_notice_alone_gives_its_own_label(spark):
+    shapes = {
+        "plain": lambda w: w, "upper": lambda w: [x.upper() for x in w],
+        "one more word": lambda w: [*w[:6], "hereby", *w[6:]], "first word lost": lambda w: w[1:]}
+    rows, want = [], {}
+    for label, notice in L.NOTICES:
+        for name, shape in shapes.items():
+            rows.append((len(rows), "some words before, " + " ".join(shape(notice.split())) + ". and some words after"))
+            want[len(rows) - 1] = (label, name)
+    got = {r.doc_id: r for r in L.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    for i, (label, name) in want.items():
+        others = set(got[i].labels.split(",")) - {label, "", "apache-2" if label == "apache-2" else ""}
+        assert not others, (label, name, got[i].labels)
+        if name in ("plain", "upper"):
+            assert got[i].labels == label and got[i].score == 1.0
+
+
+def test_notices_side_by_side_keep_their_own_labels(spark):
+    cc = [n for label, n in L.NOTICES if label.startswith("cc-by")]
+    text = " filler words between ".join(cc * 3)
+    got = L.scan(spark.createDataFrame([(1, text), (1, text), (2, cc[0])], "doc_id bigint, text string")).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.doc_id, []).append(r)
+    assert [r.labels for r in by[1]] == ["cc-by,cc-by-nc,cc-by-sa"] * 2 and by[2][0].labels == "cc-by"
+    assert len(by[1][0].spans) == 9 and all(s.share == 1.0 for s in by[1][0].spans)
+
+
+def test_closest_by_brute_force(spark):
+    rng = np.random.default_rng(3)
+    rows = [(int(rng.integers(3)), f"l{rng.integers(4)}", a := int(rng.integers(200)), a + int(rng.integers(5, 20)), float(rng.choice([0.75, 0.8, 0.9, 1.0]))) for _ in range(150)]
+    rows = sorted({x[:4]: x for x in rows}.values())
+    got = {tuple(r) for r in L.closest(spark.createDataFrame(rows, "row bigint, label string, first_word bigint, last_word bigint, closeness double"), 21).select("row", "label", "first_word", "last_word", "closeness").collect()}
+    want = {x for x in rows if not any(y[0] == x[0] and y[2] <= x[3] and y[3] >= x[2] and y[4] > x[4] for y in rows)}
+    assert got == want
