@@ -283,7 +283,7 @@ def _analyses(spark, sf, ladder):
     from nightjar.plans.survival import analyse
 
     d = _cox_input(spark, sf)
-    event, test = F.col("event") == 1, F.pmod(F.xxhash64("time", "qty", "l_discount", "l_tax"), F.lit(5)) == 0
+    event, test = F.col("event") == 1, F.pmod(F.xxhash64("days", "qty", "l_discount", "l_tax"), F.lit(5)) == 0
     return analyse(
         d.withColumnsRenamed({"time": "days"}), {"first": (F.col("days"), event), "late": (F.col("days"), event & (F.col("days") > 30))},
         {"all": F.lit(True), "low": F.col("qty") < 3}, ladder, test, ["stratum"], 400.0, H, GRID, carry=["qty"])
