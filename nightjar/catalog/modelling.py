@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from nightjar.catalog import query
 from nightjar.catalog.metrics import rounded
 from nightjar.operators import fitting as FT
+from nightjar.operators import imputing as I
 from nightjar.operators import metrics as M
 from nightjar.operators.columns import staging_features
 from nightjar.operators.epochs import contextual
@@ -69,19 +70,61 @@ def chained_imputation(spark, sf) -> DataFrame:
     c = V.cohort(spark, sf).select("subject_id", "segment", "acctbal", F.col("f_day").cast("double").alias("f_day"), F.col("n_orders").cast("double").alias("n_orders"),
                                    F.when(F.col("subject_id") % 5 != 0, (F.col("nation") % 2).cast("double")).alias("flag"))
     train = c.where("subject_id % 4 <> 0")
-    return rounded(FT.chained_impute(train, c, ["acctbal", "f_day", "n_orders", "flag"], ["flag"], "segment"), 4)
+    return rounded(I.chained_impute(train, c, ["acctbal", "f_day", "n_orders", "flag"], ["flag"], "segment"), 4)
+
+
+def _chained_sql(names: list[str], rounds: int, reg: float = 1e-3) -> str:
+    """The chained regressions of three columns with segments, every step as the closed solution of three equations."""
+    moments = ", ".join(f"avg({c}) m{i}, stddev_pop({c}) s{i}" for i, c in enumerate(names))
+    out = [f"""
+    rows0 as (select subject_id, segment, subject_id % 4 <> 0 as tr, acctbal, cast(f_day as double) as f_day, cast(n_orders as double) as n_orders from v_cohort),
+    moments as (select {moments} from rows0 where tr),
+    base as (select segment from rows0 where tr group by segment order by count(*) desc, segment limit 1),
+    x0 as materialized (select subject_id, segment, tr, {", ".join(f"coalesce(({c} - m{i}) / s{i}, 0) as x{i}, {c} is null as g{i}" for i, c in enumerate(names))} from rows0, moments)"""]
+    for t in range(3 * rounds):
+        c = t % 3
+        p, q = [i for i in range(3) if i != c]
+        out.append(f"""
+    sums{t} as (select segment, count(*)::double as n, sum(x{p}) as p, sum(x{q}) as q, sum(x{c}) as y, sum(x{p} * x{p}) as pp, sum(x{p} * x{q}) as pq,
+            sum(x{q} * x{q}) as qq, sum(x{p} * x{c}) as py, sum(x{q} * x{c}) as qy from x{t} where tr and not g{c} group by segment),
+    held{t} as (select *, case when segment = (select segment from base) then 0 else 1 / (n + {reg} * n * (1 - n / all_n) + 1e-12 * all_n) end as k
+        from sums{t}, (select sum(n) as all_n from sums{t})),
+    eq{t} as (select sum(n) - sum(k * n * n) as a, sum(p) - sum(k * n * p) as b, sum(q) - sum(k * n * q) as c, sum(pq) - sum(k * p * q) as e,
+            sum(pp) - sum(k * p * p) + sum(n) * ({reg} * (sum(pp) / sum(n) - pow(sum(p) / sum(n), 2)) + 1e-12) as d,
+            sum(qq) - sum(k * q * q) + sum(n) * ({reg} * (sum(qq) / sum(n) - pow(sum(q) / sum(n), 2)) + 1e-12) as f,
+            sum(y) - sum(k * n * y) as u, sum(py) - sum(k * p * y) as v, sum(qy) - sum(k * q * y) as w from held{t}),
+    fit{t} as (select (u * (d * f - e * e) - b * (v * f - e * w) + c * (v * e - d * w)) / det as w1, (a * (v * f - e * w) - u * (b * f - e * c) + c * (b * w - v * c)) / det as wp,
+            (a * (d * w - v * e) - b * (b * w - v * c) + u * (b * e - d * c)) / det as wq
+        from (select *, a * (d * f - e * e) - b * (b * f - e * c) + c * (b * e - d * c) as det from eq{t})),
+    x{t + 1} as materialized (select x{t}.* replace (case when g{c} then w1 + wp * x{p} + wq * x{q} + coalesce(effect, 0) else x{c} end as x{c})
+        from x{t} cross join fit{t} left join (select segment, (y - w1 * n - wp * p - wq * q) * k as effect from held{t}, fit{t}) using (segment))""")
+    filled = ", ".join(f"x{i} * s{i} + m{i} as {c}" for i, c in enumerate(names))
+    scaled = ", ".join(f"round(({c} - mu_{c}) / sd_{c}, 4) as {c}" for c in names)
+    out.append(f"""
+    filled as (select subject_id, tr, {filled} from x{3 * rounds}, moments),
+    scale as (select {", ".join(f"avg({c}) as mu_{c}, stddev_pop({c}) as sd_{c}" for c in names)} from filled where tr)
+    select subject_id, {scaled}, round(ln(1 + abs(acctbal)), 4) as ln_balance from filled, scale""")
+    return "select * from (with " + ",".join(out) + ")"
+
+
+TERMS = ["acctbal", "f_day", "n_orders"]
+
+
+@query(with_views(_chained_sql(TERMS, 2), "v_cohort"))
+def imputed_design_terms(spark, sf) -> DataFrame:
+    """Chained imputation, scaling and a derived term fitted on three quarters of the subjects, applied to all."""
+    c = V.cohort(spark, sf).select("subject_id", "segment", "acctbal", F.col("f_day").cast("double").alias("f_day"), F.col("n_orders").cast("double").alias("n_orders"))
+    fitted = I.fit_preparation(c.where("subject_id % 4 <> 0"), TERMS, [], "segment", {"ln_balance": F.log1p(F.abs("acctbal"))}, rounds=2)
+    return rounded(fitted.transform(c).select("subject_id", *TERMS, "ln_balance"), 4)
 
 
 @query(with_views("""
     select subject_id, round((coalesce(acctbal, m) - mu) / sd, 6) as acctbal from v_cohort, (select quantile_cont(acctbal, 0.5) as m from v_cohort),
         (select avg(coalesce(acctbal, m)) as mu, stddev_pop(coalesce(acctbal, m)) as sd from v_cohort, (select quantile_cont(acctbal, 0.5) as m from v_cohort))""", "v_cohort"))
 def median_fill_and_scale(spark, sf) -> DataFrame:
-    from nightjar.operators.running import grouped_quantiles
-
-    c = V.cohort(spark, sf).select("subject_id", "acctbal").withColumn("_g", F.lit(1))
-    m = grouped_quantiles(c, ["_g"], "acctbal", {"m": 0.5}).select("m").scalar()
-    filled = c.select("subject_id", F.coalesce("acctbal", m).alias("acctbal"))
-    return rounded(FT.standardise(filled, filled, ["acctbal"]))
+    """The numeric stage of every model pipeline: exact median, centre, population SD."""
+    c = V.cohort(spark, sf).select("subject_id", "acctbal")
+    return rounded(FT.MedianFillScale(["acctbal"]).fit(c).transform(c).select("subject_id", F.col("acctbal_scaled").alias("acctbal")))
 
 
 @query()

@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
-import pyarrow as pa
-from pyspark.ml import Pipeline
+from pyspark.ml import Estimator, Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nightjar.functions.expressions import logit
+from nightjar.operators.imputing import chained_impute, exact_medians  # noqa: F401 (the imputer is part of this module's interface)
 from nightjar.session import cut_lineage
 
 
@@ -108,17 +105,34 @@ def register_family(name: str, builder) -> None:
     FAMILIES[name] = builder
 
 
+class MedianFillScale(Estimator):
+    """``<c>_scaled``: gaps (NULL, NaN) filled with the exact median, then centred and divided by the population SD.
+
+    A column without any value is 0 everywhere, one of a single value too.
+    """
+
+    def __init__(self, columns: list[str]):
+        super().__init__()
+        self.columns = list(columns)
+
+    def _fit(self, dataset: DataFrame) -> SQLTransformer:
+        medians = exact_medians(dataset, self.columns)
+        fill = {c: f"nvl(nanvl(CAST(`{c}` AS DOUBLE), CAST(NULL AS DOUBLE)), {m or 0.0!r}D)" for c, m in medians.items()}
+        s = dataset.agg(*[f(F.expr(x)) for x in fill.values() for f in (F.avg, F.stddev_pop)]).first()
+        scaled = [f"({x} - ({s[2 * i] or 0.0!r}D)) / {s[2 * i + 1] or 1.0!r}D AS `{c}_scaled`" for i, (c, x) in enumerate(fill.items())]
+        return SQLTransformer(statement=f"SELECT *, {', '.join(scaled)} FROM __THIS__")
+
+
 def build(family: str, columns: list[str], label: str, categorical: list[str] | None = None, **options) -> Pipeline:
-    """Median imputation, assembly, scaling and the classifier as one pipeline, so all of it is fitted on training rows only."""
+    """Median fill and scaling, category codes, assembly and the classifier as one pipeline, so all of it is fitted on training rows only."""
     stages = []
-    ready = [f"{c}_filled" for c in columns]
+    ready = [f"{c}_scaled" for c in columns]
     if columns:
-        stages.append(Imputer(strategy="median", inputCols=columns, outputCols=ready))
+        stages.append(MedianFillScale(columns))
     for c in categorical or []:
         stages.append(StringIndexer(inputCol=c, outputCol=f"{c}_code", handleInvalid="keep"))
         ready.append(f"{c}_code")
-    stages.append(VectorAssembler(inputCols=ready, outputCol="raw_features"))
-    stages.append(StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True))
+    stages.append(VectorAssembler(inputCols=ready, outputCol="features"))
     options = {k: v for k, v in options.items() if v is not None}
     estimator = FAMILIES[family]("features", label, **options)
     for unset in ("weightCol", "validationIndicatorCol"):
@@ -192,87 +206,6 @@ def predict_classes(model, rows: DataFrame, keep: list[str], n_classes: int) ->
     return d.withColumn("pred", (-best["i"]).cast("int"))
 
 
-def _refill(x: np.ndarray, gaps: np.ndarray, steps: list[tuple[int, np.ndarray]]) -> np.ndarray:
-    """The fill after all steps so far: each sets one column's gaps to a linear form of the other columns."""
-    full = np.concatenate([x, np.ones((len(x), 1))], axis=1)
-    for c, weights in steps:
-        full[gaps[:, c], c] = full[gaps[:, c]] @ weights
-    return full
-
-
-def chained_impute(train: DataFrame, rows: DataFrame, columns: list[str], binary: list[str], strata: str | None = None,
-                   rounds: int = 10, reg: float = 1e-3) -> DataFrame:
-    """Fill each column by ridge regression on the others (and stratum indicators), all fitted on ``train``.
-
-    Gaps start at the training mean; ``rounds`` passes refit every column with gaps on the current fill.
-    Training rows are written once as dense vectors. A step is one pass that refills them by the linear forms
-    found so far and folds the cross products of the rows that know the column, p x p numbers, to which the
-    ridge (on standardised inputs) is solved. Binary columns are clipped to [0, 1] and rounded half to
-    even at the end. Strata are numbered by the training rows; an unseen stratum is the base one.
-    """
-    k = len(columns)
-    means = train.agg(*[F.avg(c).alias(c) for c in columns]).first()
-    gap_counts = train.select(*columns).unionByName(rows.select(*columns)).agg(*[F.sum(F.col(c).isNull().cast("int")).alias(c) for c in columns]).first()
-    todo = [i for i, c in enumerate(columns) if gap_counts[c]]
-    stages = []
-    if strata:
-        stages = [StringIndexer(inputCol="_stratum", outputCol="_code", handleInvalid="skip"), OneHotEncoder(inputCol="_code", outputCol="_levels", dropLast=True)]
-
-    def dense(d: DataFrame, model) -> DataFrame:
-        d = d.withColumns({"_stratum": F.col(strata).cast("string")} if strata else {})
-        values = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(float(means[c]))) for c in columns])
-        gaps = F.array(*[F.col(c).isNull() for c in columns])
-        if model is None:
-            return d.withColumns({"_x": values, "_gaps": gaps})
-        known = model.transform(d.where(F.col("_stratum").isNotNull())).withColumn("_x", F.concat(values, vector_to_array("_levels")))
-        width = len(model.stages[0].labels) - 1
-        unseen = F.col("_stratum").isNull() | ~F.col("_stratum").isin(list(model.stages[0].labels))
-        return known.unionByName(d.where(unseen).withColumn("_x", F.concat(values, F.array_repeat(F.lit(0.0), width))), allowMissingColumns=True).withColumn(
-            "_gaps", gaps).drop("_code", "_levels")
-
-    model = Pipeline(stages=stages).fit(train.select(F.col(strata).cast("string").alias("_stratum"))) if strata else None
-    fixed = cut_lineage(dense(train, model).select("_x", "_gaps"))
-    steps: list[tuple[int, np.ndarray]] = []
-
-    def products(c: int) -> np.ndarray:
-        def run(batches):
-            total = None
-            for b in batches:
-                x, gaps = (np.array(b.column(n).to_pylist()) for n in ("_x", "_gaps"))
-                if len(x):
-                    full = _refill(x, gaps, steps)[~gaps[:, c]]
-                    total = full.T @ full if total is None else total + full.T @ full
-            if total is not None:
-                yield pa.RecordBatch.from_pydict({"place": pa.array(np.arange(total.size), pa.int32()), "v": pa.array(total.ravel())})
-
-        cells = fixed.mapInArrow(run, "place int, v double").groupBy("place").agg(F.sum("v").alias("v")).collect()
-        out = np.zeros(len(cells))
-        out[[r.place for r in cells]] = [r.v for r in cells]
-        size = math.isqrt(len(cells))
-        return out.reshape(size, size)
-
-    for _ in range(rounds):
-        for c in todo:
-            cross = products(c)
-            n, centre = cross[-1, -1], cross[-1] / cross[-1, -1]
-            cov = cross / n - np.outer(centre, centre)
-            others = [j for j in range(len(cross) - 1) if j != c]
-            ridge = np.diag(reg * np.diag(cov)[others]) + 1e-12 * np.eye(len(others))
-            weights = np.zeros(len(cross))
-            weights[others] = np.linalg.solve(cov[np.ix_(others, others)] + ridge, cov[others, c])
-            weights[-1] = centre[c] - weights[others] @ centre[others]
-            steps.append((c, weights))
-
-    @F.arrow_udf("array<double>")
-    def filled(x: pa.Array, gaps: pa.Array) -> pa.Array:
-        if not len(x):
-            return pa.array([], pa.list_(pa.float64()))
-        return pa.array(list(_refill(np.array(x.to_pylist()), np.array(gaps.to_pylist()), steps)[:, :k]), pa.list_(pa.float64()))
-
-    out = {c: F.bround(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("_y")[i]))) if c in binary else F.col("_y")[i] for i, c in enumerate(columns)}
-    return dense(rows, model).withColumn("_y", filled("_x", "_gaps")).withColumns(out).drop("_x", "_gaps", "_y", "_stratum")
-
-
 def standardise(train: DataFrame, rows: DataFrame, columns: list[str]) -> DataFrame:
     """(x - training mean) / training population std, both read as one aggregate row."""
     s = train.agg(*[F.avg(c).alias(f"m_{c}") for c in columns], *[F.stddev_pop(c).alias(f"s_{c}") for c in columns]).first()
