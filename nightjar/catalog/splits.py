@@ -103,8 +103,15 @@ def id_set_difference(spark, sf) -> DataFrame:
 
 
 @query("""
-    select subject_id, n_rows, cast(case when (p // 5) % 2 = 0 then p % 5 else 4 - p % 5 end as integer) as fold
-    from (select *, row_number() over (order by n_rows desc, subject_id) - 1 as p from (select user_id as subject_id, count(*) as n_rows from events group by 1))""")
+    with recursive sizes as (select user_id as subject_id, count(*) as n_rows from events group by 1),
+    queue as (select *, row_number() over (order by n_rows desc, subject_id) as p from sizes),
+    deal as (
+        select cast(0 as bigint) as p, cast([0, 0, 0, 0, 0] as bigint[]) as loads, cast(null as bigint) as fold
+        union all
+        select q.p, list_transform(d.loads, lambda x, i: x + case when i = list_position(d.loads, list_min(d.loads)) then q.n_rows else 0 end),
+               list_position(d.loads, list_min(d.loads)) - 1
+        from deal d join queue q on q.p = d.p + 1)
+    select subject_id, n_rows, cast(fold as integer) as fold from queue join deal using (p)""")
 def group_kfold(spark, sf) -> DataFrame:
     return S.group_kfold(ids(spark, sf), 5)
 

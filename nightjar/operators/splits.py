@@ -32,16 +32,46 @@ def group_split(ids: DataFrame, test: float = 0.2, val: float = 0.05, seed: int
     return outer.where("_test").select("subject_id", F.lit("test").alias("part")).unionByName(parts)
 
 
+def _turns(sizes: list[tuple[int, int]], k: int) -> list[tuple[int, list[tuple[int, list[int]]]]]:
+    """Per size, largest first: which folds take turns, and from which subject of that size on.
+
+    Subjects of one size, each to the lightest fold, meet the folds in rounds: in round u those whose load is less than u + 1
+    sizes above the lightest, in the order of what their load leaves over. So a size has at most k spans of turns.
+    """
+    loads, out = [0] * k, []
+    for size, n in sizes:
+        low = min(loads)
+        ahead = [divmod(load - low, size) for load in loads]
+        starts = sorted({rounds for rounds, _ in ahead})
+        spans, first = [], 0
+        for u, until in zip(starts, [*starts[1:], None]):
+            turn = sorted((i for i in range(k) if ahead[i][0] <= u), key=lambda i: (ahead[i][1], i))
+            spans.append((first, turn))
+            left = n - first if until is None else min(n - first, (until - u) * len(turn))
+            each, extra = divmod(left, len(turn))
+            for place, i in enumerate(turn):
+                loads[i] += size * (each + (place < extra))
+            first += left
+            if first == n:
+                break
+        out.append((size, spans))
+    return out
+
+
 def group_kfold(rows: DataFrame, k: int) -> DataFrame:
-    """Subjects to folds balanced on row count: largest first, dealt back and forth, so no fold gets the largest of every deal."""
-    n = rows.groupBy("subject_id").agg(F.count("*").alias("n_rows"))
-    sizes = n.groupBy("n_rows").agg(F.count("*").alias("_m")).withColumn("_neg", -F.col("n_rows"))
-    before = running_totals(sizes, [], "_neg", ["_m"]).select("n_rows", "_m_before")
+    """Subjects to folds balanced on row count: largest first (of equals by id), each to the lightest fold (of equals the first).
+
+    The deal runs over the histogram of sizes, not over subjects: N rows have at most sqrt(2 N) distinct sizes, so it is
+    small at any scale, and a subject finds its fold from its place among those of its size.
+    """
+    n = cut_lineage(rows.groupBy("subject_id").agg(F.count("*").alias("n_rows")))
+    sizes = [(r.n_rows, r["count"]) for r in n.groupBy("n_rows").count().orderBy(F.desc("n_rows")).collect()]
+    spans = [(size, [{"first": first, "turn": turn} for first, turn in own]) for size, own in _turns(sizes, k)]
+    deal = rows.sparkSession.createDataFrame(spans, "n_rows bigint, spans array<struct<first: bigint, turn: array<int>>>")
     ids = running_totals(n.withColumn("_one", F.lit(1).cast("bigint")), ["n_rows"], "subject_id", ["_one"])
-    place = F.col("_m_before") + F.col("_one_before")
-    turn = F.pmod(place, F.lit(k))
-    return ids.join(before, "n_rows").select(
-        "subject_id", "n_rows", F.when(F.floor(place / k) % 2 == 0, turn).otherwise(k - 1 - turn).cast("int").alias("fold"))
+    own = F.element_at(F.filter("spans", lambda s: s["first"] <= F.col("_one_before")), -1)
+    place = F.pmod(F.col("_one_before") - own["first"], F.size(own["turn"])).cast("int")
+    return ids.join(deal, "n_rows").select("subject_id", "n_rows", F.get(own["turn"], place).alias("fold"))
 
 
 def stratified_kfold(ids: DataFrame, strata: list[str], k: int, repeats: int = 1, seed: int = 42) -> DataFrame:
