@@ -55,15 +55,15 @@ def ensemble(runs: DataFrame, cv_auc: dict[str, float], scale: float = 50.0) ->
     """
     import math
 
-    from nightjar.operators.running import midranks
+    from nightjar.operators.running import join_by_value, midranks
 
     names = list(cv_auc)
     centre = sum(cv_auc.values()) / len(names)
     raw = {n: math.exp((a - centre) * scale) for n, a in cv_auc.items()}
     weights = {n: w / sum(raw.values()) for n, w in raw.items()}
     d = runs.where(F.col("run").isin(*names))
-    ranks = midranks(d, ["run"], "pred_prob", "_mid").select("run", "pred_prob", (F.col("_mid") / F.col("n_total")).alias("_rank"))
-    wide = d.join(ranks, ["run", "pred_prob"]).groupBy("subject_id", "epoch_idx").agg(
+    ranks = midranks(d, ["run"], "pred_prob", "_mid").select("run", "pred_prob", (F.col("_mid") / F.col("n_total")).alias("_rank"), "n")
+    wide = join_by_value(d, ranks, ["run", "pred_prob"], "n").groupBy("subject_id", "epoch_idx").agg(
         F.max("apnoea_label").alias("apnoea_label"), F.count("*").alias("_n"),
         *[F.max(F.when(F.col("run") == n, F.col("pred_prob"))).alias(f"_p_{n}") for n in names],
         *[F.max(F.when(F.col("run") == n, F.col("_rank"))).alias(f"_r_{n}") for n in names])

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nightjar.functions.expressions import digitize, severity_tier
-from nightjar.operators.running import midranks, running_totals
+from nightjar.operators.running import join_by_value, midranks, running_totals
 
 
 def linspace(lo: float, hi: float, n: int) -> list[float]:
@@ -194,12 +194,13 @@ def agreement(df: DataFrame, by: list[str], est: str, ref: str) -> DataFrame:
     """MAE, bias, limits, Pearson, Spearman, ICC, tier accuracy and kappa of est against ref."""
     d = df.where(F.col(est).isNotNull() & F.col(ref).isNotNull()).select(
         *by, F.col(est).cast("double").alias("x"), F.col(ref).cast("double").alias("y"))
-    rx = midranks(d, by, "x", "rx").select(*by, "x", "rx")
-    ry = midranks(d, by, "y", "ry").select(*by, "y", "ry")
+    rx = midranks(d, by, "x", "rx").select(*by, "x", "rx", "n")
+    ry = midranks(d, by, "y", "ry").select(*by, "y", "ry", "n")
+    ranked = join_by_value(join_by_value(d, rx, [*by, "x"], "n"), ry, [*by, "y"], "n")
     diff = F.col("x") - F.col("y")
     sd = F.stddev_samp(diff)
     tx, ty = severity_tier("x"), severity_tier("y")
-    main = d.join(rx, [*by, "x"]).join(ry, [*by, "y"]).groupBy(*by).agg(
+    main = ranked.groupBy(*by).agg(
         F.count("*").alias("n"), F.avg(F.abs(diff)).alias("mae"), F.avg(diff).alias("bias"),
         (F.avg(diff) - 1.96 * sd).alias("loa_low"), (F.avg(diff) + 1.96 * sd).alias("loa_high"),
         F.corr("x", "y").alias("pearson_r"), F.corr("rx", "ry").alias("spearman_rho"),

@@ -15,6 +15,8 @@ from pyspark.sql.window import Window
 
 from nightjar.session import cut_lineage
 
+HOT_KEYS = 1000  # a key with more than this part of all rows is joined on its own
+
 
 def bucket_count(df: DataFrame) -> int:
     return max(8, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -105,6 +107,20 @@ def midranks(df: DataFrame, by: list[str], value: str, name: str = "midrank") ->
         name, F.col("n_before") + (F.col("n") + 1) / F.lit(2.0))
 
 
+def join_by_value(rows: DataFrame, facts: DataFrame, keys: list[str], n: str) -> DataFrame:
+    """Inner join of rows to ``facts``, one row per ``keys`` of which ``n`` rows hold the same, without a hot key in one task.
+
+    Keys with more than a thousandth of all rows, so fewer than a thousand keys, are broadcast; the other rows meet their
+    facts in a shuffle. ``n`` is dropped. ``facts`` is written once.
+    """
+    facts = cut_lineage(facts)
+    share = F.col(n) * HOT_KEYS > facts.agg(F.sum(n)).scalar()
+    hot = F.broadcast(facts.where(share).drop(n).withColumn("_hot", F.lit(True)))
+    marked = rows.join(hot, keys, "left")
+    rest = marked.where("_hot IS NULL").select(*rows.columns).join(facts.where(~share).drop(n), keys)
+    return marked.where("_hot").drop("_hot").unionByName(rest)
+
+
 def grouped_quantiles(df: DataFrame, by: list[str], value: str, probs: dict[str, float]) -> DataFrame:
     """Exact linearly interpolated quantiles per group, for groups of any size."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
