@@ -359,6 +359,34 @@ def covariate_terms(spark, sf) -> DataFrame:
         C.one_hot("segment", ["AUTOMOBILE", "BUILDING"])["BUILDING"].alias("seg_building")))
 
 
+# the rules of the covariate table once more, as SQL
+_RULE_SQL = {
+    "value": lambda x: f"{x}::double", "hours": lambda x: f"{x} / 60.0::double", "is": lambda x, code: f"coalesce(({x} = {code})::int::double, 0)",
+    "zero_one": lambda x: f"case when {x} in (0, 1) then {x}::double end",
+    "code_or_flag": lambda x, code, flag: f"case when {x} is not null then ({x} = {code})::int::double when {flag} in (0, 1) then {flag}::double end",
+    "any_or_all_zero": lambda *xs: f"case when {' or '.join(f'{x} = 1' for x in xs)} then 1::double when {' and '.join(f'{x} = 0' for x in xs)} then 0::double end",
+    "any_answered": lambda *xs: f"case when {' or '.join(f'{x} = 1' for x in xs)} then 1::double when {' or '.join(f'{x} is not null' for x in xs)} then 0::double end",
+    "log": lambda x, least: f"case when {x} >= {least} and {x} > 0 then ln({x}) end",
+    "log1p": lambda x: f"case when {x} > -1 then ln(1 + {x}) end",
+    "log1p_excess": lambda x, y: f"case when {x} > {y} then ln(1 + {x} - {y}) when {x} <= {y} then 0::double end",
+    "reading": lambda a, b, c: f"case when {a} is not null and {b} is not null then ({a} + {b}) / 2 else {c}::double end",
+    "log_reading": lambda a, b, c: f"ln(case when {a} is not null and {b} is not null then ({a} + {b}) / 2 else {c} end)",
+}
+_CODES = {x for rule, *args in C.BASELINE_TERMS.values() if rule in ("is", "zero_one", "code_or_flag", "any_or_all_zero", "any_answered") for x in args if isinstance(x, str)}
+# a baseline table over the cohort, in words that both engines read: small codes and positive measures, each with gaps of its own (odd divisors: no value on a rounding tie)
+_BASELINE = {x: f"case when (subject_id + {i}) % 11 <> 0 then " + (f"(subject_id * 7 + {i} * 5 + nation) % 4" if x in _CODES else f"abs(acctbal) / {41 + 2 * i} + nation") + " end"
+             for i, x in enumerate(C.rule_sources())}
+
+
+@query(with_views(f"""
+    select subject_id, {", ".join(f"round({_RULE_SQL[rule](*args)}, 6) as {name}" for name, (rule, *args) in C.BASELINE_TERMS.items())}
+    from (select subject_id, {", ".join(f"{e} as {x}" for x, e in _BASELINE.items())} from v_cohort)""", "v_cohort"))
+def baseline_covariates(spark, sf) -> DataFrame:
+    """All model terms of every subject by their rules."""
+    baseline = V.cohort(spark, sf).select("subject_id", *[F.expr(e).alias(x) for x, e in _BASELINE.items()])
+    return rounded(C.build_covariates(baseline, "subject_id"))
+
+
 RISK_SQL = """
     select subject_id, round(lp, 6) as lp, round(1 - power(case when male = 1 then 0.88936 else 0.95012 end, exp(lp)), 6) as risk from (
         select *, case when male = 1 then 3.06117 * ln(age) + 1.12370 * ln(chol) - 0.93263 * ln(hdl) + case when trt = 1 then 1.99881 else 1.93303 end * ln(sbp) + 0.65451 * smk + 0.57367 * dm - 23.9802
