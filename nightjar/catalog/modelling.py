@@ -54,6 +54,13 @@ def option_search(spark, sf) -> DataFrame:
     return rounded(FT.search(d, group_kfold(d, 5), 5, ["hr_mean_lag1", "hr_mean_roll5_std"], [{"reg": 0.0}, {"reg": 0.01}, {"reg": 0.1}]))
 
 
+@query()
+def pruned_option_search(spark, sf) -> DataFrame:
+    """Six penalties by successive halving over five folds."""
+    d = feature_rows(spark, sf).select("subject_id", "epoch_idx", "apnoea_label", "hr_mean_lag1", "hr_mean_roll5_std")
+    return rounded(FT.halving_search(d, group_kfold(d, 5), 5, ["hr_mean_lag1", "hr_mean_roll5_std"], [{"reg": r} for r in (0.0, 0.001, 0.01, 0.1, 1.0, 10.0)]))
+
+
 @query()
 def staging_metrics(spark, sf) -> DataFrame:
     """Trained on the in-bed window, evaluated on it and on the whole night, without features made from the stage."""

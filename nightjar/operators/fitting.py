@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.ml import Estimator, Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import SQLTransformer, StringIndexer, VectorAssembler
@@ -53,8 +56,6 @@ def ensemble(runs: DataFrame, cv_auc: dict[str, float], scale: float = 50.0) ->
     Runs become columns by a conditional aggregate on the row key; a row missing from a run has no
     ensemble score.
     """
-    import math
-
     from nightjar.operators.running import join_by_value, midranks
 
     names = list(cv_auc)
@@ -160,15 +161,15 @@ def predict(model, rows: DataFrame, keep: list[str], threshold: float = 0.5) ->
 
 
 def out_of_fold(rows: DataFrame, folds: DataFrame, k: int, columns: list[str], family: str = "logistic",
-                keep: list[str] | None = None, **options) -> DataFrame:
-    """Every row scored by the model of the folds that do not hold its subject.
+                keep: list[str] | None = None, only: list[int] | None = None, **options) -> DataFrame:
+    """Every row scored by the model of the folds that do not hold its subject; ``only`` names the folds to score.
 
     The joined rows are written once: each fit passes over them many times.
     """
     keep = keep or ["subject_id", "epoch_idx", "apnoea_label"]
     d = cut_lineage(rows.join(folds.select("subject_id", "fold"), "subject_id"))
     parts = []
-    for i in range(k):
+    for i in range(k) if only is None else only:
         model = fit_binary(d.where(F.col("fold") != i), columns, family=family, **options)
         parts.append(predict(model, d.where(F.col("fold") == i), [*keep, "fold"]))
     out = parts[0]
@@ -194,6 +195,42 @@ def search(rows: DataFrame, folds: DataFrame, k: int, columns: list[str], grid:
     return auc.groupBy("trial").agg(F.avg("auc").alias("mean_auc"), F.stddev_samp("auc").alias("sd_auc")).join(names, "trial").orderBy(F.desc("mean_auc"))
 
 
+def halving_search(rows: DataFrame, folds: DataFrame, k: int, columns: list[str], grid: list[dict], family: str = "logistic",
+                   keep_share: float = 0.5) -> DataFrame:
+    """The search by successive halving: (trial, options, n_folds, mean_auc, rank), the winner first.
+
+    All trials meet the same folds. Rungs end after 1, 2, 4, ... and k folds; after each but the last the best ``keep_share``
+    of the trials (at least one; by mean AUC so far, ties to the earlier trial) go on and the others stop with the folds they have. Trials
+    that ran further rank higher. Scores of a rung are one exact AUC job over trials and folds; the driver holds one number a trial
+    and fold. A fold of one class has no AUC and counts for no trial; a trial without any ranks last.
+    """
+    from nightjar.operators.metrics import discrimination
+
+    spark = rows.sparkSession
+    rows, folds = cut_lineage(rows), cut_lineage(folds)
+    ends = [e for e in (1 << i for i in range(k.bit_length())) if e < k] + [k]
+    alive, found = list(range(len(grid))), {t: {} for t in range(len(grid))}
+
+    def mean(t: int) -> float:
+        known = [x for x in found[t].values() if x is not None]
+        return sum(known) / len(known) if known else float("-inf")
+
+    done = 0
+    for end in ends:
+        scored = [out_of_fold(rows, folds, k, columns, family, only=list(range(done, end)), **grid[t]).withColumn("trial", F.lit(t)) for t in alive]
+        for r in discrimination(cut_lineage(reduce(DataFrame.unionByName, scored)), ["trial", "fold"]).collect() if scored else []:
+            found[r.trial][r.fold] = r.auc
+        for t in alive:
+            found[t] |= {f: None for f in range(done, end) if f not in found[t]}
+        alive.sort(key=lambda t: (-mean(t), t))
+        if end < k:
+            alive = alive[:max(1, math.ceil(len(alive) * keep_share))]
+        done = end
+    order = sorted(found, key=lambda t: (-len(found[t]), -mean(t), t))
+    out = [(t, str(sorted(grid[t].items())), len(found[t]), mean(t) if mean(t) > float("-inf") else None, i + 1) for i, t in enumerate(order)]
+    return spark.createDataFrame(out, "trial int, options string, n_folds int, mean_auc double, rank int")
+
+
 def fit_multiclass(train: DataFrame, columns: list[str], label: str, **options):
     return build("forest", columns, label, **options).fit(train.withColumn(label, F.col(label).cast("double")))
 
