@@ -118,9 +118,9 @@ class MedianFillScale(Estimator):
 
     def _fit(self, dataset: DataFrame) -> SQLTransformer:
         medians = exact_medians(dataset, self.columns)
-        fill = {c: f"nvl(nanvl(CAST(`{c}` AS DOUBLE), CAST(NULL AS DOUBLE)), {m or 0.0!r}D)" for c, m in medians.items()}
+        fill = {c: f"nvl(nanvl(CAST(`{c}` AS DOUBLE), CAST(NULL AS DOUBLE)), double('{m or 0.0!r}'))" for c, m in medians.items()}
         s = dataset.agg(*[f(F.expr(x)) for x in fill.values() for f in (F.avg, F.stddev_pop)]).first()
-        scaled = [f"({x} - ({s[2 * i] or 0.0!r}D)) / {s[2 * i + 1] or 1.0!r}D AS `{c}_scaled`" for i, (c, x) in enumerate(fill.items())]
+        scaled = [f"({x} - double('{s[2 * i] or 0.0!r}')) / double('{s[2 * i + 1] or 1.0!r}') AS `{c}_scaled`" for i, (c, x) in enumerate(fill.items())]
         return SQLTransformer(statement=f"SELECT *, {', '.join(scaled)} FROM __THIS__")
 
 
