@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from nightjar.catalog import query
 from nightjar.catalog.splits import draw
-from nightjar.operators import signals as S
 from nightjar.plans import views as V
 from nightjar.plans.views import with_views
 from nightjar.session import run_folder
@@ -216,13 +215,14 @@ def recording_table(spark, sf) -> DataFrame:
     path = folder(spark, "recording-table")
     RE.write_recordings(recordings(spark, sf, folder(spark, "recordings")), path)
     n = F.size("samples")
-    summed = lambda c: F.aggregate(c, F.lit(0.0), lambda acc, x: acc + x)
-    physical = summed(S.to_physical("samples", "gain", "dmin", "pmin"))
-    return spark.read.parquet(path).groupBy("subject_id", "label").agg(
-        F.countDistinct("epoch_idx").alias("n_epochs"), F.sum(n).alias("n_samples"),
-        F.sum(F.aggregate("samples", F.lit(0).cast("bigint"), lambda acc, x: acc + x)).alias("total"),
-        F.round(F.sum(physical) / F.sum(n), 6).alias("mean_physical"), F.sum(F.round(F.col("rail_frac") * n)).cast("bigint").alias("at_rail"),
+    digits = F.aggregate("samples", F.lit(0).cast("bigint"), lambda acc, x: acc + x)
+    d = spark.read.parquet(path).groupBy("subject_id", "label", "gain", "dmin", "pmin").agg(
+        F.countDistinct("epoch_idx").alias("n_epochs"), F.sum(n).alias("n_samples"), F.sum(digits).alias("total"),
+        F.sum(F.round(F.col("rail_frac") * n)).cast("bigint").alias("at_rail"),
         F.round(F.sqrt(F.sum(F.col("spread_lsb") * F.col("spread_lsb") * n) / F.sum(n)), 6).alias("spread_lsb"))
+    # whole digits add up the same in any order of rows; the scale of a channel follows once
+    physical = (F.col("total") - F.col("dmin") * F.col("n_samples")) * F.col("gain") / F.col("n_samples") + F.col("pmin")
+    return d.withColumn("mean_physical", F.round(physical, 6)).drop("gain", "dmin", "pmin")
 
 
 @query(with_views("""

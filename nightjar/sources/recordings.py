@@ -1,7 +1,8 @@
 """EDF recordings <-> signal chunks: one row per (subject, channel, epoch) with native-rate samples.
 
-The data source ``edf`` plans from headers alone: a file is cut into ranges of epochs, and a task holds the bytes
-of one range at a time, so a recording of any size is read by many tasks.
+The data source ``edf`` plans from names and sizes; only a file beyond one task's share has its header read for the
+plan. A file is cut into ranges of epochs, and a task holds the bytes of one range at a time, so a recording of any
+size is read by many tasks and the plan grows with the names alone.
 """
 
 from __future__ import annotations
@@ -39,6 +40,8 @@ CHUNK_SCHEMA = ("path string, subject_id int, channel_index int, label string, u
 
 RANGE_BYTES = 16 << 20   # bytes of a file that a task holds at once
 SPLIT_BYTES = 128 << 20  # bytes that a task reads, of one file or of many small ones
+OPEN_BYTES = 256 << 10   # what opening a small file counts for in a task's share
+BATCH_BYTES = 4 << 20    # samples of small ranges that leave a task together
 
 
 def file_system(path: str):
@@ -131,8 +134,9 @@ def decode_range(header: dict, data: bytes, record: int, first: int, last: int,
 
 @dataclass
 class _Ranges(InputPartition):
-    """Work of one task: (path, subject, header, first epoch, end), or (path, subject, error) of an unreadable file."""
+    """Work of one task: files of ``folder`` as (name, size, first epoch, end); no end means the whole file."""
 
+    folder: str
     parts: list[tuple]
 
 
@@ -145,29 +149,38 @@ class _RecordingReader(DataSourceReader):
         self.split_bytes = int(options.get("split_bytes", SPLIT_BYTES))
 
     def partitions(self) -> list[InputPartition]:
-        """Ranges of all files, as many to a task as make about ``split_bytes``. Only headers are read, many at a time."""
+        """Small files together, large ones as runs of ranges, about ``split_bytes`` to a task.
 
-        def look(found: tuple[str, int]):
+        Only headers of files beyond ``split_bytes`` are read, many at a time; all others wait for their task.
+        """
+
+        def look(found: tuple[str, int]) -> list[tuple]:
             path, size = found
-            hit = self.pattern.search(posixpath.basename(path))
-            subject = int(hit.group(1)) if hit else -1
+            name = posixpath.basename(path)
+            if size <= self.split_bytes:
+                return [(max(size, OPEN_BYTES), name, size, 0, None)]
             try:
-                header = read_header(path, size)
-                return [(path, subject, header, a, b) for a, b in plan_ranges(header, self.range_bytes)], size
-            except Exception as exc:  # noqa: BLE001 - one bad file must not stop the cohort
-                return [(path, subject, f"{type(exc).__name__}: {exc}")], 0
-
+                ranges = plan_ranges(read_header(path, size), self.range_bytes)
+            except Exception:  # noqa: BLE001 - the task that reads it reports the error
+                return [(0, name, size, 0, None)]
+            each = max(1, int(self.split_bytes * len(ranges) / size))
+            runs = [ranges[i:i + each] for i in range(0, len(ranges), each)]
+            return [(size * len(run) / len(ranges), name, size, run[0][0], run[-1][1]) for run in runs]
+
+        listed = list_recordings(self.path)
+        folder = posixpath.dirname(listed[0][0]) if listed else ""
         out: list[InputPartition] = []
         held, room = [], 0.0
         with ThreadPoolExecutor(16) as pool:
-            for parts, size in pool.map(look, list_recordings(self.path)):
-                for part in parts:
-                    held.append(part)
-                    room += size / len(parts)
-                    if room >= self.split_bytes:
-                        out.append(_Ranges(held))
-                        held, room = [], 0.0
-        return out + ([_Ranges(held)] if held else [])
+            for at in range(0, len(listed), 4096):
+                for parts in pool.map(look, listed[at:at + 4096]):
+                    for cost, *part in parts:
+                        held.append(tuple(part))
+                        room += cost
+                        if room >= self.split_bytes:
+                            out.append(_Ranges(folder, held))
+                            held, room = [], 0.0
+        return out + ([_Ranges(folder, held)] if held else [])
 
     def read(self, partition: _Ranges) -> Iterator[pa.RecordBatch]:
         kinds = {"string": pa.string(), "int": pa.int32(), "double": pa.float64(), "array<smallint>": pa.list_(pa.int16())}
@@ -177,22 +190,39 @@ class _RecordingReader(DataSourceReader):
             columns = [values[c] if isinstance(values.get(c), pa.Array) else pa.array([values.get(c)] * n, t) for c, t in fields]
             return pa.RecordBatch.from_arrays(columns, names=[c for c, _ in fields])
 
-        for path, subject, *rest in partition.parts:
-            if len(rest) == 1:
-                yield batch(1, path=path, subject_id=subject, error=rest[0])
-                continue
-            h, first, last = rest
-            a, b = record_span(h, first, last)
-            size = 2 * sum(h["samples"])
+        def ranges(name: str, size: int, first: int, end: int | None) -> Iterator[pa.RecordBatch]:
+            path = posixpath.join(partition.folder, name)
+            hit = self.pattern.search(name)
+            subject = int(hit.group(1)) if hit else -1
+            try:
+                h = read_header(path, size)
+                spans = [(a, b) for a, b in plan_ranges(h, self.range_bytes) if a >= first and (end is None or b <= end)]
+            except Exception as exc:  # noqa: BLE001 - one bad file must not stop the cohort
+                yield batch(1, path=path, subject_id=subject, error=f"{type(exc).__name__}: {exc}")
+                return
+            width = 2 * sum(h["samples"])
             store, inside = file_system(path)
-            with store.open_input_file(inside) as f:
-                f.seek(h["size"] + a * size)
-                data = f.read((b - a) * size)
-            for i, epochs, x in decode_range(h, data, a, first, last, self.labels):
-                lists = pa.ListArray.from_arrays(np.arange(len(epochs) + 1, dtype=np.int32) * x.shape[1], pa.array(x.ravel()))
-                yield batch(len(epochs), path=path, subject_id=subject, channel_index=i, label=h["label"][i], unit=h["unit"][i], fs=h["samples"][i] / h["record_sec"],
-                            record_sec=h["record_sec"], gain=(h["pmax"][i] - h["pmin"][i]) / (h["dmax"][i] - h["dmin"][i]), dmin=h["dmin"][i], dmax=h["dmax"][i],
-                            pmin=h["pmin"][i], epoch_idx=pa.array(epochs), samples=lists, note=h["note"])
+            for first, last in spans:
+                a, b = record_span(h, first, last)
+                with store.open_input_file(inside) as f:
+                    f.seek(h["size"] + a * width)
+                    data = f.read((b - a) * width)
+                for i, epochs, x in decode_range(h, data, a, first, last, self.labels):
+                    lists = pa.ListArray.from_arrays(np.arange(len(epochs) + 1, dtype=np.int32) * x.shape[1], pa.array(x.ravel()))
+                    yield batch(len(epochs), path=path, subject_id=subject, channel_index=i, label=h["label"][i], unit=h["unit"][i], fs=h["samples"][i] / h["record_sec"],
+                                record_sec=h["record_sec"], gain=(h["pmax"][i] - h["pmin"][i]) / (h["dmax"][i] - h["dmin"][i]), dmin=h["dmin"][i], dmax=h["dmax"][i],
+                                pmin=h["pmin"][i], epoch_idx=pa.array(epochs), samples=lists, note=h["note"])
+
+        held, room = [], 0
+        for part in partition.parts:
+            for found in ranges(*part):
+                held.append(found)
+                room += found.nbytes
+                if room >= BATCH_BYTES:
+                    yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                    held, room = [], 0
+        if held:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
 class RecordingSource(DataSource):
@@ -213,8 +243,8 @@ def read_recordings(spark: SparkSession, path: str, subject: str = r"(\d{6})", l
                     range_bytes: int = RANGE_BYTES, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """Whole 30 s epochs of every channel of every EDF file under ``path``; the tail below 30 s is dropped.
 
-    Files are planned from their headers as ranges of epochs; a task holds one range at a time and decodes the
-    channels named by ``labels``, by default all. A file that cannot be read yields one row with ``error`` set
+    Files are read as ranges of epochs; a task holds one range at a time and decodes the channels named by
+    ``labels``, by default all. A file that cannot be read yields one row with ``error`` set
     instead of failing the job.
     """
     spark.dataSource.register(RecordingSource)

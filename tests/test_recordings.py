@@ -86,3 +86,21 @@ def test_written_files_and_table(spark, tmp_path):
     assert table.count() == first.where("error IS NULL").count() and os.path.isdir(tmp_path / "table" / "label=SaO2")
     row = table.where("label = 'EEG' AND subject_id = 300001 AND epoch_idx = 0").first()
     assert row.rail_frac == np.mean(np.isin(row.samples, (-32768, 32767))) and row.spread_lsb == pytest.approx(np.std(row.samples))
+
+
+def test_planning_opens_no_small_file(tmp_path, monkeypatch):
+    """The plan of many files grows with their names: headers are left to the tasks."""
+    for i in range(40):
+        edf(tmp_path / f"v-{300100 + i}.edf", 61, seed=i)
+
+    def closed(*_):
+        raise AssertionError("a header was read for the plan")
+
+    reader = RE._RecordingReader({"path": str(tmp_path), "range_bytes": "4096"})
+    with monkeypatch.context() as m:
+        m.setattr(RE, "read_header", closed)
+        parts = reader.partitions()
+    assert sum(len(p.parts) for p in parts) == 40
+    rows = [r for p in parts for b in reader.read(p) for r in b.select(["subject_id", "epoch_idx", "label", "error"]).to_pylist()]
+    assert {r["subject_id"] for r in rows} == set(range(300100, 300140)) and not any(r["error"] for r in rows)
+    assert len(rows) == 40 * 2 * len(SIGNALS)
