@@ -47,16 +47,31 @@ def train_windows(epochs: DataFrame, nights: DataFrame, seed: int, pass_idx: int
 def gather(windows: DataFrame, seconds: DataFrame, nights: DataFrame, values: list[str]) -> DataFrame:
     """Per window the 300 seconds in order: channel values, validity by position, target and loss mask.
 
-    ``seconds`` has (subject_id, sec, values..., target, asleep). Each second joins its windows (two
-    at most on the fixed grid) through the exploded window seconds, an equi join.
+    ``seconds`` has (subject_id, sec, values..., target, asleep), one row per second. Seconds are folded to blocks of
+    LENGTH seconds; a window meets the two blocks it may reach by an equi join and picks its seconds by position. The
+    sides of an exploded join look small to the planner, so nothing here is exploded by seconds.
     """
-    w = windows.join(nights, "subject_id").select(
-        "subject_id", "j", "start_sec", (F.col("n_epochs") * EPOCH_SECONDS).alias("_n"), F.explode(F.sequence(F.lit(0), F.lit(LENGTH - 1))).alias("k"))
-    d = w.withColumn("sec", F.col("start_sec") + F.col("k")).join(seconds, ["subject_id", "sec"], "left")
-    inside = (F.col("sec") >= 0) & (F.col("sec") < F.col("_n"))
-    cell = F.struct("k", inside.alias("valid"), F.coalesce("target", F.lit(0)).alias("y"),
-                    (inside & (F.coalesce("asleep", F.lit(0)) == 1)).alias("mask"), *values)
-    g = d.groupBy("subject_id", "j", "start_sec").agg(F.sort_array(F.collect_list(cell)).alias("_c"))
+    blocks = seconds.groupBy("subject_id", F.floor(F.col("sec") / LENGTH).alias("_b")).agg(
+        F.sort_array(F.collect_list(F.struct("sec", F.col("target").alias("_y"), F.col("asleep").alias("_s"), *values))).alias("_rows"))
+    first, last = F.floor(F.col("start_sec") / LENGTH), F.floor((F.col("start_sec") + LENGTH - 1) / LENGTH)
+    w = windows.select("subject_id", "j", "start_sec", F.explode(F.sequence(first, last)).alias("_b"))
+    near = w.join(blocks.hint("shuffle_merge"), ["subject_id", "_b"], "left").groupBy("subject_id", "j", "start_sec").agg(
+        F.flatten(F.sort_array(F.collect_list("_rows"))).alias("_rows"))
+    d = near.join(nights.select("subject_id", (F.col("n_epochs") * EPOCH_SECONDS).alias("_n")), "subject_id").withColumn(
+        "_lo", F.try_element_at("_rows", F.lit(1))["sec"]).withColumn("_hi", F.try_element_at("_rows", F.lit(-1))["sec"])
+
+    def cell(k: Column) -> Column:
+        sec = F.col("start_sec") + k
+        there = F.get("_rows", (sec - F.col("_lo")).cast("int"))  # its place when no second is absent
+        row = F.when((sec < F.col("_lo")) | (sec > F.col("_hi")), F.lit(None)).when(there["sec"] == sec, there).otherwise(
+            F.get(F.filter("_rows", lambda x: x["sec"] == sec), F.lit(0)))
+        inside = (sec >= 0) & (sec < F.col("_n"))
+        return F.struct(inside.alias("valid"), row.alias("r"))
+
+    cells = d.withColumn("_c", F.transform(F.sequence(F.lit(0), F.lit(LENGTH - 1)), cell))
+    g = cells.select("subject_id", "j", "start_sec", F.transform("_c", lambda c: F.struct(
+        c["valid"].alias("valid"), F.coalesce(c["r"]["_y"], F.lit(0)).alias("y"), (c["valid"] & (F.coalesce(c["r"]["_s"], F.lit(0)) == 1)).alias("mask"),
+        *[c["r"][v].alias(v) for v in values])).alias("_c"))
     pick = lambda name: F.transform("_c", lambda s: s[name])
     return g.select("subject_id", "j", "start_sec", *[pick(v).alias(v) for v in values],
                     pick("valid").alias("valid"), pick("y").alias("y"), pick("mask").alias("mask"))
