@@ -290,7 +290,7 @@ def _indices_with_references(spark, sf) -> DataFrame:
     from nightjar.plans.evaluation import event_indices
 
     u, v, m = F.col("subject_id"), F.col("value"), F.col("m")
-    refs = V.table(spark, sf, "events").groupBy(F.col("user_id").cast("int").alias("subject_id")).agg(F.avg(v).alias("m"), (F.count(F.when(v > 70, 1)) * 40.0 / F.count("*")).alias("ahi_a0h4")).select(
+    refs = V.table(spark, sf, "events").groupBy(F.col("user_id").cast("int").alias("subject_id")).agg(X.exact_mean(v).alias("m"), (F.count(F.when(v > 70, 1)) * 40.0 / F.count("*")).alias("ahi_a0h4")).select(
         "subject_id", F.when(u % 5 != 0, m / 4).alias("rdi0p"), F.when(u % 7 != 1, m / 6).alias("ahi_a0h3a"), "ahi_a0h4")
     return event_indices(V.predictions(spark, sf, "a"), V.epochs(spark, sf), V.scored_events(spark, sf)).join(refs, "subject_id", "left")
 
