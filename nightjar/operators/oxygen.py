@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from nightjar.functions.expressions import EPOCH_SECONDS, is_sleep, missing_to_null
+from nightjar.functions.expressions import EPOCH_SECONDS, exact_mean, is_sleep, missing_to_null
 from nightjar.operators.chunks import CHUNK_SECONDS, chunk_window, islands, own_rows, with_halo
 
 MIN_VALID = 50.0
@@ -94,7 +94,7 @@ def search_windows(events: DataFrame, signal: DataFrame, pre: int = 60, post: in
     """Per subject (lo_sec, hi_sec) around event end, from the event-aligned average trace.
 
     Events need the whole -60..+120 s span inside the recording and one valid sample in it. The
-    peaks left and right of the end bound the window; weak support or odd bounds give the default.
+    peaks left and right of the end bound the window, of equal peaks the earliest; weak support or odd bounds give the default.
     """
     length = signal.groupBy("subject_id").agg((F.max("sec") + 1).alias("n_sec"))
     ev = _event_end(events)
@@ -103,7 +103,7 @@ def search_windows(events: DataFrame, signal: DataFrame, pre: int = 60, post: in
     # a column's mean and support need only the events with a valid sample somewhere in their span
     seen = aligned.where("value IS NOT NULL")
     n_events = seen.groupBy("subject_id").agg(F.count_distinct("event_seq").alias("n"))
-    mean = seen.groupBy("subject_id", "offset").agg(F.avg("value").alias("m"), F.count("*").alias("support"))
+    mean = seen.groupBy("subject_id", "offset").agg(exact_mean("value").alias("m"), F.count("*").alias("support"))
     need = F.greatest(F.lit(2), F.ceil(F.col("n") * 0.5).cast("int"))
     before = F.col("offset") < 0
 

@@ -2,7 +2,9 @@
 
 from datetime import datetime, timedelta
 
+import numpy as np
 from nightjar.catalog.metrics import _indices_with_references
+from nightjar.operators.oxygen import search_windows
 
 
 def test_equal_values_give_equal_references(spark, tmp_path):
@@ -12,3 +14,18 @@ def test_equal_values_give_equal_references(spark, tmp_path):
     spark.createDataFrame(rows, "event_id bigint, ts timestamp, user_id bigint, event_type string, value double").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
     got = _indices_with_references(spark, str(tmp_path)).select("rdi0p").collect()
     assert len(got) == 3 and len({r.rdi0p for r in got}) == 1
+
+
+def test_equal_peaks_of_a_search_window_stay_equal(spark):
+    """Every offset before the end holds the same values in another order of the events; the earliest of equal peaks counts."""
+    r = np.random.default_rng(5)
+    events, signal = [], []
+    for subject in range(12):
+        values = np.round(r.uniform(85, 95, 30), 1)
+        for o in range(-20, 30):
+            for i, x in enumerate(r.permutation(values) if o < 0 else np.full(30, 99.0 if o == 9 else 80.0)):
+                signal.append((subject, 100 + 60 * i + o, float(x)))
+        events += [(subject, float(90 + 60 * i), 10.0, "Hypopnea", i) for i in range(30)]
+    ev = spark.createDataFrame(events, "subject_id bigint, start_sec double, duration_sec double, kind string, event_seq bigint")
+    sig = spark.createDataFrame(signal, "subject_id bigint, sec int, value double")
+    assert {(x.lo_sec, x.hi_sec) for x in search_windows(ev, sig, pre=20, post=30, default=(3, 10)).collect()} == {(20, 9)}
