@@ -39,20 +39,88 @@ class CoxFit:
         return _linear(self.terms, self.beta)
 
 
-def _sums(df: DataFrame, strata: list[str], terms: list[str], eta: Column) -> DataFrame:
-    """Per (strata, time): risk-set sums and death sums of 1, x and x x' weighted by exp(eta)."""
-    d = df.withColumn("_e", F.exp(eta))
-    pairs = [(i, j) for i in range(len(terms)) for j in range(i, len(terms))]
-    parts = {"s0": F.col("_e")}
-    parts |= {f"s1_{i}": F.col("_e") * F.col(t) for i, t in enumerate(terms)}
-    parts |= {f"s2_{i}_{j}": F.col("_e") * F.col(terms[i]) * F.col(terms[j]) for i, j in pairs}
-    died = F.col("event") == 1
-    aggs = [F.sum(c).alias(n) for n, c in parts.items()]
-    aggs += [F.sum(F.when(died, c).otherwise(0.0)).alias(f"d_{n}") for n, c in parts.items()]
-    aggs += [F.sum(died.cast("int")).alias("deaths"), F.sum(F.when(died, F.log("_e")).otherwise(0.0)).alias("sum_eta")]
-    aggs += [F.sum(F.when(died, F.col(t)).otherwise(0.0)).alias(f"x_{i}") for i, t in enumerate(terms)]
-    g = d.groupBy(*strata, "_slice", "time").agg(*aggs)
-    r = running_totals(g, strata, "time", list(parts), bucket="_slice")
+def equal_rows(df: DataFrame, columns: list[str], weight: str | None = None) -> DataFrame:
+    """Rows equal in ``columns`` as one, with their number in ``_n`` (the sum of ``weight``, if the rows have one); written once."""
+    return cut_lineage(df.groupBy(*columns).agg((F.sum(weight) if weight else F.count("*")).alias("_n")))
+
+
+def _standard(df: DataFrame, group: str, strata: list[str], terms: list[str], weight: str | None) -> tuple[dict, DataFrame]:
+    """Per group n, means and deviations of the terms, and the rows with standardised terms z0, z1, ..., equal ones folded.
+
+    The rows lie in the order of (group, strata, time), in files of about equal size, so a batch read by a later pass holds few
+    times and leaves its task as few sums. Their order takes in the terms, so many rows at one time do not meet in one file.
+    """
+    died = F.coalesce((F.col("event") == 1).cast("int"), F.lit(0))
+    columns = [group, *strata, "time", "event", *terms]
+    rows = df.select(F.col(group).cast("int").alias(group), *strata, F.col("time").cast("double").alias("time"), died.alias("event"),
+                     *[F.col(t).cast("double").alias(t) for t in terms], *([weight] if weight else [])).dropna(subset=columns)
+    rows = equal_rows(rows, columns, weight)
+    # deviations by a second look, since sums of squares would cancel; a constant term has exactly none
+    means = {r[group]: r for r in rows.groupBy(group).agg(F.sum("_n").alias("n"), *[
+        F.when(F.min(t) == F.max(t), F.min(t)).otherwise(F.sum(F.col("_n") * F.col(t)) / F.sum("_n")).alias(f"m{i}") for i, t in enumerate(terms)]).collect()}
+    last = max(means, default=0)
+    mean = [_pick([means[g][f"m{i}"] if g in means else 0.0 for g in range(last + 1)], group) for i in range(len(terms))]
+    moments = rows.groupBy(group).agg(*[
+        F.sqrt(F.try_divide(F.sum(F.col("_n") * (F.col(t) - m) * (F.col(t) - m)), F.sum("_n") - 1)).alias(f"s{i}") for i, (t, m) in enumerate(zip(terms, mean))])
+    stats = {r[group]: {"n": means[r[group]]["n"]} | {f"m{i}": means[r[group]][f"m{i}"] for i in range(len(terms))} | {f"s{i}": r[f"s{i}"] or 1.0 for i in range(len(terms))}
+             for r in moments.collect()}
+    sd = [_pick([stats[g][f"s{i}"] if g in stats else 1.0 for g in range(last + 1)], group) for i in range(len(terms))]
+    z = [f"z{i}" for i in range(len(terms))]
+    scaled = rows.select(group, *strata, "time", "event", "_n", *[((F.col(t) - m) / d).alias(n) for t, m, d, n in zip(terms, mean, sd, z)])
+    order = [group, *strata, "time", *z]
+    return stats, cut_lineage(quantile_bucket(scaled, "time", "_slice").repartitionByRange(*order).sortWithinPartitions(*order))
+
+
+def _sums(df: DataFrame, group: str, strata: list[str], k: int, fits: dict[int, tuple[int, np.ndarray, np.ndarray]]) -> DataFrame:
+    """Per (fit, strata, time) with deaths: risk-set sums and death sums of 1, z and z z' weighted by exp(eta).
+
+    ``fits`` gives each fit's group, coefficients and the terms it uses; sums of other terms are 0. A task adds up the rows of equal
+    keys that follow each other in a batch, for all fits of their group, so no row is repeated per fit.
+    """
+    keys = [*strata, "_slice", "time"]
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    parts = ["s0", *[f"s1_{i}" for i in range(k)], *[f"s2_{i}_{j}" for i, j in pairs]]
+    names = [*parts, *[f"d_{p}" for p in parts], "deaths", "sum_eta", *[f"x_{i}" for i in range(k)]]
+    types = dict(df.dtypes)
+
+    def add(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            codes = [batch.column(c).dictionary_encode().indices.to_numpy(zero_copy_only=False) for c in [group, *keys]]
+            starts = np.flatnonzero(np.concatenate([[True], np.any([c[1:] != c[:-1] for c in codes], axis=0)]))
+            lengths = np.diff(np.append(starts, batch.num_rows))
+            of = batch.column(group).to_numpy()
+            n, died = (batch.column(c).to_numpy().astype(float) for c in ("_n", "event"))
+            z = [batch.column(f"z{i}").to_numpy() for i in range(k)]
+            found = []
+            for f, (g, beta, on) in fits.items():
+                runs = np.flatnonzero(of[starts] == g)
+                if not len(runs):
+                    continue
+                own = slice(None) if len(runs) == len(starts) else of == g
+                first = np.concatenate([[0], np.cumsum(lengths[runs])[:-1]])
+                total = lambda v: np.add.reduceat(v, first)
+                x = {i: z[i][own] for i in np.flatnonzero(on)}
+                eta = sum((beta[i] * v for i, v in x.items()), np.zeros(lengths[runs].sum()))
+                dead = n[own] * died[own]
+                zero = np.zeros(len(runs))
+                sums = {}
+                for mark, e in (("", n[own] * np.exp(eta)), ("d_", dead * np.exp(eta))):
+                    sums[f"{mark}s0"] = total(e)
+                    sums |= {f"{mark}s1_{i}": total(e * v) for i, v in x.items()}
+                    sums |= {f"{mark}s2_{i}_{j}": total(e * x[i] * x[j]) for i, j in pairs if i in x and j in x}
+                sums |= {"deaths": total(dead), "sum_eta": total(dead * eta)} | {f"x_{i}": total(dead * v) for i, v in x.items()}
+                at = pa.array(starts[runs])
+                found.append(pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(runs), f, np.int32)), *[batch.column(c).take(at) for c in keys], *[pa.array(sums.get(c, zero)) for c in names]],
+                    names=["fit", *keys, *names]))
+            if found:
+                yield from pa.Table.from_batches(found).combine_chunks().to_batches()
+
+    schema = ", ".join(["fit int", *[f"`{c}` {types[c]}" for c in keys], *[f"{c} double" for c in names]])
+    g = df.mapInArrow(add, schema).groupBy("fit", *keys).agg(*[F.sum(c).alias(c) for c in names])
+    r = running_totals(g, ["fit", *strata], "time", parts, bucket="_slice")
     # at risk at t: everybody with time >= t
     return r.withColumns({f"r_{n}": F.col(f"{n}_total") - F.col(f"{n}_before") for n in parts}).where("deaths > 0")
 
@@ -101,13 +169,13 @@ def _linear(terms: list[str], beta: np.ndarray) -> Column:
     return reduce(lambda eta, x: eta + F.lit(float(x[1])) * F.col(x[0]), zip(terms, beta), F.lit(0.0))
 
 
-def _derivatives(df: DataFrame, by: str, strata: list[str], terms: list[str], eta: Column) -> dict:
-    """Efron log likelihood, score and information per value of the integer ``by``, from one row per (by, strata, time).
+def _derivatives(df: DataFrame, group: str, strata: list[str], k: int, fits: dict[int, tuple[int, np.ndarray, np.ndarray]]) -> dict:
+    """Efron log likelihood, score and information of each of the ``fits``, from one row per (fit, strata, time).
 
-    A task folds the rows it holds to one row of sums per value of ``by``. In numpy, since the closed sums as column
+    A task folds the rows it holds to one row of sums per fit. In numpy, since the closed sums as column
     expressions pass what Java compiles into one method.
     """
-    k = len(terms)
+    by = "fit"
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
     names = ["ll", *[f"g{i}" for i in range(k)], *[f"h{i}_{j}" for i, j in pairs]]
 
@@ -123,7 +191,7 @@ def _derivatives(df: DataFrame, by: str, strata: list[str], terms: list[str], et
             yield pa.RecordBatch.from_arrays(
                 [pa.array(values, pa.int32()), *[pa.array(np.bincount(at, v, len(values))) for v in parts]], names=[by, *names])
 
-    wide = _sums(df, [by, *strata], terms, eta)
+    wide = _sums(df, group, strata, k, fits)
     used = [by, "deaths", "sum_eta", *[f"x_{i}" for i in range(k)], *[c for c in wide.columns if c.startswith(("r_s", "d_s"))]]
     sums = wide.select(F.col(by).cast("int").alias(by), *used[1:]).mapInArrow(fold, f"{by} int, " + ", ".join(f"{n} double" for n in names))
     return {
@@ -133,39 +201,36 @@ def _derivatives(df: DataFrame, by: str, strata: list[str], terms: list[str], et
 
 
 def cox_fit(df: DataFrame, terms: list[str], strata: list[str] | None = None, penalizer: float = 0.0,
-            max_steps: int = 20, tol: float = 1e-7) -> CoxFit:
+            max_steps: int = 20, tol: float = 1e-7, weight: str | None = None) -> CoxFit:
     """Fit on (time, event, terms, strata); the ridge acts on standardised terms, scaled by n.
 
-    The standardised input is written to the checkpoint folder once, with its time slice, so every
-    step is two column-pruned scans of the same table and survives lost executors.
+    Rows with a null take no part; ``weight`` is the number of equal rows that a row stands for. The standardised input is
+    written to the checkpoint folder once, with its time slice, so every step is a scan of the same table and survives lost executors.
     """
-    strata = strata or []
-    stat = df.agg(F.count("*").alias("n"), *[F.avg(t).alias(f"m_{t}") for t in terms], *[F.stddev_samp(t).alias(f"s_{t}") for t in terms]).first()
-    sd = np.array([stat[f"s_{t}"] or 1.0 for t in terms])
-    z = [f"z{i}" for i in range(len(terms))]
-    standard = df.select(*strata, "time", "event", *[
-        ((F.col(t) - F.lit(stat[f"m_{t}"])) / F.lit(float(s))).alias(n) for t, s, n in zip(terms, sd, z)])
-    scaled = cut_lineage(quantile_bucket(standard, "time", "_slice")).withColumn("fit", F.lit(0))
-    ridge = penalizer * stat["n"]
-    beta = np.zeros(len(terms))
-    ll, grad, info = _derivatives(scaled, "fit", strata, z, _linear(z, beta))[0]
+    strata, k = strata or [], len(terms)
+    stats, scaled = _standard(df.withColumn("_group", F.lit(0)), "_group", strata, terms, weight)
+    n, sd = stats[0]["n"], np.array([stats[0][f"s{i}"] for i in range(k)])
+    at = lambda beta: _derivatives(scaled, "_group", strata, k, {0: (0, beta, np.ones(k, bool))})[0]
+    ridge = penalizer * n
+    beta = np.zeros(k)
+    ll, grad, info = at(beta)
     ll -= 0.5 * ridge * beta @ beta
     steps = 0
     for steps in range(1, max_steps + 1):
-        full = info + ridge * np.eye(len(terms))
+        full = info + ridge * np.eye(k)
         move = np.linalg.solve(full, grad - ridge * beta)
         size = 1.0
         while True:  # halve a step that lowers the likelihood
             trial = beta + size * move
-            new_ll, new_grad, new_info = _derivatives(scaled, "fit", strata, z, _linear(z, trial))[0]
+            new_ll, new_grad, new_info = at(trial)
             new_ll -= 0.5 * ridge * trial @ trial
             if new_ll >= ll - 1e-9 or size < 1e-3:
                 break
             size /= 2
         beta, ll, grad, info = trial, new_ll, new_grad, new_info
-        if np.abs(grad - ridge * beta).max() < tol * max(1.0, stat["n"]) ** 0.5 or np.abs(size * move).max() < tol:
+        if np.abs(grad - ridge * beta).max() < tol * max(1.0, n) ** 0.5 or np.abs(size * move).max() < tol:
             break
-    cov = np.linalg.inv(info + ridge * np.eye(len(terms)))
+    cov = np.linalg.inv(info + ridge * np.eye(k))
     return CoxFit(list(terms), strata, beta / sd, np.sqrt(np.diag(cov)) / sd, steps, float(np.abs(grad - ridge * beta).max()))
 
 
@@ -213,43 +278,36 @@ class CoxFits:
 
 
 def cox_fits(df: DataFrame, group: str, fits: list[tuple[int, list[str]]], strata: list[str] | None = None, penalizer: float = 0.0,
-             max_steps: int = 20, tol: float = 1e-7) -> CoxFits:
+             max_steps: int = 20, tol: float = 1e-7, weight: str | None = None) -> CoxFits:
     """Many fits in the data passes of the slowest one; fit f is (group number, terms), as ``cox_fit`` would fit it on that group.
 
-    ``df`` holds (group, time, event, strata, all terms), terms not null. A pass gives the likelihoods, scores and informations of
+    ``df`` holds (group, time, event, strata, all terms), and ``weight`` if a row stands for several; rows with a null take no part. A pass gives the likelihoods, scores and informations of
     all fits still moving, one row a fit; every fit keeps its own step and halves it on its own. The driver holds numbers per
-    (fit, term) only. Rows are repeated per fit inside the map side and leave it as sums per (fit, strata, time).
+    (fit, term) only. A task adds its rows up for all fits of their group; they leave it as sums per (fit, strata, time).
     """
     strata = strata or []
     terms = list(dict.fromkeys(t for _, own in fits for t in own))
     groups, k = [g for g, _ in fits], len(terms)
     used = np.array([[t in own for t in terms] for _, own in fits])
-    stats = {r[group]: r for r in df.groupBy(group).agg(
-        F.count("*").alias("n"), *[F.avg(t).alias(f"m{i}") for i, t in enumerate(terms)], *[F.stddev_samp(t).alias(f"s{i}") for i, t in enumerate(terms)]).collect()}
-    of = lambda g, name, default: (stats[g][name] if g in stats else None) or default
-    mean = np.array([[of(g, f"m{i}", 0.0) for i in range(k)] for g in range(max(groups) + 1)])
-    sd = np.array([[of(g, f"s{i}", 1.0) for i in range(k)] for g in range(max(groups) + 1)])
-    size = np.array([of(g, "n", 0) for g in groups])
-    z = [f"z{i}" for i in range(k)]
-    standard = df.select(group, *strata, "time", "event", *[
-        ((F.col(t) - _pick(mean[:, i], group)) / _pick(sd[:, i], group)).alias(z[i]) for i, t in enumerate(terms)])
-    scaled = cut_lineage(quantile_bucket(standard, "time", "_slice"))
-    out = CoxFits(group, groups, z, used, ["fit", *strata], np.zeros(used.shape), np.full(used.shape, np.nan), 0)
+    stats, scaled = _standard(df, group, strata, terms, weight)
+    sd = np.array([[stats[g][f"s{i}"] if g in stats else 1.0 for i in range(k)] for g in range(max(groups) + 1)])
+    size = np.array([stats[g]["n"] if g in stats else 0 for g in groups])
+    out = CoxFits(group, groups, terms, used, ["fit", *strata], np.zeros(used.shape), np.full(used.shape, np.nan), 0)
     ridge = penalizer * size
     beta, move, length = np.zeros(used.shape), np.zeros(used.shape), np.ones(len(fits))
     held: dict = {}  # fit -> log likelihood, score and information at beta, all with the ridge
     moving, halvings = list(range(len(fits))), 12
     steps = np.zeros(len(fits), int)
     while moving:
-        out.beta = beta + length[:, None] * move
-        found = _derivatives(out.expand(scaled, moving), "fit", strata, z, out.linear_predictor())
+        trial = beta + length[:, None] * move
+        found = _derivatives(scaled, group, strata, k, {f: (groups[f], trial[f], used[f]) for f in moving})
         out.passes += 1
         still = []
         for f in moving:
             if f not in found:
                 beta[f] = np.nan
                 continue
-            at, on = out.beta[f], used[f]
+            at, on = trial[f], used[f]
             ll, grad, info = found[f]
             ll, grad = ll - 0.5 * ridge[f] * at @ at, (grad - ridge[f] * at)[on]
             info = info[np.ix_(on, on)] + ridge[f] * np.eye(on.sum())
@@ -270,14 +328,15 @@ def cox_fits(df: DataFrame, group: str, fits: list[tuple[int, list[str]]], strat
     for f in held:
         on = used[f]
         out.se[f, on] = np.sqrt(np.diag(np.linalg.pinv(held[f][2]))) / sd[groups[f]][on]
-    out.beta, out.terms = np.where(used, beta / sd[groups], np.where(np.isnan(beta), np.nan, 0.0)), terms
+    out.beta = np.where(used, beta / sd[groups], np.where(np.isnan(beta), np.nan, 0.0))
     return out
 
 
-def baseline_hazard(df: DataFrame, fit: CoxFit | CoxFits) -> DataFrame:
+def baseline_hazard(df: DataFrame, fit: CoxFit | CoxFits, weight: str | None = None) -> DataFrame:
     """Breslow cumulative hazard per stratum at each event time: running sum of deaths / risk sum."""
-    d = df.withColumn("_e", F.exp(fit.linear_predictor()))
-    g = d.groupBy(*fit.strata, "time").agg(F.sum("_e").alias("s0"), F.sum((F.col("event") == 1).cast("int")).alias("deaths"))
+    n = F.col(weight) if weight else F.lit(1)
+    d = df.withColumn("_e", n * F.exp(fit.linear_predictor()))
+    g = d.groupBy(*fit.strata, "time").agg(F.sum("_e").alias("s0"), F.sum((F.col("event") == 1).cast("int") * n).alias("deaths"))
     r = running_totals(g, fit.strata, "time", ["s0"]).withColumn(
         "step", F.col("deaths") / (F.col("s0_total") - F.col("s0_before"))).select(*fit.strata, "time", "step")
     h = running_totals(r.where("step > 0"), fit.strata, "time", ["step"])

@@ -9,44 +9,53 @@ from pyspark.sql import functions as F
 
 from nightjar.operators import resample as R
 from nightjar.operators import survival as S
-from nightjar.operators.cox import CoxFits, baseline_hazard, cox_fit, cox_fits, survival_at
+from nightjar.operators.cox import CoxFits, baseline_hazard, cox_fit, cox_fits, equal_rows, survival_at
 from nightjar.operators.running import union_all
 from nightjar.operators.splits import stratified_kfold
 from nightjar.session import cut_lineage
 
 
-def null_survival(train: DataFrame, strata: list[str], t: float) -> DataFrame:
+def null_survival(train: DataFrame, strata: list[str], t: float, weight: str | None = None) -> DataFrame:
     """KM survival of each stratum at t."""
-    return S.km_risk(train, strata, t).select(*strata, (1 - F.col("risk")).alias("null_survival"))
+    return S.km_risk(train, strata, t, weight).select(*strata, (1 - F.col("risk")).alias("null_survival"))
 
 
 def predict_ladder(train: DataFrame, test: DataFrame, ladder: dict[str, list[str]], strata: list[str],
-                   times: list[float], penalizer: float = 0.01) -> DataFrame:
+                   times: list[float], penalizer: float = 0.01, weight: str | None = None) -> DataFrame:
     """Test rows stacked per model with lp, score = 1 - S(times[1]) and survival at every time."""
     frames = []
     for name, terms in ladder.items():
-        fit = cox_fit(train, terms, strata, penalizer)
-        frames.append(survival_at(test, fit, baseline_hazard(train, fit), times).withColumn("model", F.lit(name)))
+        fit = cox_fit(train, terms, strata, penalizer, weight=weight)
+        frames.append(survival_at(test, fit, baseline_hazard(train, fit, weight), times).withColumn("model", F.lit(name)))
     return union_all(frames).withColumn("score", 1 - F.col("s_1"))
 
 
 def evaluate_ladder(df: DataFrame, is_test: Column, ladder: dict[str, list[str]], strata: list[str], h5: float,
                     h10: float, grid: list[float]) -> DataFrame:
     """The eight test metrics of every model of a nested ladder fitted on the training rows."""
-    train, test = df.where(~is_test), df.where(is_test)
-    null = null_survival(train, strata, h10)
-    pred = predict_ladder(train, test, ladder, strata, [h5, h10, *grid])
-    pred = cut_lineage(pred.join(null, strata))
-    return S.metric_row(pred, ["model"], strata, h5, h10, "s_0", "s_1", "null_survival", grid,
-                        [F.col(f"s_{i + 2}") for i in range(len(grid))])
+    terms = list(dict.fromkeys(t for own in ladder.values() for t in own))
+    kept = [*strata, "time", "event", *terms]
+    rows = equal_rows(df.select(*kept, is_test.alias("_test")), [*kept, "_test"])
+    train, test = rows.where("NOT _test"), rows.where("_test")
+    null = null_survival(train, strata, h10, "_n")
+    pred = predict_ladder(train, test, ladder, strata, [h5, h10, *grid], weight="_n")
+    return _metrics(pred.join(null, strata), ["model"], strata, h5, h10, grid)
+
+
+def _metrics(pred: DataFrame, by: list[str], strata: list[str], h5: float, h10: float, grid: list[float]) -> DataFrame:
+    """The eight metrics of predictions numbered by ``_n``; rows that a model gives the same score at the same time count as one."""
+    curve = [f"s_{i + 2}" for i in range(len(grid))]
+    pred = equal_rows(pred, [*by, *strata, "time", "event", "score", "s_0", "s_1", *curve, "null_survival"], "_n")
+    return S.metric_row(pred, by, strata, h5, h10, "s_0", "s_1", "null_survival", grid, [F.col(c) for c in curve], "_n")
 
 
 @dataclass
 class Analyses:
     """Every outcome x definition x model fitted on the training rows and scored on the test rows.
 
-    ``rows`` holds (analysis, strata, time, event, terms, is_test) once per analysis a subject belongs to, ``pred`` the test rows
-    once per fit with lp, score and survival columns. ``fit`` numbers outcome, definition and model in the order given.
+    ``rows`` holds (analysis, strata, time, event, terms, is_test) with the number ``_n`` of subjects of the analysis that are equal
+    in them, ``pred`` the test rows once per fit with lp, score and survival columns. ``fit`` numbers outcome, definition and model
+    in the order given.
     """
 
     outcomes: list[str]
@@ -70,7 +79,7 @@ class Analyses:
 
     def sizes(self) -> DataFrame:
         """Subjects and events per outcome, definition, part and stratum."""
-        g = self.rows.groupBy("analysis", "is_test", *self.strata).agg(F.count("*").alias("n"), F.sum(F.col("event").cast("bigint")).alias("events"))
+        g = self.rows.groupBy("analysis", "is_test", *self.strata).agg(F.sum("_n").alias("n"), F.sum(F.col("event") * F.col("_n")).alias("events"))
         return self._named(g, "analysis", False)
 
     def hazard_ratios(self) -> DataFrame:
@@ -78,14 +87,13 @@ class Analyses:
 
     def metrics(self) -> DataFrame:
         """The eight test metrics per outcome, definition and model."""
-        m = S.metric_row(self.pred, ["fit"], self.strata, *self.horizons, "s_0", "s_1", "null_survival", self.grid,
-                         [F.col(f"s_{i + 2}") for i in range(len(self.grid))])
+        m = _metrics(self.pred, ["fit"], self.strata, *self.horizons, self.grid)
         return self._named(m, "fit", True)
 
     def subgroup_concordance(self, subgroups: dict[str, Column]) -> DataFrame:
         """Harrell's C inside each named subgroup, per outcome, definition and model; a row counts in every subgroup it meets."""
         own = F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in subgroups.items()]), lambda x: x.isNotNull())
-        return self._named(S.harrell_c(self.pred.withColumn("subgroup", F.explode(own)), ["fit", "subgroup"]), "fit", True)
+        return self._named(S.harrell_c(self.pred.withColumn("subgroup", F.explode(own)), ["fit", "subgroup"], weight="_n"), "fit", True)
 
 
 def analyse(df: DataFrame, outcomes: dict[str, tuple[Column, Column]], definitions: dict[str, Column], ladder: dict[str, list[str]],
@@ -104,12 +112,13 @@ def analyse(df: DataFrame, outcomes: dict[str, tuple[Column, Column]], definitio
         entries.append(F.when(ok, F.struct(F.lit(a).alias("analysis"), time.cast("double").alias("time"), event.cast("int").alias("event"))))
     kept = list(dict.fromkeys([*strata, *terms, *(carry or [])]))
     rows = df.select(*kept, is_test.alias("is_test"), F.explode(F.filter(F.array(*entries), lambda x: x.isNotNull())).alias("_a"))
-    rows = cut_lineage(rows.dropna(subset=[*strata, *terms, "is_test"]).select("_a.*", "is_test", *kept))
+    rows = rows.dropna(subset=[*strata, *terms, "is_test"]).select("_a.*", "is_test", *kept)
+    rows = equal_rows(rows, rows.columns)
     train, test = rows.where("NOT is_test"), rows.where("is_test")
     models = [(a, own) for a in range(len(entries)) for own in ladder.values()]
-    fits = cox_fits(train, "analysis", models, strata, penalizer)
-    null = S.km_risk(train, ["analysis", *strata], h10).select("analysis", *strata, (1 - F.col("risk")).alias("null_survival"))
-    hazard = cut_lineage(baseline_hazard(fits.expand(train), fits))
+    fits = cox_fits(train, "analysis", models, strata, penalizer, weight="_n")
+    null = S.km_risk(train, ["analysis", *strata], h10, "_n").select("analysis", *strata, (1 - F.col("risk")).alias("null_survival"))
+    hazard = cut_lineage(baseline_hazard(fits.expand(train), fits, "_n"))
     known = fits.expand(test).join(null, ["analysis", *strata], "left").fillna(1.0, ["null_survival"])
     levels = hazard.unionByName(known.select("fit", *strata).distinct().withColumns({"time": F.lit(0.0), "hazard": F.lit(0.0)}))
     pred = survival_at(known, fits, levels, [h5, h10, *grid]).withColumn("score", 1 - F.col("s_1"))

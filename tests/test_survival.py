@@ -276,3 +276,21 @@ def test_fits_without_events_constant_terms_and_empty_tables(spark):
     assert abs(rows[0, "c"].coef) < 1e-9 and abs(rows[0, "score"].coef) > 0.1 and rows[1, "score"].coef is None and rows[2, "z"].hr is None
     none = X.cox_fits(d.limit(0), "g", [(0, ["score"])], ["stratum"])
     assert none.hazard_ratios(spark).first().coef is None
+
+
+def test_equal_rows_are_held_once(spark):
+    from nightjar.operators import cox as X
+    from nightjar.plans import survival as P
+
+    p, d = many(spark, n=120)
+    p["copies"] = np.arange(120) % 4 + 1
+    folded = spark.createDataFrame(p)
+    copies = folded.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    one, every = X.cox_fit(folded, ["score", "z"], ["stratum"], 0.01, weight="copies"), X.cox_fit(copies, ["score", "z"], ["stratum"], 0.01)
+    assert np.allclose(one.beta, every.beta, atol=1e-9) and np.allclose(one.se, every.se, atol=1e-9)
+    got = P.analyse(copies, {"any": (F.col("time"), F.col("event"))}, {"all": F.lit(True)}, {"M0": ["score"], "M1": ["score", "z"]},
+                    F.col("u") == 1, ["stratum"], 0.5, 1.0, [0.5, 1.0])
+    assert got.rows.count() == 120 and got.sizes().agg(F.sum("n")).first()[0] == p.copies.sum()
+    held = got.pred.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_n"))))
+    c = {r.fit: r.c_index for r in S.harrell_c(held, ["fit"]).collect()}
+    assert sorted(c.values()) == sorted(r.harrell_c for r in got.metrics().collect())
