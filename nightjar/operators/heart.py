@@ -135,20 +135,22 @@ def rr_validity(rr: DataFrame, first_beat: DataFrame) -> DataFrame:
     """Flag plausible intervals and place each at the cumulative time of its later beat.
 
     Valid: 400-1500 ms and a ratio to the previous corrected interval strictly inside (0.6, 1.6);
-    the first interval's ratio is 1. ``first_beat`` holds (subject_id, t0) in seconds.
+    the first interval's ratio is 1. ``first_beat`` holds (subject_id, t0) in seconds. Intervals add up in fixed point
+    and times are whole nanoseconds, so a beat on the border of an epoch lies on the same side in any order of additions.
     """
     d = row_positions(rr, ["subject_id"], F.floor(F.col("beat") / BEAT_CHUNK), ["beat", "part"], "pos")
     block = F.floor(F.col("pos") / BEAT_CHUNK)
     d = d.withColumn("_block", block)
     prev = d.select("subject_id", (F.col("pos") + 1).alias("pos"), F.col("rr").alias("_prev"))
     earlier = Window.partitionBy("subject_id").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = d.groupBy("subject_id", "_block").agg(F.sum("rr").alias("_s")).select(
-        "subject_id", "_block", F.coalesce(F.sum("_s").over(earlier), F.lit(0.0)).alias("_offset"))
-    running = F.sum("rr").over(Window.partitionBy("subject_id", "_block").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
+    ms = F.col("rr").try_cast("decimal(28,10)")
+    offsets = d.groupBy("subject_id", "_block").agg(F.sum(ms).alias("_s")).select(
+        "subject_id", "_block", F.coalesce(F.sum("_s").over(earlier), F.lit(0)).alias("_offset"))
+    running = F.sum(ms).over(Window.partitionBy("subject_id", "_block").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
     ratio = F.when(F.col("_prev").isNull(), F.lit(1.0)).otherwise(F.col("rr") / F.greatest(F.col("_prev"), F.lit(1e-6)))
     return (
         d.join(prev, ["subject_id", "pos"], "left").join(offsets, ["subject_id", "_block"]).join(first_beat, "subject_id")
-        .withColumn("t", F.col("t0") + (F.col("_offset") + running) / 1000.0)
+        .withColumn("t", F.round(F.col("t0") + (F.col("_offset") + running).cast("double") / 1000.0, 9))
         .withColumn("valid", F.col("rr").between(400.0, 1500.0) & (ratio > 0.6) & (ratio < 1.6))
         .select("subject_id", "pos", "rr", "t", "valid")
     )

@@ -29,3 +29,14 @@ def test_equal_peaks_of_a_search_window_stay_equal(spark):
     ev = spark.createDataFrame(events, "subject_id bigint, start_sec double, duration_sec double, kind string, event_seq bigint")
     sig = spark.createDataFrame(signal, "subject_id bigint, sec int, value double")
     assert {(x.lo_sec, x.hi_sec) for x in search_windows(ev, sig, pre=20, post=30, default=(3, 10)).collect()} == {(20, 9)}
+
+
+def test_a_beat_on_the_border_belongs_to_the_next_epoch(spark):
+    """Hundredths of a millisecond that add up to 28,500 ms, which their float sum misses."""
+    from nightjar.operators import heart as H
+
+    rr = [742.6, 973.73, 902.02, 712.4, 1061.38, 1008.26, 933.49, 624.52, 847.7, 731.33, 827.36, 664.89, 734.84, 975.77, 1041.81, 883.73, 987.58, 727.21, 922.66, 668.43, 1036.44, 855.63, 794.03, 930.37, 927.54, 611.27, 813.21, 1001.16, 863.66, 784.38, 611.85, 702.86, 731.63, 864.26]
+    d = spark.createDataFrame([(1, k, 0, x) for k, x in enumerate(rr + [800.0] * 5)], "subject_id int, beat int, part int, rr double")
+    valid = H.rr_validity(d, spark.createDataFrame([(1, 1.5)], "subject_id int, t0 double"))
+    assert valid.where(f"pos = {len(rr) - 1}").first().t == 30.0
+    assert valid.where("floor(t / 30) = 1").agg({"pos": "min"}).first()[0] == len(rr) - 1
