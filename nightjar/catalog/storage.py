@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from nightjar.catalog import query
 from nightjar.catalog.splits import draw
+from nightjar.operators.running import dealt
 from nightjar.plans import views as V
 from nightjar.plans.views import with_views
 from nightjar.session import run_folder
@@ -112,7 +113,7 @@ def _annotations(spark, sf) -> DataFrame:
     kind = F.when(F.col("kind") == "Central apnea", "SpO2 artifact").otherwise(F.col("kind"))
     resp = ev.select("subject_id", F.lit("Respiratory|Respiratory").alias("EventType"), F.concat_ws("|", kind, kind).alias("EventConcept"),
                      F.round("start_sec", 3).alias("Start"), F.round("duration_sec", 3).alias("Duration"))
-    stages.unionByName(resp).repartition("subject_id").write.partitionBy("subject_id").format("xml").option("rowTag", "ScoredEvent").option("rootTag", "ScoredEvents").save(path)
+    dealt(stages.unionByName(resp), "subject_id").write.partitionBy("subject_id").format("xml").option("rowTag", "ScoredEvent").option("rootTag", "ScoredEvents").save(path)
     return A.read_scored_events(spark, path, r"subject_id=(\d+)")
 
 
@@ -149,7 +150,7 @@ def selected_rows(spark, sf) -> DataFrame:
 @query("select distinct user_id::integer as subject_id from events")
 def discovered_subjects(spark, sf) -> DataFrame:
     path = folder(spark, "subjects")
-    V.table(spark, sf, "events").select("user_id", "event_id").repartition("user_id").write.partitionBy("user_id").json(path)
+    dealt(V.table(spark, sf, "events").select("user_id", "event_id"), "user_id").write.partitionBy("user_id").json(path)
     return FI.discover_subject_ids(spark, path + "/*/*.json", r"user_id=(\d+)/")
 
 

@@ -22,6 +22,15 @@ def bucket_count(df: DataFrame) -> int:
     return max(8, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt to a fixed number of tasks by ``keys``, where a key costs more than its bytes, say a file of its own.
+
+    A shuffle without a number is merged again to tasks of enough bytes, so that a few tasks would open all the files; so is one
+    by the very keys of the shuffle before it, hence the hash.
+    """
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, bucket_count(df) // 2), F.xxhash64(*keys))
+
+
 def quantile_bucket(df: DataFrame, value: str, name: str, buckets: int | None = None) -> DataFrame:
     """Add ``name``: how many approximate quantiles of ``value`` lie strictly below it.
 

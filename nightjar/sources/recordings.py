@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from nightjar.functions.expressions import EPOCH_SECONDS
+from nightjar.operators.running import dealt
 
 # Aliases per canonical channel in order of preference, candidate airflow labels, native rates.
 CHANNEL_ALIASES = {
@@ -263,7 +264,7 @@ def export_recordings(chunks: DataFrame, folder: str) -> DataFrame:
         F.sort_array(F.collect_set(F.struct("channel_index", "label", "unit", "fs", "gain", "dmin", "dmax", "pmin"))).alias("signals"),
         (F.max("epoch_idx") + 1).alias("n_records"))
     rows = chunks.select("subject_id", "epoch_idx", "channel_index", "samples").join(signals, "subject_id")
-    rows = rows.repartition("subject_id").sortWithinPartitions("subject_id", "epoch_idx", "channel_index")
+    rows = dealt(rows, "subject_id").sortWithinPartitions("subject_id", "epoch_idx", "channel_index")
 
     def header(own: list[dict], n_records: int) -> bytes:
         text = lambda v, width: str(v)[:width].ljust(width).encode("latin-1", "replace")

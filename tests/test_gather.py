@@ -27,3 +27,12 @@ def test_gather_finds_every_second_without_broadcasting_them(spark, tmp_path):
     plan = W.gather(spark.createDataFrame(wins, "subject_id bigint, j int, start_sec int"), many, nights, ["x"])._jdf.queryExecution().executedPlan().toString()
     joins = [line for line in plan.splitlines() if "Join" in line and ("sec#" in line or "_b#" in line)]
     assert joins and not any("Broadcast" in line for line in joins)
+
+
+def test_keys_that_cost_more_than_their_bytes_are_dealt_to_all_tasks(spark):
+    """Neither few bytes nor an equal shuffle before it may merge the tasks that write a file per key."""
+    from nightjar.operators.running import dealt
+
+    d = dealt(spark.range(4000).withColumn("key", F.col("id") % 400).groupBy("key").agg(F.count("*").alias("n")), "key")
+    parts = d.select("key", F.spark_partition_id().alias("p"))
+    assert parts.agg(F.countDistinct("p")).first()[0] == 8 and parts.count() == 400
