@@ -260,9 +260,12 @@ def quantile_groups(df: DataFrame, by: list[str], value: str, k: int = 5) -> Dat
 def calibration_quintiles(df: DataFrame, strata: list[str], t: float, k: int = 5) -> DataFrame:
     """Per risk quintile: size, events, predicted, IPCW, KM with interval and Aalen-Johansen risk.
 
-    IPCW weights come from the whole sample; ``cause`` is 1 for the event, 2 for a competing death.
+    IPCW weights come from the whole sample; ``cause`` is 1 for the event, 2 for a competing death. The rows and the rows with
+    their weights are each written once: six aggregates read them.
     """
-    d = quantile_groups(_ipcw(df, [], strata, t, None, None), [], "score", k)
+    df = cut_lineage(df.select(*strata, "time", "event", "cause", "score"))
+    weighted = cut_lineage(_ipcw(df, [], strata, t, None, None).select("time", "event", "cause", "score", "_died"))
+    d = quantile_groups(weighted, [], "score", k)
     base = d.groupBy("quantile").agg(
         F.count("*").alias("n"), F.sum(F.col("event").cast("bigint")).alias("events"), F.avg("score").alias("pred"),
         F.avg("_died").alias("obs_ipcw"))

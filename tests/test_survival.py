@@ -294,3 +294,11 @@ def test_equal_rows_are_held_once(spark):
     held = got.pred.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_n"))))
     c = {r.fit: r.c_index for r in S.harrell_c(held, ["fit"]).collect()}
     assert sorted(c.values()) == sorted(r.harrell_c for r in got.metrics().collect())
+
+
+def test_calibration_reads_its_rows_once(spark):
+    p = sample(200, 12)
+    p["cause"] = p["event"]
+    out = S.calibration_quintiles(spark.createDataFrame(p), ["stratum"], 0.8)
+    assert "ExistingRDD" not in out._jdf.queryExecution().optimizedPlan().toString() and "LogicalRDD" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert out.agg(F.sum("n")).first()[0] == 200
