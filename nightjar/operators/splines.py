@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -78,35 +80,59 @@ def _system() -> dict[str, Column]:
             "_y": pick(((3 * hr + 2 * hr2) * hr2 * dr + hr * hr * dr2) / (hr + hr2), (hl * hl * dl2 + (3 * hl + 2 * hl2) * hl2 * dl) / (hl + hl2), 3 * (hr * dl + hl * dr))}
 
 
+def solve_runs(batches):
+    """(subject_id, segment, beat, _chunk, _cut, p, q, r) from sorted rows of the system, run after run; only the rows of an open run are held over."""
+    keys, held = ["subject_id", "segment", "beat", "_chunk", "_cut"], None
+
+    def solved(t: pa.Table, cuts: list[int]) -> pa.RecordBatch:
+        a, b, c, y = (t.column(x).to_numpy() for x in ("_a", "_b", "_c", "_y"))
+        out = np.concatenate([eliminate(a[i:j], b[i:j], c[i:j], y[i:j]) for i, j in zip(cuts[:-1], cuts[1:])])
+        t = t.select(keys)
+        for k, name in enumerate(("p", "q", "r")):
+            t = t.append_column(name, pa.array(out[:, k]))
+        return t.combine_chunks().to_batches()[0]
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        t = pa.Table.from_batches([batch])
+        t = (pa.concat_tables([held, t]) if held is not None else t).combine_chunks()
+        new = np.zeros(len(t) - 1, bool)
+        for c in (*RUN, "_chunk"):
+            x = t.column(c)
+            new |= pc.not_equal(x.slice(1), x.slice(0, len(t) - 1)).to_numpy()
+        cuts = [0, *(np.flatnonzero(new) + 1).tolist()]
+        if len(cuts) > 1:
+            yield solved(t.slice(0, cuts[-1]), cuts)
+        held = t.slice(cuts[-1])
+    if held is not None:
+        yield solved(held, [0, len(held)])
+
+
 def spline_slopes(knots: DataFrame, min_points: int = 4, size: int = 20_000) -> DataFrame:
     """``knots`` (subject_id, beat, t, v, segment; contiguous ``beat``) with ``_slope``, the spline's slope at each knot.
 
     A segment is one run; those of fewer than ``min_points`` knots (four at least) get no slope. No task holds more than
-    ``size`` knots, and the borders of a run are one small row a chunk.
+    ``size`` knots of a run at once. A run inside one chunk is solved there; only runs over several chunks meet again, one small row a chunk.
+    ``knots`` is read three times, so pass a table that is already written.
     """
     if size < 2:
         raise ValueError("a chunk holds two knots at least: that is how far the first and last equations reach")
-    long = knots.groupBy(*RUN).agg(F.count("*").alias("_m")).where(F.col("_m") >= max(4, min_points))
+    home = F.floor(F.col("beat") / size)
+    long = knots.groupBy(*RUN).agg(F.count("*").alias("_m"), (F.max(home) > F.min(home)).alias("_cut")).where(F.col("_m") >= max(4, min_points))
     d = with_halo(knots.select("subject_id", "beat", "t", "v", "segment"), "beat", size, before=2, after=2)
     w = chunk_window(["subject_id"], "beat")
     for k, name in ((-2, "p2"), (-1, "p1"), (1, "n1"), (2, "n2")):
         near = lambda c: F.lead(c, k).over(w) if k > 0 else F.lag(c, -k).over(w)  # noqa: B023, E731
         d = d.withColumns({f"_{c}_{name}": F.when(near("segment") == F.col("segment"), near(c)) for c in ("t", "v")})
-    rows = own_rows(d).join(long, RUN).withColumns(_system()).withColumn("_chunk", F.floor(F.col("beat") / size))
-    rows = rows.select("subject_id", "segment", "beat", "_chunk", "_a", "_b", "_c", "_y")
-    keys = rows.select("subject_id", "segment", "beat", "_chunk").schema.fields
-    solved = T.StructType([*keys, *(T.StructField(c, T.DoubleType()) for c in ("p", "q", "r"))])
-
-    def local(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("beat")
-        a, b, c, y = (pdf[x].to_numpy() for x in ("_a", "_b", "_c", "_y"))
-        cuts = [0, *(np.flatnonzero(np.diff(pdf["segment"].to_numpy())) + 1).tolist(), len(pdf)]
-        out = np.concatenate([eliminate(a[i:j], b[i:j], c[i:j], y[i:j]) for i, j in zip(cuts[:-1], cuts[1:])])
-        return pdf[["subject_id", "segment", "beat", "_chunk"]].assign(p=out[:, 0], q=out[:, 1], r=out[:, 2])
-
-    rows = cut_lineage(rows.groupBy("subject_id", "_chunk").applyInPandas(local, solved))
+    rows = own_rows(d).join(long, RUN).withColumns(_system()).withColumn("_chunk", home)
+    rows = rows.select("subject_id", "segment", "beat", "_chunk", "_cut", "_a", "_b", "_c", "_y")
+    solved = T.StructType([*rows.schema.fields[:5], *(T.StructField(c, T.DoubleType()) for c in ("p", "q", "r"))])
+    rows = rows.repartition("subject_id", "_chunk").sortWithinPartitions("subject_id", "_chunk", "beat")
+    rows = cut_lineage(rows.mapInArrow(solve_runs, solved))
     pqr = F.array("p", "q", "r")
-    borders = rows.groupBy(*RUN, "_chunk").agg(F.min_by(pqr, "beat").alias("first"), F.max_by(pqr, "beat").alias("last"))
+    parted = rows.where("_cut")
+    borders = parted.groupBy(*RUN, "_chunk").agg(F.min_by(pqr, "beat").alias("first"), F.max_by(pqr, "beat").alias("last"))
 
     def sweep(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_chunk")
@@ -115,5 +141,7 @@ def spline_slopes(knots: DataFrame, min_points: int = 4, size: int = 20_000) ->
 
     outer = T.StructType([*borders.select(*RUN, "_chunk").schema, T.StructField("before", T.DoubleType()), T.StructField("behind", T.DoubleType())])
     ends = borders.groupBy(*RUN).applyInPandas(sweep, outer)
-    slopes = rows.join(ends, [*RUN, "_chunk"]).select("subject_id", "beat", (F.col("p") + F.col("q") * F.col("before") + F.col("r") * F.col("behind")).alias("_slope"))
+    slope = F.col("p") + F.col("q") * F.col("before") + F.col("r") * F.col("behind")
+    slopes = rows.where("NOT _cut").select("subject_id", "beat", F.col("p").alias("_slope")).unionByName(
+        parted.join(ends, [*RUN, "_chunk"]).select("subject_id", "beat", slope.alias("_slope")))
     return knots.join(slopes, ["subject_id", "beat"], "left")

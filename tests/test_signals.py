@@ -2,6 +2,7 @@
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -242,6 +243,21 @@ def test_spline_slopes_equal_a_dense_solve(spark, size):
     np.testing.assert_allclose([got[k] for k in want], list(want.values()), atol=1e-9)
 
 
+def test_spline_runs_are_solved_from_a_stream_of_batches():
+    """Many short runs need no group each: they come in one stream, and a run may be parted by the border of a batch."""
+    rng = np.random.default_rng(8)
+    lengths = [4, 4, 9, 30, 5]
+    n, run = sum(lengths), np.repeat(np.arange(5), lengths)
+    a, b, c, y = rng.random(n), 3 + rng.random(n), rng.random(n), rng.normal(size=n)
+    t = pa.table({"subject_id": ["u"] * 4 + ["v"] * 48, "segment": [0] * 4 + (run[4:] // 2).tolist(), "beat": np.arange(n), "_chunk": [0] * 17 + [1] * 35,
+                  "_cut": run > 2, "_a": a, "_b": b, "_c": c, "_y": y})
+    got = pa.Table.from_batches(list(SP.solve_runs(iter(t.to_batches(max_chunksize=3)))))
+    assert got.select(["beat", "segment"]).to_pydict() == t.select(["beat", "segment"]).to_pydict()
+    want = np.concatenate([SP.eliminate(a[run == k], b[run == k], c[run == k], y[run == k]) for k in range(5)])
+    np.testing.assert_array_equal(np.column_stack([got.column(x) for x in ("p", "q", "r")]), want)
+    assert not list(SP.solve_runs(iter([])))
+
+
 def test_spline_of_a_hundred_thousand_knots(spark):
     """Chunks of 4,096 knots satisfy all equations of the one system, and a cubic comes back exactly."""
     n = 100_000
