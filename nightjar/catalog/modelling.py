@@ -16,6 +16,7 @@ from nightjar.operators.splits import group_kfold
 from nightjar.plans import modelling as P
 from nightjar.plans import views as V
 from nightjar.plans.views import with_views
+from nightjar.session import cut_lineage
 
 
 def feature_rows(spark, sf) -> DataFrame:
@@ -44,20 +45,20 @@ def stage_as_feature(spark, sf) -> DataFrame:
 
 @query()
 def out_of_fold_predictions(spark, sf) -> DataFrame:
-    d = feature_rows(spark, sf).select("subject_id", "epoch_idx", "apnoea_label", "hr_mean_lag1", "hr_mean_roll5_std")
+    d = cut_lineage(feature_rows(spark, sf).select("subject_id", "epoch_idx", "apnoea_label", "hr_mean_lag1", "hr_mean_roll5_std"))
     return rounded(FT.out_of_fold(d, group_kfold(d, 5), 5, ["hr_mean_lag1", "hr_mean_roll5_std"]))
 
 
 @query()
 def option_search(spark, sf) -> DataFrame:
-    d = feature_rows(spark, sf).select("subject_id", "epoch_idx", "apnoea_label", "hr_mean_lag1", "hr_mean_roll5_std")
+    d = cut_lineage(feature_rows(spark, sf).select("subject_id", "epoch_idx", "apnoea_label", "hr_mean_lag1", "hr_mean_roll5_std"))
     return rounded(FT.search(d, group_kfold(d, 5), 5, ["hr_mean_lag1", "hr_mean_roll5_std"], [{"reg": 0.0}, {"reg": 0.01}, {"reg": 0.1}]))
 
 
 @query()
 def pruned_option_search(spark, sf) -> DataFrame:
     """Six penalties by successive halving over five folds."""
-    d = feature_rows(spark, sf).select("subject_id", "epoch_idx", "apnoea_label", "hr_mean_lag1", "hr_mean_roll5_std")
+    d = cut_lineage(feature_rows(spark, sf).select("subject_id", "epoch_idx", "apnoea_label", "hr_mean_lag1", "hr_mean_roll5_std"))
     return rounded(FT.halving_search(d, group_kfold(d, 5), 5, ["hr_mean_lag1", "hr_mean_roll5_std"], [{"reg": r} for r in (0.0, 0.001, 0.01, 0.1, 1.0, 10.0)]))
 
 

@@ -11,11 +11,15 @@ from pyspark.ml.feature import SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from nightjar.functions.expressions import logit
 from nightjar.operators.imputing import chained_impute, exact_medians  # noqa: F401 (the imputer is part of this module's interface)
+from nightjar.operators.running import dealt
 from nightjar.session import cut_lineage
 
+MEDIANS = 64  # medians sought in the same passes; a task holds about a megabyte of counters for each
+
 
 def calibration_lines(pred: DataFrame, by: list[str], label: str = "apnoea_label", score: str = "pred_prob", iterations: int = 15) -> DataFrame:
     """Per group the unpenalised logistic fit of the label on the logit of the score: (by, calibration_slope, calibration_intercept, n_rows).
@@ -117,19 +121,47 @@ class MedianFillScale(Estimator):
         self.columns = list(columns)
 
     def _fit(self, dataset: DataFrame) -> SQLTransformer:
-        medians = exact_medians(dataset, self.columns)
-        fill = {c: f"nvl(nanvl(CAST(`{c}` AS DOUBLE), CAST(NULL AS DOUBLE)), double('{m or 0.0!r}'))" for c, m in medians.items()}
-        s = dataset.agg(*[f(F.expr(x)) for x in fill.values() for f in (F.avg, F.stddev_pop)]).first()
-        scaled = [f"({x} - double('{s[2 * i] or 0.0!r}')) / double('{s[2 * i + 1] or 1.0!r}') AS `{c}_scaled`" for i, (c, x) in enumerate(fill.items())]
-        return SQLTransformer(statement=f"SELECT *, {', '.join(scaled)} FROM __THIS__")
+        fill = _fills(exact_medians(dataset, self.columns))
+        return _scaler(fill, dataset.agg(*[f(F.expr(x)) for x in fill.values() for f in (F.avg, F.stddev_pop)]).first())
+
+
+def _fills(medians: dict[str, float | None]) -> dict[str, str]:
+    return {c: f"nvl(nanvl(CAST(`{c}` AS DOUBLE), CAST(NULL AS DOUBLE)), double('{m or 0.0!r}'))" for c, m in medians.items()}
+
+
+def _scaler(fill: dict[str, str], moments) -> SQLTransformer:
+    scaled = [f"({x} - double('{moments[2 * i] or 0.0!r}')) / double('{moments[2 * i + 1] or 1.0!r}') AS `{c}_scaled`" for i, (c, x) in enumerate(fill.items())]
+    return SQLTransformer(statement=f"SELECT *, {', '.join(scaled)} FROM __THIS__")
+
 
+def fold_scalers(d: DataFrame, folds: list[int], columns: list[str]) -> dict[int, SQLTransformer | None]:
+    """Per fold the fitted ``MedianFillScale`` of the rows outside it; ``d`` carries ``fold``.
 
-def build(family: str, columns: list[str], label: str, categorical: list[str] | None = None, **options) -> Pipeline:
-    """Median fill and scaling, category codes, assembly and the classifier as one pipeline, so all of it is fitted on training rows only."""
+    All folds share the passes over the rows, and all options of a search share the result: it does not depend on them.
+    """
+    if not columns:
+        return dict.fromkeys(folds)
+    pairs, medians = [(i, c) for i in folds for c in columns], {}
+    for a in range(0, len(pairs), MEDIANS):
+        some = pairs[a:a + MEDIANS]
+        wide = d.select(*[F.when(F.col("fold") != i, F.col(c)).alias(f"v{n}") for n, (i, c) in enumerate(some)])
+        medians |= dict(zip(some, exact_medians(wide, wide.columns).values()))
+    fills = {i: _fills({c: medians[i, c] for c in columns}) for i in folds}
+    outside = [f(F.when(F.col("fold") != i, F.expr(x))) for i in folds for x in fills[i].values() for f in (F.avg, F.stddev_pop)]
+    moments = d.agg(*outside).first() if outside else ()
+    width = 2 * len(columns)
+    return {i: _scaler(fills[i], moments[n * width:(n + 1) * width]) for n, i in enumerate(folds)}
+
+
+def build(family: str, columns: list[str], label: str, categorical: list[str] | None = None, scaler: SQLTransformer | None = None, **options) -> Pipeline:
+    """Median fill and scaling, category codes, assembly and the classifier as one pipeline, so all of it is fitted on training rows only.
+
+    ``scaler`` is a fill and scaling already fitted on these rows.
+    """
     stages = []
     ready = [f"{c}_scaled" for c in columns]
     if columns:
-        stages.append(MedianFillScale(columns))
+        stages.append(scaler or MedianFillScale(columns))
     for c in categorical or []:
         stages.append(StringIndexer(inputCol=c, outputCol=f"{c}_code", handleInvalid="keep"))
         ready.append(f"{c}_code")
@@ -144,14 +176,14 @@ def build(family: str, columns: list[str], label: str, categorical: list[str] |
 
 
 def fit_binary(train: DataFrame, columns: list[str], label: str = "apnoea_label", family: str = "boosted",
-               categorical: list[str] | None = None, validation: str | None = None, weighted: bool = True, **options):
+               categorical: list[str] | None = None, validation: str | None = None, weighted: bool = True, scaler: SQLTransformer | None = None, **options):
     """Class-weighted binary fit; ``validation`` names a boolean column of held-out subjects for early stopping."""
     from nightjar.operators.splits import balanced_weights
 
     d = train.withColumn(label, F.col(label).cast("double"))
     if weighted:
         d = balanced_weights(d, label)
-    return build(family, columns, label, categorical, weight="weight" if weighted else None, validation=validation, **options).fit(d)
+    return build(family, columns, label, categorical, scaler, weight="weight" if weighted else None, validation=validation, **options).fit(d)
 
 
 def predict(model, rows: DataFrame, keep: list[str], threshold: float = 0.5) -> DataFrame:
@@ -160,37 +192,46 @@ def predict(model, rows: DataFrame, keep: list[str], threshold: float = 0.5) ->
     return model.transform(rows).select(*keep, p.alias("pred_prob"), (p > threshold).cast("bigint").alias("pred_label"))
 
 
+def fold_rows(rows: DataFrame, folds: DataFrame) -> DataFrame:
+    """``rows`` with their ``fold``, written once: each fit passes over them many times.
+
+    They are dealt and sorted by their own values and the files named in order, so a family that draws rows draws the same ones
+    whatever job fits it: a folder alone is listed in any order.
+    """
+    d = rows.join(folds.select("subject_id", "fold"), "subject_id")
+    own = [f.name for f in d.schema if isinstance(f.dataType, T.AtomicType)]
+    d = cut_lineage(dealt(d, *own).sortWithinPartitions(*own))
+    return d.sparkSession.read.schema(d.schema).parquet(*sorted(d.inputFiles()))
+
+
+def score_fold(d: DataFrame, fold: int, scaler: SQLTransformer | None, columns: list[str], family: str, keep: list[str], **options) -> DataFrame:
+    """The rows of ``fold`` scored by the model of the other folds."""
+    model = fit_binary(d.where(F.col("fold") != fold), columns, family=family, scaler=scaler, **options)
+    return predict(model, d.where(F.col("fold") == fold), [*keep, "fold"])
+
+
 def out_of_fold(rows: DataFrame, folds: DataFrame, k: int, columns: list[str], family: str = "logistic",
                 keep: list[str] | None = None, only: list[int] | None = None, **options) -> DataFrame:
-    """Every row scored by the model of the folds that do not hold its subject; ``only`` names the folds to score.
+    """Every row scored by the model of the folds that do not hold its subject; ``only`` names the folds to score."""
+    keep, which = keep or ["subject_id", "epoch_idx", "apnoea_label"], list(range(k) if only is None else only)
+    d = fold_rows(rows, folds)
+    scalers = fold_scalers(d, which, columns)
+    return reduce(DataFrame.unionByName, [score_fold(d, i, scalers[i], columns, family, keep, **options) for i in which])
 
-    The joined rows are written once: each fit passes over them many times.
-    """
-    keep = keep or ["subject_id", "epoch_idx", "apnoea_label"]
-    d = cut_lineage(rows.join(folds.select("subject_id", "fold"), "subject_id"))
-    parts = []
-    for i in range(k) if only is None else only:
-        model = fit_binary(d.where(F.col("fold") != i), columns, family=family, **options)
-        parts.append(predict(model, d.where(F.col("fold") == i), [*keep, "fold"]))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+
+def _trial_aucs(d: DataFrame, scalers: dict, columns: list[str], family: str, trials: list[tuple[int, dict]], folds: list[int]) -> DataFrame:
+    """Exact AUC per trial and fold, all of them in one job."""
+    from nightjar.operators.metrics import discrimination
+
+    scored = [score_fold(d, i, scalers[i], columns, family, ["apnoea_label"], **options).withColumn("trial", F.lit(t)) for t, options in trials for i in folds]
+    return discrimination(reduce(DataFrame.unionByName, scored), ["trial", "fold"])
 
 
 def search(rows: DataFrame, folds: DataFrame, k: int, columns: list[str], grid: list[dict], family: str = "logistic") -> DataFrame:
     """Mean held-out-fold AUC of each option set (exact AUC), best first."""
-    from nightjar.operators.metrics import discrimination
-
     spark = rows.sparkSession
-    rows, folds = cut_lineage(rows), cut_lineage(folds)
-    scored = []
-    for i, options in enumerate(grid):
-        scored.append(out_of_fold(rows, folds, k, columns, family, **options).withColumn("trial", F.lit(i)))
-    allp = scored[0]
-    for s in scored[1:]:
-        allp = allp.unionByName(s)
-    auc = discrimination(cut_lineage(allp), ["trial", "fold"])
+    d = fold_rows(rows, folds)
+    auc = _trial_aucs(d, fold_scalers(d, list(range(k)), columns), columns, family, list(enumerate(grid)), list(range(k)))
     names = spark.createDataFrame([(i, str(sorted(o.items()))) for i, o in enumerate(grid)], "trial int, options string")
     return auc.groupBy("trial").agg(F.avg("auc").alias("mean_auc"), F.stddev_samp("auc").alias("sd_auc")).join(names, "trial").orderBy(F.desc("mean_auc"))
 
@@ -204,10 +245,9 @@ def halving_search(rows: DataFrame, folds: DataFrame, k: int, columns: list[str]
     that ran further rank higher. Scores of a rung are one exact AUC job over trials and folds; the driver holds one number a trial
     and fold. A fold of one class has no AUC and counts for no trial; a trial without any ranks last.
     """
-    from nightjar.operators.metrics import discrimination
-
     spark = rows.sparkSession
-    rows, folds = cut_lineage(rows), cut_lineage(folds)
+    d = fold_rows(rows, folds)
+    scalers = fold_scalers(d, list(range(k)), columns) if grid else {}
     ends = [e for e in (1 << i for i in range(k.bit_length())) if e < k] + [k]
     alive, found = list(range(len(grid))), {t: {} for t in range(len(grid))}
 
@@ -217,8 +257,7 @@ def halving_search(rows: DataFrame, folds: DataFrame, k: int, columns: list[str]
 
     done = 0
     for end in ends:
-        scored = [out_of_fold(rows, folds, k, columns, family, only=list(range(done, end)), **grid[t]).withColumn("trial", F.lit(t)) for t in alive]
-        for r in discrimination(cut_lineage(reduce(DataFrame.unionByName, scored)), ["trial", "fold"]).collect() if scored else []:
+        for r in _trial_aucs(d, scalers, columns, family, [(t, grid[t]) for t in alive], list(range(done, end))).collect() if alive else []:
             found[r.trial][r.fold] = r.auc
         for t in alive:
             found[t] |= {f: None for f in range(done, end) if f not in found[t]}
