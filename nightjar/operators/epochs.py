@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from nightjar.functions.expressions import EPOCH_SECONDS, event_bit, is_sleep
+from nightjar.functions.expressions import EPOCH_SECONDS, EVENT_BITS, event_bit, is_sleep
 from nightjar.operators.chunks import CHUNK_EPOCHS, chunk_window, islands, own_rows, with_halo
 
 LABEL_OVERLAP_SECONDS = 10.0
@@ -96,17 +98,29 @@ def sleep_event_counts(epochs: DataFrame, events: DataFrame) -> DataFrame:
 
 
 def event_seconds(events: DataFrame, nights: DataFrame) -> DataFrame:
-    """Per-second bitmask of event kinds: second s belongs to [start, end) when s + 0.5 does."""
+    """Per-second bitmask of event kinds: second s belongs to [start, end) when s + 0.5 does.
+
+    An event sets its seconds as bits of the minutes it touches, one number a kind, so that minutes are grouped and not seconds.
+    """
     n_sec = F.col("n_epochs").cast("bigint") * EPOCH_SECONDS
     lo = F.greatest(F.lit(0).cast("bigint"), F.ceil(F.col("start_sec") - 0.5).cast("bigint"))
     hi = F.least(n_sec, F.ceil(F.col("start_sec") + F.col("duration_sec") - 0.5).cast("bigint")) - 1
-    return (
+    touched = (
         events.where("duration_sec > 0").join(nights, "subject_id")
         .select("subject_id", event_bit("kind").alias("bit"), lo.alias("lo"), hi.alias("hi"))
         .where("hi >= lo")
-        .select("subject_id", "bit", F.explode(F.sequence("lo", "hi")).alias("sec"))
-        .groupBy("subject_id", "sec").agg(F.bit_or("bit").alias("mask"))
+        .select("subject_id", "bit", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") / 60), F.floor(F.col("hi") / 60))).alias("minute"))
     )
+    first = F.greatest(F.lit(0), F.col("lo") - F.col("minute") * 60).cast("int")
+    last = F.least(F.lit(59), F.col("hi") - F.col("minute") * 60).cast("int")
+    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    seconds = F.call_function("shiftleft", F.call_function("shiftleft", one, last - first + 1) - one, first)
+    kinds = sorted(set(EVENT_BITS.values()))
+    minutes = touched.select("subject_id", "minute", "bit", seconds.alias("_s")).groupBy("subject_id", "minute").agg(
+        *[F.bit_or(F.when(F.col("bit") == k, F.col("_s")).otherwise(none)).alias(f"_m{k}") for k in kinds])
+    at = minutes.select("*", F.explode(F.sequence(F.lit(0), F.lit(59))).alias("_at"))
+    mask = reduce(lambda x, y: x + y, [F.call_function("shiftright", F.col(f"_m{k}"), F.col("_at")).bitwiseAND(1).cast("int") * k for k in kinds])
+    return at.select("subject_id", (F.col("minute") * 60 + F.col("_at")).alias("sec"), mask.alias("mask")).where("mask <> 0")
 
 
 def night_summary(epochs: DataFrame, burden: str | None = None, size: int = CHUNK_EPOCHS) -> DataFrame:

@@ -64,6 +64,22 @@ def test_second_mask_ors_kinds(spark):
     assert got[5] == 1 and got[9] == 9 and max(got) == 14
 
 
+def test_second_mask_groups_minutes_not_seconds(spark):
+    """Long and overlapping events over many minutes, against a plain mask; what is grouped is a row a minute."""
+    rng = np.random.default_rng(9)
+    kinds = list(X.EVENT_BITS)
+    rows = [(float(np.round(rng.uniform(-20, 900), 1)), float(np.round(rng.choice([0.3, 12, 70, 400]), 1)), kinds[k % 4]) for k in range(25)] + [(0.0, 60.0, kinds[0]), (59.5, 0.5, kinds[1])]
+    want = {}
+    for start, dur, kind in rows:
+        for sec in range(900):
+            if start <= sec + 0.5 < start + dur:
+                want[sec] = want.get(sec, 0) | X.EVENT_BITS[kind]
+    d = E.event_seconds(events(spark, rows), spark.createDataFrame([(1, 30)], "subject_id int, n_epochs int"))
+    assert {r.sec: r.mask for r in d.collect()} == want and d.dtypes == [("subject_id", "int"), ("sec", "bigint"), ("mask", "int")]
+    plan = d._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [subject_id" in plan and "minute" in plan[plan.index("Aggregate [subject_id"):].split("\n")[0]
+
+
 def test_stage_runs_overwrite_and_round_half_even(spark):
     runs = spark.createDataFrame([(1, 0.0, 75.0, "N1", 0), (1, 30.0, 30.0, "W", 1), (1, 120.0, 5.0, "REM", 2)],
                                  "subject_id int, start_sec double, duration_sec double, stage string, run_seq int")
