@@ -8,7 +8,7 @@ epochs with a margin on both sides.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -172,20 +172,24 @@ def array_mean(samples: Column | str) -> Column:
     return F.aggregate(s, F.lit(0.0), lambda acc, x: acc + x) / F.size(s)
 
 
+def once(value: Column, of: Callable[[Column], Column]) -> Column:
+    """``of(value)`` with the value computed once: Spark computes an expression inside a lambda anew for every element."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
 def array_std(samples: Column | str) -> Column:
     """Population std by centred sums."""
     s = col(samples)
-    m = array_mean(s)
-    return F.sqrt(F.aggregate(F.transform(s, lambda x: (x - m) * (x - m)), F.lit(0.0), lambda acc, x: acc + x) / F.size(s))
+    return once(array_mean(s), lambda m: F.sqrt(F.aggregate(F.transform(s, lambda x: (x - m) * (x - m)), F.lit(0.0), lambda acc, x: acc + x) / F.size(s)))
 
 
 def array_corr(a: Column | str, b: Column | str) -> Column:
     """Pearson r of two aligned arrays; NULL when either is flat (std at most 1e-12)."""
     a, b = col(a), col(b)
-    ma, mb = array_mean(a), array_mean(b)
-    cov = F.aggregate(F.zip_with(a, b, lambda x, y: (x - ma) * (y - mb)), F.lit(0.0), lambda acc, x: acc + x) / F.size(a)
-    sa, sb = array_std(a), array_std(b)
-    return F.when((sa > 1e-12) & (sb > 1e-12), cov / (sa * sb))
+    means = F.struct(array_mean(a).alias("a"), array_mean(b).alias("b"))
+    cov = once(means, lambda m: F.aggregate(F.zip_with(a, b, lambda x, y: (x - m["a"]) * (y - m["b"])), F.lit(0.0), lambda acc, x: acc + x) / F.size(a))
+    return once(F.struct(cov.alias("cov"), array_std(a).alias("a"), array_std(b).alias("b")),
+                lambda s: F.when((s["a"] > 1e-12) & (s["b"] > 1e-12), s["cov"] / (s["a"] * s["b"])))
 
 
 def breath_rate(samples: Column | str, fs: float, seconds: float = EPOCH_SECONDS, lo: float = 0.1, hi: float = 0.5) -> Column:
@@ -194,18 +198,19 @@ def breath_rate(samples: Column | str, fs: float, seconds: float = EPOCH_SECONDS
     The few harmonics k / seconds of the band are correlated with the centred samples one by one.
     """
     x = col(samples)
-    mean = array_mean(x)
-    centred = F.transform(x, lambda v: v - mean)
     n = round(seconds * fs)
+    ks = range(math.ceil(lo * seconds - 1e-9), math.floor(hi * seconds + 1e-9) + 1)
 
-    def part(k: int, wave) -> Column:
-        turned = F.transform(centred, lambda v, i: v * wave(i * F.lit(2 * math.pi * k / n)))
-        return F.aggregate(turned, F.lit(0.0), lambda acc, v: acc + v)
+    def strongest(centred: Column) -> Column:
+        def squared(k: int, wave) -> Column:
+            turned = F.transform(centred, lambda v, i: v * wave(i * F.lit(2 * math.pi * k / n)))
+            return once(F.aggregate(turned, F.lit(0.0), lambda acc, v: acc + v), lambda p: p * p)
 
-    ks = range(math.ceil(lo * seconds - 1e-9), math.floor(hi * seconds + 1e-9) + 1)
-    powers = [F.struct((part(k, F.cos) * part(k, F.cos) + part(k, F.sin) * part(k, F.sin)).alias("power"), F.lit(-k).alias("k")) for k in ks]
-    flat = F.array_max(F.transform(centred, F.abs)) <= 1e-8
-    return F.when(~flat, -F.array_max(F.array(*powers))["k"] * F.lit(60.0 / seconds))
+        powers = [F.struct((squared(k, F.cos) + squared(k, F.sin)).alias("power"), F.lit(-k).alias("k")) for k in ks]
+        flat = F.array_max(F.transform(centred, F.abs)) <= 1e-8
+        return F.when(~flat, -F.array_max(F.array(*powers))["k"] * F.lit(60.0 / seconds))
+
+    return once(array_mean(x), lambda mean: once(F.transform(x, lambda v: v - mean), strongest))
 
 
 def respiratory_features(chunks: DataFrame, fs: float, lo: float = 0.05, hi: float = 3.0) -> DataFrame:

@@ -1,5 +1,7 @@
 """Numpy re-derivations of the signal operators and chunk independence."""
 
+import time
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -243,6 +245,20 @@ def test_spline_slopes_equal_a_dense_solve(spark, size):
     np.testing.assert_allclose([got[k] for k in want], list(want.values()), atol=1e-9)
 
 
+def test_long_arrays_take_time_in_proportion(spark):
+    """Mean and centred samples are found once an array: once a sample, these arrays took minutes."""
+    rng = np.random.default_rng(10)
+    x = 3 + np.sin(2 * np.pi * 0.3 * np.arange(60_000) / 2000) + rng.normal(size=60_000) / 10
+    z = x + rng.normal(size=60_000)
+    d = spark.createDataFrame([(x.tolist(), z.tolist()), ([1.0] * 60_000, z.tolist()), (None, z.tolist())], "x array<double>, z array<double>")
+    d.select(S.array_mean("x")).collect()
+    began = time.perf_counter()
+    one, flat, none = d.select(S.array_std("x").alias("std"), S.array_corr("x", "z").alias("corr"), S.breath_rate("x", 2000.0).alias("rate")).collect()
+    assert time.perf_counter() - began < 30
+    assert abs(one.std - x.std()) < 1e-9 and abs(one.corr - np.corrcoef(x, z)[0, 1]) < 1e-9 and one.rate == 18.0
+    assert flat == (0.0, None, None) and none == (None, None, None)
+
+
 def test_spline_runs_are_solved_from_a_stream_of_batches():
     """Many short runs need no group each: they come in one stream, and a run may be parted by the border of a batch."""
     rng = np.random.default_rng(8)
