@@ -143,7 +143,8 @@ def fingerprint_groups(prints: DataFrame, radius: int = 4, small: int = SMALL) -
     n = F.count("*").alias("n")
     buckets = _bucketed(prints.select("fp", F.col("fp").alias("comp")), radius)
     sizes = buckets.groupBy("free", "key").agg(n, F.min("fp").alias("pivot")).where("n > 1")
-    shared = cut_lineage(buckets.join(sizes, ["free", "key"]).select("fp", "free", "key", "n", "pivot"))
+    # by a hint, since Spark sizes both tables as if a fingerprint were not repeated per mask, and would send them to the driver
+    shared = cut_lineage(buckets.join(sizes.hint("merge"), ["free", "key"]).select("fp", "free", "key", "n", "pivot"))
     apart = F.bit_count(F.col("fp").bitwiseXOR(F.col("pivot")))
     stars = shared.where((F.col("fp") != F.col("pivot")) & (apart <= radius)).select(F.col("pivot").alias("a"), F.col("fp").alias("b"))
     groups = connected_components(stars)
@@ -151,7 +152,7 @@ def fingerprint_groups(prints: DataFrame, radius: int = 4, small: int = SMALL) -
     links = groups.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
     while True:
         mixed = rows.groupBy("free", "key").agg(n, F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("free", "key", "n")
-        open_ = cut_lineage(rows.join(mixed, ["free", "key"]).select("fp", "comp", "free", "key", "n"))
+        open_ = cut_lineage(rows.join(mixed.hint("merge"), ["free", "key"]).select("fp", "comp", "free", "key", "n"))
         links = links.union(_small_links(open_.where(F.col("n") <= small), radius))
         large = open_.where(F.col("n") > small)
         if large.isEmpty():

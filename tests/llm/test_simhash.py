@@ -86,6 +86,16 @@ def test_groups_match_all_pairs(spark, small):
     assert len(set(want.values())) > 50 and {p: got.get(p, p) for p in want} == want
 
 
+def test_tables_of_buckets_are_never_broadcast(spark, monkeypatch):
+    r = random.Random(6)
+    prints = sorted(chained(4, 60, r.getrandbits(64), 6) | {r.getrandbits(64) for _ in range(60)})
+    plans, written = [], S.cut_lineage
+    monkeypatch.setattr(S, "cut_lineage", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or written(df))
+    S.fingerprint_groups(spark.createDataFrame([(S.signed(p),) for p in prints], "fp bigint"), 4)
+    joins = [line for plan in plans for line in plan.splitlines() if "Join" in line and "free#" in line]
+    assert len(joins) >= 2 and not any("Broadcast" in line for line in joins)
+
+
 def test_rows_of_every_kind(spark):
     r = random.Random(3)
     words = [f"w{i}" for i in range(300)]
