@@ -224,7 +224,7 @@ def cox_fit(df: DataFrame, terms: list[str], strata: list[str] | None = None, pe
             trial = beta + size * move
             new_ll, new_grad, new_info = at(trial)
             new_ll -= 0.5 * ridge * trial @ trial
-            if new_ll >= ll - 1e-9 or size < 1e-3:
+            if new_ll >= ll - _noise(ll) or size < 1e-3:
                 break
             size /= 2
         beta, ll, grad, info = trial, new_ll, new_grad, new_info
@@ -234,6 +234,11 @@ def cox_fit(df: DataFrame, terms: list[str], strata: list[str] | None = None, pe
     return CoxFit(list(terms), strata, beta / sd, np.sqrt(np.diag(cov)) / sd, steps, float(np.abs(grad - ridge * beta).max()))
 
 
+def _noise(ll: float) -> float:
+    """What a log likelihood may fall by without being lower: the rounding of its sum grows with it."""
+    return max(1e-9, 1e-12 * abs(ll))
+
+
 # ---- many fits side by side ---------------------------------------------------------------------
 
 def _pick(values, index: str) -> Column:
@@ -311,14 +316,15 @@ def cox_fits(df: DataFrame, group: str, fits: list[tuple[int, list[str]]], strat
             ll, grad, info = found[f]
             ll, grad = ll - 0.5 * ridge[f] * at @ at, (grad - ridge[f] * at)[on]
             info = info[np.ix_(on, on)] + ridge[f] * np.eye(on.sum())
-            if f in held and ll < held[f][0] - 1e-9 and length[f] > 0.5 ** halvings:
+            flat = np.abs(grad).max() < tol * max(1, size[f]) ** 0.5
+            if f in held and not flat and ll < held[f][0] - _noise(ll) and length[f] > 0.5 ** halvings:
                 length[f] /= 2
                 still.append(f)
                 continue
             moved = length[f] * np.abs(move[f]).max()
             beta[f], held[f] = at, (ll, grad, info)
             steps[f] += 1
-            if steps[f] > max_steps or np.abs(grad).max() < tol * max(1, size[f]) ** 0.5 or (steps[f] > 1 and moved < tol):
+            if steps[f] > max_steps or flat or (steps[f] > 1 and moved < tol):
                 move[f] = 0.0
                 continue
             move[f], length[f] = 0.0, 1.0

@@ -7,14 +7,22 @@ replicate weight. A subject censored at the time of an event counts as having su
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from nightjar.functions.kernels import dominated
 from nightjar.operators.asof import step_lookup
 from nightjar.operators.metrics import discrimination
-from nightjar.operators.running import running_totals
+from nightjar.operators.running import bucket_count, running_totals
 from nightjar.session import cut_lineage
 
+CELLS = 500_000  # cells of a slice of the time axis, or of a chunk of the score axis, at most
+SLICES = 512     # unless these would be more, since one task holds the sums of all slices and chunks of a group
+
 
 def _w(weight: str | None) -> Column:
     return F.col(weight) if weight else F.lit(1)
@@ -68,10 +76,25 @@ def g_at(km: DataFrame, by: list[str], t: float) -> DataFrame:
 
 
 def with_censoring(df: DataFrame, by: list[str], strata: list[str], km: DataFrame) -> DataFrame:
-    """Attach each subject's own G(time-)."""
+    """Attach each subject's own G(time-), unless ``with_horizons`` has done so."""
+    if "g_left" in df.columns:
+        return df
     return df.join(km.select(*by, *strata, "time", "g_left"), [*by, *strata, "time"])
 
 
+def _g_name(t: float) -> str:
+    return f"_g_{float(t)!r}".replace(".", "_")
+
+
+def with_horizons(df: DataFrame, by: list[str], strata: list[str], times: list[float], km: DataFrame) -> DataFrame:
+    """Each subject's own G(time-) and G at the given times, for metrics that then join no censoring model; written once."""
+    groups = [*by, *strata]
+    last = lambda t, v: F.coalesce(F.max_by(F.when(F.col("time") <= t, v), F.when(F.col("time") <= t, F.col("time"))), F.lit(1.0))
+    fixed = km.groupBy(*groups).agg(*[last(t, F.col("g")).alias(_g_name(t)) for t in dict.fromkeys(map(float, times))])
+    own = with_censoring(df, by, strata, km)
+    return cut_lineage(own.join(fixed, groups) if groups else own.crossJoin(fixed))
+
+
 def _inverse(g: Column) -> Column:
     return F.when(g > 0, F.lit(1.0) / g).otherwise(F.lit(0.0))
 
@@ -93,44 +116,109 @@ def km_risk(df: DataFrame, by: list[str], t: float, weight: str | None = None) -
 
 # ---- concordance ------------------------------------------------------------------------------
 
-def _ordered(df: DataFrame, by: list[str]) -> DataFrame:
-    """Add ``_o``: 2 x (rank of the distinct time) + censored, so j outlives event i iff o_j > o_i."""
-    times = df.select(*by, "time").distinct().withColumn("_one", F.lit(1).cast("bigint"))
-    rank = running_totals(times, by, "time", ["_one"]).select(
-        *by, "time", F.col("_one_before").alias("_rank"), F.col("_one_total").alias("_times"))
-    return df.join(rank, [*by, "time"]).withColumn("_o", F.col("_rank") * 2 + (F.col("event") == 0).cast("int"))
+def _late() -> Column:
+    """1 for a row censored at its time, which outlives an event at that time."""
+    return (F.col("event") == 0).cast("int")
+
+
+def _numbered(cells: DataFrame, by: list[str], times: list[float], scores: list[float]) -> DataFrame:
+    """Add ``_slice`` of the time and ``_chunk`` of the score, even between two cut points and odd for a cut point itself, and ``_order``.
+
+    ``_order`` is the slice, cut once more at a single time: rows that end there come before rows censored there.
+    """
+    def number(value: pa.ChunkedArray, cuts: np.ndarray) -> np.ndarray:
+        x = value.fill_null(-np.inf).to_numpy(zero_copy_only=False)
+        below = np.searchsorted(cuts, x)
+        found = np.append(cuts, np.inf)[below]
+        return np.where(value.is_null().to_numpy(zero_copy_only=False), 0, 2 * below + ((below < len(cuts)) & ((found == x) | np.isnan(found) & np.isnan(x))))
+
+    edges = [np.unique(np.array(c or [], float)) for c in (times, scores)]
+
+    def run(batches):
+        for batch in batches:
+            piece, chunk = (number(batch.column(c), e) for c, e in zip(("time", "score"), edges))
+            order = 2 * piece + np.where(piece % 2, batch.column("late").to_numpy(), 0)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(x, pa.int32()) for x in (piece, chunk, order)]], names=[*batch.schema.names, "_slice", "_chunk", "_order"])
+
+    schema = ", ".join([*[f"`{c}` {t}" for c, t in cells.dtypes], "_slice int", "_chunk int", "_order int"])
+    return cells.mapInArrow(run, schema)
+
+
+def _counted(rows: DataFrame, by: list[str], tasks: int) -> DataFrame:
+    """Per (by, _part, _block): ``num`` and ``den`` over the pairs of its rows, in numpy over what a task holds.
+
+    Part 0 counts pairs with their ties, part 1 only the scores of pairs, part 2 takes equal scores for pairs that are scored elsewhere.
+    """
+    keys = [*by, "_part", "_block"]
+
+    def ranks(new: np.ndarray, *sorted_by: np.ndarray) -> np.ndarray:
+        """Distinct values numbered inside each group; ``new`` marks its first row."""
+        other = reduce(np.logical_or, [(x[1:] != x[:-1]) & ~(np.isnan(x[1:]) & np.isnan(x[:-1])) for x in sorted_by], new[1:])
+        up = np.cumsum(np.append(True, other))
+        return up - up[np.flatnonzero(new)][np.cumsum(new) - 1]
+
+    def run(batches):
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        table = pa.Table.from_batches(held).combine_chunks()
+        group = np.zeros(table.num_rows, np.int64)
+        for c in keys:
+            code = table.column(c).combine_chunks().dictionary_encode().indices.to_numpy()
+            group = np.unique(group * (int(code.max()) + 1) + code, return_inverse=True)[1]
+        empty = table.column("score").is_null().to_numpy()
+        score = np.where(empty, -np.inf, table.column("score").fill_null(0.0).to_numpy())
+        at = np.lexsort((score, ~empty, group))  # null is the least score, NaN the largest
+        group, score, kept = group[at], score[at], ~empty[at]
+        time, late, case, ctrl = (table.column(c).to_numpy()[at] for c in ("time", "late", "case", "ctrl"))
+        new = np.append(True, group[1:] != group[:-1])
+        tied = ranks(new, kept.astype(float), score)
+        by_time = np.lexsort((late, time, group))
+        order = np.empty(len(at), np.int64)
+        order[by_time] = ranks(new, time[by_time], late[by_time])
+        below, equal, pairs = dominated(group, order, tied, case, ctrl).T
+        first = at[new]
+        part = table.column("_part").to_numpy()[first]
+        found = [pa.array(below + np.where(part == 2, 0.0, equal / 2)), pa.array(np.where(part == 1, 0.0, pairs))]
+        yield from pa.table([*[table.column(c).take(pa.array(first)) for c in by], *found], names=[*by, "num", "den"]).combine_chunks().to_batches()
+
+    types = dict(rows.dtypes)
+    schema = ", ".join([*[f"`{c}` {types[c]}" for c in by], "num double", "den double"])
+    return rows.repartition(tasks, F.xxhash64(*keys)).mapInArrow(run, schema)
 
 
 def _dominance(cells: DataFrame, by: list[str]) -> DataFrame:
-    """Sum over (case i, control j, o_j > o_i) of case weight x (score order), without listing pairs.
+    """Sum over (case i, control j that outlives i) of case weight x (score order), without listing pairs.
 
-    Two different orders share a binary prefix up to exactly one bit, where the smaller has 0 and the
-    larger 1. So each cell is sent to the log2(n) prefixes of its order, as a case under its 0 bits
-    and as a control under its 1 bits; inside a prefix a running total over the score counts the
-    controls below. ``cells``: (by, _o, _times, score, case, ctrl).
+    The time axis is cut into slices and the score axis into chunks, at quantiles of all cells; a value that is a cut point lies in
+    one of its own. A pair of one slice meets there, a pair of two slices in its common chunk; of two slices and two chunks only
+    sums are compared. So a cell is sent to two tasks, each holding one slice or chunk of a group at most, and
+    a hot time or score to none whole. ``cells``: (by, time, late, score, case, ctrl).
     """
-    levels = F.ceil(F.log2(F.col("_times") * 2 + 2)).cast("int")
-    keyed = (
-        cells.withColumn("level", F.explode(F.sequence(F.lit(0), levels)))
-        .withColumn("_shifted", F.expr("shiftright(_o, level)"))
-        .withColumn("prefix", F.expr("shiftright(_o, level + 1)"))
-        .withColumn("_high", F.col("_shifted").bitwiseAND(F.lit(1).cast("bigint")) == 1)
-        .where(F.col("_high") | (F.col("case") > 0))
-        .groupBy(*by, "level", "prefix", "score")
-        .agg(F.sum(F.when(F.col("_high"), 0.0).otherwise(F.col("case"))).alias("case"),
-             F.sum(F.when(F.col("_high"), F.col("ctrl")).otherwise(0)).alias("ctrl"))
-    )
-    r = running_totals(keyed, [*by, "level", "prefix"], "score", ["ctrl"])
-    return r.groupBy(*by).agg(
-        F.sum(F.col("case") * (F.col("ctrl_before") + F.col("ctrl") / 2.0)).alias("num"),
-        F.sum(F.col("case") * F.col("ctrl_total")).alias("den"))
+    number = lambda *cs: [F.col(c).cast("double").alias(c) for c in cs]
+    cells = cut_lineage(cells.select(*by, "late", *number("time", "score", "case", "ctrl")).dropna(subset=[*by, "time", "late"]))
+    total = cells.count()
+    n = min(max(bucket_count(cells), total // CELLS + 1), SLICES)
+    cuts = cells.agg(*[F.percentile_approx(c, [i / n for i in range(1, n)]).alias(c) for c in ("time", "score")]).first()
+    d = _numbered(cells, by, cuts["time"], cuts["score"])
+    hot = F.col("_chunk") % 2 == 1
+    row = lambda keep, part, block, time, late, score: F.struct(
+        keep.alias("_keep"), F.lit(part).alias("_part"), block.alias("_block"), time.cast("double").alias("time"), late.alias("late"), score.cast("double").alias("score"))
+    inside = row(F.col("_slice") % 2 == 0, 0, F.col("_slice"), F.col("time"), F.col("late"), F.col("score"))
+    across = row(~hot, 1, F.col("_chunk"), F.col("_order"), F.lit(0), F.col("score"))
+    far, tied = row(F.lit(True), 2, F.lit(0), F.col("_order"), F.lit(0), F.col("_chunk")), row(hot, 1, F.col("_chunk"), F.col("_order"), F.lit(0), F.lit(0))
+    sums = d.groupBy(*by, "_order", "_chunk").agg(F.sum("case").alias("case"), F.sum("ctrl").alias("ctrl"))
+    sent = [x.select(*by, "case", "ctrl", F.explode(F.array(*rows)).alias("_r")).where("_r._keep").select(*by, "_r.*", "case", "ctrl").drop("_keep")
+            for x, rows in ((d, (inside, across)), (sums, (far, tied)))]
+    tasks = max(cells.sparkSession.sparkContext.defaultParallelism, bucket_count(cells) // 2, 3 * total // CELLS)
+    return _counted(sent[0].unionByName(sent[1]), by, tasks).groupBy(*by).agg(F.sum("num").alias("num"), F.sum("den").alias("den"))
 
 
 def harrell_c(df: DataFrame, by: list[str], within: list[str] | None = None, weight: str | None = None) -> DataFrame:
     """Harrell's C; with ``within`` only pairs that share those columns count."""
     groups = [*by, *(within or [])]
     w = _w(weight)
-    cells = _ordered(df, groups).groupBy(*groups, "_o", "_times", "score").agg(
+    cells = df.groupBy(*groups, "time", _late().alias("late"), "score").agg(
         F.sum(F.when(F.col("event") == 1, w).otherwise(0)).cast("double").alias("case"), F.sum(w).alias("ctrl"))
     d = _dominance(cells, groups)
     return d.groupBy(*by).agg(F.try_divide(F.sum("num"), F.sum("den")).alias("c_index"), F.sum("den").alias("n_pairs"))
@@ -145,13 +233,12 @@ def uno_c(df: DataFrame, by: list[str], strata: list[str], tau: float, weight: s
     """
     w = _w(weight)
     km = censoring_km(df, [*by, *strata], weight) if km is None else km
-    d = _ordered(with_censoring(df, by, strata, km), by)
     zs = [f"z_{s}" for s in strata]
-    ctrl = d.select(*by, *[F.col(s).alias(z) for s, z in zip(strata, zs)], "_o", "_times", "score",
-                    F.lit(0.0).alias("case"), w.alias("ctrl"))
-    own = d.where((F.col("event") == 1) & (F.col("time") < tau))
+    ctrl = df.select(*by, *[F.col(s).alias(z) for s, z in zip(strata, zs)], "time", _late().alias("late"), "score",
+                     F.lit(0.0).alias("case"), w.alias("ctrl"))
+    own = with_censoring(df.where((F.col("event") == 1) & (F.col("time") < tau)), by, strata, km)
     if strata:
-        folded = own.groupBy(*by, "time", "_o", "_times", "score").agg(F.sum(w * _inverse(F.col("g_left"))).alias("_case"))
+        folded = own.groupBy(*by, "time", "score").agg(F.sum(w * _inverse(F.col("g_left"))).alias("_case"))
         levels = df.select(F.struct(*[F.col(s).alias(z) for s, z in zip(strata, zs)]).alias("z")).distinct().agg(F.collect_list("z").alias("z")).scalar()
         steps = km.where("c > 0").select(*by, *[F.col(s).alias(z) for s, z in zip(strata, zs)], "time", F.col("g").alias("_gz"))
         probes = folded.select(*by, "time").distinct().withColumn("_z", F.explode(levels)).select(*by, "time", "_z.*")
@@ -160,8 +247,8 @@ def uno_c(df: DataFrame, by: list[str], strata: list[str], tau: float, weight: s
         value = F.col("_case") * _inverse(F.col("_gz"))
     else:
         cases, value = own, w * _inverse(F.col("g_left")) * _inverse(F.col("g_left"))
-    case = cases.select(*by, *zs, "_o", "_times", "score", value.alias("case"), F.lit(0).alias("ctrl"))
-    cells = ctrl.unionByName(case).groupBy(*by, *zs, "_o", "_times", "score").agg(
+    case = cases.select(*by, *zs, "time", F.lit(0).alias("late"), "score", value.alias("case"), F.lit(0).alias("ctrl"))
+    cells = ctrl.unionByName(case).groupBy(*by, *zs, "time", "late", "score").agg(
         F.sum("case").alias("case"), F.sum("ctrl").alias("ctrl"))
     return _dominance(cells, [*by, *zs]).groupBy(*by).agg(F.try_divide(F.sum("num"), F.sum("den")).alias("uno_c"))
 
@@ -169,12 +256,14 @@ def uno_c(df: DataFrame, by: list[str], strata: list[str], tau: float, weight: s
 # ---- inverse-probability-of-censoring metrics -------------------------------------------------
 
 def _ipcw(df: DataFrame, by: list[str], strata: list[str], t: float, weight: str | None, km: DataFrame | None) -> DataFrame:
-    """Add ``_died`` and ``_alive`` weights at horizon t; ``km`` is a censoring model already at hand."""
+    """Add ``_died`` and ``_alive`` weights at horizon t; ``km`` is a censoring model already at hand, not read for rows of ``with_horizons``."""
     groups = [*by, *strata]
-    km = censoring_km(df, groups, weight) if km is None else km
-    own = df.join(km.select(*groups, "time", "g_left"), [*groups, "time"])
-    fixed = g_at(km, groups, t)
-    d = own.join(fixed, groups) if groups else own.withColumn("g_t", fixed.scalar())
+    if _g_name(t) in df.columns:
+        d = df.withColumn("g_t", F.col(_g_name(t)))
+    else:
+        km = censoring_km(df, groups, weight) if km is None else km
+        own, fixed = with_censoring(df, by, strata, km), g_at(km, groups, t)
+        d = own.join(fixed, groups) if groups else own.withColumn("g_t", fixed.scalar())
     w = _w(weight)
     return d.withColumns({
         "_died": F.when((F.col("event") == 1) & (F.col("time") <= t), w * _inverse(F.col("g_left"))).otherwise(F.lit(0.0)),
@@ -213,11 +302,14 @@ def brier_curve(df: DataFrame, by: list[str], strata: list[str], grid: list[floa
     aggregate with a column per grid point.
     """
     groups = [*by, *strata]
-    km = censoring_km(df, groups, weight) if km is None else km
-    g_grid = km.groupBy(*groups).agg(F.array(*[F.coalesce(F.max_by(
-        F.when(F.col("time") <= t, F.col("g")), F.when(F.col("time") <= t, F.col("time"))), F.lit(1.0)) for t in grid]).alias("_gg"))
-    own = df.join(km.select(*groups, "time", "g_left"), [*groups, "time"])
-    own = own.join(g_grid, groups) if groups else own.withColumn("_gg", g_grid.scalar())
+    if all(_g_name(t) in df.columns for t in grid):
+        own = df.withColumn("_gg", F.array(*[F.col(_g_name(t)) for t in grid]))
+    else:
+        km = censoring_km(df, groups, weight) if km is None else km
+        g_grid = km.groupBy(*groups).agg(F.array(*[F.coalesce(F.max_by(
+            F.when(F.col("time") <= t, F.col("g")), F.when(F.col("time") <= t, F.col("time"))), F.lit(1.0)) for t in grid]).alias("_gg"))
+        own = with_censoring(df, by, strata, km)
+        own = own.join(g_grid, groups) if groups else own.withColumn("_gg", g_grid.scalar())
     points = F.explode(F.array(*[F.struct(F.lit(i).alias("k"), F.lit(float(t)).alias("t"), s.cast("double").alias("s"))
                                  for i, (t, s) in enumerate(zip(grid, surv))])).alias("_p")
     d = own.select("*", points).withColumns({"t": F.col("_p.t"), "_s": F.col("_p.s"), "_g": F.element_at("_gg", F.col("_p.k") + 1)})
@@ -293,17 +385,18 @@ def calibration_overall(df: DataFrame, strata: list[str], t: float) -> DataFrame
 
 def metric_row(df: DataFrame, by: list[str], strata: list[str], h5: float, h10: float, surv5: str, surv10: str,
                null10: str, grid: list[float], surv_grid: list[Column], weight: str | None = None) -> DataFrame:
-    """The eight test metrics of one model per ``by``; the censoring model is fitted once for all of them."""
+    """The eight test metrics of one model per ``by``; the censoring model is fitted once for all of them and meets the rows once."""
     km = cut_lineage(censoring_km(df, [*by, *strata], weight))
+    own = with_horizons(df, by, strata, [h5, h10, *grid], km)
     parts = [
         harrell_c(df, by, None, weight).select(*by, F.col("c_index").alias("harrell_c")),
         harrell_c(df, by, strata, weight).select(*by, F.col("c_index").alias("within_cohort_c")),
-        uno_c(df, by, strata, h10, weight, km).withColumnRenamed("uno_c", "uno_c_10y"),
-        cumulative_dynamic_auc(df, by, strata, h5, weight, km).withColumnRenamed("auc", "auc_5y"),
-        cumulative_dynamic_auc(df, by, strata, h10, weight, km).withColumnRenamed("auc", "auc_10y"),
-        brier(df, by, strata, h10, surv10, weight, km).withColumnRenamed("brier", "brier_10y"),
-        brier(df, by, strata, h10, null10, weight, km).withColumnRenamed("brier", "_null"),
-        integrated_brier(brier_curve(df, by, strata, grid, surv_grid, weight, km), by).withColumnRenamed("ibs", "ibs_1_10y"),
+        uno_c(own, by, strata, h10, weight, km).withColumnRenamed("uno_c", "uno_c_10y"),
+        cumulative_dynamic_auc(own, by, strata, h5, weight, km).withColumnRenamed("auc", "auc_5y"),
+        cumulative_dynamic_auc(own, by, strata, h10, weight, km).withColumnRenamed("auc", "auc_10y"),
+        brier(own, by, strata, h10, surv10, weight, km).withColumnRenamed("brier", "brier_10y"),
+        brier(own, by, strata, h10, null10, weight, km).withColumnRenamed("brier", "_null"),
+        integrated_brier(brier_curve(own, by, strata, grid, surv_grid, weight, km), by).withColumnRenamed("ibs", "ibs_1_10y"),
     ]
     out = parts[0]
     for p in parts[1:]:

@@ -43,9 +43,10 @@ def evaluate_ladder(df: DataFrame, is_test: Column, ladder: dict[str, list[str]]
 
 
 def _metrics(pred: DataFrame, by: list[str], strata: list[str], h5: float, h10: float, grid: list[float]) -> DataFrame:
-    """The eight metrics of predictions numbered by ``_n``; rows that a model gives the same score at the same time count as one."""
+    """The eight metrics of predictions numbered by ``_n``; rows of a stratum with the same lp, so the same survival, at the same time count as one."""
     curve = [f"s_{i + 2}" for i in range(len(grid))]
-    pred = equal_rows(pred, [*by, *strata, "time", "event", "score", "s_0", "s_1", *curve, "null_survival"], "_n")
+    pred = cut_lineage(pred.groupBy(*by, *strata, "time", "event", "lp").agg(
+        F.sum("_n").alias("_n"), *[F.first(c).alias(c) for c in ("score", "s_0", "s_1", *curve, "null_survival")]))
     return S.metric_row(pred, by, strata, h5, h10, "s_0", "s_1", "null_survival", grid, [F.col(c) for c in curve], "_n")
 
 

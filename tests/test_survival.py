@@ -121,6 +121,89 @@ def test_weights_equal_repeated_rows(spark):
     assert abs(a - b) < 1e-12
 
 
+def test_dominated_pairs_by_group():
+    from nightjar.functions.kernels import dominated
+
+    rng = np.random.default_rng(4)
+    n = 300
+    group, order, score = np.sort(rng.integers(0, 4, n)), rng.integers(0, 21, n), rng.integers(0, 9, n)
+    at = np.lexsort((score, group))
+    group, order, score, case, ctrl = group[at], order[at], score[at], rng.integers(0, 3, n).astype(float), rng.integers(0, 3, n).astype(float)
+    want = np.zeros((4, 3))
+    for i in range(n):
+        later = (group == group[i]) & (order > order[i])
+        want[group[i]] += [case[i] * ctrl[later & m].sum() for m in (score < score[i], score == score[i], score == score)]
+    assert np.array_equal(dominated(group, order, score, case, ctrl), want)
+
+
+def test_hot_times_and_scores_meet_no_task_whole(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    n = 700
+    t, score = rng.integers(1, 60, n).astype(float), rng.integers(0, 400, n) / 4.0
+    t[rng.random(n) < 0.35], score[rng.random(n) < 0.35] = 17.0, 50.0
+    p = pd.DataFrame({"time": t, "event": rng.integers(0, 2, n), "score": score, "g": rng.choice(["a", "b"], n)})
+    d = spark.createDataFrame(p)
+    sent, counted = [], S._counted
+    monkeypatch.setattr(S, "_counted", lambda rows, by, tasks: sent.append(rows) or counted(rows, by, tasks))
+    monkeypatch.setattr(S, "bucket_count", lambda df: 12)
+    got = {r.g: r for r in S.harrell_c(d, ["g"]).collect()}
+    for g, own in p.groupby("g"):
+        assert abs(got[g].c_index - pairs(own)) < 1e-12
+    cells = len(p.drop_duplicates())
+    rows = sent[0].toPandas()
+    assert len(rows[rows._part < 2]) <= 2 * cells
+    inside = rows[rows._part < 2].groupby(["g", "_part", "_block"]).size()
+    assert inside.max() < cells / 8  # a third of the rows have one time, a third one score
+
+
+def test_null_and_nan_scores_are_the_least_and_the_largest(spark):
+    rows = [(1.0, 1, None), (2.0, 1, float("nan")), (3.0, 1, 0.5), (3.0, 0, 0.0), (4.0, 0, None), (5.0, 0, float("nan")), (6.0, 0, -0.0), (None, 1, 0.5), (2.0, None, 0.5)]
+    d = spark.createDataFrame(rows, "time double, event int, score double")
+    key = lambda x: (0, 0) if x is None else (2, 0) if x != x else (1, x)
+    known = [r for r in rows if r[0] is not None and r[1] is not None]
+    num = den = 0.0
+    for i in known:
+        for j in known:
+            if i[1] and (j[0] > i[0] or j[0] == i[0] and not j[1]):
+                num += (key(j[2]) < key(i[2])) + (key(j[2]) == key(i[2])) / 2
+                den += 1
+    got = S.harrell_c(d, []).first()
+    assert got.n_pairs == den and abs(got.c_index - num / den) < 1e-12
+
+
+def test_rounding_of_a_large_likelihood_halves_no_step(spark, monkeypatch):
+    from nightjar.operators import cox as X
+
+    _, d = many(spark)
+    d = d.withColumn("g", F.lit(0)).withColumn("copies", F.lit(3_000_000))
+    exact, calls = X._derivatives, []
+
+    def rounded(*args):  # every pass rounds a little lower
+        calls.append(1)
+        return {f: (ll - 1e-14 * abs(ll) * len(calls), grad, info) for f, (ll, grad, info) in exact(*args).items()}
+
+    specs = [(0, ["score", "z"]), (0, ["z"])]
+    want = X.cox_fits(d, "g", specs, ["stratum"], 0.01, tol=1e-10, weight="copies")
+    monkeypatch.setattr(X, "_derivatives", rounded)
+    got = X.cox_fits(d, "g", specs, ["stratum"], 0.01, tol=1e-10, weight="copies")
+    assert got.passes <= 8 and np.allclose(got.beta, want.beta, atol=1e-7)
+
+
+def test_metrics_join_the_censoring_model_once(spark, monkeypatch):
+    p = sample(90, 13)
+    p["s5"], p["s10"], p["null"] = 0.9 - p.subject_id / 200, 0.8 - p.subject_id / 200, 0.6
+    d = spark.createDataFrame(p)
+    joined, attach = [], S.with_censoring
+    monkeypatch.setattr(S, "with_censoring", lambda df, *a: joined.append("g_left" not in df.columns) or attach(df, *a))
+    got = S.metric_row(d, [], ["stratum"], 0.5, 1.0, "s5", "s10", "null", [0.5, 1.0], [F.col("s5"), F.col("s10")]).first()
+    assert sum(joined) == 1
+    assert abs(got.auc_10y - S.cumulative_dynamic_auc(d, [], ["stratum"], 1.0).first().auc) < 1e-12
+    assert abs(got.brier_10y - S.brier(d, [], ["stratum"], 1.0, "s10").first().brier) < 1e-12
+    curve = S.brier_curve(d, [], ["stratum"], [0.5, 1.0], [F.col("s5"), F.col("s10")])
+    assert abs(got.ibs_1_10y - S.integrated_brier(curve, []).first().ibs) < 1e-12
+    assert abs(got.uno_c_10y - S.uno_c(d, [], ["stratum"], 1.0).first().uno_c) < 1e-12
+
+
 def test_step_lookup_limits(spark):
     steps = spark.createDataFrame([("a", 1.0, 0.9), ("a", 2.0, 0.5), ("b", 1.5, 0.2)], "s string, t double, g double")
     probes = spark.createDataFrame([("a", t) for t in (0.5, 1.0, 1.5, 2.0, 9.0)] + [("b", 1.0), ("c", 1.0)], "s string, t double")
