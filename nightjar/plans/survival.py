@@ -54,9 +54,9 @@ def _metrics(pred: DataFrame, by: list[str], strata: list[str], h5: float, h10:
 class Analyses:
     """Every outcome x definition x model fitted on the training rows and scored on the test rows.
 
-    ``rows`` holds (analysis, strata, time, event, terms, is_test) with the number ``_n`` of subjects of the analysis that are equal
-    in them, ``pred`` the test rows once per fit with lp, score and survival columns. ``fit`` numbers outcome, definition and model
-    in the order given.
+    ``rows`` holds (analysis, strata, time, event, terms, is_test) with the number ``_n`` of subjects that are equal in them and in
+    all other analyses, ``pred`` the test rows once per fit with lp, score and survival columns. ``fit`` numbers outcome, definition
+    and model in the order given.
     """
 
     outcomes: list[str]
@@ -107,14 +107,13 @@ def analyse(df: DataFrame, outcomes: dict[str, tuple[Column, Column]], definitio
     rows of a stratum without training events keep the null survival of 1. ``carry`` names columns kept for subgroups.
     """
     terms = list(dict.fromkeys(t for own in ladder.values() for t in own))
-    entries = []
-    for a, ((time, event), inside) in enumerate((o, d) for o in outcomes.values() for d in definitions.values()):
-        ok = inside & (time > 0) & event.isNotNull()
-        entries.append(F.when(ok, F.struct(F.lit(a).alias("analysis"), time.cast("double").alias("time"), event.cast("int").alias("event"))))
+    entries = [(time.cast("double"), event.cast("int"), inside & (time > 0) & event.isNotNull()) for time, event in outcomes.values() for inside in definitions.values()]
     kept = list(dict.fromkeys([*strata, *terms, *(carry or [])]))
-    rows = df.select(*kept, is_test.alias("is_test"), F.explode(F.filter(F.array(*entries), lambda x: x.isNotNull())).alias("_a"))
-    rows = rows.dropna(subset=[*strata, *terms, "is_test"]).select("_a.*", "is_test", *kept)
-    rows = equal_rows(rows, rows.columns)
+    flat = [F.when(ok, x).alias(f"_{n}{a}") for a, (time, event, ok) in enumerate(entries) for n, x in (("t", time), ("e", event))]
+    rows = df.select(*kept, is_test.alias("is_test"), *flat).dropna(subset=[*strata, *terms, "is_test"])
+    rows = equal_rows(rows.where(F.coalesce(*[F.col(f"_e{a}") for a in range(len(entries))]).isNotNull()), rows.columns)
+    each = F.explode(F.array(*[F.struct(F.lit(a).alias("analysis"), F.col(f"_t{a}").alias("time"), F.col(f"_e{a}").alias("event")) for a in range(len(entries))]))
+    rows = rows.withColumn("_a", each).where("_a.event IS NOT NULL").select("_a.*", "is_test", *kept, "_n")
     train, test = rows.where("NOT is_test"), rows.where("is_test")
     models = [(a, own) for a in range(len(entries)) for own in ladder.values()]
     fits = cox_fits(train, "analysis", models, strata, penalizer, weight="_n")

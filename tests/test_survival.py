@@ -385,3 +385,19 @@ def test_calibration_reads_its_rows_once(spark):
     out = S.calibration_quintiles(spark.createDataFrame(p), ["stratum"], 0.8)
     assert "ExistingRDD" not in out._jdf.queryExecution().optimizedPlan().toString() and "LogicalRDD" not in out._jdf.queryExecution().optimizedPlan().toString()
     assert out.agg(F.sum("n")).first()[0] == 200
+
+
+def test_equal_rows_fold_before_they_are_repeated_per_analysis(spark, monkeypatch):
+    from nightjar.plans import survival as P
+
+    p, d = many(spark, n=120)
+    read, fold = [], P.equal_rows
+    monkeypatch.setattr(P, "equal_rows", lambda df, *a: read.append(df.count()) or fold(df, *a))
+    late = (F.col("event") == 1) & (F.col("time") > 0.5)
+    got = P.analyse(d, {"any": (F.col("time"), F.col("event")), "late": (F.col("time"), late)}, {"all": F.lit(True), "some": F.col("u") == 0}, {"M0": ["score"]},
+                    F.col("z") > 0.5, ["stratum"], 0.5, 1.0, [0.5, 1.0])
+    assert read[0] == 120
+    sizes = {(r.outcome, r.definition): (r.n, r.events) for r in got.sizes().groupBy("outcome", "definition").agg(F.sum("n").alias("n"), F.sum("events").alias("events")).collect()}
+    some = p[p.u == 0]
+    assert sizes == {("any", "all"): (120, p.event.sum()), ("any", "some"): (len(some), some.event.sum()),
+                     ("late", "all"): (120, (p.event & (p.time > 0.5)).sum()), ("late", "some"): (len(some), (some.event & (some.time > 0.5)).sum())}
