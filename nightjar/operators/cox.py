@@ -75,7 +75,8 @@ def _sums(df: DataFrame, group: str, strata: list[str], k: int, fits: dict[int,
     """Per (fit, strata, time) with deaths: risk-set sums and death sums of 1, z and z z' weighted by exp(eta).
 
     ``fits`` gives each fit's group, coefficients and the terms it uses; sums of other terms are 0. A task adds up the rows of equal
-    keys that follow each other in a batch, for all fits of their group, so no row is repeated per fit.
+    keys that follow each other in a batch, for all fits of their group, so no row is repeated per fit. What is left, a row per key, is
+    written, since the offsets of the time slices read it too.
     """
     keys = [*strata, "_slice", "time"]
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
@@ -119,7 +120,7 @@ def _sums(df: DataFrame, group: str, strata: list[str], k: int, fits: dict[int,
                 yield from pa.Table.from_batches(found).combine_chunks().to_batches()
 
     schema = ", ".join(["fit int", *[f"`{c}` {types[c]}" for c in keys], *[f"{c} double" for c in names]])
-    g = df.mapInArrow(add, schema).groupBy("fit", *keys).agg(*[F.sum(c).alias(c) for c in names])
+    g = cut_lineage(df.mapInArrow(add, schema).groupBy("fit", *keys).agg(*[F.sum(c).alias(c) for c in names]))
     r = running_totals(g, ["fit", *strata], "time", parts, bucket="_slice")
     # at risk at t: everybody with time >= t
     return r.withColumns({f"r_{n}": F.col(f"{n}_total") - F.col(f"{n}_before") for n in parts}).where("deaths > 0")

@@ -189,6 +189,16 @@ def test_rounding_of_a_large_likelihood_halves_no_step(spark, monkeypatch):
     assert got.passes <= 8 and np.allclose(got.beta, want.beta, atol=1e-7)
 
 
+def test_a_pass_reads_its_rows_once(spark, monkeypatch):
+    from nightjar.operators import cox as X
+
+    _, d = many(spark)
+    plans, mapped = [], type(d).mapInArrow
+    monkeypatch.setattr(type(d), "mapInArrow", lambda self, *a: plans.append(self._jdf.queryExecution().optimizedPlan().toString()) or mapped(self, *a))
+    X.cox_fits(d.withColumn("g", F.lit(0)), "g", [(0, ["score"])], ["stratum"], 0.01)
+    assert plans and not any("MapInArrow" in p for p in plans[1::2])  # the second of a pass folds the sums that the first has left
+
+
 def test_metrics_join_the_censoring_model_once(spark, monkeypatch):
     p = sample(90, 13)
     p["s5"], p["s10"], p["null"] = 0.9 - p.subject_id / 200, 0.8 - p.subject_id / 200, 0.6
